@@ -103,3 +103,7 @@ for _name, _qids in [("q_term", [1, 11]), ("q_must_not", [2, 4]), ("q_should_min
 def q_batch(spark, sf):
     index = documents_index(spark, sf)
     return se.search(index, fx.clauses(spark), fx.query_opts(spark))
+
+
+# more entries register themselves on import
+from pagesearch.plans import catalog_pages  # noqa: E402,F401

@@ -178,6 +178,10 @@ ORACLE: dict[str, str] = {
     "q_batch": search_page_sql(),
 }
 
+from pagesearch.plans.oracle_pages import ORACLE_PAGES  # noqa: E402
+
+ORACLE.update(ORACLE_PAGES)
+
 for _name, _qids in [("q_term", [1, 11]), ("q_must_not", [2, 4]), ("q_should_min", [3]),
                      ("q_match_phrase", [5]), ("q_phrase_gap", [6]), ("q_match_fuzzy", [7]),
                      ("q_prefix", [8]), ("q_numeric_range", [9]), ("q_wildcard", [10, 14]),
