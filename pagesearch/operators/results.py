@@ -50,7 +50,7 @@ def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str =
     joined = page.join(store.select(key, F.col(field).alias("_t")), key)
     alt = F.array_join("qterms", "|")
     find = F.concat(F.lit(r"(?s)^(.*?)(?:^|" + NON_TOKEN + ")(?:"), alt, F.lit(r")(?:" + NON_TOKEN + r"|\z)"))
-    before = F.length(F.regexp_extract(F.lower("_t"), find, 1))
+    before = F.length(F.call_function("regexp_extract", F.lower("_t"), find, F.lit(1)))
     start = F.greatest(F.lit(1), before + F.lit(1 - size // 2))
     frag = html_escape(F.substring(F.col("_t"), F.col("_start"), F.lit(size)))
     mark = F.concat(F.lit(r"(?iu)(^|" + NON_TOKEN + ")("), alt, F.lit(r")(" + NON_TOKEN + r"|\z)"))
@@ -78,7 +78,7 @@ def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = N
         expr = None
         for lo, hi in zip(edges[:-1], edges[1:]):
             cond = (F.col(col) >= lo) & (F.col(col) < hi)
-            lab = F.lit(f"{lo:g}-{hi:g}")
+            lab = F.lit(f"{_num(lo)}-{_num(hi)}")
             expr = F.when(cond, lab) if expr is None else expr.when(cond, lab)
         expr = expr.otherwise(F.lit("other")) if expr is not None else F.lit("other")
         parts.append(F.struct(F.lit(col).alias("facet"), expr.alias("bucket")))
@@ -86,6 +86,10 @@ def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = N
             .groupBy("query_id", "facet", "bucket").agg(F.count(F.lit(1)).alias("n")))
 
 
+def _num(x) -> str:
+    return str(int(x)) if float(x).is_integer() else str(x)
+
+
 def explain(page: DataFrame, matches: DataFrame) -> DataFrame:
     """Flat score breakdown for each returned hit: per clause and matched
     term tf, df, idf, field length, boost and the term weight."""

@@ -11,10 +11,16 @@ from pagesearch.sources import fixtures as fx
 
 PAT = r"'[\p{L}\p{N}]+'"
 
-TOK = f"""tok AS (
-  SELECT doc_id, 'text' AS field, len(t) AS field_len, unnest(t) AS term,
-         unnest(range(len(t))) AS pos
-  FROM (SELECT doc_id, regexp_extract_all(lower(text), {PAT}) AS t FROM documents)),
+DOCS_SRC = "SELECT doc_id, 'text' AS field, text AS txt FROM documents"
+DOCS_ATTRS = ("SELECT doc_id, '_doc' AS field, CAST(doc_id AS DOUBLE) AS value FROM documents "
+              "UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS DOUBLE) FROM documents")
+
+
+def tok_ctes(src: str = DOCS_SRC) -> str:
+    """Token, postings and statistics CTEs over ``src`` (doc_id, field, txt)."""
+    return f"""tok AS (
+  SELECT doc_id, field, len(t) AS field_len, unnest(t) AS term, unnest(range(len(t))) AS pos
+  FROM (SELECT doc_id, field, regexp_extract_all(lower(txt), {PAT}) AS t FROM ({src}))),
 post AS (SELECT doc_id, field, term, count(*) AS tf, max(field_len) AS field_len,
                 list_sort(list(pos)) AS positions
          FROM tok GROUP BY doc_id, field, term),
@@ -23,6 +29,9 @@ flen AS (SELECT DISTINCT doc_id, field, field_len AS n_terms FROM tok),
 corp AS (SELECT field, count(*) AS n_docs, avg(n_terms) AS avg_len FROM flen GROUP BY field)"""
 
 
+TOK = tok_ctes()
+
+
 def _sql_val(v) -> str:
     if v is None:
         return "NULL"
@@ -51,11 +60,12 @@ def opts_values(rows=None) -> str:
     return f"(VALUES {vals}) AS o(query_id, min_should, size, from_)"
 
 
-def search_ctes(qids: list[int] | None = None) -> str:
+def search_ctes(qids: list[int] | None = None, src: str = DOCS_SRC, attrs: str = DOCS_ATTRS,
+                clause_rows=None, opt_rows=None) -> str:
     where = f"WHERE query_id IN ({', '.join(map(str, qids))})" if qids else ""
-    return f"""{TOK},
-cl0 AS (SELECT * FROM {clauses_values()} {where}),
-opts AS (SELECT * FROM {opts_values()} {where}),
+    return f"""{tok_ctes(src)},
+cl0 AS (SELECT * FROM {clauses_values(clause_rows)} {where}),
+opts AS (SELECT * FROM {opts_values(opt_rows)} {where}),
 cl1 AS (SELECT query_id, clause_id, occur, kind, coalesce(field, '_all') AS field, terms, min, max,
                coalesce(incl_min, true) AS incl_min, coalesce(incl_max, false) AS incl_max,
                coalesce(fuzziness, 0) AS fuzziness, coalesce(prefix_length, 0) AS prefix_length,
@@ -115,8 +125,7 @@ po AS (SELECT query_id, clause_id, occur, doc_id, pos - slot AS start, any_value
 ph AS (SELECT query_id, clause_id, occur, doc_id,
               any_value(boost) * (sqrt(count(*)) * any_value(idf_sum) / sqrt(any_value(field_len))) AS score
        FROM po GROUP BY query_id, clause_id, occur, doc_id),
-attrs AS (SELECT doc_id, '_doc' AS field, CAST(doc_id AS DOUBLE) AS value FROM documents
-          UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS DOUBLE) FROM documents),
+attrs AS ({attrs}),
 rc AS (SELECT *, CASE WHEN kind = 'all' THEN '_doc' ELSE field END AS rfield FROM cl
        WHERE kind IN ('numeric_range', 'date_range', 'all')),
 rh AS (SELECT c.query_id, c.clause_id, c.occur, a.doc_id, c.boost AS score
@@ -127,7 +136,7 @@ rh AS (SELECT c.query_id, c.clause_id, c.occur, a.doc_id, c.boost AS score
 ic AS (SELECT query_id, clause_id, occur, boost, TRY_CAST(id AS BIGINT) AS id
        FROM (SELECT *, unnest(terms) AS id FROM cl WHERE kind = 'ids')),
 ih AS (SELECT DISTINCT c.query_id, c.clause_id, c.occur, d.doc_id, c.boost AS score
-       FROM ic c JOIN documents d ON d.doc_id = c.id),
+       FROM ic c JOIN (SELECT doc_id FROM attrs WHERE field = '_doc') d ON d.doc_id = c.id),
 hits AS (SELECT * FROM th UNION ALL SELECT * FROM ph UNION ALL SELECT * FROM rh UNION ALL SELECT * FROM ih),
 qi AS (SELECT query_id, sum(CASE WHEN occur = 'must' THEN 1 ELSE 0 END) AS n_must,
               sum(CASE WHEN occur = 'should' THEN 1 ELSE 0 END) AS n_should
@@ -187,3 +196,7 @@ for _name, _qids in [("q_term", [1, 11]), ("q_must_not", [2, 4]), ("q_should_min
                      ("q_prefix", [8]), ("q_numeric_range", [9]), ("q_wildcard", [10, 14]),
                      ("q_match", [12]), ("q_all_ids", [13])]:
     ORACLE[_name] = search_scores_sql(_qids)
+
+from pagesearch.plans.oracle_results import ORACLE_RESULTS  # noqa: E402
+
+ORACLE.update(ORACLE_RESULTS)
