@@ -38,10 +38,16 @@ def dedupe(links: DataFrame, keep: str = "first") -> DataFrame:
 
 
 def unseen(links: DataFrame, store: DataFrame, force: bool = False) -> DataFrame:
-    """Links whose URL is not stored yet; E02: with ``force`` all links."""
+    """Links whose URL is not stored yet; E02: with ``force`` all links.
+
+    The store is first cut down to the URLs of this run (semi join with the
+    run's keys, broadcast when checked small), so a small run against a huge
+    store scans the store once instead of shuffling it."""
     if force:
         return links
-    return links.join(store.select("url"), "url", "left_anti")
+    keys = links.select("url").distinct()
+    stored = store.select("url").join(broadcast_if_small(keys), "url", "left_semi")
+    return links.join(stored, "url", "left_anti")
 
 
 def attach_capture(links: DataFrame, best: DataFrame) -> DataFrame:

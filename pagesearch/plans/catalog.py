@@ -108,3 +108,4 @@ def q_batch(spark, sf):
 # more entries register themselves on import
 from pagesearch.plans import catalog_pages  # noqa: E402,F401
 from pagesearch.plans import catalog_results  # noqa: E402,F401
+from pagesearch.plans import catalog_stream  # noqa: E402,F401

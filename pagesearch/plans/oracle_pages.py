@@ -119,9 +119,14 @@ LINKS_PAGES = f"""WITH {PAGES_X}, {LINKS_CTE}
 SELECT lk.url, lk.seq, lk.title AS saved, px.x_title, px.x_excerpt, px.x_author, px.x_site
 FROM lk LEFT JOIN px ON lk.url = px.url"""
 
-DOC_BUILD = f"""WITH {LINKS_CTE}, {CAPS_CTE}, {SEED_CTE}, {BEST_CTE}, {PROFILE_CTES},
-dd AS ({DEDUPE_FIRST.format(src="(SELECT * FROM lk WHERE " + d_host("url") + " IS NOT NULL)")}),
-todo AS (SELECT * FROM dd WHERE url NOT IN (SELECT url FROM seed)),
+def doc_build_sql(order: str = "seq", with_seed: bool = True) -> str:
+    """C10 in SQL; ``order`` decides which copy of a repeated URL is kept
+    (the stream keeps the first file, then the lowest seq)."""
+    valid = "(SELECT * FROM lk WHERE " + d_host("url") + " IS NOT NULL)"
+    return f"""WITH {LINKS_CTE}, {CAPS_CTE}, {SEED_CTE}, {BEST_CTE}, {PROFILE_CTES},
+dd AS (SELECT url, arg_min(folder, {order}) AS folder, arg_min(title, {order}) AS title,
+              arg_min(seq, {order}) AS seq FROM {valid} GROUP BY url),
+todo AS (SELECT * FROM dd WHERE {"url NOT IN (SELECT url FROM seed)" if with_seed else "true"}),
 rws AS (SELECT t.url, t.folder, t.title, t.seq, b.html FROM todo t JOIN best b USING (url)),
 {extract_ctes("SELECT * FROM rws", "bx")},
 sx AS (SELECT url, coalesce(folder, '') AS folder, seq,
@@ -140,6 +145,10 @@ picked AS (SELECT sx.*, coalesce(lt, le, ltx, 'en') AS lang0 FROM sx LEFT JOIN w
 SELECT url, CASE WHEN lang0 IN ({LANGS_IN}) THEN lang0 ELSE 'en' END AS lang, title, text, excerpt,
        author, site_name, folder, seq FROM picked"""
 
+
+DOC_BUILD = doc_build_sql()
+STREAM_STORE = doc_build_sql(order="(seq % 3, seq)", with_seed=False)
+
 LANG_COLS = ", ".join(f"CASE WHEN lang = {sq(code)} THEN {f} END AS {code}_{f}"
                       for code in SUPPORTED_LANGS for f in TEXT_FIELDS)
 
@@ -219,6 +228,12 @@ ORACLE_PAGES: dict[str, str] = {
                coalesce(lang_title, lang_excerpt, lang_text, 'en') AS lang
         FROM px LEFT JOIN wide USING (page_id)""",
     "doc_build": DOC_BUILD,
+    "stream_ingest": f"""SELECT url, lang, title, text, excerpt, author, site_name, folder
+        FROM ({STREAM_STORE})""",
+    "stream_dedupe": f"WITH {LINKS_CTE} SELECT DISTINCT url FROM lk",
+    "change_ticks": f"""WITH ce AS ({fx.CHANGE_EVENTS_SQL})
+        SELECT (epoch_us(ts) // 30000000) * 30 AS window_start, (epoch_us(ts) // 30000000) * 30 + 30 AS window_end,
+               count(*) AS n_events FROM ce WHERE kind IN ('write', 'create') GROUP BY 1, 2""",
     "unseen_links": f"""WITH {LINKS_CTE}, {SEED_CTE}
         SELECT url, seq FROM lk WHERE url NOT IN (SELECT url FROM seed)""",
     "force_refresh": f"""WITH {LINKS_CTE} SELECT url, max(seq) AS seq, arg_max(folder, seq) AS folder

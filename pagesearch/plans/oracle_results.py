@@ -6,7 +6,7 @@ from pagesearch.functions import analysis as an
 from pagesearch.operators.results import FRAGMENT_SIZE, HTML_ESCAPES, NON_TOKEN
 from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, FACET_BANDS,
                                               LINK_CLAUSES, LINK_OPTS)
-from pagesearch.plans.oracle_pages import LINKS_CTE, SEED_CTE, sq
+from pagesearch.plans.oracle_pages import LINKS_CTE, SEED_CTE, STREAM_STORE, sq
 from pagesearch.plans.oracle_sql import PAT, search_ctes, tok_ctes
 
 
@@ -151,3 +151,8 @@ ORACLE_RESULTS: dict[str, str] = {
 
 for _name, _qids in [("q_must", [2, 9]), ("q_boolean", [2, 3, 9, 10, 13]), ("q_boost", [3, 13])]:
     ORACLE_RESULTS[_name] = f"WITH {search_ctes(_qids)}\nSELECT query_id, doc_id, score FROM matches"
+
+_STREAM_FIELDS = " UNION ALL ".join(
+    f"SELECT url AS doc_id, '{f}' AS field, {f} AS txt FROM ({STREAM_STORE})"
+    for f in ["title", "text", "excerpt", "folder", "url"])
+ORACLE_RESULTS["stream_index"] = f"WITH {tok_ctes(_STREAM_FIELDS)} SELECT doc_id AS url, field, term, tf FROM post"
