@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from pagesearch.operators.language import train_profiles
 from pagesearch.plans.catalog import register
-from pagesearch.schemas import LINKS
+from pyspark.sql import types as T
+
+from pagesearch.schemas import LINKS, with_field
 from pagesearch.session import shared_dir
 from pagesearch.sources import fixtures as fx
 from pagesearch.sources.tables import table
@@ -78,7 +80,7 @@ def q_single_flight(spark, sf):
 def q_stream_dedupe(spark, sf):
     src = _links_files(spark, sf, with_ts=True)
     out = shared_dir(spark, "dedupe-out")
-    stream = file_stream(spark, src, LINKS.add("ts", "timestamp"))
+    stream = file_stream(spark, src, with_field(LINKS, "ts", T.TimestampType()))
 
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")

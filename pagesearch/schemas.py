@@ -97,3 +97,8 @@ QUERY_OPTS = T.StructType([
 CLAUSE_KINDS = ["term", "prefix", "numeric_range", "date_range", "match",
                 "match_phrase", "phrase", "wildcard", "all", "ids"]
 OCCURS = ["must", "should", "must_not"]
+
+
+def with_field(schema: T.StructType, name: str, dtype: T.DataType) -> T.StructType:
+    """A copy of ``schema`` with one more field (``StructType.add`` mutates)."""
+    return T.StructType(list(schema.fields) + [T.StructField(name, dtype)])

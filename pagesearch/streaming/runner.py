@@ -32,7 +32,10 @@ def drain(writer: DataStreamWriter, checkpoint: str, timeout_s: int = 900) -> No
 
 def write_parts(parts: list[DataFrame], path: str) -> None:
     """Write each DataFrame as one file of ``path`` in order (a stream's input
-    arriving one file at a time)."""
+    arriving one file at a time).  The file source orders files by
+    modification time, so each file is stamped one second after the last."""
+    import time
+    base_ms = int(time.time() * 1000)
     for i, part in enumerate(parts):
         tmp = os.path.join(path, f"_staging_{i}")
         part.coalesce(1).write.mode("overwrite").parquet(tmp)
@@ -43,5 +46,7 @@ def write_parts(parts: list[DataFrame], path: str) -> None:
         for st in fs.listStatus(src_dir):
             name = st.getPath().getName()
             if name.endswith(".parquet"):
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(path, f"part-{i:05d}.parquet"))
+                dest = jvm.org.apache.hadoop.fs.Path(path, f"part-{i:05d}.parquet")
+                fs.rename(st.getPath(), dest)
+                fs.setTimes(dest, base_ms + 1000 * i, -1)
         fs.delete(src_dir, True)
