@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesearch.session import broadcast_if_small
+from pagesearch.session import broadcast_if_small, materialize
 
 # FIXED VALUES: highlight marks, fragment size, token boundary and HTML escapes.
 MARK_OPEN, MARK_CLOSE = "<mark>", "</mark>"
@@ -21,8 +21,9 @@ HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 
 
 def hydrate(hits: DataFrame, store: DataFrame, key: str = "doc_id") -> DataFrame:
-    """All stored fields for each hit, joined after the limit."""
-    return broadcast_if_small(hits).join(store, key)
+    """All stored fields for each hit, joined after the limit (the page
+    is written once, then broadcast after its size check)."""
+    return broadcast_if_small(materialize(hits, "page")).join(store, key)
 
 
 def html_escape(col):
@@ -46,7 +47,7 @@ def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str =
     """One fragment of ``size`` characters per hit around the first
     whole-token match of a query term, HTML-escaped, every match wrapped in
     ``<mark>``.  Hits without query terms get the start of the field."""
-    page = broadcast_if_small(hits.join(F.broadcast(qterms), "query_id", "left"))
+    page = broadcast_if_small(materialize(hits.join(F.broadcast(qterms), "query_id", "left"), "page"))
     joined = page.join(store.select(key, F.col(field).alias("_t")), key)
     alt = F.array_join("qterms", "|")
     find = F.concat(F.lit(r"(?s)^(.*?)(?:^|" + NON_TOKEN + ")(?:"), alt, F.lit(r")(?:" + NON_TOKEN + r"|\z)"))
@@ -93,7 +94,8 @@ def _num(x) -> str:
 def explain(page: DataFrame, matches: DataFrame) -> DataFrame:
     """Flat score breakdown for each returned hit: per clause and matched
     term tf, df, idf, field length, boost and the term weight."""
-    return (broadcast_if_small(page.select("query_id", "doc_id", "rank")).join(matches, ["query_id", "doc_id"])
+    page = materialize(page.select("query_id", "doc_id", "rank"), "page")
+    return (broadcast_if_small(page).join(matches, ["query_id", "doc_id"])
             .select("query_id", "rank", "doc_id", "clause_id", "occur", "term", "tf", "df",
                     F.round("idf", 6).alias("idf"), F.col("field_len").cast("bigint").alias("field_len"),
                     "boost", F.round("w", 6).alias("weight")))

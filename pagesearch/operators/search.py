@@ -19,7 +19,7 @@ from pagesearch.functions import scoring
 from pagesearch.functions.text import tokens as token_array
 from pagesearch.operators.index import Index
 from pagesearch.schemas import DEFAULT_FROM, DEFAULT_SIZE
-from pagesearch.session import BROADCAST_MAX_ROWS, fits
+from pagesearch.session import BROADCAST_MAX_ROWS, fits, materialize
 
 CKEYS = ["query_id", "clause_id", "occur"]
 TERM_KINDS = ["term", "prefix", "wildcard", "match"]
@@ -128,6 +128,7 @@ def _lookup(index: Index, qterms: DataFrame) -> DataFrame:
     the Parquet scan so only row groups holding those terms are read."""
     postings = index.postings
     if index.stored:
+        qterms = materialize(qterms, "query-terms")
         keys = qterms.select("term").distinct()
         if fits(keys, PUSHDOWN_MAX_TERMS):
             terms = [r.term for r in keys.collect()]
@@ -233,11 +234,19 @@ def with_implicit_all(clauses: DataFrame) -> DataFrame:
 
 
 def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
-    """All leaf clauses of a batch as one tagged union (F14 dispatch)."""
-    return (term_hits(clauses, index)
-            .unionByName(phrase_hits(clauses, index))
-            .unionByName(range_hits(clauses, index))
-            .unionByName(id_hits(clauses, index)))
+    """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
+    the branches for clause kinds present in the batch are planned (the
+    clause table is small; its distinct kinds are read once)."""
+    kinds = {r.kind for r in clauses.select("kind").distinct().collect()}
+    branches = [(TERM_KINDS, term_hits), (PHRASE_KINDS, phrase_hits),
+                (RANGE_KINDS, range_hits), (["ids"], id_hits)]
+    parts = [fn(clauses, index) for ks, fn in branches if kinds & set(ks)]
+    if not parts:
+        return range_hits(clauses.limit(0), index)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def query_info(clauses: DataFrame, opts: DataFrame | None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagesearch.functions.scoring import rounded
 from pagesearch.operators import index as ix
 from pagesearch.operators import search as se
-from pagesearch.plans.corpus import documents_index
+from pagesearch.plans.corpus import build_documents_index, documents_index
 from pagesearch.sources import fixtures as fx
 from pagesearch.sources.tables import table
 
@@ -45,24 +45,24 @@ def q_all_field(spark, sf):
 
 @register("build_postings")
 def q_build_postings(spark, sf):
-    p = documents_index(spark, sf).postings
+    p = build_documents_index(spark, sf).postings
     return p.select("doc_id", "field", "term", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"),
                     F.col("field_len").cast("bigint").alias("field_len"))
 
 
 @register("doc_freq")
 def q_doc_freq(spark, sf):
-    return documents_index(spark, sf).term_df
+    return build_documents_index(spark, sf).term_df
 
 
 @register("field_length")
 def q_field_length(spark, sf):
-    return documents_index(spark, sf).field_len.select("doc_id", "field", F.col("n_terms").cast("bigint").alias("n_terms"))
+    return build_documents_index(spark, sf).field_len.select("doc_id", "field", F.col("n_terms").cast("bigint").alias("n_terms"))
 
 
 @register("corpus_stats")
 def q_corpus_stats(spark, sf):
-    c = documents_index(spark, sf).corpus
+    c = build_documents_index(spark, sf).corpus
     return c.select("field", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 

@@ -68,3 +68,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     """Broadcast hint only behind a row-count check; otherwise leave the join
     to the planner (sort-merge with AQE skew splitting)."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a bounded intermediate result (expanded query terms, a top-k
+    page) once to the shared checkpoint folder and read it back: lineage is
+    cut, size checks and later joins read the small file instead of
+    recomputing the plan, and a lost executor does not lose it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
