@@ -102,8 +102,13 @@ class Index:
 def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
                 all_field: str | None = None, attrs: dict[str, Column | str] | None = None) -> Index:
     """Index ``fields`` of ``df``; ``attrs`` are typed columns kept for range
-    clauses (numeric, or timestamps as epoch seconds)."""
-    arrays = token_arrays(df, fields, key, all_field)
+    clauses (numeric, or timestamps as epoch seconds).
+
+    The documents (only the key and the indexed columns) are hash-partitioned
+    by key once; the postings aggregation on (doc_id, field, term) is then
+    satisfied by that partitioning and runs without another exchange, so the
+    exploded tokens are never shuffled."""
+    arrays = token_arrays(df.repartition(key), fields, key, all_field)
     postings = build_postings(explode_tokens(arrays))
     flen = field_length(arrays)
     return Index(postings=postings, term_df=doc_freq(postings), field_len=flen,
@@ -126,16 +131,23 @@ def doc_attrs(df: DataFrame, key: str, attrs: dict[str, Column | str]) -> DataFr
 
 def write_index(index: Index, path: str) -> None:
     """Persist: postings partitioned by field and sorted by term inside each
-    file so Parquet row-group statistics skip on term lookups."""
-    # No repartition by term: a hot term would land in one task.  Postings
-    # keep the (doc, field, term) hash spread of the build and are only sorted
-    # inside each task, which is enough for min/max skipping.
+    file, so Parquet min/max statistics skip row groups on term lookups.
+
+    The postings aggregation runs once: document frequencies are derived from
+    the written postings (one shuffle with map-side partial counts), field
+    lengths from the postings rows as well (``field_len`` travels in them).
+    No repartition by term: a hot term would land in one task; postings keep
+    the spread of the build and are only sorted inside each task."""
+    spark = index.postings.sparkSession
     (index.postings.sortWithinPartitions("field", "term")
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
-    (index.term_df.sortWithinPartitions("field", "term")
+    postings = spark.read.parquet(f"{path}/postings")
+    (doc_freq(postings).sortWithinPartitions("field", "term")
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_df"))
-    index.field_len.write.mode("overwrite").parquet(f"{path}/field_len")
-    index.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+    flen = (postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms")))
+    flen.write.mode("overwrite").parquet(f"{path}/field_len")
+    flen = spark.read.parquet(f"{path}/field_len")
+    corpus_stats(flen).write.mode("overwrite").parquet(f"{path}/corpus")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
 

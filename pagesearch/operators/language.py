@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagesearch.session import materialize
 from pagesearch.schemas import DEFAULT_LANG, LANG_MIN_CONFIDENCE, SUPPORTED_LANGS, TEXT_FIELDS
 
 # FIXED VALUES: detection tokens are runs of letters; a term missing from a
@@ -62,10 +63,14 @@ def detect_lang(texts: DataFrame, profiles: DataFrame, keys: list[str], text: st
     The best language (ties: smallest code) is accepted above ``min_conf``,
     else ``en``.  A text without any profile term gets no row (callers fall
     back).  Output: keys, ``lang``, ``confidence``, ``best``."""
-    n_langs = profiles.select("lang").distinct().count()   # bounded: one row per language
+    # profiles hold at most k terms per language: written once, then read
+    profiles = materialize(profiles.select("lang", "term", "p"), "profiles")
+    n_langs = profiles.select("lang").distinct().count()
     prof = profiles.select("lang", "term", (F.log("p") - F.lit(math.log(floor))).alias("lp"))
     vocab = profiles.select("term").distinct()
-    toks = (texts.select(*keys, F.explode(lang_tokens(F.col(text))).alias("term"))
+    # One exchange of the texts by key; the three aggregations below group on
+    # supersets of the key and reuse that partitioning (no token shuffle).
+    toks = (texts.repartition(*keys).select(*keys, F.explode(lang_tokens(F.col(text))).alias("term"))
             .join(F.broadcast(vocab), "term", "left_semi")
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     per_lang = (toks.join(F.broadcast(prof), "term")

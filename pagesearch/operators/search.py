@@ -137,19 +137,19 @@ def _lookup(index: Index, qterms: DataFrame) -> DataFrame:
     return postings.join(side, ["field", "term"])
 
 
-def term_matches(clauses: DataFrame, index: Index) -> DataFrame:
+def term_matches(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
     """Per (query, clause, slot, term, doc): tf, idf, field_len and weight (the
     factors kept for explain)."""
-    qt = with_idf(expand_terms(clauses, index), index)
-    m = _lookup(index, qt)
+    if m is None:
+        m = _lookup(index, with_idf(expand_terms(clauses, index), index))
     return m.select(*CKEYS, "field", "boost", "slot", "n_slots", "term", "doc_id",
                     "tf", "df", "idf", "field_len",
                     scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len")).alias("w"))
 
 
-def term_hits(clauses: DataFrame, index: Index) -> DataFrame:
+def term_hits(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
     """F01 term, F02 prefix, F05 match, F06 fuzzy match, F15 wildcard."""
-    m = term_matches(clauses, index)
+    m = term_matches(clauses, index, m)
     return (m.groupBy(*CKEYS, "doc_id")
             .agg(F.sum("w").alias("sw"), F.first("boost").alias("boost"),
                  F.size(F.collect_set("slot")).alias("matched"), F.first("n_slots").alias("n_slots"))
@@ -157,23 +157,27 @@ def term_hits(clauses: DataFrame, index: Index) -> DataFrame:
                     (F.col("boost") * F.col("sw") * F.col("matched") / F.col("n_slots")).alias("score")))
 
 
-def phrase_hits(clauses: DataFrame, index: Index) -> DataFrame:
-    """F07 match_phrase (analysed text) and F08 phrase (terms with null gaps).
-
-    Each posting's positions are exploded and shifted by the slot of its term;
-    a phrase starts where all non-gap slots meet: one ``groupBy`` on
-    (query, clause, doc, start), any phrase length, no self-joins."""
+def phrase_slots(clauses: DataFrame) -> DataFrame:
+    """Non-gap slots of phrase clauses: (CKEYS, field, boost, slot, n_slots, term)."""
     cl = _defaults(_kind(clauses, PHRASE_KINDS))
     slots = cl.select(*CKEYS, "field", "boost",
                       F.when(F.col("kind") == "match_phrase",
                              token_array(F.array_join("terms", " ")))
                       .otherwise(F.col("terms")).alias("qt"))
-    slots = (slots.select("*", F.posexplode("qt").alias("slot", "term"))
-             .where(F.col("term").isNotNull())
-             .withColumn("n_slots", F.count(F.lit(1)).over(Window.partitionBy("query_id", "clause_id")))
-             .drop("qt"))
-    qt = with_idf(slots, index)
-    m = _lookup(index, qt)
+    return (slots.select("*", F.posexplode("qt").alias("slot", "term"))
+            .where(F.col("term").isNotNull())
+            .withColumn("n_slots", F.count(F.lit(1)).over(Window.partitionBy("query_id", "clause_id")))
+            .drop("qt"))
+
+
+def phrase_hits(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
+    """F07 match_phrase (analysed text) and F08 phrase (terms with null gaps).
+
+    Each posting's positions are exploded and shifted by the slot of its term;
+    a phrase starts where all non-gap slots meet: one ``groupBy`` on
+    (query, clause, doc, start), any phrase length, no self-joins."""
+    if m is None:
+        m = _lookup(index, with_idf(phrase_slots(clauses), index))
     occ = (m.select(*CKEYS, "doc_id", "boost", "n_slots", "field_len", "slot", "idf",
                     F.explode("positions").alias("pos"))
            .groupBy(*CKEYS, "doc_id", (F.col("pos") - F.col("slot")).alias("start"))
@@ -238,9 +242,25 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     the branches for clause kinds present in the batch are planned (the
     clause table is small; its distinct kinds are read once)."""
     kinds = {r.kind for r in clauses.select("kind").distinct().collect()}
-    branches = [(TERM_KINDS, term_hits), (PHRASE_KINDS, phrase_hits),
-                (RANGE_KINDS, range_hits), (["ids"], id_hits)]
-    parts = [fn(clauses, index) for ks, fn in branches if kinds & set(ks)]
+    parts = []
+    has_terms, has_phrases = bool(kinds & set(TERM_KINDS)), bool(kinds & set(PHRASE_KINDS))
+    if has_terms or has_phrases:
+        # one expansion table, one lookup of the postings for both families
+        qt = None
+        if has_terms:
+            qt = expand_terms(clauses, index).withColumn("_ph", F.lit(False))
+        if has_phrases:
+            ps = phrase_slots(clauses).withColumn("_ph", F.lit(True))
+            qt = ps if qt is None else qt.unionByName(ps)
+        m = _lookup(index, with_idf(qt, index))
+        if has_terms:
+            parts.append(term_hits(clauses, index, m.where(~F.col("_ph"))))
+        if has_phrases:
+            parts.append(phrase_hits(clauses, index, m.where(F.col("_ph"))))
+    if kinds & set(RANGE_KINDS):
+        parts.append(range_hits(clauses, index))
+    if "ids" in kinds:
+        parts.append(id_hits(clauses, index))
     if not parts:
         return range_hits(clauses.limit(0), index)
     out = parts[0]
