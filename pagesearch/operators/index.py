@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions.text import tokens as token_array
+from pagesearch.session import by_key
 
 
 def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
@@ -108,7 +109,7 @@ def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_
     by key once; the postings aggregation on (doc_id, field, term) is then
     satisfied by that partitioning and runs without another exchange, so the
     exploded tokens are never shuffled."""
-    arrays = token_arrays(df.repartition(key), fields, key, all_field)
+    arrays = token_arrays(by_key(df, key), fields, key, all_field)
     postings = build_postings(explode_tokens(arrays))
     flen = field_length(arrays)
     return Index(postings=postings, term_df=doc_freq(postings), field_len=flen,

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesearch.session import materialize
+from pagesearch.session import by_key, materialize
 from pagesearch.schemas import DEFAULT_LANG, LANG_MIN_CONFIDENCE, SUPPORTED_LANGS, TEXT_FIELDS
 
 # FIXED VALUES: detection tokens are runs of letters; a term missing from a
@@ -70,7 +70,7 @@ def detect_lang(texts: DataFrame, profiles: DataFrame, keys: list[str], text: st
     vocab = profiles.select("term").distinct()
     # One exchange of the texts by key; the three aggregations below group on
     # supersets of the key and reuse that partitioning (no token shuffle).
-    toks = (texts.repartition(*keys).select(*keys, F.explode(lang_tokens(F.col(text))).alias("term"))
+    toks = (by_key(texts, *keys).select(*keys, F.explode(lang_tokens(F.col(text))).alias("term"))
             .join(F.broadcast(vocab), "term", "left_semi")
             .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
     per_lang = (toks.join(F.broadcast(prof), "term")

@@ -70,10 +70,19 @@ def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column) -> DataFra
             .where(F.startswith("term", "_p")))
 
 
-def expand_terms(clauses: DataFrame, index: Index) -> DataFrame:
+def batch_kinds(clauses: DataFrame) -> set[str]:
+    """Clause kinds present in a batch (``match~`` for fuzzy match).  The
+    clause table is a small query batch; read without a shuffle."""
+    rows = clauses.select("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz")).collect()
+    return {r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}
+
+
+def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None) -> DataFrame:
     """(query_id, clause_id, occur, field, boost, slot, n_slots, term) for term,
     prefix, wildcard and match clauses.  ``slot`` numbers the query terms of a
-    match clause (for its coord)."""
+    match clause (for its coord).  Only the expansion joins for the kinds in
+    ``kinds`` are planned (all when not given)."""
+    kinds = kinds if kinds is not None else {"term", "match", "match~", "prefix", "wildcard"}
     cl = _defaults(_kind(clauses, TERM_KINDS))
     base = CKEYS + ["field", "boost"]
 
@@ -110,7 +119,12 @@ def expand_terms(clauses: DataFrame, index: Index) -> DataFrame:
             .where(F.expr("term like _like"))
             .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
 
-    return exact.unionByName(match_exact).unionByName(fuzzy).unionByName(prefix).unionByName(wild)
+    parts = [(exact, "term"), (match_exact, "match"), (fuzzy, "match~"), (prefix, "prefix"), (wild, "wildcard")]
+    chosen = [df for df, k in parts if k in kinds] or [exact]
+    out = chosen[0]
+    for df in chosen[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def with_idf(qterms: DataFrame, index: Index) -> DataFrame:
@@ -129,10 +143,9 @@ def _lookup(index: Index, qterms: DataFrame) -> DataFrame:
     postings = index.postings
     if index.stored:
         qterms = materialize(qterms, "query-terms")
-        keys = qterms.select("term").distinct()
-        if fits(keys, PUSHDOWN_MAX_TERMS):
-            terms = [r.term for r in keys.collect()]
-            postings = postings.where(F.col("term").isin(terms))
+        keys = qterms.select("term").distinct().limit(PUSHDOWN_MAX_TERMS + 1).collect()
+        if len(keys) <= PUSHDOWN_MAX_TERMS:
+            postings = postings.where(F.col("term").isin([r.term for r in keys]))
     side = F.broadcast(qterms) if fits(qterms, BROADCAST_MAX_ROWS) else qterms
     return postings.join(side, ["field", "term"])
 
@@ -241,14 +254,15 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
     the branches for clause kinds present in the batch are planned (the
     clause table is small; its distinct kinds are read once)."""
-    kinds = {r.kind for r in clauses.select("kind").distinct().collect()}
+    fine = batch_kinds(clauses)
+    kinds = {k.rstrip("~") for k in fine}
     parts = []
     has_terms, has_phrases = bool(kinds & set(TERM_KINDS)), bool(kinds & set(PHRASE_KINDS))
     if has_terms or has_phrases:
         # one expansion table, one lookup of the postings for both families
         qt = None
         if has_terms:
-            qt = expand_terms(clauses, index).withColumn("_ph", F.lit(False))
+            qt = expand_terms(clauses, index, fine).withColumn("_ph", F.lit(False))
         if has_phrases:
             ps = phrase_slots(clauses).withColumn("_ph", F.lit(True))
             qt = ps if qt is None else qt.unionByName(ps)
@@ -320,9 +334,9 @@ def total_hits(matches: DataFrame) -> DataFrame:
 def _max_window(opts: DataFrame | None, size: int, from_: int) -> int:
     if opts is None:
         return from_ + size
-    row = opts.select(F.max(F.coalesce(F.col("from"), F.lit(from_)) +
-                            F.coalesce(F.col("size"), F.lit(size))).alias("m")).collect()[0]
-    return int(row.m) if row.m is not None else from_ + size
+    ends = [r.m for r in opts.select((F.coalesce(F.col("from"), F.lit(from_)) +
+                                      F.coalesce(F.col("size"), F.lit(size))).alias("m")).collect()]
+    return max([int(e) for e in ends if e is not None], default=from_ + size)
 
 
 def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_SIZE,

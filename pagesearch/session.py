@@ -59,6 +59,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+# Source bytes (compressed Parquet) per task for exchanges whose output
+# expands a lot (documents -> tokens); override with conf pagesearch.bytesPerTask.
+BYTES_PER_TASK = 64 * 1024 * 1024
+
+
+def expand_partitions(df: DataFrame) -> int:
+    """Partition count for an exchange feeding an expanding stage: from the
+    size of the input files (driver-side listing, no data read), at least
+    twice the default parallelism.  AQE would coalesce such an exchange by
+    its *input* bytes and leave a few tasks with all the expanded work."""
+    spark = df.sparkSession
+    target = int(spark.conf.get("pagesearch.bytesPerTask", str(BYTES_PER_TASK)))
+    total = 0
+    try:
+        jvm = spark._jvm
+        conf = spark._jsc.hadoopConfiguration()
+        for f in df.inputFiles():
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    except Exception:  # noqa: BLE001 - sources without files (in-memory rows)
+        total = 0
+    return max(2 * spark.sparkContext.defaultParallelism, -(-total // target))
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` by ``keys`` into ``expand_partitions`` parts."""
+    return df.repartition(expand_partitions(df), *keys)
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
     """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
     return df.limit(max_rows + 1).count() <= max_rows
