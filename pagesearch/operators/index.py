@@ -26,6 +26,8 @@ def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc
     after the other in the given order, so its positions are offset by the
     lengths of the fields before; it is built inside the same row, no shuffle.
     """
+    if not fields:
+        raise ValueError("an index needs at least one text field")
     arrays = [(name, token_array(col)) for name, col in fields.items()]
     if all_field:
         arrays.append((all_field, F.flatten(F.array(*[a for _, a in arrays]))))

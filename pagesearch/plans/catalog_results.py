@@ -42,6 +42,31 @@ for _name, _qids in [("q_must", [2, 9]), ("q_boolean", [2, 3, 9, 10, 13]), ("q_b
     CATALOG[_name] = (lambda qids: (lambda spark, sf: _scores_of(spark, sf, qids)))(_qids)
 
 
+# ------------------------------------------------------------ F04: date ranges
+# Bounds are epoch seconds: 2024-01-01 06:00 to 2024-01-02 00:00 (events), and
+# 1995-01-01 to 1996-01-01 inclusive at both ends (orders).
+EVENT_RANGE = (1704088800.0, 1704153600.0)
+ORDER_RANGE = (788918400.0, 820454400.0)
+
+
+def _date_range(spark, sf, name, key, text_col, col, lo, hi, incl_max):
+    df = table(spark, sf, name)
+    index = build_index(df, {text_col: text_col}, key=key, attrs={col: col})
+    cl = fx.clauses(spark, [(1, 1, "must", "date_range", col, None, lo, hi, True, incl_max, None, None, 1.0)])
+    m = se.search_scores(index, cl)
+    return m.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
+
+
+@register("q_date_range")
+def q_date_range(spark, sf):
+    return _date_range(spark, sf, "events", "event_id", "event_type", "ts", *EVENT_RANGE, False)
+
+
+@register("q_date_range_orders")
+def q_date_range_orders(spark, sf):
+    return _date_range(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_orderdate", *ORDER_RANGE, True)
+
+
 # ------------------------------------------------------------ D, M: analysis
 
 def _doc_tokens(spark, sf):

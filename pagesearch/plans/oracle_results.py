@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pagesearch.functions import analysis as an
 from pagesearch.operators.results import FRAGMENT_SIZE, HTML_ESCAPES, NON_TOKEN
-from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, FACET_BANDS,
-                                              LINK_CLAUSES, LINK_OPTS)
+from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, EVENT_RANGE,
+                                              FACET_BANDS, LINK_CLAUSES, LINK_OPTS, ORDER_RANGE)
 from pagesearch.plans.oracle_pages import LINKS_CTE, SEED_CTE, STREAM_STORE, sq
 from pagesearch.plans.oracle_sql import PAT, search_ctes, tok_ctes
 
@@ -156,3 +156,8 @@ _STREAM_FIELDS = " UNION ALL ".join(
     f"SELECT url AS doc_id, '{f}' AS field, {f} AS txt FROM ({STREAM_STORE})"
     for f in ["title", "text", "excerpt", "folder", "url"])
 ORACLE_RESULTS["stream_index"] = f"WITH {tok_ctes(_STREAM_FIELDS)} SELECT doc_id AS url, field, term, tf FROM post"
+
+ORACLE_RESULTS["q_date_range"] = f"""SELECT 1 AS query_id, event_id AS doc_id, CAST(1.0 AS DOUBLE) AS score FROM events
+    WHERE epoch_us(ts) / 1e6 >= {EVENT_RANGE[0]} AND epoch_us(ts) / 1e6 < {EVENT_RANGE[1]}"""
+ORACLE_RESULTS["q_date_range_orders"] = f"""SELECT 1 AS query_id, o_orderkey AS doc_id, CAST(1.0 AS DOUBLE) AS score FROM orders
+    WHERE epoch_us(o_orderdate) / 1e6 >= {ORDER_RANGE[0]} AND epoch_us(o_orderdate) / 1e6 <= {ORDER_RANGE[1]}"""
