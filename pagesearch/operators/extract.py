@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagesearch.functions import text as tx
 from pagesearch.schemas import MAX_ATTEMPTS, RETRY_STATUSES
-from pagesearch.session import broadcast_if_small
+from pagesearch.session import broadcast_if_small, by_key
 
 
 def extract_title(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -56,13 +56,18 @@ def extract_all(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
 
 def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """Blocks of each page: code and comments removed, body split on block
-    tags, each block as squeezed text; empty blocks dropped.  No shuffle."""
+    tags, each block as squeezed text; empty blocks dropped.  No shuffle.
+    The cleaned body is computed in a projection first (so the chain of
+    regexes runs once per page), then split and exploded."""
     clean = tx.strip_code(F.coalesce(F.col(html), F.lit("")))
-    body = F.regexp_extract(clean, tx.BODY_RE, 1)
-    body = F.when(body != "", body).otherwise(clean)
-    return (pages.select(F.col(key).alias("page_id"),
-                         F.coalesce(tx.host_of(F.col(url)), F.lit("")).alias("host"),
-                         F.posexplode(F.split(body, tx.BLOCK_SPLIT_RE)).alias("pos", "block"))
+    cleaned = pages.select(F.col(key).alias("page_id"),
+                           F.coalesce(tx.host_of(F.col(url)), F.lit("")).alias("host"),
+                           clean.alias("_clean"))
+    body = F.regexp_extract("_clean", tx.BODY_RE, 1)
+    with_body = cleaned.select("page_id", "host",
+                               F.when(body != "", body).otherwise(F.col("_clean")).alias("_body"))
+    return (with_body.select("page_id", "host",
+                             F.posexplode(F.split("_body", tx.BLOCK_SPLIT_RE)).alias("pos", "block"))
             .select("page_id", "host", "pos", tx.html_to_text(F.col("block")).alias("btext"))
             .where(F.col("btext") != ""))
 
@@ -75,7 +80,10 @@ def strip_boilerplate(pages: DataFrame, min_pages: int = 2, key: str = "page_id"
     counts, so a footer on every page of a huge host is one row per map task
     before the shuffle; the repeated set is broadcast only when checked small,
     otherwise joined with AQE skew splitting."""
-    blocks = page_blocks(pages, key).withColumn("h", F.md5("btext"))
+    # Pages are hash-partitioned by key once (raw html, sized from the input
+    # files); the per-page reassembly below reuses that partitioning, so the
+    # exploded blocks are shuffled only for the (host, block) count.
+    blocks = page_blocks(by_key(pages, key), key).withColumn("h", F.md5("btext"))
     repeated = (blocks.select("host", "h", "page_id").distinct()
                 .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_pages"))
                 .where(F.col("n_pages") >= min_pages)
