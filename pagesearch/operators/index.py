@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions.text import tokens as token_array
-from pagesearch.session import by_key
+from pagesearch.session import expand_partitions
 
 
 def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
@@ -100,6 +100,7 @@ class Index:
     corpus: DataFrame
     docs: DataFrame          # (doc_id, field, value) typed attributes, long form
     stored: bool = False     # read back from Parquet: term filters can be pushed
+    buckets: int = 0         # postings hash-partitioned by doc_id into this many parts
 
 
 def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
@@ -111,11 +112,12 @@ def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_
     by key once; the postings aggregation on (doc_id, field, term) is then
     satisfied by that partitioning and runs without another exchange, so the
     exploded tokens are never shuffled."""
-    arrays = token_arrays(by_key(df, key), fields, key, all_field)
+    n = expand_partitions(df)
+    arrays = token_arrays(df.repartition(n, key), fields, key, all_field)
     postings = build_postings(explode_tokens(arrays))
     flen = field_length(arrays)
     return Index(postings=postings, term_df=doc_freq(postings), field_len=flen,
-                 corpus=corpus_stats(flen), docs=doc_attrs(df, key, attrs or {}))
+                 corpus=corpus_stats(flen), docs=doc_attrs(df, key, attrs or {}), buckets=n)
 
 
 def doc_attrs(df: DataFrame, key: str, attrs: dict[str, Column | str]) -> DataFrame:
@@ -132,18 +134,35 @@ def doc_attrs(df: DataFrame, key: str, attrs: dict[str, Column | str]) -> DataFr
     return df.select(F.col(key).alias("doc_id"), F.inline(F.array(*pairs)))
 
 
+def _table_name(path: str) -> str:
+    import hashlib
+    return "postings_" + hashlib.md5(path.encode()).hexdigest()[:16]
+
+
 def write_index(index: Index, path: str) -> None:
-    """Persist: postings partitioned by field and sorted by term inside each
-    file, so Parquet min/max statistics skip row groups on term lookups.
+    """Persist the index under ``path``.
+
+    Postings are written as a table bucketed by ``doc_id`` into the same
+    number of parts the build partitioned the documents into (Spark buckets
+    with the same hash as that repartition, so every task writes one file),
+    partitioned by ``field`` and sorted by ``term`` inside each bucket.  A
+    search then looks terms up with a broadcast join that keeps the bucket
+    partitioning, so per-document scoring (term sums, phrase positions) runs
+    without a shuffle, and the sorted term column lets Parquet skip row
+    groups.  Postings are never repartitioned by term (a hot term would be
+    one task).
 
     The postings aggregation runs once: document frequencies are derived from
     the written postings (one shuffle with map-side partial counts), field
-    lengths from the postings rows as well (``field_len`` travels in them).
-    No repartition by term: a hot term would land in one task; postings keep
-    the spread of the build and are only sorted inside each task."""
+    lengths as well (``field_len`` travels in every posting)."""
     spark = index.postings.sparkSession
-    (index.postings.sortWithinPartitions("field", "term")
-     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings"))
+    buckets = index.buckets or expand_partitions(index.postings)
+    name = _table_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    (index.postings.write.format("parquet").partitionBy("field")
+     .bucketBy(buckets, "doc_id").sortBy("term")
+     .option("path", f"{path}/postings").saveAsTable(name))
+    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_meta")
     postings = spark.read.parquet(f"{path}/postings")
     (doc_freq(postings).sortWithinPartitions("field", "term")
      .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_df"))
@@ -155,10 +174,21 @@ def write_index(index: Index, path: str) -> None:
 
 
 def read_index(spark, path: str) -> Index:
+    """Open a stored index; the bucketed postings table is registered over
+    its files when this session does not know it yet."""
     r = spark.read
-    return Index(postings=r.parquet(f"{path}/postings"), term_df=r.parquet(f"{path}/term_df"),
+    name = _table_name(path)
+    buckets = r.json(f"{path}/_meta").first().buckets
+    if not spark.catalog.tableExists(name):
+        schema = r.parquet(f"{path}/postings").schema
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY (field) "
+                  f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS "
+                  f"LOCATION '{path}/postings'")
+        spark.catalog.recoverPartitions(name)
+    return Index(postings=spark.table(name), term_df=r.parquet(f"{path}/term_df"),
                  field_len=r.parquet(f"{path}/field_len"), corpus=r.parquet(f"{path}/corpus"),
-                 docs=r.parquet(f"{path}/docs"), stored=True)
+                 docs=r.parquet(f"{path}/docs"), stored=True, buckets=buckets)
 
 
 def index_summary(store: DataFrame) -> DataFrame:

@@ -190,3 +190,23 @@ def test_all_field_offsets(spark):
     arr = ix.token_arrays(df, {"t1": "t1", "t2": "t2"}, all_field="_all")
     got = rows(ix.explode_tokens(arr).where(F.col("field") == "_all"), "pos", "term")
     assert got == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_stored_index_scoring_without_shuffle(spark, index, tmp_path):
+    """On the stored, doc-bucketed index, the term list reaches the Parquet
+    scan and per-document scoring runs without any exchange."""
+    path = str(tmp_path / "idx")
+    ix.write_index(index, path)
+    stored = ix.read_index(spark, path)
+    cl = fx.clauses(spark, [clause(1, 1, "should", "match_phrase", ["the end"]),
+                            clause(1, 2, "should", "term", ["cat"])])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _plan(se.clause_hits(cl, stored))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Bucketed: true" in plan or "bucketed" in plan.lower()
+    assert "PushedFilters: [In(term" in plan or "In(term" in plan
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+    got = {r.doc_id for r in se.search_scores(stored, cl).collect()}
+    assert got == {1, 5}
