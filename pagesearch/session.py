@@ -50,8 +50,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.  Only a local
+    session (tests, bench) without that setting gets a folder of its own; on a
+    cluster a machine-local folder would be lost with its executor, so the
+    setting is required there."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="pagesearch-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
