@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions.text import tokens as token_array
-from pagesearch.session import expand_partitions
+from pagesearch.session import broadcast_if_small, expand_partitions
 
 
 def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
@@ -83,12 +83,13 @@ def list_fields(postings: DataFrame) -> DataFrame:
 def doc_postings(postings: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """All index rows of the given documents (semi join on a small id
     list; a single id is a pushed filter)."""
-    return postings.join(F.broadcast(doc_ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    return postings.join(broadcast_if_small(doc_ids.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
 def replace_docs(postings: DataFrame, new_postings: DataFrame) -> DataFrame:
-    """Re-indexing a document replaces all its rows."""
-    keep = postings.join(new_postings.select("doc_id").distinct(), "doc_id", "left_anti")
+    """Re-indexing a document replaces all its rows (the re-indexed ids
+    are broadcast when checked small, else a sort-merge anti join)."""
+    keep = postings.join(broadcast_if_small(new_postings.select("doc_id").distinct()), "doc_id", "left_anti")
     return keep.unionByName(new_postings)
 
 

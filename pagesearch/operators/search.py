@@ -29,6 +29,17 @@ RANGE_KINDS = ["numeric_range", "date_range", "all"]
 # Largest pushed term list for a stored index; beyond it the lookup is a join.
 PUSHDOWN_MAX_TERMS = 5_000
 
+# A clause batch is the query side of every join here: it and the tables
+# derived from it row by row (ranges, ids, per-query counts, paging options)
+# are broadcast, so its size is checked once per search.  Larger workloads
+# run as several batches.
+MAX_BATCH_CLAUSES = 100_000
+
+
+def check_batch(clauses: DataFrame) -> None:
+    if not fits(clauses, MAX_BATCH_CLAUSES):
+        raise ValueError(f"a clause batch holds at most {MAX_BATCH_CLAUSES} rows; split it by query_id")
+
 
 def _kind(clauses: DataFrame, kinds: list[str]) -> DataFrame:
     return clauses.where(F.col("kind").isin(kinds))
@@ -254,6 +265,7 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
     the branches for clause kinds present in the batch are planned (the
     clause table is small; its distinct kinds are read once)."""
+    check_batch(clauses)
     fine = batch_kinds(clauses)
     kinds = {k.rstrip("~") for k in fine}
     parts = []
