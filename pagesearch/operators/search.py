@@ -41,6 +41,16 @@ def check_batch(clauses: DataFrame) -> None:
         raise ValueError(f"a clause batch holds at most {MAX_BATCH_CLAUSES} rows; split it by query_id")
 
 
+def batch_kinds(clauses: DataFrame) -> set[str]:
+    """Clause kinds present in a batch (``match~`` for fuzzy match), read in
+    the same pass that checks the batch size (no shuffle)."""
+    rows = (clauses.select("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz"))
+            .limit(MAX_BATCH_CLAUSES + 1).collect())
+    if len(rows) > MAX_BATCH_CLAUSES:
+        raise ValueError(f"a clause batch holds at most {MAX_BATCH_CLAUSES} rows; split it by query_id")
+    return {r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}
+
+
 def _kind(clauses: DataFrame, kinds: list[str]) -> DataFrame:
     return clauses.where(F.col("kind").isin(kinds))
 
@@ -81,13 +91,6 @@ def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column) -> DataFra
             .where(F.startswith("term", "_p")))
 
 
-def batch_kinds(clauses: DataFrame) -> set[str]:
-    """Clause kinds present in a batch (``match~`` for fuzzy match).  The
-    clause table is a small query batch; read without a shuffle."""
-    rows = clauses.select("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz")).collect()
-    return {r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}
-
-
 def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None) -> DataFrame:
     """(query_id, clause_id, occur, field, boost, slot, n_slots, term) for term,
     prefix, wildcard and match clauses.  ``slot`` numbers the query terms of a
@@ -265,7 +268,6 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
     """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
     the branches for clause kinds present in the batch are planned (the
     clause table is small; its distinct kinds are read once)."""
-    check_batch(clauses)
     fine = batch_kinds(clauses)
     kinds = {k.rstrip("~") for k in fine}
     parts = []
@@ -391,5 +393,7 @@ def top_hits(matches: DataFrame, size: int = DEFAULT_SIZE, from_: int = 0) -> Da
 
 def search(index: Index, clauses: DataFrame, opts: DataFrame | None = None,
            size: int = DEFAULT_SIZE, from_: int = DEFAULT_FROM) -> DataFrame:
-    """F14 + H05: ranked page of every query in the batch."""
-    return topk(search_scores(index, clauses, opts), opts, size, from_)
+    """F14 + H05: ranked page of every query in the batch.  The matches are
+    written once (top-k and the hit counts both read them; with the bucketed
+    index there is no exchange they could share)."""
+    return topk(materialize(search_scores(index, clauses, opts), "matches"), opts, size, from_)
