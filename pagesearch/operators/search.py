@@ -76,18 +76,23 @@ def _literal_prefix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^([^*?]*)", 1)
 
 
+def _keyed_vocab(vocab: DataFrame) -> DataFrame:
+    """Each vocabulary term three times, keyed by its first 0, 1 and 2
+    characters, so a clause joins on the longest key its prefix allows."""
+    return vocab.select("field", "term", "len",
+                        F.inline(F.array(
+                            F.struct(F.lit(0).alias("_klen"), F.lit("").alias("_key")),
+                            F.struct(F.lit(1).alias("_klen"), F.col("k1").alias("_key")),
+                            F.struct(F.lit(2).alias("_klen"), F.col("k2").alias("_key")))))
+
+
 def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column) -> DataFrame:
     """Equi join on (field, first one or two characters) then verify; a prefix
     shorter than that matches on field alone."""
     c = cl.withColumn("_p", prefix)
     c = (c.withColumn("_klen", F.least(F.length("_p"), F.lit(2)))
          .withColumn("_key", F.left("_p", F.col("_klen"))))
-    v = vocab.select("field", "term", "len",
-                     F.inline(F.array(
-                         F.struct(F.lit(0).alias("_klen"), F.lit("").alias("_key")),
-                         F.struct(F.lit(1).alias("_klen"), F.col("k1").alias("_key")),
-                         F.struct(F.lit(2).alias("_klen"), F.col("k2").alias("_key")))))
-    return (v.join(F.broadcast(c), ["field", "_klen", "_key"])
+    return (_keyed_vocab(vocab).join(F.broadcast(c), ["field", "_klen", "_key"])
             .where(F.startswith("term", "_p")))
 
 
@@ -115,10 +120,14 @@ def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None
 
     vocab = _vocab(index)
     # F06 fuzzy: same first prefix_length characters, edit distance <= k.
+    # Candidates share the field, a length within k, and the first
+    # min(prefix_length, 2) characters (all equi keys); then verified exactly.
     fz = analysed.where(F.col("fuzziness") > 0)
-    fz = fz.select("*", F.explode(F.sequence(F.length("qterm") - F.col("fuzziness"),
-                                             F.length("qterm") + F.col("fuzziness"))).alias("len"))
-    fuzzy = (vocab.join(F.broadcast(fz), ["field", "len"])
+    fz = (fz.select("*", F.explode(F.sequence(F.length("qterm") - F.col("fuzziness"),
+                                              F.length("qterm") + F.col("fuzziness"))).alias("len"))
+          .withColumn("_klen", F.least(F.col("prefix_length"), F.lit(2)))
+          .withColumn("_key", F.left("qterm", F.col("_klen"))))
+    fuzzy = (_keyed_vocab(vocab).join(F.broadcast(fz), ["field", "len", "_klen", "_key"])
              .where((F.left("term", F.col("prefix_length")) == F.left("qterm", F.col("prefix_length")))
                     & (F.levenshtein("term", "qterm") <= F.col("fuzziness")))
              .select(*base, "slot", "n_slots", "term"))

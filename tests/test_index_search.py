@@ -210,3 +210,16 @@ def test_stored_index_scoring_without_shuffle(spark, index, tmp_path):
     assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
     got = {r.doc_id for r in se.search_scores(stored, cl).collect()}
     assert got == {1, 5}
+
+
+def test_fuzziness_grows_monotone(spark, index):
+    got = []
+    for k in (0, 1, 2):
+        for p in (0, 1):
+            q = fx.clauses(spark, [clause(1, 1, "should", "match", ["bark"], fuzziness=k, prefix_length=p)])
+            got.append(((k, p), {r.term for r in se.expand_terms(q, index).collect()}))
+    d = dict(got)
+    assert d[(0, 0)] == {"bark"} or d[(0, 0)] == set() or d[(0, 0)] <= {"bark"}
+    assert d[(1, 0)] >= d[(0, 0)] and d[(2, 0)] >= d[(1, 0)]
+    assert "barks" in d[(1, 0)] and "barks" in d[(1, 1)]
+    assert all(t.startswith("b") for t in d[(2, 1)])
