@@ -104,12 +104,17 @@ def build_store(spark: SparkSession, links: DataFrame, captures: DataFrame, prof
     """The whole ingest row as one job: valid links, de-duplicated
     (first, or last when forced), not yet stored (unless forced), with their
     best capture, extracted, titled, language-detected and routed.  Returns
-    new store rows (``STORE_COLUMNS``) carrying ``seq`` for the upsert."""
+    new store rows (``STORE_COLUMNS``) carrying ``seq`` for the upsert.
+    ``store`` only needs a ``url`` column (the stored keys)."""
     valid = ex.with_host(links).where(F.col("valid")).drop("host", "valid")
     todo = dedupe(valid, keep="last" if force else "first")
     if store is not None:
         todo = unseen(todo, store, force)
-    rows = attach_capture(todo, best_capture(captures))
+    # captures cut to this run's URLs first: a small run scans captures once
+    # with a broadcast semi join; a full run joins on url, and the capture
+    # choice and the attach then reuse that partitioning
+    caps = captures.join(broadcast_if_small(todo.select("url")), "url", "left_semi")
+    rows = attach_capture(todo, best_capture(caps))
     x = ex.extract_all(rows).drop("html")
     x = ex.coalesce_title(x, extracted="x_title", saved="title")
     x = x.select("url", "folder", "seq", F.col("title"), F.col("content").alias("html"),
