@@ -73,7 +73,8 @@ def q_stream_index(spark, sf):
 @register("single_flight")
 def q_single_flight(spark, sf):
     root = _ingest(spark, sf)
-    return spark.read.parquet(os.path.join(root, "log"))
+    log = spark.read.parquet(os.path.join(root, "log"))
+    return log.select(F.col("batch").cast("bigint").alias("batch"), "n_links", "n_new_docs")
 
 
 @register("stream_dedupe")

@@ -231,6 +231,10 @@ ORACLE_PAGES: dict[str, str] = {
     "stream_ingest": f"""SELECT url, lang, title, text, excerpt, author, site_name, folder
         FROM ({STREAM_STORE})""",
     "stream_dedupe": f"WITH {LINKS_CTE} SELECT DISTINCT url FROM lk",
+    "single_flight": f"""WITH {LINKS_CTE}, s AS ({STREAM_STORE}),
+        l AS (SELECT seq % 3 AS batch, count(*) AS n_links FROM lk GROUP BY 1),
+        n AS (SELECT seq % 3 AS batch, count(*) AS n_new FROM s GROUP BY 1)
+        SELECT l.batch, l.n_links, coalesce(n.n_new, 0) AS n_new_docs FROM l LEFT JOIN n USING (batch)""",
     "change_ticks": f"""WITH ce AS ({fx.CHANGE_EVENTS_SQL})
         SELECT (epoch_us(ts) // 30000000) * 30 AS window_start, (epoch_us(ts) // 30000000) * 30 + 30 AS window_end,
                count(*) AS n_events FROM ce WHERE kind IN ('write', 'create') GROUP BY 1, 2""",

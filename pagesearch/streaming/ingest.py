@@ -30,7 +30,7 @@ def read_log(spark: SparkSession, root: str, key: str) -> DataFrame | None:
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jpath) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(jpath)):
         return None
-    df = spark.read.parquet(root)
+    df = spark.read.parquet(root).withColumn("batch", F.col("batch").cast("bigint"))
     latest = df.groupBy(key).agg(F.max("batch").alias("batch"))
     return df.join(latest, [key, "batch"], "left_semi")
 
@@ -66,14 +66,12 @@ def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str
     documents; a log row (L04) records what the batch did."""
     stored = stored_urls(spark, root, seed)
     new = ing.build_store(spark, links, captures, profiles, store=stored, force=force)
-    new = new.withColumn("batch", F.lit(batch_id).cast("bigint"))
+    # the batch id is the partition folder name (batch=N), not a data column
     new.write.mode("overwrite").parquet(os.path.join(root, "store", f"batch={batch_id}"))
     written = spark.read.parquet(os.path.join(root, "store", f"batch={batch_id}"))
     index = build_index(written, {f: f for f in INDEX_FIELDS}, key="url")
-    (index.postings.withColumn("batch", F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}")))
-    log = spark.createDataFrame(
-        [(batch_id, links.count(), written.count())], "batch bigint, n_links bigint, n_new_docs bigint")
+    index.postings.write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
+    log = spark.createDataFrame([(links.count(), written.count())], "n_links bigint, n_new_docs bigint")
     log.write.mode("overwrite").parquet(os.path.join(root, "log", f"batch={batch_id}"))
 
 
