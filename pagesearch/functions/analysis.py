@@ -3,8 +3,8 @@
 FIXED VALUES below are our own short lists (the contract of D02/D03): the
 stop words and the suffix rules.  A suffix rule ``(suffix, replacement,
 excluded endings)`` applies when the term ends with ``suffix``, does not end
-with any excluded ending and keeps a stem of at least ``MIN_STEM``
-characters; of the rules that apply the longest suffix wins.  The English
+with any excluded ending and the result (stem plus replacement) keeps at
+least ``MIN_STEM`` characters; of the rules that apply the longest suffix wins.  The English
 rules are the plural s-stemmer of Harman (1991).
 """
 

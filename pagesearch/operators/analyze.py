@@ -57,7 +57,7 @@ def stem_vocab(vocab: DataFrame, rules: DataFrame, min_stem: int = an.MIN_STEM)
     cand = (vocab.join(F.broadcast(rules), "lang")
             .where(F.endswith("term", "suffix")
                    & ~F.exists("excl", lambda e: F.endswith(F.col("term"), e))
-                   & (F.length("term") - F.length("suffix") >= F.lit(min_stem)))
+                   & (F.length("term") - F.length("suffix") + F.length("repl") >= F.lit(min_stem)))
             .groupBy("lang", "term")
             .agg(F.max_by(F.struct("suffix", "repl"), F.length("suffix")).alias("r"))
             .select("lang", "term",

@@ -33,7 +33,7 @@ def stem_ctes(vocab: str, rules=None, name: str = "stems") -> str:
        FROM ({vocab}) v JOIN {rule_values(rules)} ON v.lang = rl.lang
        WHERE ends_with(v.term, rl.suffix)
          AND len(list_filter(rl.excl, lambda e: ends_with(v.term, e))) = 0
-         AND length(v.term) - length(rl.suffix) >= {an.MIN_STEM}
+         AND length(v.term) - length(rl.suffix) + length(rl.repl) >= {an.MIN_STEM}
        GROUP BY v.lang, v.term),
 {name} AS (SELECT v.lang, v.term,
        coalesce(left(v.term, length(v.term) - length(c.suffix)) || c.repl, v.term) AS stem
