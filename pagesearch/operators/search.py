@@ -313,7 +313,7 @@ def query_info(clauses: DataFrame, opts: DataFrame | None) -> DataFrame:
         F.sum(F.when(F.col("occur") == "must", 1).otherwise(0)).alias("n_must"),
         F.sum(F.when(F.col("occur") == "should", 1).otherwise(0)).alias("n_should"))
     if opts is not None:
-        q = q.join(opts.select("query_id", "min_should"), "query_id", "left")
+        q = q.join(F.broadcast(opts.select("query_id", "min_should")), "query_id", "left")
     else:
         q = q.withColumn("min_should", F.lit(None).cast("int"))
     ms = F.coalesce(F.col("min_should"), F.lit(0))
@@ -370,7 +370,10 @@ def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_
     The window filter uses a literal bound (the largest from+size of the
     batch), so Spark plans WindowGroupLimit: every map task keeps only that
     many rows per query before the shuffle, and a query matching a third of
-    the corpus never lands whole in one task."""
+    the corpus never lands whole in one task.  The matches are written once
+    first: the page and the hit counts both read them (with the bucketed
+    index there is no exchange the two branches could share)."""
+    matches = materialize(matches, "matches")
     bound = _max_window(opts, size, from_)
     # rank on the rounded score so equal scores tie-break on doc_id only
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
@@ -402,7 +405,5 @@ def top_hits(matches: DataFrame, size: int = DEFAULT_SIZE, from_: int = 0) -> Da
 
 def search(index: Index, clauses: DataFrame, opts: DataFrame | None = None,
            size: int = DEFAULT_SIZE, from_: int = DEFAULT_FROM) -> DataFrame:
-    """F14 + H05: ranked page of every query in the batch.  The matches are
-    written once (top-k and the hit counts both read them; with the bucketed
-    index there is no exchange they could share)."""
-    return topk(materialize(search_scores(index, clauses, opts), "matches"), opts, size, from_)
+    """F14 + H05: ranked page of every query in the batch."""
+    return topk(search_scores(index, clauses, opts), opts, size, from_)
