@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesearch.functions import text as tx
 from pagesearch.operators import extract as ex
 from pagesearch.operators import language as lg
 from pagesearch.schemas import FETCH_PER_HOST_PER_SEC, STORE_COLUMNS

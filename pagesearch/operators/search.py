@@ -36,11 +36,6 @@ PUSHDOWN_MAX_TERMS = 5_000
 MAX_BATCH_CLAUSES = 100_000
 
 
-def check_batch(clauses: DataFrame) -> None:
-    if not fits(clauses, MAX_BATCH_CLAUSES):
-        raise ValueError(f"a clause batch holds at most {MAX_BATCH_CLAUSES} rows; split it by query_id")
-
-
 def batch_kinds(clauses: DataFrame) -> set[str]:
     """Clause kinds present in a batch (``match~`` for fuzzy match), read in
     the same pass that checks the batch size (no shuffle)."""
