@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesearch.session import broadcast_if_small, materialize
@@ -65,10 +65,13 @@ def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str =
 
 
 def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = None,
-           bands: dict[str, list[float]] | None = None, key: str = "doc_id") -> DataFrame:
+           bands: dict[str, list[float]] | None = None, key: str = "doc_id",
+           top_n: int | None = None) -> DataFrame:
     """Matched documents per query counted by the value of a field
     (``terms``: facet name -> column of ``docs``) and by numeric bands
-    (``bands``: column -> ascending edges; bucket label ``lo-hi``)."""
+    (``bands``: column -> ascending edges; bucket label ``lo-hi``).  With
+    ``top_n`` only the ``top_n`` largest buckets of each (query, facet) are
+    kept (count desc, bucket asc; a literal bound, so WindowGroupLimit)."""
     terms = terms or {}
     bands = bands or {}
     d = matches.select("query_id", key).join(docs, key)
@@ -83,8 +86,13 @@ def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = N
             expr = F.when(cond, lab) if expr is None else expr.when(cond, lab)
         expr = expr.otherwise(F.lit("other")) if expr is not None else F.lit("other")
         parts.append(F.struct(F.lit(col).alias("facet"), expr.alias("bucket")))
-    return (d.select("query_id", F.inline(F.array(*parts)))
-            .groupBy("query_id", "facet", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    counts = (d.select("query_id", F.inline(F.array(*parts)))
+              .groupBy("query_id", "facet", "bucket").agg(F.count(F.lit(1)).alias("n")))
+    if top_n is None:
+        return counts
+    w = Window.partitionBy("query_id", "facet").orderBy(F.col("n").desc(), F.col("bucket").asc_nulls_last())
+    return (counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(top_n))
+            .drop("_r"))
 
 
 def _num(x) -> str:

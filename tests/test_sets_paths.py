@@ -69,3 +69,15 @@ def test_stream_dedupe_once_per_url(spark, tmp_path):
     drain(si.stream_dedupe(stream).writeStream.outputMode("append").foreachBatch(sink), str(tmp_path / "ck"))
     got = rows(spark.read.parquet(out), "url", "seq")
     assert got == [("u1", 1), ("u2", 2), ("u3", 4)]          # first arrival wins
+
+
+def test_facets_top_n(spark):
+    m = spark.createDataFrame([(1, i) for i in range(1, 8)], "query_id int, doc_id long")
+    docs = spark.createDataFrame([(1, "en", 10), (2, "en", 600), (3, "fr", 700), (4, "de", 10),
+                                  (5, "en", 10), (6, "fr", 3000), (7, None, 10)],
+                                 "doc_id long, lang string, n_chars long")
+    allb = {r.bucket: r.n for r in rs.facets(m, docs, terms={"lang": "lang"}).collect()}
+    assert allb == {"en": 3, "fr": 2, "de": 1, None: 1}
+    top = rows(rs.facets(m, docs, terms={"lang": "lang"}, bands={"n_chars": [0, 500, 1000, 5000]}, top_n=2),
+               "facet", "bucket", "n")
+    assert top == [("lang", "en", 3), ("lang", "fr", 2), ("n_chars", "0-500", 4), ("n_chars", "500-1000", 2)]
