@@ -45,8 +45,10 @@ def query_terms(clauses: DataFrame) -> DataFrame:
 def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str = "text",
               size: int = FRAGMENT_SIZE, key: str = "doc_id") -> DataFrame:
     """One fragment of ``size`` characters per hit around the first
-    whole-token match of a query term, HTML-escaped, every match wrapped in
-    ``<mark>``.  Hits without query terms get the start of the field."""
+    whole-token match of a query term, HTML-escaped, with the matches wrapped
+    in ``<mark>`` (one regex pass: a match whose only separator from the
+    previous match was consumed by it stays unmarked).  Hits without query
+    terms get the start of the field."""
     page = broadcast_if_small(materialize(hits.join(F.broadcast(qterms), "query_id", "left"), "page"))
     joined = page.join(store.select(key, F.col(field).alias("_t")), key)
     alt = F.array_join("qterms", "|")

@@ -77,13 +77,14 @@ def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str
 
 def stream_ingest(spark: SparkSession, links_dir: str, root: str, captures: DataFrame,
                   profiles: DataFrame, seed: DataFrame | None = None, fmt: str = "parquet",
-                  force: bool = False, timeout_s: int = 900) -> DataFrame:
-    """Run the file stream of links to completion; micro-batches
-    run one after another and each takes the files pending at its start
-    (single flight: events in between coalesce into the next batch).
+                  force: bool = False, timeout_s: int = 900, max_files: int | None = 1) -> DataFrame:
+    """Run the file stream of links to completion.  Micro-batches
+    run one after another, never two at once (single flight); each takes up
+    to ``max_files`` pending files in arrival order (``None``: all files
+    pending at its start, so arrivals in between coalesce into one batch).
     Returns the final store."""
     from pagesearch.schemas import LINKS
-    stream = file_stream(spark, links_dir, LINKS, fmt)
+    stream = file_stream(spark, links_dir, LINKS, fmt, max_files)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         ingest_batch(spark, batch, batch_id, root, captures, profiles, seed, force)
