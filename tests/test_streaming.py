@@ -62,3 +62,17 @@ def test_stream_equals_batch_and_restart(spark, tmp_path):
     full = build_index(out, {f: f for f in si.INDEX_FIELDS}, key="url").postings
     inc = si.current_postings(spark, root)
     assert rows(inc, "doc_id", "field", "term", "tf") == rows(full, "doc_id", "field", "term", "tf")
+
+
+def test_pending_files_coalesce_into_one_batch(spark, tmp_path):
+    links = fx.links(spark, SF_SMALL)
+    caps = fx.captures(spark, SF_SMALL)
+    prof = lg.train_profiles(table(spark, SF_SMALL, "documents")).cache()
+    src = str(tmp_path / "links")
+    write_parts([links.where(F.col("seq") % 3 == i) for i in range(3)], src)
+    root = str(tmp_path / "root")
+    out = si.stream_ingest(spark, src, root, caps, prof, max_files=None)
+    log = spark.read.parquet(os.path.join(root, "log")).collect()
+    assert len(log) == 1 and log[0].n_links == links.count()
+    batch = ing.build_store(spark, links, caps, prof)
+    assert rows(out, "url", "title") == rows(batch, "url", "title")
