@@ -224,6 +224,33 @@ def phrase_hits(clauses: DataFrame, index: Index, m: DataFrame | None = None) ->
                                                             F.col("field_len"))).alias("score")))
 
 
+def mixed_hits(m: DataFrame) -> DataFrame:
+    """Term-like and phrase clauses of one batch from a single postings scan.
+
+    Positions are exploded for phrase rows only (a term row keeps one row with
+    a null position); the first aggregation groups phrase rows by start and
+    term rows by (query, clause, doc); the second folds both to one score per
+    (query, clause, doc) with the formulas of ``term_hits`` and
+    ``phrase_hits``.  On the doc-bucketed index neither step shuffles."""
+    w = scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len"))
+    x = m.select(*CKEYS, "doc_id", "_ph", "boost", "slot", "n_slots", "idf", "field_len", w.alias("w"),
+                 F.explode_outer(F.when(F.col("_ph"), F.col("positions"))).alias("pos"))
+    start = F.when(F.col("_ph"), F.col("pos") - F.col("slot"))
+    g1 = (x.groupBy(*CKEYS, "doc_id", "_ph", start.alias("start"))
+          .agg(F.count(F.lit(1)).alias("k"), F.first("n_slots").alias("n_slots"),
+               F.sum("idf").alias("idf_sum"), F.first("field_len").alias("field_len"),
+               F.first("boost").alias("boost"), F.sum("w").alias("sw"),
+               F.size(F.collect_set("slot")).alias("matched"))
+          .where(~F.col("_ph") | (F.col("k") == F.col("n_slots"))))
+    g2 = g1.groupBy(*CKEYS, "doc_id").agg(
+        F.first("_ph").alias("_ph"), F.count(F.lit(1)).alias("freq"), F.first("idf_sum").alias("idf_sum"),
+        F.first("field_len").alias("field_len"), F.first("boost").alias("boost"),
+        F.first("sw").alias("sw"), F.first("matched").alias("matched"), F.first("n_slots").alias("n_slots"))
+    phrase = F.col("boost") * scoring.phrase_weight(F.col("freq"), F.col("idf_sum"), F.col("field_len"))
+    term = F.col("boost") * F.col("sw") * F.col("matched") / F.col("n_slots")
+    return g2.select(*CKEYS, "doc_id", F.when(F.col("_ph"), phrase).otherwise(term).alias("score"))
+
+
 def range_hits(clauses: DataFrame, index: Index) -> DataFrame:
     """F03 numeric range, F04 date range (bounds in epoch seconds), F16 match
     all (an unbounded range on the document id).  Bounds: null = open; min
@@ -285,10 +312,12 @@ def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
             ps = phrase_slots(clauses).withColumn("_ph", F.lit(True))
             qt = ps if qt is None else qt.unionByName(ps)
         m = _lookup(index, with_idf(qt, index))
-        if has_terms:
-            parts.append(term_hits(clauses, index, m.where(~F.col("_ph"))))
-        if has_phrases:
-            parts.append(phrase_hits(clauses, index, m.where(F.col("_ph"))))
+        if has_terms and has_phrases:
+            parts.append(mixed_hits(m))
+        elif has_terms:
+            parts.append(term_hits(clauses, index, m))
+        else:
+            parts.append(phrase_hits(clauses, index, m))
     if kinds & set(RANGE_KINDS):
         parts.append(range_hits(clauses, index))
     if "ids" in kinds:
