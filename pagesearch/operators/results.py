@@ -17,6 +17,7 @@ from pagesearch.session import broadcast_if_small, materialize
 MARK_OPEN, MARK_CLOSE = "<mark>", "</mark>"
 FRAGMENT_SIZE = 200
 NON_TOKEN = r"[^\p{L}\p{N}]"
+PIECE = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]
 
 
@@ -45,23 +46,22 @@ def query_terms(clauses: DataFrame) -> DataFrame:
 def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str = "text",
               size: int = FRAGMENT_SIZE, key: str = "doc_id") -> DataFrame:
     """One fragment of ``size`` characters per hit around the first
-    whole-token match of a query term, HTML-escaped, with the matches wrapped
-    in ``<mark>`` (one regex pass: a match whose only separator from the
-    previous match was consumed by it stays unmarked).  Hits without query
-    terms get the start of the field."""
+    whole-token match of a query term.  The fragment is split into token and
+    non-token pieces; every piece is HTML-escaped and every token whose
+    lower-case form is a query term is wrapped in ``<mark>``.  Hits without
+    query terms get the start of the field."""
     page = broadcast_if_small(materialize(hits.join(F.broadcast(qterms), "query_id", "left"), "page"))
     joined = page.join(store.select(key, F.col(field).alias("_t")), key)
     alt = F.array_join("qterms", "|")
     find = F.concat(F.lit(r"(?s)^(.*?)(?:^|" + NON_TOKEN + ")(?:"), alt, F.lit(r")(?:" + NON_TOKEN + r"|\z)"))
     before = F.length(F.call_function("regexp_extract", F.lower("_t"), find, F.lit(1)))
     start = F.greatest(F.lit(1), before + F.lit(1 - size // 2))
-    frag = html_escape(F.substring(F.col("_t"), F.col("_start"), F.lit(size)))
-    mark = F.concat(F.lit(r"(?iu)(^|" + NON_TOKEN + ")("), alt, F.lit(r")(" + NON_TOKEN + r"|\z)"))
-    marked = F.when(F.size("qterms") > 0,
-                    F.regexp_replace("_frag", mark, F.lit("$1" + MARK_OPEN + "$2" + MARK_CLOSE + "$3"))
-                    ).otherwise(F.col("_frag"))
+    pieces = F.regexp_extract_all(F.col("_frag"), F.lit(PIECE), 0)
+    marked = F.array_join(F.transform(pieces, lambda x: F.when(
+        F.coalesce(F.array_contains("qterms", F.lower(x)), F.lit(False)),
+        F.concat(F.lit(MARK_OPEN), html_escape(x), F.lit(MARK_CLOSE))).otherwise(html_escape(x))), "")
     return (joined.withColumn("_start", F.when(F.size("qterms") > 0, start).otherwise(F.lit(1)))
-            .withColumn("_frag", frag)
+            .withColumn("_frag", F.substring(F.col("_t"), F.col("_start"), F.lit(size)))
             .withColumn("fragment", marked)
             .drop("_t", "_start", "_frag", "qterms"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagesearch.functions import analysis as an
-from pagesearch.operators.results import FRAGMENT_SIZE, HTML_ESCAPES, NON_TOKEN
+from pagesearch.operators.results import FRAGMENT_SIZE, HTML_ESCAPES, NON_TOKEN, PIECE
 from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, EVENT_RANGE,
                                               FACET_BANDS, LINK_CLAUSES, LINK_OPTS, ORDER_RANGE)
 from pagesearch.plans.oracle_pages import LINKS_CTE, SEED_CTE, STREAM_STORE, sq
@@ -62,7 +62,6 @@ def html_esc(e: str) -> str:
 PAGE = "SELECT query_id, CAST(rnk AS BIGINT) AS rank, doc_id, score, total_hits FROM ranked WHERE rnk > from_ AND rnk <= from_ + size"
 HALF = FRAGMENT_SIZE // 2
 FIND = "'(?s)^(.*?)(?:^|" + NON_TOKEN + ")(?:' || alt || ')(?:" + NON_TOKEN + r"|\z)'"
-MARK = "'(?i)(^|" + NON_TOKEN + ")(' || alt || ')(" + NON_TOKEN + r"|\z)'"
 
 HIGHLIGHT = f"""WITH {search_ctes()},
 page AS ({PAGE}),
@@ -75,10 +74,11 @@ h AS (SELECT p.query_id, p.rank, p.doc_id, q.qterms, array_to_string(q.qterms, '
 h2 AS (SELECT *, CASE WHEN len(qterms) > 0
                       THEN greatest(1, length(regexp_extract(lower(t), {FIND}, 1)) + {1 - HALF})
                       ELSE 1 END AS st FROM h),
-h3 AS (SELECT *, {html_esc(f"substring(t, st, {FRAGMENT_SIZE})")} AS frag FROM h2)
+h3 AS (SELECT *, substring(t, st, {FRAGMENT_SIZE}) AS frag FROM h2)
 SELECT query_id, rank, doc_id,
-       CASE WHEN len(qterms) > 0 THEN regexp_replace(frag, {MARK}, '\\1<mark>\\2</mark>\\3', 'g')
-            ELSE frag END AS fragment
+       array_to_string(list_transform(regexp_extract_all(frag, {sq(PIECE)}), lambda x:
+         CASE WHEN coalesce(list_contains(qterms, lower(x)), false)
+              THEN '<mark>' || {html_esc('x')} || '</mark>' ELSE {html_esc('x')} END), '') AS fragment
 FROM h3"""
 
 BAND = "CASE " + " ".join(f"WHEN n_chars >= {lo} AND n_chars < {hi} THEN '{lo}-{hi}'"

@@ -81,3 +81,11 @@ def test_facets_top_n(spark):
     top = rows(rs.facets(m, docs, terms={"lang": "lang"}, bands={"n_chars": [0, 500, 1000, 5000]}, top_n=2),
                "facet", "bucket", "n")
     assert top == [("lang", "en", 3), ("lang", "fr", 2), ("n_chars", "0-500", 4), ("n_chars", "500-1000", 2)]
+
+
+def test_highlight_marks_every_match_and_escapes(spark):
+    hits = spark.createDataFrame([(1, 1, 10)], "query_id int, rank bigint, doc_id long")
+    store = spark.createDataFrame([(10, 'a<b The the end "x" there')], "doc_id long, text string")
+    qterms = spark.createDataFrame([(1, ["the"])], "query_id int, qterms array<string>")
+    frag = rs.highlight(hits, store, qterms).first().fragment
+    assert frag == 'a&lt;b <mark>The</mark> <mark>the</mark> end &quot;x&quot; there'
