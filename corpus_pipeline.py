@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagesearch.llm import bpe, decontaminate, langid, linededup, simhash
-from pagesearch.llm.catalog import tokenizer_path
+from pagesearch.llm.catalog import importable_by_workers, tokenizer_path
 from pagesearch.session import materialize
 from pagesearch.sources.tables import table
 
@@ -53,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable_by_workers(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

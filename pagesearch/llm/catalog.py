@@ -3,12 +3,15 @@ parameters, and the DuckDB twins of those that SQL can express."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesearch.llm import bpe, decontaminate, langid, linededup, simhash
+from pagesearch.llm import bpe, decontaminate, embeddings, langid, linededup, pii, simhash, warc
 from pagesearch.llm.frames import held_out
 from pagesearch.sources.tables import table
 
@@ -16,12 +19,24 @@ CATALOG: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def importable_by_workers(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver did, if it isn't
+    installed on the executors."""
+    root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn):
-        CATALOG[name] = fn
+        @wraps(fn)
+        def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable_by_workers(spark)
+            return fn(spark, sf_dir)
+        CATALOG[name] = query
         if oracle:
             ORACLE[name] = oracle
-        return fn
+        return query
     return deco
 
 
@@ -59,3 +74,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = linededup.without_boilerplate(table(spark, sf_dir, "documents"))
     return clean.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+
+
+@register("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.spans(table(spark, sf_dir, "documents")))
+
+
+@register("op5_embedding_dedup", embeddings.ORACLE)
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_groups(table(spark, sf_dir, "embeddings"))
+
+
+@register("op9_warc", warc.ORACLE)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")

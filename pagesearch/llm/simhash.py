@@ -163,7 +163,9 @@ def near_groups(docs: DataFrame, width: int = 3, bits: int = 2, key: str = "doc_
     distinct = marked.groupBy("fingerprint").agg(F.min(key).alias("least"))
     place, schema = _placed(0)
     visit, _ = _placed(bits)
-    fps = distinct.select("fingerprint")
+    # a few rows become many replicas: a fixed count keeps the tasks that make them apart
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = distinct.select("fingerprint").repartition(tasks, "fingerprint")
     rows = cells.spread(fps.mapInArrow(place, schema), fps.mapInArrow(visit, schema), ["cell"], PART_HOMES)
     links = materialize(cells.scan(rows, ["cell"], _payload, _within(bits)).select("a", "b"), "simhash-links")
     roots = components(links).withColumnRenamed("node", "fingerprint")
