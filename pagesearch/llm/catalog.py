@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesearch.llm import bpe, decontaminate, embeddings, langid, linededup, pii, simhash, warc
+from pagesearch.llm import bpe, decontaminate, embeddings, langid, linededup, pii, pitman_yor, simhash, toxicity, warc
 from pagesearch.llm.frames import held_out
 from pagesearch.sources.tables import table
 
@@ -89,3 +89,17 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_warc", warc.ORACLE)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@register("op6_pitman_yor")
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pitman_yor.scored(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5, 1))
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learnable = ~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()
+    model = toxicity.fit(docs.where(learnable), labels.where(learnable))
+    return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
