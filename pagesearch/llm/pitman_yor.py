@@ -43,7 +43,7 @@ CONTEXT_SHARE = 0.004          # of the training tokens: at most 250 context res
 HOT_SHARE = 0.0005             # at most 2000 words are aggregated beforehand
 DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 10.0)      # root, contexts
 BURN_IN, SAMPLES = 2, 4
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 GROWTH = 20                    # customers of a dish are seated in blocks of 1/20
 SMALLEST = 1024                # hashes by which a block tells how many words there are
 END = np.uint64(0x454E44)
@@ -211,11 +211,12 @@ class Pairs:
     def __init__(self, batch: pa.RecordBatch, contexts: np.ndarray):
         self.hashes, self.sizes = tokens(texts_of(batch, "text"))
         before = np.concatenate(([END], self.hashes[:-1])) if len(self.hashes) else self.hashes
-        at = np.minimum(np.searchsorted(contexts, before), max(0, len(contexts) - 1))
-        context = np.where(contexts[at] == before, at, -1) if len(contexts) else np.full(len(before), -1)
+        context = _find(contexts, before)
         key = W.mix(self.hashes + np.uint64(0x9E3779B97F4A7C15) * (context + 2).astype(np.uint64))
+        del before
         _, first, self.index = np.unique(key, return_index=True, return_inverse=True)
         self.word, self.context = self.hashes[first], context[first].astype(np.int64)
+        self.hashes = None
         train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), self.sizes)
         self.count = np.bincount(self.index[train], minlength=len(first))
 
