@@ -31,12 +31,13 @@ from pagesearch.session import materialize
 
 SAMPLE = {1: 2500, 0: 4000}    # labelled texts learned from, at most, by label
 WINDOW, STEP = 32, 16          # words
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 16
+WORD_BUCKETS, GRAM_BITS = 1 << 14, 16
+GRAM_BUCKETS = 1 << GRAM_BITS
 WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 8, 8, 8, 8
 GRAMS = (3, 5, 7, 9)           # bytes
 ROUNDS, STEPS, BATCH = 2, 200, 192
 RATE, SLOW = 0.01, 0.02        # learning rate, and the embeddings' share of it
-_LANES = 4096
+_LANES, _WORDS = 4096, 16_384      # windows and distinct words that a numpy pass takes
 _MULTIPLIER = np.uint32(0x9E3779B1)
 
 
@@ -49,12 +50,15 @@ class Inputs:
         value, at, self.words = np.unique(W.hashes(w), return_index=True, return_inverse=True)
         self.first, self.count = w.first, len(value)
         self.bucket = (value % np.uint64(WORD_BUCKETS)).astype(np.int64)
-        self.gram, self.gram_start = _grams(w.data, w.start[at], w.end[at])
-        self.gram_count = np.diff(np.append(self.gram_start, len(self.gram)))
+        self.words = self.words.astype(np.int32)
+        parts = [_grams(w.data, w.start[at[lo : lo + _WORDS]], w.end[at[lo : lo + _WORDS]]) for lo in range(0, len(at), _WORDS)]
+        self.gram = np.concatenate([np.zeros(0, np.uint16), *(p[0] for p in parts)])
+        self.gram_count = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+        self.gram_start = np.cumsum(self.gram_count) - self.gram_count
 
 
 def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of each word with a mark at both ends, and where each word's begin."""
+    """Buckets of the n-grams of each word with a mark at both ends, and how many each word has."""
     size = end - start + 2
     offset = np.cumsum(size) - size
     total = int(size.sum())
@@ -71,13 +75,13 @@ def _grams(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
             h = (h ^ flat[k : total - n + 1 + k]) * _MULTIPLIER
             h ^= h >> np.uint32(15)
         ok = inner[: total - n + 1] + n <= size[word[: total - n + 1]]
-        grams.append((h[ok] * np.uint32(0x2C1B3C6D) >> np.uint32(16)).astype(np.int64) % GRAM_BUCKETS)
+        grams.append((h[ok] * np.uint32(0x2C1B3C6D) >> np.uint32(32 - GRAM_BITS)).astype(np.uint16))
         owner.append(word[: total - n + 1][ok])
     if not grams:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16), np.zeros(len(start), np.int64)
     gram, own = np.concatenate(grams), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
-    return gram[order], np.searchsorted(own[order], np.arange(len(start)))
+    return gram[order], np.bincount(own, minlength=len(start))
 
 
 def windows(n_words: int) -> np.ndarray:
@@ -111,7 +115,10 @@ class Network:
         out[:-1, :WORD_DIM] = self.p["word"][i.bucket]
         if drop is not None:
             out[:-1, :WORD_DIM] *= drop[:, None]
-        out[:-1, WORD_DIM:] = _largest(self.p["gram"][i.gram], i)
+        for lo in range(0, i.count, _WORDS):
+            hi = min(lo + _WORDS, i.count)
+            a, b = i.gram_start[lo], i.gram_start[hi - 1] + i.gram_count[hi - 1]
+            out[lo:hi, WORD_DIM:] = _largest(self.p["gram"][i.gram[a:b]], i.gram_start[lo:hi] - a, i.gram_count[lo:hi])
         return out
 
     def logits(self, projected: tuple[np.ndarray, np.ndarray], index: np.ndarray, keep: dict | None = None) -> np.ndarray:
@@ -154,12 +161,12 @@ class Network:
         return _sigmoid(self.slope * self.text_logits(texts).astype(np.float64) + self.shift)
 
 
-def _largest(rows: np.ndarray, i: Inputs) -> np.ndarray:
-    """Componentwise maximum over the n-grams of each distinct word; 0 where it has none."""
-    out = np.zeros((i.count, GRAM_DIM), rows.dtype)
-    some = np.flatnonzero(i.gram_count)
+def _largest(rows: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Componentwise maximum over the n-grams of each word; 0 where it has none."""
+    out = np.zeros((len(start), GRAM_DIM), rows.dtype)
+    some = np.flatnonzero(count)
     if len(some):
-        out[some] = np.maximum.reduceat(rows, i.gram_start[some], axis=0)
+        out[some] = np.maximum.reduceat(rows, start[some], axis=0)
     return out
 
 
@@ -175,8 +182,8 @@ def lanes(i: Inputs, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     place = at[None, :] + np.arange(WINDOW)[:, None]
     inside = place < i.first[doc + 1][None, :]
     if not len(i.words):
-        return np.full(place.shape, i.count)
-    return np.where(inside, i.words[np.minimum(place, len(i.words) - 1)], i.count)
+        return np.full(place.shape, i.count, np.int32)
+    return np.where(inside, i.words[np.minimum(place, len(i.words) - 1)], np.int32(i.count))
 
 
 def _gru(projected, index, mask, u, order, keep, name) -> np.ndarray:
@@ -251,7 +258,7 @@ def gradients(net: Network, i: Inputs, index: np.ndarray, label: np.ndarray, dro
     dword = dx[:, :WORD_DIM] if drop is None else dx[:, :WORD_DIM] * drop[:, None]
     g["word"] = _summed(i.bucket, dword, WORD_BUCKETS)
     rows = p["gram"][i.gram]
-    most = rows == np.repeat(_largest(rows, i), i.gram_count, axis=0)
+    most = rows == np.repeat(_largest(rows, i.gram_start, i.gram_count), i.gram_count, axis=0)
     g["gram"] = _summed(i.gram, np.repeat(dx[:, WORD_DIM:], i.gram_count, axis=0) * most, GRAM_BUCKETS)
     return loss, g
 
@@ -275,18 +282,15 @@ def _subset(i: Inputs, index: np.ndarray) -> tuple[Inputs, np.ndarray]:
 def _log_odds(i: Inputs, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By word bucket and by n-gram bucket: two standard errors below the
     log-odds of meeting it in a toxic text, 0 at least."""
-    doc = np.repeat(np.arange(len(label)), np.diff(i.first))
-    pairs = np.unique(doc * (i.count + 1) + i.words)
-    d, w = pairs // (i.count + 1), pairs % (i.count + 1)
     n = [max(1, int((label == k).sum())) for k in (0, 1)]
-
-    def odds(bucket, text, size):
-        seen = np.unique(text * size + bucket)
-        c = [np.bincount(seen[label[seen // size] == k] % size, minlength=size) + 0.5 for k in (0, 1)]
-        return np.maximum(0, np.log(c[1] / (n[1] + 1)) - np.log(c[0] / (n[0] + 1)) - 2 * np.sqrt(1 / c[0] + 1 / c[1]))
-    inner = np.arange(int(i.gram_count[w].sum())) - np.repeat(np.cumsum(i.gram_count[w]) - i.gram_count[w], i.gram_count[w])
-    return (odds(i.bucket[w], d, WORD_BUCKETS),
-            odds(i.gram[np.repeat(i.gram_start[w], i.gram_count[w]) + inner], np.repeat(d, i.gram_count[w]), GRAM_BUCKETS))
+    word, gram = np.full((2, WORD_BUCKETS), 0.5), np.full((2, GRAM_BUCKETS), 0.5)
+    for d in range(len(label)):
+        own = np.unique(i.words[i.first[d] : i.first[d + 1]])
+        count = i.gram_count[own]
+        inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        word[label[d], np.unique(i.bucket[own])] += 1
+        gram[label[d], np.unique(i.gram[np.repeat(i.gram_start[own], count) + inner])] += 1
+    return tuple(np.maximum(0, np.log(c[1] / (n[1] + 1)) - np.log(c[0] / (n[0] + 1)) - 2 * np.sqrt(1 / c[0] + 1 / c[1])) for c in (word, gram))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 10) -> Network:
