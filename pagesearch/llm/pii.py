@@ -124,8 +124,9 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, text: str =
     entity = (found.select("key", "version", F.explode("spans").alias("x")).select("key", "version", "x.kind", "x.value").distinct()
               .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity")))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(LETTERS), F.lit(0)))
-    df = (docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-          .join(pairs.select("term").distinct(), "term", "left_semi"))
+    # an inner join below: a semi-join would be pushed under the aggregation at
+    # small sizes alone, and the plan should be one for all sizes
+    df = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     total = docs.count()
     information = F.log(F.lit(float(total)) / F.col("df_entity"))
     mutual = F.log(F.col("joint") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
