@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagesearch.operators import extract as ex
 from pagesearch.operators import language as lg
 from pagesearch.schemas import FETCH_PER_HOST_PER_SEC, STORE_COLUMNS
-from pagesearch.session import broadcast_if_small
+from pagesearch.session import broadcast_if_small, materialize
 
 
 def best_capture(captures: DataFrame) -> DataFrame:
@@ -65,9 +65,11 @@ def rank_within(df: DataFrame, group: str, order: str, n_parts: int | None = Non
 
     Rows are range-partitioned on (group, order), so a huge group spans
     several partitions; each partition numbers its own rows, and the
-    per-(partition, group) counts (one row each) give the offsets."""
+    per-(partition, group) counts (one row each) give the offsets.  The
+    partitioned rows are written once with their partition's number: range
+    bounds are sampled, so a plan that partitions twice could disagree."""
     n = n_parts or df.sparkSession.sparkContext.defaultParallelism
-    parted = df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id())
+    parted = materialize(df.repartitionByRange(n, group, order).withColumn("_pid", F.spark_partition_id()), "ranges")
     local = parted.withColumn(
         "_lrn", F.row_number().over(Window.partitionBy("_pid", group).orderBy(order)))
     counts = parted.groupBy("_pid", group).agg(F.count(F.lit(1)).alias("_n"))

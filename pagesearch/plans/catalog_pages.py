@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagesearch.operators.folders import folder_paths
 from pagesearch.operators import extract as ex
 from pagesearch.operators import ingest as ing
 from pagesearch.operators import language as lg
@@ -41,14 +42,7 @@ def q_link_scan(spark, sf):
 
 @register("folder_paths")
 def q_folder_paths(spark, sf):
-    nodes = fx.nodes(spark, sf)
-    return spark.sql("""
-        WITH RECURSIVE t (node_id, url, path, depth) AS (
-          SELECT node_id, url, name, 0 FROM {nodes} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT n.node_id, n.url, concat(t.path, '/', n.name), t.depth + 1
-          FROM {nodes} n JOIN t ON n.parent_id = t.node_id)
-        SELECT node_id, url, path, CAST(depth AS BIGINT) AS depth FROM t""", nodes=nodes)
+    return folder_paths(fx.nodes(spark, sf))
 
 
 @register("capture_scan")

@@ -3,10 +3,14 @@
 Each micro-batch runs, as Spark jobs: de-duplication inside the batch (H02),
 the anti join against what is stored (E01), the whole ingest row (C10), an
 append of the new store rows and of their postings.  Store and postings are
-log-structured: every batch writes its own folder (overwritten on retry, so
-a re-run batch is idempotent) and readers keep, per key, the rows of the
-latest batch (the upsert A06 and the index replace A07 at read time).  No
-batch rewrites what earlier batches wrote.
+log-structured: every batch writes its own folder and readers keep, per key,
+the rows of the latest batch (the upsert A06 and the index replace A07 at read
+time).  No batch rewrites what earlier batches wrote.
+
+A batch is committed by its log row, written last.  Readers take committed
+batches only, and a batch looks only at those before it, never at its own
+folder; so a batch that is run again, also after a crash between its writes,
+finds the same links unseen and overwrites its folders with the same rows.
 """
 
 from __future__ import annotations
@@ -24,19 +28,33 @@ from pagesearch.streaming.runner import drain, file_stream
 INDEX_FIELDS = ["title", "text", "excerpt", "folder", "url"]
 
 
-def read_log(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """Rows of the latest batch per key of a log-structured dataset."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(root)
+def last_committed(spark: SparkSession, root: str) -> int:
+    """The highest committed batch, -1 if there is none.  Batches run one after
+    another, so all below it are committed too."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(root, "log"))
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jpath) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(jpath)):
+    if not fs.exists(jpath):
+        return -1
+    names = [s.getPath().getName() for s in fs.listStatus(jpath)]
+    for batch in sorted((int(n[6:]) for n in names if n.startswith("batch=")), reverse=True):
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(jpath, f"batch={batch}/_SUCCESS")):
+            return batch
+    return -1
+
+
+def read_log(spark: SparkSession, root: str, dataset: str, key: str) -> DataFrame | None:
+    """Rows of the latest committed batch per key of a log-structured dataset."""
+    upto = last_committed(spark, root)
+    if upto < 0:
         return None
-    df = spark.read.parquet(root).withColumn("batch", F.col("batch").cast("bigint"))
+    df = (spark.read.parquet(os.path.join(root, dataset)).withColumn("batch", F.col("batch").cast("bigint"))
+          .where(F.col("batch") <= upto))
     latest = df.groupBy(key).agg(F.max("batch").alias("batch"))
     return df.join(latest, [key, "batch"], "left_semi")
 
 
 def current_store(spark: SparkSession, root: str, seed: DataFrame | None = None) -> DataFrame:
-    logged = read_log(spark, os.path.join(root, "store"), "url")
+    logged = read_log(spark, root, "store", "url")
     base = seed if seed is not None else spark.createDataFrame([], STORE)
     if logged is None:
         return base.select(*STORE.fieldNames())
@@ -44,19 +62,18 @@ def current_store(spark: SparkSession, root: str, seed: DataFrame | None = None)
     return base.join(logged.select("url"), "url", "left_anti").select(*STORE.fieldNames()).unionByName(logged)
 
 
-def stored_urls(spark: SparkSession, root: str, seed: DataFrame | None = None) -> DataFrame:
-    """Every URL stored so far (seed plus all batches): enough for the E01
-    check, with no per-key aggregation over the store."""
+def stored_urls(spark: SparkSession, root: str, before: int, seed: DataFrame | None = None) -> DataFrame:
+    """Every URL stored by the seed and by batches below ``before``: enough for
+    the E01 check, with no per-key aggregation over the store."""
     base = (seed if seed is not None else spark.createDataFrame([], STORE)).select("url")
-    path = os.path.join(root, "store")
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if last_committed(spark, root) < 0:
         return base
-    return base.unionByName(spark.read.parquet(path).select("url"))
+    logged = spark.read.schema("url string, batch bigint").parquet(os.path.join(root, "store"))
+    return base.unionByName(logged.where(F.col("batch") < before).select("url"))
 
 
 def current_postings(spark: SparkSession, root: str) -> DataFrame | None:
-    return read_log(spark, os.path.join(root, "postings"), "doc_id")
+    return read_log(spark, root, "postings", "doc_id")
 
 
 def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str,
@@ -64,7 +81,7 @@ def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str
                  force: bool = False) -> None:
     """One micro-batch: L02 ingest of unseen links, L03 index of the new
     documents; a log row (L04) records what the batch did."""
-    stored = stored_urls(spark, root, seed)
+    stored = stored_urls(spark, root, batch_id, seed)
     new = ing.build_store(spark, links, captures, profiles, store=stored, force=force)
     # the batch id is the partition folder name (batch=N), not a data column
     new.write.mode("overwrite").parquet(os.path.join(root, "store", f"batch={batch_id}"))
@@ -77,7 +94,7 @@ def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str
 
 def stream_ingest(spark: SparkSession, links_dir: str, root: str, captures: DataFrame,
                   profiles: DataFrame, seed: DataFrame | None = None, fmt: str = "parquet",
-                  force: bool = False, timeout_s: int = 900, max_files: int | None = 1) -> DataFrame:
+                  force: bool = False, timeout_s: int | None = None, max_files: int | None = 1) -> DataFrame:
     """Run the file stream of links to completion.  Micro-batches
     run one after another, never two at once (single flight); each takes up
     to ``max_files`` pending files in arrival order (``None``: all files

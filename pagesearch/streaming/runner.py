@@ -18,12 +18,14 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return r.load(path)
 
 
-def drain(writer: DataStreamWriter, checkpoint: str, timeout_s: int = 900) -> None:
+def drain(writer: DataStreamWriter, checkpoint: str, timeout_s: int | None = None) -> None:
     """Process everything available now, then stop; the checkpoint makes a
-    restart continue where it stopped (no repeated micro-batch)."""
+    restart continue where it stopped (no repeated micro-batch).  A backlog
+    takes as long as it needs unless a limit is given."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finished = q.awaitTermination(timeout_s)
-    if not finished:
+    if timeout_s is None:
+        q.awaitTermination()
+    elif not q.awaitTermination(timeout_s):
         q.stop()
         raise TimeoutError(f"stream did not finish in {timeout_s}s")
     if q.exception() is not None:

@@ -26,7 +26,7 @@ def change_ticks(events: DataFrame, interval: str = WATCH_INTERVAL, delay: str =
 
 
 def run_change_ticks(spark, source_dir: str, sink_dir: str, checkpoint: str, schema,
-                     interval: str = WATCH_INTERVAL, delay: str = "1 minute", timeout_s: int = 900) -> DataFrame:
+                     interval: str = WATCH_INTERVAL, delay: str = "1 minute", timeout_s: int | None = None) -> DataFrame:
     """Run the tick count over a file stream in update mode; each micro-batch
     appends its updated windows with its batch id (idempotent: the batch's
     folder is overwritten on retry).  The result keeps, per window, the row of

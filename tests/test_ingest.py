@@ -169,3 +169,19 @@ def test_boilerplate_removed(spark):
         "page_id long, url string, html string")
     got = {r.page_id: r.text for r in ex.strip_boilerplate(pages).collect()}
     assert got == {1: "unique one", 2: "unique two", 3: "Home About other host"}
+
+
+def test_rank_within_does_not_depend_on_exchange_reuse(spark):
+    from pyspark.sql import Window
+    from pagesearch.operators.ingest import rank_within
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.concat(F.lit("h"), (F.col("id") % 50).cast("string"))).alias("host"),
+                                    F.xxhash64("id").alias("seq"), "id")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("host").orderBy("seq")).cast("bigint"))
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            got = rank_within(df, "host", "seq", 8)
+            for cols in (["id", "rn"], ["host", "rn"]):
+                assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")

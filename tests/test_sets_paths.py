@@ -1,10 +1,11 @@
-"""Set operation identities (J01-J03), folder paths with a recursive CTE
-(A02) and its depth limit, stream dedupe (L05)."""
+"""Set operation identities (J01-J03), folder paths level by level
+(A02), stream dedupe (L05)."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagesearch.operators import results as rs
+from pagesearch.operators.folders import folder_paths
 from pagesearch.plans.catalog import CATALOG
 from pagesearch.schemas import LINKS, with_field
 from pagesearch.streaming import ingest as si
@@ -35,24 +36,19 @@ def test_folder_paths_small_fixture(spark):
     assert set(r.depth for r in got.select("depth").distinct().collect()) == {0, 1, 2}
 
 
-def test_recursion_limit_is_an_error(spark):
-    chain = spark.createDataFrame([("n0", None, "r")] + [(f"n{i}", f"n{i-1}", f"x{i}") for i in range(1, 30)],
-                                  "node_id string, parent_id string, name string")
-    sql = """WITH RECURSIVE t (node_id, path) AS (
-               SELECT node_id, name FROM {nodes} WHERE parent_id IS NULL
-               UNION ALL SELECT n.node_id, concat(t.path, '/', n.name) FROM {nodes} n JOIN t ON n.parent_id = t.node_id)
-             SELECT * FROM t"""
-    assert spark.sql(sql, nodes=chain).count() == 30
+def test_folder_paths_have_no_depth_limit(spark):
+    chain = [("n0", None, None, "r")] + [(f"n{i}", f"n{i-1}", f"u{i}", f"x{i}") for i in range(1, 25)]
+    nodes = spark.createDataFrame(chain + [("c1", "c2", None, "c"), ("c2", "c1", None, "c")], "node_id string, parent_id string, url string, name string")
     old = spark.conf.get("spark.sql.cteRecursionLevelLimit", None)
     spark.conf.set("spark.sql.cteRecursionLevelLimit", "5")
     try:
-        with pytest.raises(Exception):
-            spark.sql(sql, nodes=chain).count()
+        got = {r.node_id: (r.path, r.depth) for r in folder_paths(nodes).collect()}
     finally:
-        if old is None:
-            spark.conf.unset("spark.sql.cteRecursionLevelLimit")
-        else:
-            spark.conf.set("spark.sql.cteRecursionLevelLimit", old)
+        spark.conf.unset("spark.sql.cteRecursionLevelLimit") if old is None else spark.conf.set("spark.sql.cteRecursionLevelLimit", old)
+    assert len(got) == 25 and got["n24"] == ("/".join(["r"] + [f"x{i}" for i in range(1, 25)]), 24)
+    twice = spark.createDataFrame([("a", None, None, "a"), ("b", "a", None, "b"), ("b", "b", None, "b")], "node_id string, parent_id string, url string, name string")
+    with pytest.raises(ValueError):
+        folder_paths(twice)
 
 
 def test_stream_dedupe_once_per_url(spark, tmp_path):

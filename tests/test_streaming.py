@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagesearch.operators import ingest as ing
@@ -76,3 +77,40 @@ def test_pending_files_coalesce_into_one_batch(spark, tmp_path):
     assert len(log) == 1 and log[0].n_links == links.count()
     batch = ing.build_store(spark, links, caps, prof)
     assert rows(out, "url", "title") == rows(batch, "url", "title")
+
+
+def test_a_batch_run_again_or_after_a_crash_loses_nothing(spark, tmp_path, monkeypatch):
+    links, caps = fx.links(spark, SF_SMALL), fx.captures(spark, SF_SMALL)
+    prof = lg.train_profiles(table(spark, SF_SMALL, "documents")).cache()
+    first, second = links.where(F.col("seq") % 2 == 0), links.where(F.col("seq") % 2 == 1)
+    root = str(tmp_path / "root")
+    si.ingest_batch(spark, first, 0, root, caps, prof)
+    store, postings = rows(si.current_store(spark, root), "url", "title"), rows(si.current_postings(spark, root), "doc_id", "field", "term", "tf")
+    assert store
+    si.ingest_batch(spark, first, 0, root, caps, prof)          # the same batch again
+    assert rows(si.current_store(spark, root), "url", "title") == store
+    assert rows(si.current_postings(spark, root), "doc_id", "field", "term", "tf") == postings
+
+    def crash(*args, **kw):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:                             # between store and postings
+        m.setattr(si, "build_index", crash)
+        with pytest.raises(RuntimeError):
+            si.ingest_batch(spark, second, 1, root, caps, prof)
+    assert rows(si.current_store(spark, root), "url", "title") == store
+    si.ingest_batch(spark, second, 1, root, caps, prof)
+    whole = ing.build_store(spark, links.withColumn("seq", F.col("seq") % 2 * 10**9 + F.col("seq")), caps, prof)
+    assert rows(si.current_store(spark, root), "url", "title") == rows(whole, "url", "title")
+
+
+def test_a_crash_in_the_first_batch(spark, tmp_path, monkeypatch):
+    links, caps = fx.links(spark, SF_SMALL), fx.captures(spark, SF_SMALL)
+    prof = lg.train_profiles(table(spark, SF_SMALL, "documents")).cache()
+    root = str(tmp_path / "root")
+    with monkeypatch.context() as m:
+        m.setattr(si, "build_index", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            si.ingest_batch(spark, links, 0, root, caps, prof)
+    assert si.current_postings(spark, root) is None and si.current_store(spark, root).count() == 0
+    si.ingest_batch(spark, links, 0, root, caps, prof)
+    assert si.current_store(spark, root).count() == ing.build_store(spark, links, caps, prof).count()
