@@ -53,7 +53,18 @@ def train_profiles(docs: DataFrame, k: int = PROFILE_SIZE, text: str = "text",
 
 def detect_lang(texts: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
                 min_conf: float = LANG_MIN_CONFIDENCE, floor: float = PROB_FLOOR) -> DataFrame:
-    """Best language of each text and its confidence.
+    """Language and confidence of every text: those of ``detect_hits``; a
+    text without any profile term gets ``en``, confidence 0 and no best.
+    Output, one row per key: keys, ``best``, ``confidence``, ``lang``."""
+    hits = detect_hits(texts, profiles, keys, text, min_conf, floor)
+    return (texts.select(*keys).distinct().join(hits, keys, "left")
+            .select(*keys, "best", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
+                    F.coalesce("lang", F.lit(DEFAULT_LANG)).alias("lang")))
+
+
+def detect_hits(texts: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
+                min_conf: float = LANG_MIN_CONFIDENCE, floor: float = PROB_FLOOR) -> DataFrame:
+    """Best language of each text with a profile term, and its confidence.
 
     Score of language l: sum over the text's tokens of ``ln p_l(t)``, ``p``
     floored at ``floor``.  Tokens in no profile add the same amount to every
@@ -107,7 +118,7 @@ def detect_fields(df: DataFrame, profiles: DataFrame, key: str,
                       F.inline(F.array(*[F.struct(F.lit(f).alias("fname"), F.col(f).alias("ftext"))
                                          for f in fields])))
             .where(F.col("ftext").isNotNull() & (F.col("ftext") != "")))
-    det = detect_lang(long, profiles, ["_k", "fname"], text="ftext")
+    det = detect_hits(long, profiles, ["_k", "fname"], text="ftext")
     wide = det.groupBy("_k").agg(*[F.max(F.when(F.col("fname") == f, F.col("lang"))).alias(f"lang_{f}")
                                    for f in fields])
     return wide.withColumnRenamed("_k", key)

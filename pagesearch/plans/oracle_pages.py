@@ -214,7 +214,8 @@ ORACLE_PAGES: dict[str, str] = {
         FROM b4 LEFT JOIN rep r ON b4.host = r.host AND b4.h = r.h GROUP BY page_id""",
     "lang_profiles": f"WITH {PROFILE_CTES} SELECT lang, term, cnt, rank, round(p, 9) AS p FROM prof",
     "lang_detect": f"""WITH {PROFILE_CTES}, {detect_ctes("SELECT doc_id, text AS txt FROM documents", ["doc_id"])}
-        SELECT doc_id, {det_lang()} AS lang, best, round(confidence, 6) AS confidence FROM det""",
+        SELECT doc_id, {det_lang()} AS lang, best, round(coalesce(confidence, 0.0), 6) AS confidence
+        FROM documents LEFT JOIN det USING (doc_id)""",
     "lang_field_priority": f"""WITH {PAGES_X}, {PROFILE_CTES},
         fl AS (SELECT page_id, 'title' AS fname, x_title AS txt FROM px WHERE x_title IS NOT NULL AND x_title <> ''
                UNION ALL SELECT page_id, 'excerpt', x_excerpt FROM px WHERE x_excerpt IS NOT NULL AND x_excerpt <> ''
