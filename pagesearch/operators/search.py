@@ -346,9 +346,12 @@ def query_info(clauses: DataFrame, opts: DataFrame | None) -> DataFrame:
     return q.select("query_id", "n_must", "n_should", eff.alias("min_eff"))
 
 
-def combine(hits: DataFrame, clauses: DataFrame, opts: DataFrame | None = None) -> DataFrame:
+def combine(hits: DataFrame, clauses: DataFrame, opts: DataFrame | None = None, detail: bool = False) -> DataFrame:
     """F09 MUST, F10 SHOULD minimum, F11 MUST NOT, F12 boolean, G06 coord.
 
+    With ``detail`` the rows also have the coord and the clauses it is made of
+    (``matched``, ``total``, ``coord``).
+
     One ``groupBy(query_id, doc_id)`` with conditional counts by occur; the
     per-query counts are a small broadcast side."""
     is_must = F.col("occur") == "must"
@@ -359,12 +362,12 @@ def combine(hits: DataFrame, clauses: DataFrame, opts: DataFrame | None = None)
         F.sum(F.when(F.col("occur") == "must_not", 1).otherwise(0)).alias("neg"),
         F.sum(F.when(is_must | is_should, F.col("score")).otherwise(0.0)).alias("raw"))
     qi = F.broadcast(query_info(clauses, opts))
+    matched, total = F.col("m") + F.col("s"), F.col("n_must") + F.col("n_should")
+    parts = [matched.cast("bigint").alias("matched"), total.cast("bigint").alias("total"), (matched / total).alias("coord")]
     return (g.join(qi, "query_id")
             .where((F.col("m") == F.col("n_must")) & (F.col("neg") == 0)
-                   & (F.col("s") >= F.col("min_eff")) & ((F.col("m") + F.col("s")) > 0))
-            .select("query_id", "doc_id",
-                    (F.col("raw") * (F.col("m") + F.col("s")) / (F.col("n_must") + F.col("n_should")))
-                    .alias("score")))
+                   & (F.col("s") >= F.col("min_eff")) & (matched > 0))
+            .select("query_id", "doc_id", *(parts if detail else []), (F.col("raw") * matched / total).alias("score")))
 
 
 def search_scores(index: Index, clauses: DataFrame, opts: DataFrame | None = None) -> DataFrame:

@@ -116,13 +116,8 @@ def q_tfidf_score(spark, sf):
 def q_coord_score(spark, sf):
     index, cl, opts = _batch(spark, sf)
     cl = cl.where(F.col("query_id") == 3)
-    hits = se.clause_hits(cl, index)
-    g = hits.where(F.col("occur") != "must_not").groupBy("query_id", "doc_id").agg(
-        F.count(F.lit(1)).alias("matched"), F.sum("score").alias("raw"))
-    total = cl.where(F.col("occur") != "must_not").groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    out = g.join(F.broadcast(total), "query_id").withColumn("coord", F.col("matched") / F.col("total"))
-    return out.select("query_id", "doc_id", "matched", "total", F.round("coord", 6).alias("coord"),
-                      rounded(F.col("raw") * F.col("coord")).alias("score"))
+    out = se.combine(se.clause_hits(cl, index), cl, detail=True)
+    return out.select("query_id", "doc_id", "matched", "total", F.round("coord", 6).alias("coord"), rounded(F.col("score")).alias("score"))
 
 
 @register("total_hits")
