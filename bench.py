@@ -93,7 +93,7 @@ def run_all(spark, sf_dir: str, times: dict) -> None:
         times[name] = round(time.time() - t0, 3)
 
     path = shared_dir(spark, "bench-index")
-    timed("index_build", lambda: ix.write_index(build_documents_index(spark, sf_dir), path))
+    timed("index_build", lambda: ix.write_index(build_documents_index(spark, sf_dir, co_locate=True), path))
     stored = ix.read_index(spark, path)
 
     frequent = (stored.term_df.where(F.length("term") >= 4).orderBy(F.col("df").desc(), "term")

@@ -10,8 +10,11 @@ Vector-space TF-IDF:
   analysed query terms and multiplies by ``matched / total`` query terms;
 * a phrase scores ``boost * sqrt(phrase_freq) * sum(idf) / sqrt(field_len)``;
 * range, match-all and id clauses score ``boost``;
-* a boolean query sums the scores of its matched MUST and SHOULD clauses and
-  multiplies by ``coord = matched / total`` of those clauses;
+* in a query of several MUST and SHOULD clauses the score of each term or
+  phrase is also multiplied by ``idf * norm`` (a phrase's idf is the sum of its
+  terms'), ``norm = 1 / sqrt(sum((boost * idf)^2))`` over those clauses' terms;
+* a boolean query sums the scores of its matched MUST clauses, and those of its
+  matched SHOULD clauses times ``coord = matched / total`` SHOULD clauses;
 * scores are rounded to ``SCORE_DECIMALS`` on output; ties break on doc id.
 """
 
@@ -35,5 +38,11 @@ def phrase_weight(freq: Column, idf_sum: Column, field_len: Column) -> Column:
     return F.sqrt(freq.cast("double")) * idf_sum / F.sqrt(field_len.cast("double"))
 
 
+def query_factor(norm: Column, idf_col: Column) -> Column:
+    """What a term's weight is multiplied by in its query; ``norm`` is null in
+    a query of one clause."""
+    return F.when(norm.isNull(), F.lit(1.0)).otherwise(norm * idf_col)
+
+
 def rounded(score: Column) -> Column:
     return F.round(score, SCORE_DECIMALS)

@@ -41,7 +41,6 @@ META_DESC_RE = r'(?is)<meta[^>]*name="description"[^>]*content="([^"]*)"'
 META_AUTHOR_RE = r'(?is)<meta[^>]*name="author"[^>]*content="([^"]*)"'
 META_SITE_RE = r'(?is)<meta[^>]*property="og:site_name"[^>]*content="([^"]*)"'
 HTML_LANG_RE = r'(?is)<html[^>]*lang="([a-zA-Z]+)'
-HOST_RE = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)"
 BLOCK_SPLIT_RE = r"(?i)<(?:p|div|li|h[1-6]|tr|br|section|article|nav|footer|header|aside|ul|ol|table)(?:[ \t\n\r\f][^>]*)?/?>"
 
 
@@ -108,7 +107,3 @@ def host_of(url: Column) -> Column:
     """Host of a URL (no port, no user info); null for an invalid URL."""
     return F.try_parse_url(url, F.lit("HOST"))
 
-
-def authority_host(url: Column) -> Column:
-    """Host with port as written in the URL (no parsing), '' when absent."""
-    return F.regexp_extract(url, HOST_RE, 1)

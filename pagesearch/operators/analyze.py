@@ -1,8 +1,9 @@
 """Text analysis chains.
 
-One pass for every language: fields are unpivoted, tokenised, stop words are
-removed with an anti join on (lang, term) and stems come from the distinct
-vocabulary joined back, so no per-language branch and no per-token Python.
+Inside a row (``analysed``): stop words and suffix rules are literals, tokens
+are filtered and stemmed in the array, and nothing is shuffled.  A registry
+with vocabulary functions (pandas UDFs) is applied to the distinct vocabulary
+instead, which is joined back.
 """
 
 from __future__ import annotations
@@ -46,6 +47,50 @@ class AnalyzerRegistry:
 DEFAULT_REGISTRY = AnalyzerRegistry()
 
 
+def placed(toks: Column) -> Column:
+    """array<struct<term, pos>> of an array of tokens."""
+    return F.transform(toks, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+
+
+def keyword_array(col: Column) -> Column:
+    """The value as one token, none if it is null or empty."""
+    return F.when(col != "", F.array(col)).otherwise(F.array().cast("array<string>"))
+
+
+def stem(term: Column, lang: Column, registry: AnalyzerRegistry) -> Column:
+    """D03 for one term: the longest applicable suffix rule of the language,
+    else the term itself."""
+    out = None
+    for code, rules in registry.rules.items():
+        best = None
+        for suffix, repl, excluded in sorted(rules, key=lambda r: -len(r[0])):
+            ok = F.endswith(term, F.lit(suffix)) & (F.length(term) >= F.lit(registry.min_stem + len(suffix) - len(repl)))
+            for e in excluded:
+                ok = ok & ~F.endswith(term, F.lit(e))
+            new = F.concat(F.substring(term, F.lit(1), F.length(term) - F.lit(len(suffix))), F.lit(repl))
+            best = F.when(ok, new) if best is None else best.when(ok, new)
+        if best is not None:
+            here, best = lang == code, best.otherwise(term)
+            out = F.when(here, best) if out is None else out.when(here, best)
+    return term if out is None else out.otherwise(term)
+
+
+def _without(pairs: Column, words: list[str]) -> Column:
+    return F.filter(pairs, lambda x: ~x["term"].isin(words))
+
+
+def analysed(toks: Column, lang: Column, registry: AnalyzerRegistry = DEFAULT_REGISTRY) -> Column:
+    """D02 and D03 inside the row: array<struct<term, pos>> without the stop
+    words of ``lang``, the rest stemmed; positions are those of ``toks``."""
+    if registry.vocab_fns:
+        raise ValueError("vocabulary functions run over a distinct vocabulary: use analyze()")
+    out = placed(toks)
+    for code, words in registry.stops.items():
+        if words.split():
+            out = F.when(lang == code, _without(placed(toks), words.split())).otherwise(out)
+    return F.transform(out, lambda x: F.struct(stem(x["term"], lang, registry).alias("term"), x["pos"].alias("pos")))
+
+
 def drop_stopwords(tokens: DataFrame, stops: DataFrame) -> DataFrame:
     """Remove the stop words of each row's language; positions kept."""
     return tokens.join(F.broadcast(stops), ["lang", "term"], "left_anti")
@@ -102,8 +147,11 @@ def analyze(df: DataFrame, lang_fields: dict[str, str], default_fields: dict[str
               for n, c in lang_fields.items()]
              + [F.struct(F.lit(n).alias("field"), dflt.alias("lang"), token_array(F.col(c)).alias("toks"))
                 for n, c in default_fields.items()])
-    toks = (df.select(F.col(key).alias("doc_id"), F.inline(F.array(*parts)))
-            .select("doc_id", "field", "lang", F.posexplode("toks").alias("pos", "term")))
+    arrays = df.select(F.col(key).alias("doc_id"), F.inline(F.array(*parts)))
+    if not registry.vocab_fns:
+        return (arrays.select("doc_id", "field", "lang", F.explode(analysed(F.col("toks"), F.col("lang"), registry)).alias("t"))
+                .select("doc_id", "field", "lang", F.col("t.pos").cast("bigint").alias("pos"), "t.term"))
+    toks = arrays.select("doc_id", "field", "lang", F.posexplode("toks").alias("pos", "term"))
     kept = drop_stopwords(toks, registry.stop_table(spark))
     return (stem_terms(kept, registry.rule_table(spark), registry.min_stem, registry.vocab_fns)
             .select("doc_id", "field", "lang", F.col("pos").cast("bigint").alias("pos"), "term"))

@@ -1,25 +1,50 @@
 """Inverted index as plain tables.
 
 Layout: ``postings(doc_id, field, term, tf, positions, field_len)``,
-``term_df(field, term, df)``, ``field_len(doc_id, field, n_terms)`` and
-``corpus(field, n_docs, avg_len)``.  ``field_len`` travels inside every
-posting, so scoring never joins back to a per-document table.
+``term_df(field, term, df)``, ``field_len(doc_id, field, n_terms)``,
+``corpus(field, n_docs, avg_len)``, ``docs(doc_id, field, value)`` with the
+typed attributes of range clauses and ``ids(doc_id)``, in the key's own type.
+``field_len`` travels inside every posting, so scoring never joins back to a
+per-document table.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions.text import tokens as token_array
-from pagesearch.session import broadcast_if_small, expand_partitions
+from pagesearch.operators.analyze import DEFAULT_REGISTRY, AnalyzerRegistry, analysed, keyword_array, placed
+from pagesearch.schemas import DEFAULT_LANG
+from pagesearch.session import broadcast_if_small, expand_partitions, materialize
+
+# Spark allows at most 100,000 buckets; a larger source gets larger buckets.
+MAX_BUCKETS = 65_536
+
+
+@dataclass
+class Analysis:
+    """How the fields of an index are analysed; those not named are only split
+    into tokens.  ``langs`` gives the language column of a field (the row's or
+    a fixed one), ``keywords`` the fields that are one term as they stand.
+    Queries on an analysed field are analysed in ``query_lang``."""
+    langs: dict[str, Column] = field(default_factory=dict)
+    keywords: tuple[str, ...] = ()
+    query_lang: str = DEFAULT_LANG
+    registry: AnalyzerRegistry = field(default_factory=lambda: DEFAULT_REGISTRY)
+
+
+def _moved(toks: Column, by: Column) -> Column:
+    return F.transform(toks, lambda x: F.struct(x["term"].alias("term"), (x["pos"] + by).alias("pos")))
 
 
 def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
-                 all_field: str | None = None) -> DataFrame:
-    """One row per (key, field) with the token array; no shuffle.
+                 all_field: str | None = None, analysis: Analysis | None = None) -> DataFrame:
+    """One row per (key, field) with ``toks``, the terms and their positions;
+    no shuffle.
 
     ``fields`` maps an index field name to a column (or expression).  With
     ``all_field`` (D06) one more field holds the tokens of all fields one
@@ -28,32 +53,51 @@ def token_arrays(df: DataFrame, fields: dict[str, Column | str], key: str = "doc
     """
     if not fields:
         raise ValueError("an index needs at least one text field")
-    arrays = [(name, token_array(col)) for name, col in fields.items()]
+    an = analysis or Analysis()
+    cols = {n: F.col(c) if isinstance(c, str) else c for n, c in fields.items()}
+    raw = df.select(F.col(key).alias("doc_id"),
+                    *[(keyword_array(c) if n in an.keywords else token_array(c)).alias(f"_r{i}") for i, (n, c) in enumerate(cols.items())],
+                    *[lang.alias(f"_l{i}") for i, n in enumerate(cols) if (lang := an.langs.get(n)) is not None])
+    done = [analysed(F.col(f"_r{i}"), F.col(f"_l{i}"), an.registry) if n in an.langs else placed(F.col(f"_r{i}"))
+            for i, n in enumerate(cols)]
+    arrays = raw.select("doc_id", *[F.size(F.coalesce(f"_r{i}", F.array().cast("array<string>"))).alias(f"_n{i}") for i in range(len(done))],
+                        *[F.coalesce(t, placed(F.array().cast("array<string>"))).alias(f"_t{i}") for i, t in enumerate(done)])
+    pairs = [F.struct(F.lit(n).alias("field"), F.col(f"_t{i}").alias("toks")) for i, n in enumerate(cols)]
     if all_field:
-        arrays.append((all_field, F.flatten(F.array(*[a for _, a in arrays]))))
-    pairs = [F.struct(F.lit(name).alias("field"), arr.alias("toks")) for name, arr in arrays]
-    return df.select(F.col(key).alias("doc_id"), F.inline(F.array(*pairs)))
+        before, shifted = F.lit(0), []
+        for i in range(len(done)):
+            shifted.append(_moved(F.col(f"_t{i}"), before))
+            before = before + F.col(f"_n{i}")
+        pairs.append(F.struct(F.lit(all_field).alias("field"), F.flatten(F.array(*shifted)).alias("toks")))
+    return arrays.select("doc_id", F.inline(F.array(*pairs)))
 
 
 def explode_tokens(arrays: DataFrame) -> DataFrame:
     """(doc_id, field, field_len, pos, term), positions from 0."""
-    return arrays.select(
-        "doc_id", "field", F.size("toks").alias("field_len"),
-        F.posexplode("toks").alias("pos", "term"))
+    return (arrays.select("doc_id", "field", F.size("toks").alias("field_len"), F.explode("toks").alias("t"))
+            .select("doc_id", "field", "field_len", "t.pos", "t.term"))
 
 
 def tokenize(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id") -> DataFrame:
     return explode_tokens(token_arrays(df, fields, key))
 
 
-def build_postings(tokens: DataFrame) -> DataFrame:
+def build_postings(arrays: DataFrame) -> DataFrame:
     """Term frequency and sorted positions per (doc_id, field, term).
 
-    Partial aggregation runs map-side before the one shuffle."""
-    return (tokens.groupBy("doc_id", "field", "term")
-            .agg(F.count(F.lit(1)).alias("tf"),
-                 F.array_sort(F.collect_list("pos")).alias("positions"),
-                 F.max("field_len").alias("field_len")))
+    A document field is one row, so its postings are made inside the row: the
+    tokens are sorted by (term, pos), and every place where the term changes
+    starts a posting.  Nothing is shuffled."""
+    runs = (arrays.where(F.size("toks") > 0)
+            .select("doc_id", "field", F.sort_array("toks").alias("s"))
+            .select("doc_id", "field", "s", F.filter(
+                F.sequence(F.lit(0), F.size("s") - 1),
+                lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"])).alias("starts")))
+    posting = F.transform("starts", lambda b, k: F.struct(
+        F.get("s", b)["term"].alias("term"),
+        F.transform(F.slice("s", b + 1, F.coalesce(F.get("starts", k + 1), F.size("s")) - b), lambda x: x["pos"]).alias("positions")))
+    return (runs.select("doc_id", "field", F.size("s").alias("field_len"), F.inline(posting))
+            .select("doc_id", "field", "term", F.size("positions").cast("bigint").alias("tf"), "positions", "field_len"))
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:
@@ -87,10 +131,11 @@ def doc_postings(postings: DataFrame, doc_ids: DataFrame) -> DataFrame:
 
 
 def replace_docs(postings: DataFrame, new_postings: DataFrame) -> DataFrame:
-    """Re-indexing a document replaces all its rows (the re-indexed ids
-    are broadcast when checked small, else a sort-merge anti join)."""
-    keep = postings.join(broadcast_if_small(new_postings.select("doc_id").distinct()), "doc_id", "left_anti")
-    return keep.unionByName(new_postings)
+    """Re-indexing a document replaces all its rows.  The new postings are
+    made once and written; the join then knows their size."""
+    new = materialize(new_postings, "new-postings")
+    keep = postings.join(new.select("doc_id").distinct(), "doc_id", "left_anti")
+    return keep.unionByName(new)
 
 
 @dataclass
@@ -100,39 +145,49 @@ class Index:
     field_len: DataFrame
     corpus: DataFrame
     docs: DataFrame          # (doc_id, field, value) typed attributes, long form
+    ids: DataFrame           # (doc_id) of every document
     stored: bool = False     # read back from Parquet: term filters can be pushed
     buckets: int = 0         # postings hash-partitioned by doc_id into this many parts
+    query_langs: dict[str, str] = field(default_factory=dict)   # language that queries on a field are analysed in
+    keywords: tuple[str, ...] = ()                               # fields that are one term as they stand
+    registry: AnalyzerRegistry = field(default_factory=lambda: DEFAULT_REGISTRY)
 
 
 def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
-                all_field: str | None = None, attrs: dict[str, Column | str] | None = None) -> Index:
-    """Index ``fields`` of ``df``; ``attrs`` are typed columns kept for range
-    clauses (numeric, or timestamps as epoch seconds).
-
-    The documents (only the key and the indexed columns) are hash-partitioned
-    by key once; the postings aggregation on (doc_id, field, term) is then
-    satisfied by that partitioning and runs without another exchange, so the
-    exploded tokens are never shuffled."""
-    n = expand_partitions(df)
-    arrays = token_arrays(df.repartition(n, key), fields, key, all_field)
-    postings = build_postings(explode_tokens(arrays))
+                all_field: str | None = None, attrs: dict[str, Column | str] | None = None,
+                analysis: Analysis | None = None, co_locate: bool = False) -> Index:
+    """Index ``fields`` of ``df``, one row per document; ``attrs`` are typed
+    columns kept for range clauses (numeric, or timestamps as epoch seconds).
+
+    Postings, lengths and statistics are made row by row, with no shuffle but
+    that of the counts.  With ``co_locate`` (for a stored index) the documents,
+    only their key and indexed columns, are hash-partitioned by key first, so
+    each task makes the postings of one bucket."""
+    an = analysis or Analysis()
+    arrays = token_arrays(df, fields, key, all_field, an)
+    n, source = 0, arrays
+    if co_locate:
+        n = min(expand_partitions(df), MAX_BUCKETS)
+        source = token_arrays(df.repartition(n, key), fields, key, all_field, an)
+    postings = build_postings(source)
     flen = field_length(arrays)
-    return Index(postings=postings, term_df=doc_freq(postings), field_len=flen,
-                 corpus=corpus_stats(flen), docs=doc_attrs(df, key, attrs or {}), buckets=n)
+    langs = {f: an.query_lang for f in [*an.langs, *([all_field] if all_field and an.langs else [])]}
+    return Index(postings=postings, term_df=doc_freq(postings), field_len=flen, corpus=corpus_stats(flen),
+                 docs=doc_attrs(df, key, attrs or {}), ids=df.select(F.col(key).alias("doc_id")), buckets=n,
+                 query_langs=langs, keywords=tuple(an.keywords), registry=an.registry)
 
 
 def doc_attrs(df: DataFrame, key: str, attrs: dict[str, Column | str]) -> DataFrame:
     """Long form (doc_id, field, value double) of the typed columns used by
-    range clauses, plus ``_doc`` = doc_id for every document (match-all is an
-    unbounded range on it)."""
-    cols = {"_doc": F.col(key)}
-    cols.update({k: (F.col(v) if isinstance(v, str) else v) for k, v in attrs.items()})
+    range clauses."""
     pairs = []
-    for name, c in cols.items():
+    for name, c in attrs.items():
+        c = F.col(c) if isinstance(c, str) else c
         dtype = df.select(c).schema[0].dataType.typeName()
         val = F.unix_micros(c.cast("timestamp")) / F.lit(1e6) if dtype.startswith("timestamp") else c
         pairs.append(F.struct(F.lit(name).alias("field"), val.cast("double").alias("value")))
-    return df.select(F.col(key).alias("doc_id"), F.inline(F.array(*pairs)))
+    pairs = F.array(*pairs) if pairs else F.array().cast("array<struct<field:string,value:double>>")
+    return df.select(F.col(key).alias("doc_id"), F.inline(pairs))
 
 
 def _table_name(path: str) -> str:
@@ -140,8 +195,21 @@ def _table_name(path: str) -> str:
     return "postings_" + hashlib.md5(path.encode()).hexdigest()[:16]
 
 
+def _versions(spark, path: str) -> list[tuple[int, bool]]:
+    """Number of each version folder under ``path``, and whether it is complete
+    (``_meta`` is written last)."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    root = Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted((int(n[1:]), fs.exists(Path(f"{path}/{n}/_meta/_SUCCESS"))) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
 def write_index(index: Index, path: str) -> None:
-    """Persist the index under ``path``.
+    """Persist the index as the next version under ``path``; what readers of an
+    earlier version have open stays as it is.
 
     Postings are written as a table bucketed by ``doc_id`` into the same
     number of parts the build partitioned the documents into (Spark buckets
@@ -153,43 +221,76 @@ def write_index(index: Index, path: str) -> None:
     groups.  Postings are never repartitioned by term (a hot term would be
     one task).
 
-    The postings aggregation runs once: document frequencies are derived from
+    The postings are made once: document frequencies are derived from
     the written postings (one shuffle with map-side partial counts), field
     lengths as well (``field_len`` travels in every posting)."""
     spark = index.postings.sparkSession
-    buckets = index.buckets or expand_partitions(index.postings)
+    path = f"{path}/v{max([n for n, _ in _versions(spark, path)], default=0) + 1:06d}"
+    buckets = index.buckets or min(expand_partitions(index.ids), MAX_BUCKETS)
+    postings = index.postings if index.buckets else index.postings.repartition(buckets, "doc_id")
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (index.postings.write.format("parquet").partitionBy("field")
+    (postings.write.format("parquet").partitionBy("field")
      .bucketBy(buckets, "doc_id").sortBy("term")
      .option("path", f"{path}/postings").saveAsTable(name))
-    spark.createDataFrame([(buckets,)], "buckets int").write.mode("overwrite").json(f"{path}/_meta")
-    postings = spark.read.parquet(f"{path}/postings")
+    postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
     (doc_freq(postings).sortWithinPartitions("field", "term")
-     .write.mode("overwrite").partitionBy("field").parquet(f"{path}/term_df"))
+     .write.partitionBy("field").parquet(f"{path}/term_df"))
     flen = (postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms")))
-    flen.write.mode("overwrite").parquet(f"{path}/field_len")
+    flen.write.parquet(f"{path}/field_len")
     flen = spark.read.parquet(f"{path}/field_len")
-    corpus_stats(flen).write.mode("overwrite").parquet(f"{path}/corpus")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    corpus_stats(flen).write.parquet(f"{path}/corpus")
+    index.docs.write.partitionBy("field").parquet(f"{path}/docs")
+    index.ids.write.parquet(f"{path}/ids")
+    reg = index.registry
+    meta = {"buckets": buckets, "query_langs": index.query_langs, "keywords": list(index.keywords),
+            "stops": reg.stops, "rules": reg.rules, "min_stem": reg.min_stem}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/_meta")
 
 
 def read_index(spark, path: str) -> Index:
-    """Open a stored index; the bucketed postings table is registered over
-    its files when this session does not know it yet."""
-    r = spark.read
+    """Open the latest complete version of a stored index; the bucketed
+    postings table is registered over its files when this session does not
+    know it yet."""
+    done = [n for n, complete in _versions(spark, path) if complete]
+    if not done:
+        raise FileNotFoundError(f"no complete index under {path}")
+    path = f"{path}/v{done[-1]:06d}"
     name = _table_name(path)
-    buckets = r.json(f"{path}/_meta").first().buckets
+    meta = json.loads(spark.read.parquet(f"{path}/_meta").first().meta)
+    ids = spark.read.parquet(f"{path}/ids")
+    key = ids.schema["doc_id"].dataType.simpleString()
+    term_cols = "term string, tf bigint, positions array<int>, field_len int"
     if not spark.catalog.tableExists(name):
-        schema = r.parquet(f"{path}/postings").schema
-        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet PARTITIONED BY (field) "
-                  f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS "
+        spark.sql(f"CREATE TABLE {name} (doc_id {key}, {term_cols}, field string) USING parquet PARTITIONED BY (field) "
+                  f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {meta['buckets']} BUCKETS "
                   f"LOCATION '{path}/postings'")
         spark.catalog.recoverPartitions(name)
-    return Index(postings=spark.table(name), term_df=r.parquet(f"{path}/term_df"),
-                 field_len=r.parquet(f"{path}/field_len"), corpus=r.parquet(f"{path}/corpus"),
-                 docs=r.parquet(f"{path}/docs"), stored=True, buckets=buckets)
+    registry = AnalyzerRegistry(meta["stops"], {k: [tuple(x) for x in v] for k, v in meta["rules"].items()}, min_stem=meta["min_stem"])
+    return Index(postings=spark.table(name), term_df=spark.read.schema("term string, df bigint, field string").parquet(f"{path}/term_df"),
+                 field_len=spark.read.parquet(f"{path}/field_len"), corpus=spark.read.parquet(f"{path}/corpus"),
+                 docs=spark.read.schema(f"doc_id {key}, value double, field string").parquet(f"{path}/docs"), ids=ids,
+                 stored=True, buckets=meta["buckets"], query_langs=meta["query_langs"],
+                 keywords=tuple(meta["keywords"]), registry=registry)
+
+
+def refresh_index(spark, path: str, new: Index) -> None:
+    """A07 on a stored index: the documents of ``new`` replace all rows they
+    had, others stay; written as the next version of ``path``."""
+    old = read_index(spark, path)
+    ids = materialize(new.ids.distinct(), "refreshed-ids")
+
+    def merged(before: DataFrame, after: DataFrame) -> DataFrame:
+        return before.join(ids, "doc_id", "left_anti").unionByName(after)
+    write_index(replace(old, postings=merged(old.postings, new.postings), docs=merged(old.docs, new.docs),
+                        ids=merged(old.ids, ids), stored=False, buckets=0), path)
+
+
+def field_summary(index: Index) -> DataFrame:
+    """G09 by field: documents with the field, distinct terms, tokens."""
+    terms = index.term_df.groupBy("field").agg(F.count(F.lit(1)).alias("n_terms"))
+    tokens = index.field_len.groupBy("field").agg(F.sum("n_terms").cast("bigint").alias("n_tokens"))
+    return index.corpus.select("field", "n_docs").join(terms, "field").join(tokens, "field")
 
 
 def index_summary(store: DataFrame) -> DataFrame:

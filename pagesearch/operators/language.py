@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagesearch.session import by_key, materialize
+from pagesearch.session import materialize
 from pagesearch.schemas import DEFAULT_LANG, LANG_MIN_CONFIDENCE, SUPPORTED_LANGS, TEXT_FIELDS
 
 # FIXED VALUES: detection tokens are runs of letters; a term missing from a
@@ -53,54 +53,48 @@ def train_profiles(docs: DataFrame, k: int = PROFILE_SIZE, text: str = "text",
 
 def detect_lang(texts: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
                 min_conf: float = LANG_MIN_CONFIDENCE, floor: float = PROB_FLOOR) -> DataFrame:
-    """Language and confidence of every text: those of ``detect_hits``; a
-    text without any profile term gets ``en``, confidence 0 and no best.
-    Output, one row per key: keys, ``best``, ``confidence``, ``lang``."""
-    hits = detect_hits(texts, profiles, keys, text, min_conf, floor)
-    return (texts.select(*keys).distinct().join(hits, keys, "left")
-            .select(*keys, "best", F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-                    F.coalesce("lang", F.lit(DEFAULT_LANG)).alias("lang")))
-
-
-def detect_hits(texts: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
-                min_conf: float = LANG_MIN_CONFIDENCE, floor: float = PROB_FLOOR) -> DataFrame:
-    """Best language of each text with a profile term, and its confidence.
+    """Language and confidence of every text, one row per key: keys,
+    ``best``, ``confidence``, ``lang``.
 
     Score of language l: sum over the text's tokens of ``ln p_l(t)``, ``p``
     floored at ``floor``.  Tokens in no profile add the same amount to every
     language and the confidence ``1 / sum_l exp(s_l - s_max)`` does not change
-    under a common shift, so only profile terms are kept:
-    ``s_l = sum tf * (ln p_l(t) - ln floor)``, 0 for a language with no hit.
+    under a common shift, so only profile terms count:
+    ``s_l = sum (ln p_l(t) - ln floor)``, 0 for a language with no hit.
     The best language (ties: smallest code) is accepted above ``min_conf``,
-    else ``en``.  A text without any profile term gets no row (callers fall
-    back).  Output: keys, ``lang``, ``confidence``, ``best``."""
+    else ``en``.  A text without any profile term gets ``en``, confidence 0
+    and no best.
+
+    Tokens meet the profiles where they are read and are summed there to one
+    row per text and language, which is all that is shuffled."""
     # profiles hold at most k terms per language: written once, then read
     profiles = materialize(profiles.select("lang", "term", "p"), "profiles")
     n_langs = profiles.select("lang").distinct().count()
     prof = profiles.select("lang", "term", (F.log("p") - F.lit(math.log(floor))).alias("lp"))
-    vocab = profiles.select("term").distinct()
-    # One exchange of the texts by key; the three aggregations below group on
-    # supersets of the key and reuse that partitioning (no token shuffle).
-    toks = (by_key(texts, *keys).select(*keys, F.explode(lang_tokens(F.col(text))).alias("term"))
-            .join(F.broadcast(vocab), "term", "left_semi")
-            .groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf")))
-    per_lang = (toks.join(F.broadcast(prof), "term")
-                .groupBy(*keys, "lang").agg(F.sum(F.col("tf") * F.col("lp")).alias("s")))
+    per_lang = (texts.select(*keys, F.explode_outer(lang_tokens(F.col(text))).alias("term"))
+                .join(F.broadcast(prof), "term", "left")
+                .groupBy(*keys, "lang").agg(F.sum("lp").alias("s")))
     per_text = per_lang.groupBy(*keys).agg(
         F.max("s").alias("s_hit"),
-        F.min_by("lang", F.struct((-F.col("s")).alias("ns"), F.col("lang").alias("l"))).alias("best"),
+        F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("s")).alias("ns"), F.col("lang").alias("l"))))["l"].alias("best"),
         F.collect_list("s").alias("ss"),
-        F.count(F.lit(1)).alias("n_hit"))
+        F.count("lang").alias("n_hit"))
     missing = F.lit(n_langs) - F.col("n_hit")
     s_max = F.greatest(F.col("s_hit"), F.when(missing > 0, F.lit(0.0)))
     denom = (F.aggregate("ss", F.lit(0.0), lambda acc, x: acc + F.exp(x - s_max))
              + missing * F.exp(-s_max))
-    conf = F.lit(1.0) / denom
+    conf = F.when(F.col("n_hit") > 0, F.lit(1.0) / denom).otherwise(F.lit(0.0))
     return per_text.select(*keys, "best", conf.alias("confidence"),
                            F.when(conf > F.lit(min_conf), F.col("best"))
                            .otherwise(F.lit(DEFAULT_LANG)).alias("lang"))
 
 
+def detect_hits(texts: DataFrame, profiles: DataFrame, keys: list[str], text: str = "text",
+                min_conf: float = LANG_MIN_CONFIDENCE, floor: float = PROB_FLOOR) -> DataFrame:
+    """``detect_lang`` of the texts that have a profile term."""
+    return detect_lang(texts, profiles, keys, text, min_conf, floor).where(F.col("best").isNotNull())
+
+
 def pick_lang(df: DataFrame, title_l: str = "lang_title", excerpt_l: str = "lang_excerpt",
               text_l: str = "lang_text") -> DataFrame:
     """Every non-empty field's detection overwrites the previous one in

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagesearch.functions import scoring
+from pagesearch.operators import search as se
+from pagesearch.operators.index import Index
 from pagesearch.session import broadcast_if_small, materialize
 
 # FIXED VALUES: highlight marks, fragment size, token boundary and HTML escapes.
@@ -68,10 +71,11 @@ def highlight(hits: DataFrame, store: DataFrame, qterms: DataFrame, field: str =
 
 def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = None,
            bands: dict[str, list[float]] | None = None, key: str = "doc_id",
-           top_n: int | None = None) -> DataFrame:
+           top_n: int | None = None, dates: dict[str, str] | None = None) -> DataFrame:
     """Matched documents per query counted by the value of a field
-    (``terms``: facet name -> column of ``docs``) and by numeric bands
-    (``bands``: column -> ascending edges; bucket label ``lo-hi``).  With
+    (``terms``: facet name -> column of ``docs``), by numeric bands
+    (``bands``: column -> ascending edges; bucket label ``lo-hi``) and by date
+    bands (``dates``: column -> year, month, day or hour; label its start).  With
     ``top_n`` only the ``top_n`` largest buckets of each (query, facet) are
     kept (count desc, bucket asc; a literal bound, so WindowGroupLimit)."""
     terms = terms or {}
@@ -88,6 +92,8 @@ def facets(matches: DataFrame, docs: DataFrame, terms: dict[str, str] | None = N
             expr = F.when(cond, lab) if expr is None else expr.when(cond, lab)
         expr = expr.otherwise(F.lit("other")) if expr is not None else F.lit("other")
         parts.append(F.struct(F.lit(col).alias("facet"), expr.alias("bucket")))
+    for col, unit in (dates or {}).items():
+        parts.append(F.struct(F.lit(col).alias("facet"), F.date_format(F.date_trunc(unit, F.col(col)), "yyyy-MM-dd HH:mm").alias("bucket")))
     counts = (d.select("query_id", F.inline(F.array(*parts)))
               .groupBy("query_id", "facet", "bucket").agg(F.count(F.lit(1)).alias("n")))
     if top_n is None:
@@ -101,14 +107,49 @@ def _num(x) -> str:
     return str(int(x)) if float(x).is_integer() else str(x)
 
 
-def explain(page: DataFrame, matches: DataFrame) -> DataFrame:
-    """Flat score breakdown for each returned hit: per clause and matched
-    term tf, df, idf, field length, boost and the term weight."""
-    page = materialize(page.select("query_id", "doc_id", "rank"), "page")
-    return (broadcast_if_small(page).join(matches, ["query_id", "doc_id"])
-            .select("query_id", "rank", "doc_id", "clause_id", "occur", "term", "tf", "df",
-                    F.round("idf", 6).alias("idf"), F.col("field_len").cast("bigint").alias("field_len"),
-                    "boost", F.round("w", 6).alias("weight")))
+def explain(page: DataFrame, index: Index, clauses: DataFrame, opts: DataFrame | None = None) -> DataFrame:
+    """Flat score breakdown of each returned hit, for every kind of
+    clause: one row per matched term of a term-like clause, one per phrase
+    (``tf`` its frequency, ``idf`` the sum) and one per range, id or match-all
+    clause.  ``contribution`` is what the row adds to the hit's score, coord
+    included; a hit's contributions add up to its score.  MUST NOT clauses
+    add nothing and have no rows."""
+    page = broadcast_if_small(materialize(page.select("query_id", "doc_id", "rank"), "page"))
+    cl = se.with_implicit_all(clauses)
+    batch = se.batch_of(cl)
+    shown = cl.where(F.col("occur") != "must_not")
+    keep = [*se.CKEYS, "doc_id", "term", "tf", "df", "idf", "field_len", "boost", "norm", "weight", "part"]
+    parts = []
+    m = se.lookup(cl, index, batch)
+    if m is not None:
+        m = m.where(F.col("occur") != "must_not").join(page.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+        t = m.where(~F.col("_ph")).withColumn("weight", scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len")))
+        clause = Window.partitionBy("query_id", "clause_id", "doc_id")
+        matched = F.size(F.collect_set("slot").over(clause)) / F.col("n_slots")
+        part = F.col("boost") * F.col("weight") * scoring.query_factor(F.col("norm"), F.col("idf")) * matched
+        parts.append(t.withColumn("part", part).select(*keep))
+        p = se.phrase_starts(m).withColumns({"weight": scoring.phrase_weight(F.col("freq"), F.col("idf_sum"), F.col("field_len"))})
+        part = F.col("boost") * F.col("weight") * scoring.query_factor(F.col("norm"), F.col("idf_sum"))
+        parts.append(p.select(*se.CKEYS, "doc_id", F.lit(None).cast("string").alias("term"), F.col("freq").alias("tf"),
+                              F.lit(None).cast("bigint").alias("df"), F.col("idf_sum").alias("idf"), "field_len", "boost", "norm",
+                              "weight", part.alias("part")))
+    flat = {"range": se.range_hits, "all": se.all_hits, "ids": se.id_hits}
+    for hits in flat.values():
+        h = hits(shown, index, batch)
+        parts.append(h.select(*se.CKEYS, "doc_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("bigint").alias("tf"),
+                              F.lit(None).cast("bigint").alias("df"), F.lit(None).cast("double").alias("idf"),
+                              F.lit(None).cast("int").alias("field_len"), F.col("score").alias("boost"),
+                              F.lit(None).cast("double").alias("norm"), F.lit(None).cast("double").alias("weight"), F.col("score").alias("part")))
+    rows = reduce(DataFrame.unionByName, parts).join(page, ["query_id", "doc_id"])
+    totals = batch.side(se.query_info(cl, opts).select("query_id", "n_should"))
+    hit = Window.partitionBy("query_id", "doc_id")
+    should = F.col("occur") == "should"
+    coord = F.size(F.collect_set(F.when(should, F.col("clause_id"))).over(hit)) / F.col("n_should")
+    return (rows.join(totals, "query_id").withColumn("coord", F.when(should, coord).otherwise(F.lit(1.0)))
+            .select("query_id", "rank", "doc_id", "clause_id", "occur", "term", "tf", "df", F.round("idf", 6).alias("idf"),
+                    F.col("field_len").cast("bigint").alias("field_len"), "boost", F.round("norm", 6).alias("norm"),
+                    F.round("weight", 6).alias("weight"), F.round("coord", 6).alias("coord"),
+                    F.round(F.col("part") * F.col("coord"), 6).alias("contribution")))
 
 
 def any_of(hit_sets: list[DataFrame]) -> DataFrame:

@@ -12,38 +12,55 @@ terms up with a broadcast join, so a hot term is never a shuffle key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagesearch.functions import scoring
 from pagesearch.functions.text import tokens as token_array
+from pagesearch.operators.analyze import analysed, keyword_array, placed
 from pagesearch.operators.index import Index
-from pagesearch.schemas import DEFAULT_FROM, DEFAULT_SIZE
-from pagesearch.session import BROADCAST_MAX_ROWS, fits, materialize
+from pagesearch.schemas import CLAUSE_KINDS, DEFAULT_FROM, DEFAULT_SIZE
+from pagesearch.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits, materialize
 
 CKEYS = ["query_id", "clause_id", "occur"]
-TERM_KINDS = ["term", "prefix", "wildcard", "match"]
+TERM_KINDS = ["term", "prefix", "wildcard", "regexp", "match"]
 PHRASE_KINDS = ["match_phrase", "phrase"]
-RANGE_KINDS = ["numeric_range", "date_range", "all"]
+RANGE_KINDS = ["numeric_range", "date_range"]
 
-# Largest pushed term list for a stored index; beyond it the lookup is a join.
+# Up to so many distinct terms are pushed into the scan of a stored index as
+# well; the join that gives the result is the same for any number.
 PUSHDOWN_MAX_TERMS = 5_000
 
 # A clause batch is the query side of every join here: it and the tables
 # derived from it row by row (ranges, ids, per-query counts, paging options)
-# are broadcast, so its size is checked once per search.  Larger workloads
-# run as several batches.
-MAX_BATCH_CLAUSES = 100_000
+# are broadcast up to this many bytes of clauses; beyond, the planner chooses.
+BROADCAST_CLAUSE_BYTES = 8 << 20
+CLAUSE_ROW_BYTES = 100
+RANGE_BINS = 256
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df
+
+
+@dataclass
+class Batch:
+    """Clause kinds present in a batch (``match~`` for fuzzy match) and the
+    join hint for its side."""
+    kinds: set[str]
+    side: Callable[[DataFrame], DataFrame]
 
 
-def batch_kinds(clauses: DataFrame) -> set[str]:
-    """Clause kinds present in a batch (``match~`` for fuzzy match), read in
-    the same pass that checks the batch size (no shuffle)."""
-    rows = (clauses.select("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz"))
-            .limit(MAX_BATCH_CLAUSES + 1).collect())
-    if len(rows) > MAX_BATCH_CLAUSES:
-        raise ValueError(f"a clause batch holds at most {MAX_BATCH_CLAUSES} rows; split it by query_id")
-    return {r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}
+def batch_of(clauses: DataFrame) -> Batch:
+    """One aggregation over the clauses (a row per kind) for any batch size."""
+    size = F.coalesce(F.octet_length(F.array_join("terms", " ")), F.lit(0)) + F.lit(CLAUSE_ROW_BYTES)
+    rows = (clauses.where(F.col("kind").isin(CLAUSE_KINDS))
+            .groupBy("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz")).agg(F.sum(size).alias("bytes")).collect())
+    small = sum(r.bytes for r in rows) <= BROADCAST_CLAUSE_BYTES
+    return Batch({r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}, F.broadcast if small else _plain)
 
 
 def _kind(clauses: DataFrame, kinds: list[str]) -> DataFrame:
@@ -71,6 +88,23 @@ def _literal_prefix(pattern: Column) -> Column:
     return F.regexp_extract(pattern, r"^([^*?]*)", 1)
 
 
+def _regexp_prefix(pattern: Column) -> Column:
+    """Letters and digits that every match of a pattern begins with: those
+    before its first other character, less the last one if that may be
+    repeated or left out; none if there are alternatives."""
+    lead = F.regexp_extract(pattern, r"^([\p{L}\p{N}]*)(?![\p{L}\p{N}*?{])", 1)
+    return F.when(F.contains(pattern, F.lit("|")), F.lit("")).otherwise(lead)
+
+
+def analysed_query(index: Index) -> Column:
+    """array<struct<term, pos>> of a match clause's text, by the chain of its field."""
+    text = F.array_join("terms", " ")
+    out = placed(token_array(text))
+    for name, lang in index.query_langs.items():
+        out = F.when(F.col("field") == name, analysed(token_array(text), F.lit(lang), index.registry)).otherwise(out)
+    return F.when(F.col("field").isin(*index.keywords), placed(keyword_array(text))).otherwise(out) if index.keywords else out
+
+
 def _keyed_vocab(vocab: DataFrame) -> DataFrame:
     """Each vocabulary term three times, keyed by its first 0, 1 and 2
     characters, so a clause joins on the longest key its prefix allows."""
@@ -81,22 +115,23 @@ def _keyed_vocab(vocab: DataFrame) -> DataFrame:
                             F.struct(F.lit(2).alias("_klen"), F.col("k2").alias("_key")))))
 
 
-def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column) -> DataFrame:
+def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column, side) -> DataFrame:
     """Equi join on (field, first one or two characters) then verify; a prefix
     shorter than that matches on field alone."""
     c = cl.withColumn("_p", prefix)
     c = (c.withColumn("_klen", F.least(F.length("_p"), F.lit(2)))
          .withColumn("_key", F.left("_p", F.col("_klen"))))
-    return (_keyed_vocab(vocab).join(F.broadcast(c), ["field", "_klen", "_key"])
+    return (_keyed_vocab(vocab).join(side(c), ["field", "_klen", "_key"])
             .where(F.startswith("term", "_p")))
 
 
-def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None) -> DataFrame:
+def expand_terms(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
     """(query_id, clause_id, occur, field, boost, slot, n_slots, term) for term,
-    prefix, wildcard and match clauses.  ``slot`` numbers the query terms of a
-    match clause (for its coord).  Only the expansion joins for the kinds in
-    ``kinds`` are planned (all when not given)."""
-    kinds = kinds if kinds is not None else {"term", "match", "match~", "prefix", "wildcard"}
+    prefix, wildcard, regexp and match clauses.  ``slot`` numbers the query
+    terms of a match clause (for its coord).  Only the expansion joins for the
+    kinds in the batch are planned."""
+    batch = batch or batch_of(clauses)
+    kinds, side = batch.kinds, batch.side
     cl = _defaults(_kind(clauses, TERM_KINDS))
     base = CKEYS + ["field", "boost"]
 
@@ -107,9 +142,9 @@ def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None
     # match: analyse the query text with the index analyser, one slot per token
     analysed = (cl.where(F.col("kind") == "match")
                 .select(*base, "fuzziness", "prefix_length",
-                        token_array(F.array_join("terms", " ")).alias("qt"))
-                .select("*", F.size("qt").alias("n_slots"), F.posexplode("qt").alias("slot", "qterm"))
-                .drop("qt"))
+                        analysed_query(index).alias("qt"))
+                .select("*", F.size("qt").alias("n_slots"), F.explode("qt").alias("t"))
+                .select(*base, "fuzziness", "prefix_length", "n_slots", F.col("t.pos").alias("slot"), F.col("t.term").alias("qterm")))
     match_exact = (analysed.where(F.col("fuzziness") == 0)
                    .select(*base, "slot", "n_slots", F.col("qterm").alias("term")))
 
@@ -122,22 +157,29 @@ def expand_terms(clauses: DataFrame, index: Index, kinds: set[str] | None = None
                                               F.length("qterm") + F.col("fuzziness"))).alias("len"))
           .withColumn("_klen", F.least(F.col("prefix_length"), F.lit(2)))
           .withColumn("_key", F.left("qterm", F.col("_klen"))))
-    fuzzy = (_keyed_vocab(vocab).join(F.broadcast(fz), ["field", "len", "_klen", "_key"])
+    fuzzy = (_keyed_vocab(vocab).join(side(fz), ["field", "len", "_klen", "_key"])
              .where((F.left("term", F.col("prefix_length")) == F.left("qterm", F.col("prefix_length")))
                     & (F.levenshtein("term", "qterm") <= F.col("fuzziness")))
              .select(*base, "slot", "n_slots", "term"))
 
     pre = cl.where(F.col("kind") == "prefix")
-    prefix = (_prefix_key_join(vocab, pre, F.col("terms")[0])
+    prefix = (_prefix_key_join(vocab, pre, F.col("terms")[0], side)
               .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
 
-    wc = cl.where(F.col("kind") == "wildcard").withColumn(
-        "_like", F.replace(F.replace(F.col("terms")[0], F.lit("*"), F.lit("%")), F.lit("?"), F.lit("_")))
-    wild = (_prefix_key_join(vocab, wc, _literal_prefix(F.col("terms")[0]))
-            .where(F.expr("term like _like"))
+    like = F.col("terms")[0]
+    for plain, pattern in [("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("*", "%"), ("?", "_")]:
+        like = F.replace(like, F.lit(plain), F.lit(pattern))
+    wc = cl.where(F.col("kind") == "wildcard").withColumn("_like", like)
+    wild = (_prefix_key_join(vocab, wc, _literal_prefix(F.col("terms")[0]), side)
+            .where(F.like(F.col("term"), F.col("_like")))
             .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
 
-    parts = [(exact, "term"), (match_exact, "match"), (fuzzy, "match~"), (prefix, "prefix"), (wild, "wildcard")]
+    rx = cl.where(F.col("kind") == "regexp").withColumn("_rx", F.concat(F.lit("^(?:"), F.col("terms")[0], F.lit(r")\z")))
+    regexp = (_prefix_key_join(vocab, rx, _regexp_prefix(F.col("terms")[0]), side)
+              .where(F.regexp_like("term", F.col("_rx")))
+              .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
+
+    parts = [(exact, "term"), (match_exact, "match"), (fuzzy, "match~"), (prefix, "prefix"), (wild, "wildcard"), (regexp, "regexp")]
     chosen = [df for df, k in parts if k in kinds] or [exact]
     out = chosen[0]
     for df in chosen[1:]:
@@ -154,129 +196,161 @@ def with_idf(qterms: DataFrame, index: Index) -> DataFrame:
             .withColumn("idf", scoring.idf(F.col("df"), F.col("n_docs"))))
 
 
-def _lookup(index: Index, qterms: DataFrame) -> DataFrame:
-    """Postings of the expanded terms.  The term side is broadcast when its row
-    count is checked small; on a stored index the term list is also pushed to
-    the Parquet scan so only row groups holding those terms are read."""
+def with_norm(qterms: DataFrame, clauses: DataFrame) -> DataFrame:
+    """Attach the query norm: 1 / sqrt(sum (boost * idf)^2) over the terms of
+    the MUST and SHOULD clauses, a phrase counting once with the sum of its
+    idf; null for a query with one such clause, whose score has no norm."""
+    scoring_clause = F.col("occur") != "must_not"
+    several = (clauses.where(scoring_clause).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > 1).select("query_id"))
+    per_clause = qterms.where(scoring_clause).groupBy("query_id", "clause_id", "_ph").agg(
+        F.first("boost").alias("boost"), F.sum("idf").alias("s"), F.sum(F.col("idf") * F.col("idf")).alias("sq"))
+    part = F.col("boost") * F.col("boost") * F.when(F.col("_ph"), F.col("s") * F.col("s")).otherwise(F.col("sq"))
+    norm = (per_clause.groupBy("query_id").agg(F.sum(part).alias("_sum")).join(several, "query_id")
+            .select("query_id", F.when(F.col("_sum") > 0, 1 / F.sqrt("_sum")).otherwise(F.lit(0.0)).alias("norm")))
+    return qterms.join(norm, "query_id", "left")
+
+
+def lookup(clauses: DataFrame, index: Index, batch: Batch | None = None, phrases: bool = True,
+           terms: bool = True) -> DataFrame | None:
+    """Postings of the terms of term-like and phrase (``_ph``) clauses, with
+    df, idf and norm; None if the batch has none.  The term side is broadcast
+    when its row count is checked small; on a stored index a list of up to
+    ``PUSHDOWN_MAX_TERMS`` terms is also pushed to the Parquet scan, so only
+    row groups holding those terms are read."""
+    batch = batch or batch_of(clauses)
+    plain = {k.rstrip("~") for k in batch.kinds}
+    parts = []
+    if terms and plain & set(TERM_KINDS):
+        parts.append(expand_terms(clauses, index, batch).withColumn("_ph", F.lit(False)))
+    if phrases and plain & set(PHRASE_KINDS):
+        parts.append(phrase_slots(clauses, index).withColumn("_ph", F.lit(True)))
+    if not parts:
+        return None
+    qterms = with_idf(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), index)
     postings = index.postings
     if index.stored:
-        qterms = materialize(qterms, "query-terms")
+        qterms = materialize(with_norm(materialize(qterms, "query-terms"), clauses), "query-norms")
         keys = qterms.select("term").distinct().limit(PUSHDOWN_MAX_TERMS + 1).collect()
         if len(keys) <= PUSHDOWN_MAX_TERMS:
             postings = postings.where(F.col("term").isin([r.term for r in keys]))
+    else:
+        qterms = with_norm(qterms, clauses)
     side = F.broadcast(qterms) if fits(qterms, BROADCAST_MAX_ROWS) else qterms
     return postings.join(side, ["field", "term"])
 
 
-def term_matches(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
-    """Per (query, clause, slot, term, doc): tf, idf, field_len and weight (the
-    factors kept for explain)."""
-    if m is None:
-        m = _lookup(index, with_idf(expand_terms(clauses, index), index))
+def term_matches(clauses: DataFrame, index: Index) -> DataFrame:
+    """Per (query, clause, slot, term, doc) of the term-like clauses: tf, idf,
+    field_len, norm and weight."""
+    m = lookup(clauses, index, phrases=False)
     return m.select(*CKEYS, "field", "boost", "slot", "n_slots", "term", "doc_id",
-                    "tf", "df", "idf", "field_len",
+                    "tf", "df", "idf", "field_len", "norm",
                     scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len")).alias("w"))
 
 
-def term_hits(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
-    """F01 term, F02 prefix, F05 match, F06 fuzzy match, F15 wildcard."""
-    m = term_matches(clauses, index, m)
-    return (m.groupBy(*CKEYS, "doc_id")
-            .agg(F.sum("w").alias("sw"), F.first("boost").alias("boost"),
-                 F.size(F.collect_set("slot")).alias("matched"), F.first("n_slots").alias("n_slots"))
-            .select(*CKEYS, "doc_id",
-                    (F.col("boost") * F.col("sw") * F.col("matched") / F.col("n_slots")).alias("score")))
-
-
-def phrase_slots(clauses: DataFrame) -> DataFrame:
-    """Non-gap slots of phrase clauses: (CKEYS, field, boost, slot, n_slots, term)."""
+def phrase_slots(clauses: DataFrame, index: Index) -> DataFrame:
+    """Slots of phrase clauses: (CKEYS, field, boost, slot, n_slots, term).
+    Gaps, and stop words of an analysed match_phrase, are no slots but keep
+    the places of the others."""
     cl = _defaults(_kind(clauses, PHRASE_KINDS))
-    slots = cl.select(*CKEYS, "field", "boost",
-                      F.when(F.col("kind") == "match_phrase",
-                             token_array(F.array_join("terms", " ")))
-                      .otherwise(F.col("terms")).alias("qt"))
-    return (slots.select("*", F.posexplode("qt").alias("slot", "term"))
-            .where(F.col("term").isNotNull())
-            .withColumn("n_slots", F.count(F.lit(1)).over(Window.partitionBy("query_id", "clause_id")))
-            .drop("qt"))
+    slots = cl.select(*CKEYS, "field", "boost", F.filter(
+        F.when(F.col("kind") == "match_phrase", analysed_query(index)).otherwise(placed(F.col("terms"))),
+        lambda x: x["term"].isNotNull()).alias("qt"))
+    return (slots.select("*", F.size("qt").alias("n_slots"), F.explode("qt").alias("t"))
+            .select(*CKEYS, "field", "boost", F.col("t.pos").alias("slot"), "n_slots", F.col("t.term").alias("term")))
 
 
-def phrase_hits(clauses: DataFrame, index: Index, m: DataFrame | None = None) -> DataFrame:
-    """F07 match_phrase (analysed text) and F08 phrase (terms with null gaps).
+def phrase_starts(m: DataFrame) -> DataFrame:
+    """F07 match_phrase (analysed text) and F08 phrase (terms with null gaps):
+    (query, clause, doc, freq, idf_sum, ...) of the documents with the phrase.
 
     Each posting's positions are exploded and shifted by the slot of its term;
     a phrase starts where all non-gap slots meet: one ``groupBy`` on
     (query, clause, doc, start), any phrase length, no self-joins."""
-    if m is None:
-        m = _lookup(index, with_idf(phrase_slots(clauses), index))
-    occ = (m.select(*CKEYS, "doc_id", "boost", "n_slots", "field_len", "slot", "idf",
-                    F.explode("positions").alias("pos"))
+    kept = [F.first(c).alias(c) for c in ("field_len", "boost", "norm")]
+    occ = (m.where("_ph").select(*CKEYS, "doc_id", "boost", "norm", "n_slots", "field_len", "slot", "idf",
+                                 F.explode("positions").alias("pos"))
            .groupBy(*CKEYS, "doc_id", (F.col("pos") - F.col("slot")).alias("start"))
-           .agg(F.count(F.lit(1)).alias("k"), F.first("n_slots").alias("n_slots"),
-                F.sum("idf").alias("idf_sum"), F.first("field_len").alias("field_len"),
-                F.first("boost").alias("boost"))
+           .agg(F.count(F.lit(1)).alias("k"), F.first("n_slots").alias("n_slots"), F.sum("idf").alias("idf_sum"), *kept)
            .where(F.col("k") == F.col("n_slots")))
-    return (occ.groupBy(*CKEYS, "doc_id")
-            .agg(F.count(F.lit(1)).alias("freq"), F.first("idf_sum").alias("idf_sum"),
-                 F.first("field_len").alias("field_len"), F.first("boost").alias("boost"))
-            .select(*CKEYS, "doc_id",
-                    (F.col("boost") * scoring.phrase_weight(F.col("freq"), F.col("idf_sum"),
-                                                            F.col("field_len"))).alias("score")))
+    return occ.groupBy(*CKEYS, "doc_id").agg(F.count(F.lit(1)).alias("freq"), F.first("idf_sum").alias("idf_sum"), *kept)
 
 
 def mixed_hits(m: DataFrame) -> DataFrame:
-    """Term-like and phrase clauses of one batch from a single postings scan.
+    """Term-like and phrase clauses of one batch from a single postings scan:
+    F01 term, F02 prefix, F05 match, F06 fuzzy match, F07 and F08 phrases, F15.
 
     Positions are exploded for phrase rows only (a term row keeps one row with
-    a null position); the first aggregation groups phrase rows by start and
-    term rows by (query, clause, doc); the second folds both to one score per
-    (query, clause, doc) with the formulas of ``term_hits`` and
-    ``phrase_hits``.  On the doc-bucketed index neither step shuffles."""
-    w = scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len"))
-    x = m.select(*CKEYS, "doc_id", "_ph", "boost", "slot", "n_slots", "idf", "field_len", w.alias("w"),
+    a null position); the first aggregation groups phrase rows by start (see
+    ``phrase_starts``) and term rows by (query, clause, doc); the second folds
+    both to one score per (query, clause, doc).  On the doc-bucketed index
+    neither step shuffles."""
+    w = (scoring.term_weight(F.col("tf"), F.col("idf"), F.col("field_len"))
+         * scoring.query_factor(F.col("norm"), F.col("idf")))
+    x = m.select(*CKEYS, "doc_id", "_ph", "boost", "norm", "slot", "n_slots", "idf", "field_len", w.alias("w"),
                  F.explode_outer(F.when(F.col("_ph"), F.col("positions"))).alias("pos"))
     start = F.when(F.col("_ph"), F.col("pos") - F.col("slot"))
+    kept = [F.first(c).alias(c) for c in ("n_slots", "field_len", "boost", "norm")]
     g1 = (x.groupBy(*CKEYS, "doc_id", "_ph", start.alias("start"))
-          .agg(F.count(F.lit(1)).alias("k"), F.first("n_slots").alias("n_slots"),
-               F.sum("idf").alias("idf_sum"), F.first("field_len").alias("field_len"),
-               F.first("boost").alias("boost"), F.sum("w").alias("sw"),
-               F.size(F.collect_set("slot")).alias("matched"))
+          .agg(F.count(F.lit(1)).alias("k"), F.sum("idf").alias("idf_sum"), F.sum("w").alias("sw"),
+               F.size(F.collect_set("slot")).alias("matched"), *kept)
           .where(~F.col("_ph") | (F.col("k") == F.col("n_slots"))))
     g2 = g1.groupBy(*CKEYS, "doc_id").agg(
         F.first("_ph").alias("_ph"), F.count(F.lit(1)).alias("freq"), F.first("idf_sum").alias("idf_sum"),
-        F.first("field_len").alias("field_len"), F.first("boost").alias("boost"),
-        F.first("sw").alias("sw"), F.first("matched").alias("matched"), F.first("n_slots").alias("n_slots"))
-    phrase = F.col("boost") * scoring.phrase_weight(F.col("freq"), F.col("idf_sum"), F.col("field_len"))
+        F.first("sw").alias("sw"), F.first("matched").alias("matched"), *kept)
+    phrase = (F.col("boost") * scoring.phrase_weight(F.col("freq"), F.col("idf_sum"), F.col("field_len"))
+              * scoring.query_factor(F.col("norm"), F.col("idf_sum")))
     term = F.col("boost") * F.col("sw") * F.col("matched") / F.col("n_slots")
     return g2.select(*CKEYS, "doc_id", F.when(F.col("_ph"), phrase).otherwise(term).alias("score"))
 
 
-def range_hits(clauses: DataFrame, index: Index) -> DataFrame:
-    """F03 numeric range, F04 date range (bounds in epoch seconds), F16 match
-    all (an unbounded range on the document id).  Bounds: null = open; min
-    inclusive and max exclusive unless the flags say otherwise.  The clause
-    side is small and broadcast; the documents are scanned once."""
+def range_hits(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
+    """F03 numeric range, F04 date range (bounds in epoch seconds).  Bounds:
+    null = open; min inclusive and max exclusive unless the flags say otherwise.
+
+    The bounds of a field's clauses span an axis of equal bins; a clause is
+    joined on the bins it covers and checked exactly, so a value meets only
+    clauses that reach into its bin."""
+    side = (batch or batch_of(clauses)).side
     cl = _defaults(_kind(clauses, RANGE_KINDS))
-    cl = (cl.withColumn("field", F.when(F.col("kind") == "all", F.lit("_doc")).otherwise(F.col("field")))
-          .withColumn("incl_min", F.coalesce("incl_min", F.lit(True)))
+    cl = (cl.withColumn("incl_min", F.coalesce("incl_min", F.lit(True)))
           .withColumn("incl_max", F.coalesce("incl_max", F.lit(False)))
           .select(*CKEYS, "field", "boost", "min", "max", "incl_min", "incl_max"))
+    axis = cl.groupBy("field").agg(F.min(F.least("min", "max")).alias("_lo"), F.max(F.greatest("min", "max")).alias("_hi"))
+
+    def bin_of(x):
+        inside = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(RANGE_BINS))
+        return (F.when(x < F.col("_lo"), F.lit(-1)).when(x > F.col("_hi"), F.lit(RANGE_BINS + 1))
+                .when(F.col("_hi") > F.col("_lo"), inside).otherwise(F.lit(0)).cast("int"))
+    first = F.when(F.col("min").isNull(), F.lit(-1)).otherwise(bin_of(F.col("min")))
+    last = F.when(F.col("max").isNull(), F.lit(RANGE_BINS + 1)).otherwise(bin_of(F.col("max")))
+    covered = (cl.join(side(axis), "field").where("min IS NULL OR max IS NULL OR min <= max")
+               .withColumn("_bin", F.explode(F.sequence(first, last))).drop("_lo", "_hi"))
+    values = (index.docs.where(F.col("value").isNotNull()).join(side(axis), "field")
+              .withColumn("_bin", bin_of(F.col("value"))))
     v = F.col("value")
     lo = F.col("min").isNull() | F.when(F.col("incl_min"), v >= F.col("min")).otherwise(v > F.col("min"))
     hi = F.col("max").isNull() | F.when(F.col("incl_max"), v <= F.col("max")).otherwise(v < F.col("max"))
-    return (index.docs.join(F.broadcast(cl), "field")
-            .where(v.isNotNull() & lo & hi)
+    return (values.join(side(covered), ["field", "_bin"]).where(lo & hi)
             .select(*CKEYS, "doc_id", F.col("boost").alias("score")))
 
 
-def id_hits(clauses: DataFrame, index: Index) -> DataFrame:
-    """F16 ids: documents whose id is listed in ``terms``."""
-    cl = _defaults(_kind(clauses, ["ids"]))
-    ids = (cl.select(*CKEYS, "boost", F.explode("terms").alias("id"))
-           .select(*CKEYS, "boost", F.col("id").try_cast("bigint").alias("doc_id")))
-    docs = index.docs.where(F.col("field") == "_doc").select("doc_id")
-    return (docs.join(F.broadcast(ids), "doc_id")
-            .groupBy(*CKEYS, "doc_id").agg(F.first("boost").alias("score")))
+def all_hits(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
+    """F16 match all: every document, with or without indexed text."""
+    side = (batch or batch_of(clauses)).side
+    cl = _defaults(_kind(clauses, ["all"])).select(*CKEYS, F.lit(True).alias("_every"), F.col("boost").alias("score"))
+    return index.ids.withColumn("_every", F.lit(True)).join(side(cl), "_every").select(*CKEYS, "doc_id", "score")
+
+
+def id_hits(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
+    """F16 ids: documents whose id is listed in ``terms``, in the key's type."""
+    side = (batch or batch_of(clauses)).side
+    key = index.ids.schema["doc_id"].dataType
+    ids = (_defaults(_kind(clauses, ["ids"])).select(*CKEYS, "boost", F.explode("terms").alias("id"))
+           .select(*CKEYS, F.col("boost").alias("score"), F.col("id").try_cast(key).alias("doc_id"))
+           .where(F.col("doc_id").isNotNull()).distinct())
+    return index.ids.join(side(ids), "doc_id").select(*CKEYS, "doc_id", "score")
 
 
 def with_implicit_all(clauses: DataFrame) -> DataFrame:
@@ -295,35 +369,23 @@ def with_implicit_all(clauses: DataFrame) -> DataFrame:
     return clauses.unionByName(extra)
 
 
-def clause_hits(clauses: DataFrame, index: Index) -> DataFrame:
+def clause_hits(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
     """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
     the branches for clause kinds present in the batch are planned (the
     clause table is small; its distinct kinds are read once)."""
-    fine = batch_kinds(clauses)
-    kinds = {k.rstrip("~") for k in fine}
+    batch = batch or batch_of(clauses)
     parts = []
-    has_terms, has_phrases = bool(kinds & set(TERM_KINDS)), bool(kinds & set(PHRASE_KINDS))
-    if has_terms or has_phrases:
-        # one expansion table, one lookup of the postings for both families
-        qt = None
-        if has_terms:
-            qt = expand_terms(clauses, index, fine).withColumn("_ph", F.lit(False))
-        if has_phrases:
-            ps = phrase_slots(clauses).withColumn("_ph", F.lit(True))
-            qt = ps if qt is None else qt.unionByName(ps)
-        m = _lookup(index, with_idf(qt, index))
-        if has_terms and has_phrases:
-            parts.append(mixed_hits(m))
-        elif has_terms:
-            parts.append(term_hits(clauses, index, m))
-        else:
-            parts.append(phrase_hits(clauses, index, m))
-    if kinds & set(RANGE_KINDS):
-        parts.append(range_hits(clauses, index))
-    if "ids" in kinds:
-        parts.append(id_hits(clauses, index))
+    m = lookup(clauses, index, batch)
+    if m is not None:
+        parts.append(mixed_hits(m))
+    if batch.kinds & set(RANGE_KINDS):
+        parts.append(range_hits(clauses, index, batch))
+    if "all" in batch.kinds:
+        parts.append(all_hits(clauses, index, batch))
+    if "ids" in batch.kinds:
+        parts.append(id_hits(clauses, index, batch))
     if not parts:
-        return range_hits(clauses.limit(0), index)
+        return all_hits(clauses.limit(0), index, batch)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -337,7 +399,7 @@ def query_info(clauses: DataFrame, opts: DataFrame | None) -> DataFrame:
         F.sum(F.when(F.col("occur") == "must", 1).otherwise(0)).alias("n_must"),
         F.sum(F.when(F.col("occur") == "should", 1).otherwise(0)).alias("n_should"))
     if opts is not None:
-        q = q.join(F.broadcast(opts.select("query_id", "min_should")), "query_id", "left")
+        q = q.join(opts.select("query_id", "min_should"), "query_id", "left")
     else:
         q = q.withColumn("min_should", F.lit(None).cast("int"))
     ms = F.coalesce(F.col("min_should"), F.lit(0))
@@ -346,34 +408,39 @@ def query_info(clauses: DataFrame, opts: DataFrame | None) -> DataFrame:
     return q.select("query_id", "n_must", "n_should", eff.alias("min_eff"))
 
 
-def combine(hits: DataFrame, clauses: DataFrame, opts: DataFrame | None = None, detail: bool = False) -> DataFrame:
-    """F09 MUST, F10 SHOULD minimum, F11 MUST NOT, F12 boolean, G06 coord.
+def combine(hits: DataFrame, clauses: DataFrame, opts: DataFrame | None = None, detail: bool = False,
+            batch: Batch | None = None) -> DataFrame:
+    """F09 MUST, F10 SHOULD minimum, F11 MUST NOT, F12 boolean, G06 coord: the
+    scores of matched MUST clauses, plus those of matched SHOULD clauses times
+    the coord, the share of SHOULD clauses that matched.
 
     With ``detail`` the rows also have the coord and the clauses it is made of
-    (``matched``, ``total``, ``coord``).
+    (``matched``, ``total``, ``coord``; coord 1 without SHOULD clauses).
 
     One ``groupBy(query_id, doc_id)`` with conditional counts by occur; the
-    per-query counts are a small broadcast side."""
+    per-query counts are a side of checked size."""
     is_must = F.col("occur") == "must"
     is_should = F.col("occur") == "should"
     g = hits.groupBy("query_id", "doc_id").agg(
         F.sum(F.when(is_must, 1).otherwise(0)).alias("m"),
         F.sum(F.when(is_should, 1).otherwise(0)).alias("s"),
         F.sum(F.when(F.col("occur") == "must_not", 1).otherwise(0)).alias("neg"),
-        F.sum(F.when(is_must | is_should, F.col("score")).otherwise(0.0)).alias("raw"))
-    qi = F.broadcast(query_info(clauses, opts))
-    matched, total = F.col("m") + F.col("s"), F.col("n_must") + F.col("n_should")
-    parts = [matched.cast("bigint").alias("matched"), total.cast("bigint").alias("total"), (matched / total).alias("coord")]
+        F.sum(F.when(is_must, F.col("score")).otherwise(0.0)).alias("musts"),
+        F.sum(F.when(is_should, F.col("score")).otherwise(0.0)).alias("shoulds"))
+    qi = (batch or batch_of(clauses)).side(query_info(clauses, opts))
+    coord = F.when(F.col("n_should") > 0, F.col("s") / F.col("n_should")).otherwise(F.lit(1.0))
+    parts = [F.col("s").cast("bigint").alias("matched"), F.col("n_should").cast("bigint").alias("total"), coord.alias("coord")]
     return (g.join(qi, "query_id")
             .where((F.col("m") == F.col("n_must")) & (F.col("neg") == 0)
-                   & (F.col("s") >= F.col("min_eff")) & (matched > 0))
-            .select("query_id", "doc_id", *(parts if detail else []), (F.col("raw") * matched / total).alias("score")))
+                   & (F.col("s") >= F.col("min_eff")) & (F.col("m") + F.col("s") > 0))
+            .select("query_id", "doc_id", *(parts if detail else []), (F.col("musts") + F.col("shoulds") * coord).alias("score")))
 
 
 def search_scores(index: Index, clauses: DataFrame, opts: DataFrame | None = None) -> DataFrame:
     """every query of the batch, all matching documents with scores."""
     cl = with_implicit_all(clauses)
-    return combine(clause_hits(cl, index), cl, opts)
+    batch = batch_of(cl)
+    return combine(clause_hits(cl, index, batch), cl, opts, batch=batch)
 
 
 def total_hits(matches: DataFrame) -> DataFrame:
@@ -384,9 +451,8 @@ def total_hits(matches: DataFrame) -> DataFrame:
 def _max_window(opts: DataFrame | None, size: int, from_: int) -> int:
     if opts is None:
         return from_ + size
-    ends = [r.m for r in opts.select((F.coalesce(F.col("from"), F.lit(from_)) +
-                                      F.coalesce(F.col("size"), F.lit(size))).alias("m")).collect()]
-    return max([int(e) for e in ends if e is not None], default=from_ + size)
+    end = F.coalesce(F.col("from"), F.lit(from_)) + F.coalesce(F.col("size"), F.lit(size))
+    return max(from_ + size, opts.agg(F.max(end)).first()[0] or 0)
 
 
 def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_SIZE,
@@ -408,7 +474,7 @@ def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_
               .withColumn("rank", F.row_number().over(w))
               .where(F.col("rank") <= F.lit(bound)))
     if opts is not None:
-        o = F.broadcast(opts.select("query_id", F.col("size").alias("_size"), F.col("from").alias("_from")))
+        o = broadcast_if_small(opts.select("query_id", F.col("size").alias("_size"), F.col("from").alias("_from")))
         ranked = (ranked.join(o, "query_id", "left")
                   .withColumn("_size", F.coalesce("_size", F.lit(size)))
                   .withColumn("_from", F.coalesce("_from", F.lit(from_))))

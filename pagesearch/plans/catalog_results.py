@@ -12,10 +12,11 @@ from pagesearch.operators import analyze as az
 from pagesearch.operators import extract as ex
 from pagesearch.operators import results as rs
 from pagesearch.operators import search as se
-from pagesearch.operators.index import build_index, index_summary
+from pagesearch.operators.index import Analysis, build_index, field_summary, index_summary, read_index, refresh_index, write_index
 from pagesearch.plans.catalog import CATALOG, _scores_of, register
 from pagesearch.plans.corpus import documents_index
 from pagesearch.sources import fixtures as fx
+from pagesearch.session import shared_dir
 from pagesearch.sources.tables import table
 
 # Custom analyzer used by the registry entry: Spanish with its own stop words
@@ -42,6 +43,86 @@ for _name, _qids in [("q_must", [2, 9]), ("q_boolean", [2, 3, 9, 10, 13]), ("q_b
     CATALOG[_name] = (lambda qids: (lambda spark, sf: _scores_of(spark, sf, qids)))(_qids)
 
 
+# ------------------------------------------------------------ F05, F07, F15, F16: analysed, keyword, url-keyed, regexp
+
+def _clause(q, c, occur, kind, field, terms, boost=1.0):
+    return (q, c, occur, kind, field, terms, None, None, None, None, None, None, boost)
+
+
+REGEXP_CLAUSES = [_clause(1, 1, "should", "regexp", "text", ["th(e|re)"]), _clause(2, 1, "must", "regexp", "text", ["thr?e.*"]),
+                  _clause(2, 2, "should", "regexp", "text", ["i[nst]"]), _clause(3, 1, "should", "wildcard", "text", ["t%e*"])]
+STEMMED_CLAUSES = [_clause(1, 1, "should", "match", "text", ["The thres OF"]), _clause(2, 1, "must", "match_phrase", "text", ["the ta in re"]),
+                   _clause(3, 1, "should", "match", "text", ["thres"]), _clause(3, 2, "should", "match", "text", ["rees ings"], 2.0)]
+FIELD_LESS_CLAUSES = [_clause(1, 1, "should", "match", None, ["thre en"]), _clause(2, 1, "must", "term", None, ["fr"]),
+                      _clause(2, 2, "should", "term", None, ["de"])]
+KEYWORD_CLAUSES = [_clause(1, 1, "should", "match", "lang", ["fr"]), _clause(2, 1, "must", "match", "title", ["old"]),
+                   _clause(2, 2, "must_not", "term", "lang", ["en"])]
+INGESTED_CLAUSES = [_clause(1, 1, "should", "match", "title", ["saved"]), _clause(2, 1, "must", "term", "folder", ["folder3"]),
+                    _clause(2, 2, "should", "prefix", "text", ["th"]), _clause(3, 1, "must_not", "prefix", "folder", ["folder"])]
+
+
+def _scores(index, spark, rows):
+    m = se.search_scores(index, fx.clauses(spark, rows))
+    return m.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
+
+
+@register("q_regexp")
+def q_regexp(spark, sf):
+    return _scores(documents_index(spark, sf), spark, REGEXP_CLAUSES)
+
+
+@register("q_match_stemmed")
+def q_match_stemmed(spark, sf):
+    lang = F.coalesce("lang", F.lit("en"))
+    index = build_index(table(spark, sf, "documents"), {"text": "text"}, analysis=Analysis(langs={"text": lang}), co_locate=True)
+    path = shared_dir(spark, "analysed-index")
+    write_index(index, path)
+    return _scores(read_index(spark, path), spark, STEMMED_CLAUSES)
+
+
+@register("q_field_less")
+def q_field_less(spark, sf):
+    index = build_index(table(spark, sf, "documents"), {"lang": "lang", "text": "text"}, all_field="_all")
+    return _scores(index, spark, FIELD_LESS_CLAUSES)
+
+
+def _seed_index(spark, sf):
+    seed = fx.store_seed(spark, sf)
+    index = build_index(seed, {"title": "title", "text": "text", "lang": "lang", "site_name": "site_name"}, key="url",
+                        analysis=Analysis(keywords=("lang", "site_name")), co_locate=True)
+    path = shared_dir(spark, "url-index")
+    write_index(index, path)
+    return seed, read_index(spark, path)
+
+
+@register("q_keyword")
+def q_keyword(spark, sf):
+    return _scores(_seed_index(spark, sf)[1], spark, KEYWORD_CLAUSES)
+
+
+@register("q_url_keys")
+def q_url_keys(spark, sf):
+    """Match-all, ids (the first and the last url) and a query with MUST NOT alone on an index keyed by url."""
+    seed, index = _seed_index(spark, sf)
+    cl = fx.clauses(spark, [_clause(1, 1, "must", "all", None, None), _clause(3, 1, "must_not", "prefix", "text", ["1"])])
+    ends = seed.agg(F.array(F.min("url"), F.max("url")).alias("ends"))
+    ids = (fx.clauses(spark, [_clause(2, 1, "must", "ids", None, None, 1.5)]).drop("terms").join(ends)
+           .withColumnRenamed("ends", "terms").select(*cl.columns))
+    m = se.search_scores(index, cl.unionByName(ids))
+    return m.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
+
+
+@register("index_refresh")
+def q_index_refresh(spark, sf):
+    """A07 on a stored index: labelled documents are indexed again, with their quality added."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
+    path = shared_dir(spark, "refreshed-index")
+    write_index(build_index(docs, {"text": "text"}, co_locate=True), path)
+    new = docs.join(labels, "doc_id").withColumn("text", F.concat_ws(" ", "text", F.lit("quality"), F.col("quality").cast("string")))
+    refresh_index(spark, path, build_index(new, {"text": "text"}))
+    return read_index(spark, path).postings.select("doc_id", "field", "term", "tf")
+
+
 # ------------------------------------------------------------ F04: date ranges
 # Bounds are epoch seconds: 2024-01-01 06:00 to 2024-01-02 00:00 (events), and
 # 1995-01-01 to 1996-01-01 inclusive at both ends (orders).
@@ -131,6 +212,19 @@ def q_index_summary(spark, sf):
     return index_summary(fx.store_seed(spark, sf))
 
 
+@register("index_field_summary")
+def q_index_field_summary(spark, sf):
+    index = build_index(table(spark, sf, "documents"), {"text": "text", "source": "source"})
+    return field_summary(index)
+
+
+@register("facets_dates")
+def q_facets_dates(spark, sf):
+    matches = _date_range(spark, sf, "events", "event_id", "event_type", "ts", *EVENT_RANGE, False)
+    events = table(spark, sf, "events").withColumnRenamed("event_id", "doc_id")
+    return rs.facets(matches, events, terms={"event_type": "event_type"}, dates={"ts": "hour"})
+
+
 @register("facets")
 def q_facets(spark, sf):
     index, cl, opts = _batch(spark, sf)
@@ -143,7 +237,7 @@ def q_facets(spark, sf):
 def q_explain_score(spark, sf):
     index, cl, opts = _batch(spark, sf)
     page = se.search(index, cl, opts)
-    return rs.explain(page, se.term_matches(se.with_implicit_all(cl), index))
+    return rs.explain(page, index, cl, opts)
 
 
 # ------------------------------------------------------------ H: ranking, paging

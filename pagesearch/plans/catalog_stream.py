@@ -9,10 +9,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from pagesearch.functions.scoring import rounded
+from pagesearch.operators import search as se
 from pagesearch.operators.language import train_profiles
 from pagesearch.plans.catalog import register
 from pyspark.sql import types as T
 
+from pagesearch.plans.catalog_results import INGESTED_CLAUSES
 from pagesearch.schemas import LINKS, with_field
 from pagesearch.session import shared_dir
 from pagesearch.sources import fixtures as fx
@@ -70,6 +73,14 @@ def q_stream_index(spark, sf):
     return si.current_postings(spark, root).select(F.col("doc_id").alias("url"), "field", "term", "tf")
 
 
+@register("search_ingested")
+def q_search_ingested(spark, sf):
+    """Links to store to index to search: the batch over what the stream ingested."""
+    index = si.current_index(spark, _ingest(spark, sf))
+    m = se.search_scores(index, fx.clauses(spark, INGESTED_CLAUSES))
+    return m.select("query_id", F.col("doc_id").alias("url"), rounded(F.col("score")).alias("score"))
+
+
 @register("single_flight")
 def q_single_flight(spark, sf):
     root = _ingest(spark, sf)

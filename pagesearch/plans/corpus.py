@@ -18,15 +18,15 @@ from pagesearch.sources.tables import table
 _BUILT: dict[tuple[str, str], str] = {}
 
 
-def build_documents_index(spark: SparkSession, sf_dir: str) -> Index:
+def build_documents_index(spark: SparkSession, sf_dir: str, co_locate: bool = False) -> Index:
     docs = table(spark, sf_dir, "documents")
-    return build_index(docs, {"text": "text"}, key="doc_id", attrs={"n_chars": "n_chars"})
+    return build_index(docs, {"text": "text"}, key="doc_id", attrs={"n_chars": "n_chars"}, co_locate=co_locate)
 
 
 def documents_index(spark: SparkSession, sf_dir: str) -> Index:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
         path = shared_dir(spark, "documents-index")
-        write_index(build_documents_index(spark, sf_dir), path)
+        write_index(build_documents_index(spark, sf_dir, co_locate=True), path)
         _BUILT[key] = path
     return read_index(spark, _BUILT[key])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pagesearch.functions import analysis as an
 from pagesearch.operators.results import FRAGMENT_SIZE, HTML_ESCAPES, NON_TOKEN, PIECE
-from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, EVENT_RANGE,
-                                              FACET_BANDS, LINK_CLAUSES, LINK_OPTS, ORDER_RANGE)
+from pagesearch.plans.catalog_results import (CUSTOM_ES_RULES, CUSTOM_ES_STOPS, EVENT_RANGE, FACET_BANDS, FIELD_LESS_CLAUSES,
+                                              INGESTED_CLAUSES, KEYWORD_CLAUSES, LINK_CLAUSES, LINK_OPTS, ORDER_RANGE, REGEXP_CLAUSES)
 from pagesearch.plans.oracle_pages import LINKS_CTE, SEED_CTE, STREAM_STORE, sq
 from pagesearch.plans.oracle_sql import PAT, search_ctes, tok_ctes
 
@@ -85,7 +85,7 @@ BAND = "CASE " + " ".join(f"WHEN n_chars >= {lo} AND n_chars < {hi} THEN '{lo}-{
                           for lo, hi in zip(FACET_BANDS[:-1], FACET_BANDS[1:])) + " ELSE 'other' END"
 
 LINK_SRC = "SELECT seq AS doc_id, 'url' AS field, url AS txt FROM lk UNION ALL SELECT seq, 'folder', folder FROM lk"
-LINK_ATTRS = "SELECT seq AS doc_id, '_doc' AS field, CAST(seq AS DOUBLE) AS value FROM lk"
+NO_ATTRS = "SELECT NULL AS doc_id, NULL AS field, NULL::DOUBLE AS value WHERE false"
 
 ORACLE_RESULTS: dict[str, str] = {
     "stopword_filter": f"""WITH {DOC_TOK} SELECT doc_id, lang, pos, term FROM dtok
@@ -103,8 +103,8 @@ ORACLE_RESULTS: dict[str, str] = {
         round(sqrt(tf) * idf / sqrt(field_len), 6) AS weight FROM tm""",
     "coord_score": f"""WITH {search_ctes([3])},
         gg AS (SELECT query_id, doc_id, count(*) AS matched, sum(score) AS raw FROM hits
-               WHERE occur <> 'must_not' GROUP BY query_id, doc_id),
-        tt AS (SELECT query_id, count(*) AS total FROM cl WHERE occur <> 'must_not' GROUP BY query_id)
+               WHERE occur = 'should' GROUP BY query_id, doc_id),
+        tt AS (SELECT query_id, count(*) AS total FROM cl WHERE occur = 'should' GROUP BY query_id)
         SELECT query_id, doc_id, matched, total, round(matched / total, 6) AS coord,
                round(raw * (matched / total), 6) AS score FROM gg JOIN tt USING (query_id)""",
     "total_hits": f"WITH {search_ctes()} SELECT query_id, count(*) AS total_hits FROM matches GROUP BY query_id",
@@ -116,11 +116,23 @@ ORACLE_RESULTS: dict[str, str] = {
               UNION ALL SELECT query_id, 'quality', quality FROM md
               UNION ALL SELECT query_id, 'n_chars', {BAND} FROM md)
         SELECT query_id, facet, bucket, count(*) AS n FROM f GROUP BY query_id, facet, bucket""",
-    "explain_score": f"""WITH {search_ctes()}, page AS ({PAGE})
+    "explain_score": f"""WITH {search_ctes()}, page AS ({PAGE}),
+        parts AS (
+          SELECT query_id, clause_id, occur, doc_id, term, tf, df, idf, field_len, boost, norm, sqrt(tf) * idf / sqrt(field_len) AS weight,
+                 boost * sqrt(tf) * idf / sqrt(field_len) * coalesce(idf * norm, 1) / n_slots
+                 * (SELECT count(DISTINCT slot) FROM tm u WHERE u.query_id = t.query_id AND u.clause_id = t.clause_id AND u.doc_id = t.doc_id) AS part
+          FROM tm t
+          UNION ALL SELECT query_id, clause_id, occur, doc_id, NULL, freq, NULL, idf_sum, field_len, boost, norm,
+                 sqrt(freq) * idf_sum / sqrt(field_len), score FROM ph
+          UNION ALL SELECT query_id, clause_id, occur, doc_id, NULL, NULL, NULL, NULL, NULL, score, NULL, NULL, score
+          FROM (SELECT * FROM rh UNION ALL SELECT * FROM ah UNION ALL SELECT * FROM ih)),
+        share AS (SELECT query_id, doc_id, s / nullif(n_should, 0) AS coord FROM g JOIN qi2 USING (query_id))
         SELECT p.query_id, p.rank, p.doc_id, t.clause_id, t.occur, t.term, t.tf, t.df, round(t.idf, 6) AS idf,
-               CAST(t.field_len AS BIGINT) AS field_len, t.boost,
-               round(sqrt(t.tf) * t.idf / sqrt(t.field_len), 6) AS weight
-        FROM page p JOIN tm t ON p.query_id = t.query_id AND p.doc_id = t.doc_id""",
+               CAST(t.field_len AS BIGINT) AS field_len, t.boost, round(t.norm, 6) AS norm, round(t.weight, 6) AS weight,
+               round(CASE WHEN t.occur = 'should' THEN c.coord ELSE 1 END, 6) AS coord,
+               round(t.part * CASE WHEN t.occur = 'should' THEN c.coord ELSE 1 END, 6) AS contribution
+        FROM page p JOIN parts t ON p.query_id = t.query_id AND p.doc_id = t.doc_id
+        JOIN share c ON c.query_id = p.query_id AND c.doc_id = p.doc_id WHERE t.occur <> 'must_not'""",
     "topk_per_query": f"""WITH {search_ctes()}
         SELECT query_id, CAST(rnk AS BIGINT) AS rank, doc_id, score, total_hits FROM ranked WHERE rnk <= 5""",
     "top_hits": f"""WITH {search_ctes([1])}
@@ -141,7 +153,7 @@ ORACLE_RESULTS: dict[str, str] = {
     "score_round": f"""WITH {search_ctes()}
         SELECT query_id, CAST(rnk AS BIGINT) AS rank, doc_id, round(score, 3) AS score FROM ranked
         WHERE rnk > from_ AND rnk <= from_ + size""",
-    "display_title": f"""WITH {LINKS_CTE}, {search_ctes(None, LINK_SRC, LINK_ATTRS, LINK_CLAUSES, LINK_OPTS)},
+    "display_title": f"""WITH {LINKS_CTE}, {search_ctes(None, LINK_SRC, NO_ATTRS, LINK_CLAUSES, LINK_OPTS)},
         page AS ({PAGE})
         SELECT p.query_id, p.rank, p.doc_id, coalesce(nullif(lk.title, ''), lk.url) AS display_title
         FROM page p JOIN lk ON lk.seq = p.doc_id""",
@@ -149,6 +161,41 @@ ORACLE_RESULTS: dict[str, str] = {
         SELECT doc_id, field, term, tf FROM post""",
 }
 
+ORACLE_RESULTS["index_refresh"] = ORACLE_RESULTS["index_replace"]
+ORACLE_RESULTS["index_field_summary"] = f"""WITH {tok_ctes("SELECT doc_id, 'text' AS field, text AS txt FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents")}
+    SELECT field, count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens FROM post GROUP BY field"""
+ORACLE_RESULTS["facets_dates"] = f"""WITH e AS (SELECT * FROM events
+      WHERE epoch_us(ts) / 1e6 >= {EVENT_RANGE[0]} AND epoch_us(ts) / 1e6 < {EVENT_RANGE[1]}),
+    f AS (SELECT 'event_type' AS facet, event_type AS bucket FROM e
+          UNION ALL SELECT 'ts', strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') FROM e)
+    SELECT 1 AS query_id, facet, bucket, count(*) AS n FROM f GROUP BY facet, bucket"""
+NO_OPTS = [(0, 0, 10, 0)]
+SCORES = "SELECT query_id, doc_id, score FROM matches"
+ORACLE_RESULTS["q_regexp"] = f"WITH {search_ctes(clause_rows=REGEXP_CLAUSES, opt_rows=NO_OPTS)} {SCORES}"
+
+
+def _rows(*clauses):
+    return [(q, c, occur, kind, field, terms, None, None, None, None, None, None, boost) for q, c, occur, kind, field, terms, boost in clauses]
+
+
+# the query side as the contract of the English chain gives it: "the", "of" and
+# "in" are stop words, "thres" -> "thre", "rees" -> "ree", "ings" -> "ing"
+STEMMED_ROWS = _rows((1, 1, "should", "match", "text", ["thre"], 1.0), (2, 1, "must", "phrase", "text", [None, "ta", None, "re"], 1.0),
+                     (3, 1, "should", "match", "text", ["thre"], 1.0), (3, 2, "should", "match", "text", ["ree ing"], 2.0))
+ORACLE_RESULTS["q_match_stemmed"] = f"""WITH {search_ctes(clause_rows=STEMMED_ROWS, opt_rows=NO_OPTS, tok="SELECT doc_id, field, term, pos FROM (" + analyze_sql() + ")")} {SCORES}"""
+_all = f"""SELECT doc_id, '_all' AS field, unnest(t) AS term, unnest(range(len(t))) AS pos
+    FROM (SELECT doc_id, list_concat(regexp_extract_all(lower(lang), {PAT}), regexp_extract_all(lower(text), {PAT})) AS t FROM documents)"""
+ORACLE_RESULTS["q_field_less"] = f"WITH {search_ctes(clause_rows=FIELD_LESS_CLAUSES, opt_rows=NO_OPTS, tok=_all)} {SCORES}"
+_seed_src = "SELECT url AS doc_id, 'title' AS field, title AS txt FROM seed UNION ALL SELECT url, 'text', text FROM seed"
+_seed_tok = f"""SELECT doc_id, field, unnest(t) AS term, unnest(range(len(t))) AS pos
+      FROM (SELECT doc_id, field, regexp_extract_all(lower(txt), {PAT}) AS t FROM ({_seed_src}))
+    UNION ALL SELECT url, 'lang', lang, 0 FROM seed WHERE lang <> '' UNION ALL SELECT url, 'site_name', site_name, 0 FROM seed WHERE site_name <> ''"""
+ORACLE_RESULTS["q_keyword"] = f"WITH {SEED_CTE}, {search_ctes(src=_seed_src, attrs=NO_ATTRS, clause_rows=KEYWORD_CLAUSES, opt_rows=NO_OPTS, tok=_seed_tok)} {SCORES}"
+ORACLE_RESULTS["q_url_keys"] = f"""WITH {SEED_CTE}
+    SELECT 1 AS query_id, url AS doc_id, CAST(1 AS DOUBLE) AS score FROM seed
+    UNION ALL SELECT 2, url, 1.5 FROM seed WHERE url IN (SELECT min(url) FROM seed UNION ALL SELECT max(url) FROM seed)
+    UNION ALL SELECT 3, url, 1 FROM seed WHERE len(list_filter(regexp_extract_all(lower(text), {PAT}), lambda t: starts_with(t, '1'))) = 0"""
+
 for _name, _qids in [("q_must", [2, 9]), ("q_boolean", [2, 3, 9, 10, 13]), ("q_boost", [3, 13])]:
     ORACLE_RESULTS[_name] = f"WITH {search_ctes(_qids)}\nSELECT query_id, doc_id, score FROM matches"
 
@@ -157,6 +204,9 @@ _STREAM_FIELDS = " UNION ALL ".join(
     for f in ["title", "text", "excerpt", "folder", "url"])
 ORACLE_RESULTS["stream_index"] = f"WITH {tok_ctes(_STREAM_FIELDS)} SELECT doc_id AS url, field, term, tf FROM post"
 
+ORACLE_RESULTS["search_ingested"] = f"""WITH {search_ctes(src=_STREAM_FIELDS, attrs=NO_ATTRS, clause_rows=INGESTED_CLAUSES, opt_rows=NO_OPTS)}
+    SELECT query_id, doc_id AS url, score FROM matches"""
+
 ORACLE_RESULTS["q_date_range"] = f"""SELECT 1 AS query_id, event_id AS doc_id, CAST(1.0 AS DOUBLE) AS score FROM events
     WHERE epoch_us(ts) / 1e6 >= {EVENT_RANGE[0]} AND epoch_us(ts) / 1e6 < {EVENT_RANGE[1]}"""
 ORACLE_RESULTS["q_date_range_orders"] = f"""SELECT 1 AS query_id, o_orderkey AS doc_id, CAST(1.0 AS DOUBLE) AS score FROM orders

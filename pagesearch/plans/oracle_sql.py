@@ -12,15 +12,15 @@ from pagesearch.sources import fixtures as fx
 PAT = r"'[\p{L}\p{N}]+'"
 
 DOCS_SRC = "SELECT doc_id, 'text' AS field, text AS txt FROM documents"
-DOCS_ATTRS = ("SELECT doc_id, '_doc' AS field, CAST(doc_id AS DOUBLE) AS value FROM documents "
-              "UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS DOUBLE) FROM documents")
+DOCS_ATTRS = "SELECT doc_id, 'n_chars' AS field, CAST(n_chars AS DOUBLE) AS value FROM documents"
 
 
-def tok_ctes(src: str = DOCS_SRC) -> str:
-    """Token, postings and statistics CTEs over ``src`` (doc_id, field, txt)."""
-    return f"""tok AS (
-  SELECT doc_id, field, len(t) AS field_len, unnest(t) AS term, unnest(range(len(t))) AS pos
-  FROM (SELECT doc_id, field, regexp_extract_all(lower(txt), {PAT}) AS t FROM ({src}))),
+def tok_ctes(src: str = DOCS_SRC, tok: str | None = None) -> str:
+    """Token, postings and statistics CTEs over ``src`` (doc_id, field, txt), or
+    over the tokens that ``tok`` gives (doc_id, field, term, pos)."""
+    plain = f"""SELECT doc_id, field, unnest(t) AS term, unnest(range(len(t))) AS pos
+  FROM (SELECT doc_id, field, regexp_extract_all(lower(txt), {PAT}) AS t FROM ({src}))"""
+    return f"""tok AS (SELECT *, count(*) OVER (PARTITION BY doc_id, field) AS field_len FROM ({tok or plain})),
 post AS (SELECT doc_id, field, term, count(*) AS tf, max(field_len) AS field_len,
                 list_sort(list(pos)) AS positions
          FROM tok GROUP BY doc_id, field, term),
@@ -61,9 +61,9 @@ def opts_values(rows=None) -> str:
 
 
 def search_ctes(qids: list[int] | None = None, src: str = DOCS_SRC, attrs: str = DOCS_ATTRS,
-                clause_rows=None, opt_rows=None) -> str:
+                clause_rows=None, opt_rows=None, tok: str | None = None) -> str:
     where = f"WHERE query_id IN ({', '.join(map(str, qids))})" if qids else ""
-    return f"""{tok_ctes(src)},
+    return f"""{tok_ctes(src, tok)},
 cl0 AS (SELECT * FROM {clauses_values(clause_rows)} {where}),
 opts AS (SELECT * FROM {opts_values(opt_rows)} {where}),
 cl1 AS (SELECT query_id, clause_id, occur, kind, coalesce(field, '_all') AS field, terms, min, max,
@@ -95,16 +95,12 @@ qterm AS (
   UNION ALL
   SELECT c.query_id, c.clause_id, c.occur, c.field, c.boost, 0, 1, v.term
   FROM cl c JOIN tdf v ON v.field = c.field
-  WHERE c.kind = 'wildcard' AND v.term LIKE replace(replace(c.terms[1], '*', '%'), '?', '_')),
-tm AS (SELECT q.query_id, q.clause_id, q.occur, q.boost, q.slot, q.n_slots, q.term, p.doc_id,
-              p.tf, d.df, 1 + ln(c.n_docs / (d.df + 1)) AS idf, p.field_len
-       FROM qterm q JOIN tdf d ON d.field = q.field AND d.term = q.term
-       JOIN corp c ON c.field = q.field
-       JOIN post p ON p.field = q.field AND p.term = q.term),
-th AS (SELECT query_id, clause_id, occur, doc_id,
-              any_value(boost) * sum(sqrt(tf) * idf / sqrt(field_len)) * count(DISTINCT slot)
-              / any_value(n_slots) AS score
-       FROM tm GROUP BY query_id, clause_id, occur, doc_id),
+  WHERE c.kind = 'wildcard' AND regexp_full_match(v.term,
+    replace(replace(regexp_replace(c.terms[1], '([.+^$|()\\[\\]{{}}\\\\])', '\\\\\\1', 'g'), '*', '.*'), '?', '.'))
+  UNION ALL
+  SELECT c.query_id, c.clause_id, c.occur, c.field, c.boost, 0, 1, v.term
+  FROM cl c JOIN tdf v ON v.field = c.field
+  WHERE c.kind = 'regexp' AND regexp_full_match(v.term, c.terms[1])),
 ps AS (SELECT *, count(*) OVER (PARTITION BY query_id, clause_id) AS n_slots
        FROM (SELECT query_id, clause_id, occur, field, boost,
                     unnest(qt) AS term, unnest(range(len(qt))) AS slot
@@ -113,31 +109,53 @@ ps AS (SELECT *, count(*) OVER (PARTITION BY query_id, clause_id) AS n_slots
                                   ELSE terms END AS qt
                    FROM cl WHERE kind IN ('match_phrase', 'phrase')))
        WHERE term IS NOT NULL),
-pm AS (SELECT s.query_id, s.clause_id, s.occur, s.boost, s.n_slots, s.slot, p.doc_id, p.field_len,
+qidf AS (SELECT q.query_id, q.clause_id, q.occur, q.boost, q.ph, 1 + ln(c.n_docs / (d.df + 1)) AS idf
+         FROM (SELECT query_id, clause_id, occur, field, boost, term, false AS ph FROM qterm
+               UNION ALL SELECT query_id, clause_id, occur, field, boost, term, true FROM ps) q
+         JOIN tdf d ON d.field = q.field AND d.term = q.term JOIN corp c ON c.field = q.field),
+qn AS (SELECT query_id, CASE WHEN sum(x) > 0 THEN 1 / sqrt(sum(x)) ELSE 0 END AS norm
+       FROM (SELECT query_id, clause_id, any_value(boost) ** 2 * CASE WHEN any_value(ph) THEN sum(idf) ** 2 ELSE sum(idf ** 2) END AS x
+             FROM qidf WHERE occur <> 'must_not' GROUP BY query_id, clause_id)
+       WHERE query_id IN (SELECT query_id FROM cl WHERE occur <> 'must_not' GROUP BY query_id HAVING count(*) > 1)
+       GROUP BY query_id),
+tm AS (SELECT q.query_id, q.clause_id, q.occur, q.boost, q.slot, q.n_slots, q.term, p.doc_id, n.norm,
+              p.tf, d.df, 1 + ln(c.n_docs / (d.df + 1)) AS idf, p.field_len
+       FROM qterm q JOIN tdf d ON d.field = q.field AND d.term = q.term
+       JOIN corp c ON c.field = q.field
+       JOIN post p ON p.field = q.field AND p.term = q.term
+       LEFT JOIN qn n ON n.query_id = q.query_id),
+th AS (SELECT query_id, clause_id, occur, doc_id,
+              any_value(boost) * sum(sqrt(tf) * idf / sqrt(field_len) * coalesce(idf * norm, 1)) * count(DISTINCT slot)
+              / any_value(n_slots) AS score
+       FROM tm GROUP BY query_id, clause_id, occur, doc_id),
+pm AS (SELECT s.query_id, s.clause_id, s.occur, s.boost, s.n_slots, s.slot, p.doc_id, p.field_len, n.norm,
               1 + ln(c.n_docs / (d.df + 1)) AS idf, unnest(p.positions) AS pos
-       FROM ps s JOIN tdf d ON d.field = s.field AND d.term = s.term
+       FROM ps s LEFT JOIN qn n ON n.query_id = s.query_id JOIN tdf d ON d.field = s.field AND d.term = s.term
        JOIN corp c ON c.field = s.field
        JOIN post p ON p.field = s.field AND p.term = s.term),
 po AS (SELECT query_id, clause_id, occur, doc_id, pos - slot AS start, any_value(boost) AS boost,
-              sum(idf) AS idf_sum, any_value(field_len) AS field_len
+              sum(idf) AS idf_sum, any_value(field_len) AS field_len, any_value(norm) AS norm
        FROM pm GROUP BY query_id, clause_id, occur, doc_id, pos - slot
        HAVING count(*) = any_value(n_slots)),
-ph AS (SELECT query_id, clause_id, occur, doc_id,
-              any_value(boost) * (sqrt(count(*)) * any_value(idf_sum) / sqrt(any_value(field_len))) AS score
+ph AS (SELECT query_id, clause_id, occur, doc_id, count(*) AS freq, any_value(idf_sum) AS idf_sum, any_value(field_len) AS field_len,
+              any_value(boost) AS boost, any_value(norm) AS norm,
+              any_value(boost) * (sqrt(count(*)) * any_value(idf_sum) / sqrt(any_value(field_len)))
+              * coalesce(any_value(idf_sum) * any_value(norm), 1) AS score
        FROM po GROUP BY query_id, clause_id, occur, doc_id),
 attrs AS ({attrs}),
-rc AS (SELECT *, CASE WHEN kind = 'all' THEN '_doc' ELSE field END AS rfield FROM cl
-       WHERE kind IN ('numeric_range', 'date_range', 'all')),
+rc AS (SELECT *, field AS rfield FROM cl WHERE kind IN ('numeric_range', 'date_range')),
+every AS (SELECT DISTINCT doc_id FROM ({src})),
 rh AS (SELECT c.query_id, c.clause_id, c.occur, a.doc_id, c.boost AS score
        FROM attrs a JOIN rc c ON a.field = c.rfield
        WHERE a.value IS NOT NULL
          AND (c.min IS NULL OR CASE WHEN c.incl_min THEN a.value >= c.min ELSE a.value > c.min END)
          AND (c.max IS NULL OR CASE WHEN c.incl_max THEN a.value <= c.max ELSE a.value < c.max END)),
-ic AS (SELECT query_id, clause_id, occur, boost, TRY_CAST(id AS BIGINT) AS id
+ah AS (SELECT c.query_id, c.clause_id, c.occur, e.doc_id, c.boost AS score FROM every e, cl c WHERE c.kind = 'all'),
+ic AS (SELECT query_id, clause_id, occur, boost, id
        FROM (SELECT *, unnest(terms) AS id FROM cl WHERE kind = 'ids')),
 ih AS (SELECT DISTINCT c.query_id, c.clause_id, c.occur, d.doc_id, c.boost AS score
-       FROM ic c JOIN (SELECT doc_id FROM attrs WHERE field = '_doc') d ON d.doc_id = c.id),
-hits AS (SELECT * FROM th UNION ALL SELECT * FROM ph UNION ALL SELECT * FROM rh UNION ALL SELECT * FROM ih),
+       FROM ic c JOIN every d ON CAST(d.doc_id AS VARCHAR) = c.id),
+hits AS (SELECT * FROM th UNION ALL SELECT query_id, clause_id, occur, doc_id, score FROM ph UNION ALL SELECT * FROM rh UNION ALL SELECT * FROM ah UNION ALL SELECT * FROM ih),
 qi AS (SELECT query_id, sum(CASE WHEN occur = 'must' THEN 1 ELSE 0 END) AS n_must,
               sum(CASE WHEN occur = 'should' THEN 1 ELSE 0 END) AS n_should
        FROM cl GROUP BY query_id),
@@ -149,9 +167,10 @@ g AS (SELECT query_id, doc_id,
              sum(CASE WHEN occur = 'must' THEN 1 ELSE 0 END) AS m,
              sum(CASE WHEN occur = 'should' THEN 1 ELSE 0 END) AS s,
              sum(CASE WHEN occur = 'must_not' THEN 1 ELSE 0 END) AS neg,
-             sum(CASE WHEN occur IN ('must', 'should') THEN score ELSE 0.0 END) AS raw
+             sum(CASE WHEN occur = 'must' THEN score ELSE 0.0 END) AS musts,
+             sum(CASE WHEN occur = 'should' THEN score ELSE 0.0 END) AS shoulds
       FROM hits GROUP BY query_id, doc_id),
-matches AS (SELECT g.query_id, g.doc_id, round(raw * (m + s) / (n_must + n_should), 6) AS score
+matches AS (SELECT g.query_id, g.doc_id, round(musts + shoulds * coalesce(s / nullif(n_should, 0), 0), 6) AS score
             FROM g JOIN qi2 USING (query_id)
             WHERE m = n_must AND neg = 0 AND s >= min_eff AND m + s > 0),
 ranked AS (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY m.score DESC, m.doc_id) AS rnk,

@@ -95,8 +95,7 @@ QUERY_OPTS = T.StructType([
 ])
 
 CLAUSE_KINDS = ["term", "prefix", "numeric_range", "date_range", "match",
-                "match_phrase", "phrase", "wildcard", "all", "ids"]
-OCCURS = ["must", "should", "must_not"]
+                "match_phrase", "phrase", "wildcard", "regexp", "all", "ids"]
 
 
 def with_field(schema: T.StructType, name: str, dtype: T.DataType) -> T.StructType:

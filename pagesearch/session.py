@@ -72,20 +72,16 @@ BYTES_PER_TASK = 64 * 1024 * 1024
 
 def expand_partitions(df: DataFrame) -> int:
     """Partition count for an exchange feeding an expanding stage: from the
-    size of the input files (driver-side listing, no data read), at least
+    sizes that the plan's sources state (no file is asked for again), at least
     twice the default parallelism.  AQE would coalesce such an exchange by
-    its *input* bytes and leave a few tasks with all the expanded work."""
+    its *input* bytes and leave a few tasks with all the expanded work.
+    Sources without a stated size (rows of the driver) count as nothing."""
     spark = df.sparkSession
     target = int(spark.conf.get("pagesearch.bytesPerTask", str(BYTES_PER_TASK)))
-    total = 0
-    try:
-        jvm = spark._jvm
-        conf = spark._jsc.hadoopConfiguration()
-        for f in df.inputFiles():
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    except Exception:  # noqa: BLE001 - sources without files (in-memory rows)
-        total = 0
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = int(str(spark._jsparkSession.sessionState().conf().defaultSizeInBytes()))
+    total = sum(s for s in sizes if s < unknown)
     return max(2 * spark.sparkContext.defaultParallelism, -(-total // target))
 
 

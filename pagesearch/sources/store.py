@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesearch.schemas import CAPTURES, LINKS, STORE, STORE_COLUMNS
-from pagesearch.session import broadcast_if_small
+from pagesearch.session import broadcast_if_small, materialize
 
 
 def read_links(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -37,24 +37,16 @@ def store_lookup(store: DataFrame, urls: DataFrame) -> DataFrame:
     return store.join(broadcast_if_small(urls.select("url").distinct()), "url", "left_semi")
 
 
-def store_exists(store: DataFrame, urls: DataFrame) -> DataFrame:
-    """A05 existence test: every asked URL with ``exists``."""
-    have = store.select("url").distinct().withColumn("exists", F.lit(True))
-    return (urls.select("url").distinct().join(have, "url", "left")
-            .withColumn("exists", F.coalesce("exists", F.lit(False))))
-
-
 def upsert(store: DataFrame, new: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
     """Replace on same key, never delete; among new rows the highest
-    ``order`` wins and any new row beats the stored one.  One ``max_by``
-    aggregation (partial map-side), so a hot key is reduced before the
-    shuffle."""
+    ``order`` wins and any new row beats the stored one.  Only the new rows
+    are aggregated (and written once); stored rows, one per key, go through
+    an anti join on the new keys."""
     cols = [c for c in STORE_COLUMNS if c != key]
-    old = store.select(key, *cols, F.lit(0).alias("_new"), F.lit(None).cast("bigint").alias("_o"))
-    fresh = new.select(key, *cols, F.lit(1).alias("_new"), F.col(order).cast("bigint").alias("_o"))
-    return (old.unionByName(fresh).groupBy(key)
-            .agg(F.max_by(F.struct(*cols), F.struct("_new", "_o")).alias("r"))
-            .select(key, *[F.col(f"r.{c}").alias(c) for c in cols]))
+    fresh = materialize(new.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(F.col(order).cast("bigint"))).alias("r"))
+                        .select(key, *[F.col(f"r.{c}").alias(c) for c in cols]), "new-rows")
+    keep = store.select(key, *cols).join(fresh.select(key), key, "left_anti")
+    return keep.unionByName(fresh)
 
 
 def latest_version(spark: SparkSession, path: str) -> str:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesearch.operators import ingest as ing
-from pagesearch.operators.index import build_index
+from pagesearch.operators.index import Index, build_index, corpus_stats, doc_freq
 from pagesearch.schemas import STORE
 from pagesearch.streaming.runner import drain, file_stream
 
@@ -76,6 +76,20 @@ def current_postings(spark: SparkSession, root: str) -> DataFrame | None:
     return read_log(spark, root, "postings", "doc_id")
 
 
+def current_index(spark: SparkSession, root: str) -> Index | None:
+    """The index over everything committed so far, to be searched by ``url``:
+    the statistics are those of the current postings; documents without a
+    token count among ``ids`` too.  ``write_index`` stores it for many searches."""
+    postings = current_postings(spark, root)
+    if postings is None:
+        return None
+    postings = postings.drop("batch")
+    flen = postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms"))
+    ids = current_store(spark, root).select(F.col("url").alias("doc_id"))
+    attrs = spark.createDataFrame([], "doc_id string, field string, value double")
+    return Index(postings=postings, term_df=doc_freq(postings), field_len=flen, corpus=corpus_stats(flen), docs=attrs, ids=ids)
+
+
 def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str,
                  captures: DataFrame, profiles: DataFrame, seed: DataFrame | None = None,
                  force: bool = False) -> None:

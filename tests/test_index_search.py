@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagesearch.operators import index as ix
+from pagesearch.operators import results as rs
 from pagesearch.operators import search as se
 from pagesearch.sources import fixtures as fx
 from tests.conftest import rows
@@ -224,3 +225,75 @@ def test_fuzziness_grows_monotone(spark, index):
     assert d[(1, 0)] >= d[(0, 0)] and d[(2, 0)] >= d[(1, 0)]
     assert "barks" in d[(1, 0)] and "barks" in d[(1, 1)]
     assert all(t.startswith("b") for t in d[(2, 1)])
+
+
+def test_score_of_several_clauses(spark, index):
+    got = run(spark, index, [clause(1, 1, "should", "term", ["cat"], boost=2.0), clause(1, 2, "should", "term", ["one"]),
+                             clause(1, 3, "must", "numeric_range", None, "n_chars", max=500.0)])
+    one = 1 + math.log(5 / 2)
+    norm = 1 / math.sqrt((2 * one) ** 2 + one ** 2)
+    assert {r.doc_id: r.score for r in got.collect()} == {
+        1: pytest.approx(1 + 2 * one / math.sqrt(6) * one * norm * 0.5), 5: pytest.approx(1.0), 6: pytest.approx(1.0)}
+
+
+def test_explanation_adds_up_to_the_score(spark, index):
+    cl = fx.clauses(spark, [clause(1, 1, "should", "match", ["the dog sat"]), clause(1, 2, "should", "match_phrase", ["the end"]),
+                            clause(1, 3, "must", "numeric_range", None, "n_chars", min=0.0), clause(1, 4, "must_not", "term", ["time"]),
+                            clause(2, 1, "must", "ids", ["1", "2"], None, boost=1.5), clause(2, 2, "should", "prefix", ["ca"]),
+                            clause(3, 1, "must_not", "term", ["the"])])
+    page = se.search(index, cl)
+    sums = {(r.query_id, r.doc_id): r.s for r in rs.explain(page, index, cl).groupBy("query_id", "doc_id").agg(F.sum("contribution").alias("s")).collect()}
+    want = {(r.query_id, r.doc_id): r.score for r in page.collect()}
+    assert sums.keys() == want.keys() and len(want) == 9
+    assert all(sums[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_wildcards_are_literal_but_two_and_regexp_prefixes(spark):
+    df = spark.createDataFrame([(1, "ab abb abbb ac b")], "doc_id long, text string")
+    idx = ix.build_index(df, {"text": "text"})
+
+    def terms(kind, pattern):
+        return sorted(r.term for r in se.expand_terms(fx.clauses(spark, [clause(1, 1, "should", kind, [pattern])]), idx).collect())
+    assert terms("wildcard", "a%") == [] and terms("wildcard", "a_") == [] and terms("wildcard", "a?") == ["ab", "ac"]
+    assert terms("regexp", "ab*") == ["ab", "abb", "abbb"] and terms("regexp", "a?b") == ["ab", "b"]
+    assert terms("regexp", "ab{2,3}") == ["abb", "abbb"] and terms("regexp", "ac|b") == ["ac", "b"] and terms("regexp", "a") == []
+
+
+def test_more_clauses_than_fit_a_broadcast(spark, index, monkeypatch):
+    cls = [clause(1, 1, "should", "term", ["cat"]), clause(2, 1, "should", "prefix", ["do"]), clause(3, 1, "must", "ids", ["4"], None),
+           clause(4, 1, "must", "numeric_range", None, "n_chars", max=100.0), clause(5, 1, "must_not", "term", ["the"])]
+    want = rows(run(spark, index, cls), "query_id", "doc_id")
+    monkeypatch.setattr(se, "BROADCAST_CLAUSE_BYTES", 0)
+    monkeypatch.setattr(se, "PUSHDOWN_MAX_TERMS", 0)
+    assert rows(run(spark, index, cls), "query_id", "doc_id") == want == [(1, 1), (2, 2), (3, 4), (4, 5), (4, 6), (5, 4), (5, 6)]
+
+
+def test_analysed_keyword_and_all_fields(spark, tmp_path):
+    df = spark.createDataFrame([("u1", "en", "The cats of Rome", "Jane Doe"), ("u2", "fr", "les chevaux", "jane doe"), ("u3", None, "a cat", "")],
+                               "url string, lang string, text string, author string")
+    an = ix.Analysis(langs={"text": F.coalesce("lang", F.lit("en"))}, keywords=("author",))
+    built = ix.build_index(df, {"text": "text", "author": "author"}, key="url", all_field="_all", analysis=an)
+    ix.write_index(built, str(tmp_path / "i"))
+    for idx in (built, ix.read_index(spark, str(tmp_path / "i"))):
+        def hits(*c):
+            return [r[0] for r in rows(run(spark, idx, [clause(*x) for x in c]), "doc_id")]
+        assert hits((1, 1, "should", "match", ["Cats"])) == ["u1", "u3"]
+        assert hits((1, 1, "should", "match_phrase", ["cat of the rome"])) == []          # one place too many
+        assert hits((1, 1, "should", "match_phrase", ["the cat in rome"])) == ["u1"]
+        assert hits((1, 1, "should", "match", ["Jane Doe"], "author")) == ["u1"]
+        assert hits((1, 1, "should", "match", ["cheval"], None)) == ["u2"]
+        assert hits((1, 1, "must_not", "term", ["cat"])) == ["u2"]
+        assert hits((1, 1, "must", "ids", ["u2", "nope"], None)) == ["u2"]
+
+
+def test_refresh_of_a_stored_index(spark, tmp_path):
+    path = str(tmp_path / "i")
+    df = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    ix.write_index(ix.build_index(df, {"text": "text"}, attrs={"size": F.length("text")}, co_locate=True), path)
+    before = ix.read_index(spark, path)
+    new = spark.createDataFrame([(2, ""), (3, "c")], "doc_id long, text string")
+    ix.refresh_index(spark, path, ix.build_index(new, {"text": "text"}, attrs={"size": F.length("text")}))
+    after = ix.read_index(spark, path)
+    assert rows(after.postings, "doc_id", "term") == [(1, "a"), (1, "b"), (3, "c")]
+    assert rows(after.ids, "doc_id") == [(1,), (2,), (3,)] and rows(after.docs, "doc_id", "value") == [(1, 3.0), (2, 0.0), (3, 1.0)]
+    assert rows(before.postings, "doc_id", "term") == [(1, "a"), (1, "b"), (2, "c"), (2, "d")]

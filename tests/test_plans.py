@@ -3,6 +3,8 @@
 import re
 
 from pagesearch.operators import index as ix
+from pagesearch.operators.analyze import analyze
+from pagesearch.operators.language import detect_lang, train_profiles
 from pagesearch.session import expand_partitions, materialize
 from pagesearch.sources.tables import table
 from tests.conftest import SF_SMALL
@@ -16,16 +18,25 @@ def _plan(spark, df):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_postings_build_shuffles_documents_not_tokens(spark):
+def test_postings_and_lengths_are_made_in_the_row(spark):
     docs = table(spark, SF_SMALL, "documents")
-    plan = _plan(spark, ix.build_index(docs, {"text": "text"}).postings)
+    index = ix.build_index(docs, {"text": "text"})
+    for df in (index.postings, index.field_len):
+        assert "Exchange" not in _plan(spark, df)
+    plan = _plan(spark, ix.build_index(docs, {"text": "text"}, co_locate=True).postings)
     exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
-    assert len(exchanges) == 1 and exchanges[0].startswith("doc_id")
-    # the one exchange sits below the token explosion
-    assert plan.index("Exchange hashpartitioning") > plan.index("posexplode")
+    assert len(exchanges) == 1 and exchanges[0].startswith("doc_id")     # of the documents, for a stored index
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
 
 
+def test_detection_and_analysis_shuffle_no_text(spark):
+    docs = table(spark, SF_SMALL, "documents")
+    detected = _plan(spark, detect_lang(docs, train_profiles(docs), ["doc_id"]))
+    for line in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", detected):
+        assert "term" not in line and line.startswith("doc_id")
+    assert "Exchange" not in _plan(spark, analyze(docs, {"text": "text"}, {}))
+
+
 def test_exchange_size_from_input_files(spark):
     docs = table(spark, SF_SMALL, "documents")
     n = expand_partitions(docs)
