@@ -14,7 +14,9 @@ generalised, beyond a higher one removed, wherever they stand near the entity.
 
 Everything is DataFrame functions.  No entity spans a line feed, so patterns
 run on whole texts; Java's possessive quantifiers stand where backing off can't
-change the match, so that long runs need no stack.
+change the match, so that long runs need no stack; and a match begins where the
+last one ended or where a run of its first characters does, as no later place
+of that run can match if the first can't, so that long runs are read once.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 # fixed by the task
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

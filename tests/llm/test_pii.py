@@ -56,6 +56,13 @@ def test_base_spans_of_random_texts(frame, seed):
     assert digests(frame(rows)) == want(rows)
 
 
+def test_long_runs_are_read_once(frame):
+    n = 1_000_000
+    got = pii.digest(pii.spans(frame([(1, "x" * n + " a@b.c_d@e.f")]))).first()
+    spans = f"email:{n + 1}:{n + 6},email:{n + 6}:{n + 12}"
+    assert got.n_email == 2 and got.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def disclosed(rows):
     """Brute force of the disclosure and of the spans it adds."""
     docs = {(k, t or "") for k, t in rows}
