@@ -185,10 +185,16 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return j.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(body).alias(c) if c == text else F.col(c) for c in docs.columns])
 
 
+def _count(spans: Column, kind: int) -> Column:
+    """Spans of a kind.  The lambda has one parameter alone: Spark gives a
+    second one the position."""
+    return F.size(F.filter(spans, lambda x: x["kind"] == kind))
+
+
 def digest(marks: DataFrame, key: str = "doc_id") -> DataFrame:
     """The contract's columns of ``spans()``."""
     base = joined(F.col("base"), kind_name)
-    counts = [F.size(F.filter("base", lambda x, n=i: x["kind"] == n)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [_count(F.col("base"), i).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     terms = joined(F.col("revealing"), lambda x: F.lit(TERM))
     every = F.concat_ws(",", F.when(base != "", base), F.when(terms != "", terms))
     return marks.select(key, *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))

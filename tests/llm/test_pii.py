@@ -30,11 +30,11 @@ def base(text):
 
 
 def digests(df):
-    return {(r.doc_id, r.base_sha256) for r in pii.digest(pii.spans(df)).collect()}
+    return {(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.digest(pii.spans(df)).collect()}
 
 
 def want(rows):
-    return {(k, hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c, _ in base(t)).encode()).hexdigest()) for k, t in rows}
+    return {(k, *([x[0] for x in base(t)].count(kind) for kind in PLAIN), hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c, _ in base(t)).encode()).hexdigest()) for k, t in rows}
 
 
 SAMPLES = ["a.b@c.d, x@y z@w.q_e@f.g.h", "1.2.3.4 256.1.1.1 001.002.003.255 1.2.3.4.5.6.7.8 10.0.0.1", "4111 1111 1111 1111 and 4111-1111-1111-1112",
