@@ -34,7 +34,13 @@ def digests(df):
 
 
 def want(rows):
-    return {(k, *([x[0] for x in base(t)].count(kind) for kind in PLAIN), hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c, _ in base(t)).encode()).hexdigest()) for k, t in rows}
+    out = set()
+    for key, text in rows:
+        found = base(text)
+        kinds = [x[0] for x in found]
+        digest = hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c, _ in found).encode()).hexdigest()
+        out.add((key, *map(kinds.count, PLAIN), digest))
+    return out
 
 
 SAMPLES = ["a.b@c.d, x@y z@w.q_e@f.g.h", "1.2.3.4 256.1.1.1 001.002.003.255 1.2.3.4.5.6.7.8 10.0.0.1", "4111 1111 1111 1111 and 4111-1111-1111-1112",
