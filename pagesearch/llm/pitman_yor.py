@@ -1,10 +1,10 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-The root restaurant serves words; every frequent word has a context restaurant
-for the tokens that follow it, and all context restaurants share the root as
-parent.  A token after a rarer word, or at the start of a text, is a customer of
-the root itself.  The base of the root gives half its mass to words not met in
-training (one outcome) and spreads half evenly over the others.
+The root restaurant serves words; every word that a token follows in training
+has a context restaurant for those tokens, as has the start of a text (the end
+of another), and all context restaurants share the root as parent.  The
+base of the root gives half its mass to words not met in training (one outcome)
+and spreads half evenly over the others.
 
 Seating is sampled by Gibbs: in each sweep every dish of every restaurant is
 seated anew given all others, by the restaurant's sequential rule, and the
@@ -15,13 +15,16 @@ whose number of customers has changed takes the new seating.)  Customers of a la
 already seated, within which the chance of a new table is held.  Predictive
 probabilities are averaged over the sampled sweeps.
 
-Distribution: texts are packed into blocks of some megabytes, which count their
-(context, word) pairs.  Pairs go to tasks by word, so a dish and its parent are
-seated together; a task estimates a restaurant's total of tables from the
-tables per customer that it has seen.  Totals are then summed over all tasks,
-and the answers return to the blocks, which score their texts.  Words above a
-fixed share of all tokens (a bounded number) never enter that shuffle: their
-counts are aggregated before and seated once, so no task gathers a hot word.
+Distribution: texts are packed into blocks of some megabytes.  A context has as
+many guests as its word has training tokens, so the sums of the words of all
+blocks return to the blocks as guests.  Blocks then send their (context, word)
+pairs with the context's guests to tasks by word, so a dish and its parent are
+seated together; while it samples, a task estimates a restaurant's tables from
+those seen in restaurants of like size.  Tables are summed by context in an
+aggregation and return to the blocks with the answers, and the blocks score
+their texts.  A word above a fixed share of all tokens (a bounded number) is
+dealt by context over several dishes, each of which takes the whole for its own
+part in proportion; the sums of the parts are seated at the root in the end.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import io
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +42,10 @@ from pagesearch.llm import words as W
 from pagesearch.llm.frames import passes, record, texts_of
 from pagesearch.session import materialize
 
-CONTEXT_SHARE = 0.004          # of the training tokens: at most 250 context restaurants
-HOT_SHARE = 0.0005             # at most 2000 words are aggregated beforehand
+CONTEXT_SHARE = 0.004          # of the training tokens: contexts whose tables are estimated each on its own, at most 250
+HOT_SHARE = 0.0005             # at most 2000 words are dealt over several dishes, one for each such share
+PARTS = 2000                   # dishes of a word at most
+BANDS = 128                    # half octaves of guests: contexts of one band are taken as alike
 DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 10.0)      # root, contexts
 BURN_IN, SAMPLES = 2, 4
 BLOCK_CHARS = 6_000_000
@@ -98,16 +103,44 @@ class Totals:
         rest = np.maximum(0, self.customers - self.known_customers)
         return self.known_tables + rest * self.seen[1] / self.seen[0]
 
+    def root_customers(self, t: np.ndarray) -> float:
+        return self.customers[-1] - (self.customers[:-1] - t[:-1]).sum()
+
+
+class Pooled(Totals):
+    """The same of some of the contexts: tables per customer are those seen in
+    contexts of the same band, by this task so far (``pool``; its last column is the root's)."""
+
+    def __init__(self, guests: np.ndarray, band: np.ndarray, n: float, pool: np.ndarray, words: float):
+        nobody = np.zeros(len(guests) + 1)
+        super().__init__(np.append(guests, n), nobody, nobody, words)
+        self.seen, self.band, self.pool = np.zeros((2, len(guests) + 1)), np.append(band, pool.shape[1] - 1), pool
+
+    def pooled(self) -> np.ndarray:
+        return self.pool + np.stack([np.bincount(self.band, x, self.pool.shape[1]) for x in self.seen])
+
+    def tables(self) -> np.ndarray:
+        seen = self.pooled()
+        t = self.customers * (seen[1] / seen[0])[self.band]
+        t[-1] *= seen[1, :-1].sum() / seen[0, :-1].sum()      # the root's customers are the contexts' tables
+        return t
+
+    def root_customers(self, t: np.ndarray) -> float:
+        seen = self.pooled()
+        return self.customers[-1] * seen[1, :-1].sum() / seen[0, :-1].sum()
+
 
 def sample(dish: np.ndarray, context: np.ndarray, count: np.ndarray, n_dishes: int, totals: Totals,
-           rng: np.random.Generator) -> dict:
-    """Gibbs sweeps over whole dishes.
+           rng: np.random.Generator, scale: np.ndarray | None = None) -> dict:
+    """Gibbs sweeps over whole dishes (or parts, of which the whole is ``scale`` times as large).
 
     Pairs (dish, context, count); context -1: customers of the root itself.
     ``totals`` has the contexts' figures and, last, those of the root.  Returns
     sums over the sampled sweeps: by pair ``pair`` (customers less discounted
-    tables), by dish ``root``, by context ``tables``, ``root_tables``, ``root_customers``."""
+    tables), by dish ``root`` (of the whole), ``guests`` and ``seats`` (its customers and
+    tables at the root, of the part), by context ``tables``, ``root_tables``, ``root_customers``."""
     d0, d1 = DISCOUNT
+    scale = np.ones(n_dishes) if scale is None else scale
     inner = context >= 0
     several = np.flatnonzero(inner & (count > 1))
     own = np.bincount(dish[~inner], count[~inner], n_dishes)
@@ -115,33 +148,36 @@ def sample(dish: np.ndarray, context: np.ndarray, count: np.ndarray, n_dishes: i
     ones = np.bincount(context[inner & (count == 1)], minlength=len(totals.customers) - 1)
     seated = None
     root = None
-    base = (own + np.bincount(dish[inner], count[inner], n_dishes)) / max(1.0, totals.customers[-1] or 1.0)
+    base = scale * (own + np.bincount(dish[inner], count[inner], n_dishes)) / max(1.0, totals.customers[-1] or 1.0)
     prior = 0.5 / totals.words
-    out = {"pair": np.zeros(len(dish)), "root": np.zeros(n_dishes), "tables": np.zeros(len(ones)), "root_tables": 0.0, "root_customers": 0.0}
+    out = {"pair": np.zeros(len(dish)), "root": np.zeros(n_dishes), "guests": np.zeros(n_dishes), "seats": np.zeros(n_dishes), "tables": np.zeros(len(ones)), "root_tables": 0.0, "root_customers": 0.0}
     before = totals.seen.copy()
     for sweep in range(BURN_IN + SAMPLES):
         t = totals.tables()
         who = several
         others = t[context[who]] - (seated[0] if seated else 1)
         seated = accept(seated, seat(count[who], STRENGTH[1] + d1 * np.maximum(0, others), base[dish[who]], d1, rng), rng)
-        guests = (own + single + np.bincount(dish[who], seated[0], n_dishes)).astype(np.int64)
+        here = own + single + np.bincount(dish[who], seated[0], n_dishes)
+        guests = np.rint(scale * here).astype(np.int64)
         weight = STRENGTH[0] + d0 * np.maximum(0, t[-1] - (root[0] if root else np.ones(n_dishes)))
         new = seat(guests, weight, np.full(n_dishes, prior), d0, rng)
         if root is not None:      # a seating of another number of guests can't stay
             new = tuple(np.where(guests == before_guests, x, y) for x, y in zip(accept(root, new, rng), new, strict=True))
         root, before_guests = new, guests
         tables = ones + np.bincount(context[who], seated[0], len(ones))
-        totals.seen = before + np.stack([np.append(np.bincount(context[inner], count[inner], len(ones)), guests.sum()), np.append(tables, root[0].sum())])
+        totals.seen = before + np.stack([np.append(np.bincount(context[inner], count[inner], len(ones)), here.sum()), np.append(tables, (root[0] / scale).sum())])
         t = totals.tables()
-        every = max(1.0, totals.customers[-1] - (totals.customers[:-1] - t[:-1]).sum())
+        every = max(1.0, totals.root_customers(t))
         base = np.maximum(1e-300, (guests - d0 * root[0] + (STRENGTH[0] + d0 * t[-1]) * prior) / (STRENGTH[0] + every))
         if sweep >= BURN_IN:
             out["pair"][inner] += count[inner] - d1
             out["pair"][who] += d1 * (1.0 - seated[0])
             out["root"] += guests - d0 * root[0]
+            out["guests"] += here
+            out["seats"] += root[0] / scale
             out["tables"] += tables
-            out["root_tables"] += root[0].sum()
-            out["root_customers"] += guests.sum()
+            out["root_tables"] += (root[0] / scale).sum()
+            out["root_customers"] += here.sum()
     return {k: v / SAMPLES for k, v in out.items()}
 
 
@@ -149,7 +185,8 @@ def sample(dish: np.ndarray, context: np.ndarray, count: np.ndarray, n_dishes: i
 
 BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("texts", T.BinaryType()),
                       T.StructField("top", T.ArrayType(T.LongType())), T.StructField("top_count", T.ArrayType(T.LongType())),
-                      T.StructField("least", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType())])
+                      T.StructField("least", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()),
+                      T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,18 +217,22 @@ def _unpack(data: bytes) -> pa.RecordBatch:
 
 def pack(docs: DataFrame) -> DataFrame:
     """Blocks of (id, train, text) rows, with each block's most frequent
-    training words, its smallest word hashes and its number of training tokens."""
+    training words, its smallest word hashes, its number of training tokens, and
+    all its words with their training tokens, in the order of ``Pairs``."""
     def run(batches):
         context, held, size, at = TaskContext.get().partitionId(), [], 0, 0
 
         def block():
             whole = pa.concat_batches(held) if len(held) > 1 else held[0]
             hashes, sizes = tokens(texts_of(whole, "text"))
-            of = hashes[np.repeat(whole.column("train").to_numpy(zero_copy_only=False), sizes)]
-            value, count = np.unique(of, return_counts=True)
-            top = count >= HOT_SHARE / 4 * len(of)
+            words, index = np.unique(hashes, return_inverse=True)
+            counts = np.bincount(index[np.repeat(whole.column("train").to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
+            n = int(counts.sum())
+            value, count = words[counts > 0], counts[counts > 0]
+            top = count >= HOT_SHARE / 4 * n
             return record(BLOCK, [[context << 24 | at], [_pack(whole)], [value[top].view(np.int64).tolist()], [count[top].tolist()],
-                                  [(value[:SMALLEST] >> np.uint64(1)).astype(np.int64).tolist()], [len(of)]])
+                                  [(value[:SMALLEST] >> np.uint64(1)).astype(np.int64).tolist()], [n],
+                                  [words.view(np.int64)], [counts]])
         for batch in batches:
             for lo, hi in passes(texts_of(batch, "text"), BLOCK_CHARS // 8):
                 part = batch.slice(lo, hi - lo)
@@ -206,19 +247,18 @@ def pack(docs: DataFrame) -> DataFrame:
 
 
 class Pairs:
-    """The distinct (context, word) pairs of a block, in order of their hash."""
-
-    def __init__(self, batch: pa.RecordBatch, contexts: np.ndarray):
-        self.hashes, self.sizes = tokens(texts_of(batch, "text"))
-        before = np.concatenate(([END], self.hashes[:-1])) if len(self.hashes) else self.hashes
-        context = _find(contexts, before)
-        key = W.mix(self.hashes + np.uint64(0x9E3779B97F4A7C15) * (context + 2).astype(np.uint64))
-        del before
-        _, first, self.index = np.unique(key, return_index=True, return_inverse=True)
-        self.word, self.context = self.hashes[first], context[first].astype(np.int64)
-        self.hashes = None
+    """The words of a block in order of their hash, and its distinct (context,
+    word) pairs as places in them."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        hashes, self.sizes = tokens(texts_of(batch, "text"))
+        self.words, at = np.unique(hashes, return_inverse=True)
+        n = max(1, len(self.words))
+        before = np.concatenate((np.searchsorted(self.words, [END]), at[:-1])) if len(at) else at
+        pair, self.index = np.unique(at * n + before, return_inverse=True)
+        self.word, self.context = pair // n, pair % n
         train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), self.sizes)
-        self.count = np.bincount(self.index[train], minlength=len(first))
+        self.count = np.bincount(self.index[train], minlength=len(pair))
 
 
 def _find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -229,79 +269,123 @@ def _find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[at] == x, at, -1)
 
 
-PAIR = T.StructType([T.StructField("word", T.LongType()), T.StructField("context", T.IntegerType()), T.StructField("count", T.LongType())])
-ASKED = T.StructType([T.StructField("word", T.LongType()), T.StructField("at", T.LongType()), T.StructField("i", T.IntegerType()),
-                      T.StructField("context", T.IntegerType()), T.StructField("count", T.IntegerType())])
+ASKED = T.StructType([T.StructField("dish", T.LongType()), T.StructField("context", T.LongType()), T.StructField("guests", T.LongType()),
+                      T.StructField("at", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("count", T.LongType())])
 ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("n", T.LongType()),
                        T.StructField("pair", T.DoubleType()), T.StructField("root", T.DoubleType())])
-TOTAL = -1      # as block: sums over a task's dishes, by context; -1 as i: the root, -2: dishes
+# as block: sums over a task's dishes (i: a hot word, -1 the root, -2 dishes); tables by context (n)
+TOTAL, TABLES = -1, -2
 
 
-def _pairs_of(blocks: DataFrame, contexts: np.ndarray, hot: np.ndarray, of_hot: bool) -> DataFrame:
-    shared = blocks.sparkSession.sparkContext.broadcast((contexts, hot))
-    schema = PAIR if of_hot else ASKED
+def _part(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    return W.mix(word ^ W.mix(nth.astype(np.uint64) + END))
+
+
+class Hot:
+    """Frequent words, and the dishes that each is dealt over."""
+
+    def __init__(self, count: dict[int, int], n: float):
+        self.words = np.array(sorted(count), np.uint64)
+        self.count = np.array([count[w] for w in sorted(count)], float)
+        self.parts = np.minimum(PARTS, np.ceil(self.count / max(1.0, HOT_SHARE * n))).astype(np.int64)
+        of = np.repeat(np.arange(len(self.words)), self.parts)
+        dishes = _part(self.words[of], np.arange(len(of)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts))
+        order = np.argsort(dishes)
+        self.dishes, self.of = dishes[order], of[order]      # the dishes, sorted, and whose they are
+
+    def dish(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        at, out = _find(self.words, word), word.copy()
+        h = np.flatnonzero(at >= 0)
+        out[h] = _part(word[h], W.mix(context[h]) % self.parts[at[h]].astype(np.uint64))
+        return out
+
+
+def _ask(blocks: DataFrame, words: DataFrame, hot: Hot) -> DataFrame:
+    """The pairs of each block whose word is known, with the guests of the context."""
+    shared = blocks.sparkSession.sparkContext.broadcast(hot)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [record(ASKED, [[]] * len(ASKED))]
+        for block, data in zip(left.column("block").to_pylist(), left.column("texts"), strict=True):
+            p = Pairs(_unpack(data.as_py()))
+            n = np.zeros(len(p.words), np.int64)
+            n[right.column("i").to_numpy()] = right.column("n").to_numpy()
+            i = np.flatnonzero(n[p.word] > 0)
+            context = p.words[p.context[i]]
+            out.append(record(ASKED, [shared.value.dish(p.words[p.word[i]], context).view(np.int64), context.view(np.int64), n[p.context[i]],
+                                      np.full(len(i), block), i.astype(np.int32), p.count[i]]))
+        return pa.Table.from_batches(out)
+    return blocks.select("block", "texts").groupBy("block").cogroup(words.select("block", "i", "n").groupBy("block")).applyInArrow(run, ASKED)
+
+
+def _seat(asked: DataFrame, hot: Hot, n: float, guess: float) -> DataFrame:
+    """Answers for the pairs that blocks ask about, and totals; rows sorted by dish."""
+    shared = asked.sparkSession.sparkContext.broadcast(hot)
 
-    def run(batches):
-        contexts, hot = shared.value
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
-                p = Pairs(_unpack(data.as_py()), contexts)
-                is_hot = _find(hot, p.word) >= 0
-                i = np.flatnonzero(is_hot & (p.count > 0) if of_hot else ~is_hot)
-                for lo in range(0, len(i), 100_000):
-                    k = i[lo : lo + 100_000]
-                    if of_hot:
-                        yield record(schema, [p.word[k].view(np.int64), p.context[k].astype(np.int32), p.count[k]])
-                    else:
-                        yield record(schema, [p.word[k].view(np.int64), np.full(len(k), block), k.astype(np.int32), p.context[k].astype(np.int32), p.count[k].astype(np.int32)])
-    return blocks.select("block", "texts").mapInArrow(run, schema)
-
-
-def _seat_cold(asked: DataFrame, totals_of) -> DataFrame:
-    """Answers for the pairs that blocks ask about, and totals; rows sorted by word."""
     def run(batches):
         rng = np.random.default_rng(TaskContext.get().partitionId())
-        totals = totals_of()
-        sums = {"tables": np.zeros(len(totals.customers) - 1), "guests": np.zeros(len(totals.customers) - 1), "root": np.zeros(4)}
+        hot = shared.value
+        own = hot.words[hot.count >= CONTEXT_SHARE * n]
+        pool = np.stack([np.full(BANDS + len(own) + 1, 10.0), np.full(BANDS + len(own) + 1, 6.0)])
+        pool[1, 0] = 10.0                              # one guest, one table
+        guests_of, whole = np.zeros(len(hot.words)), np.zeros(3)
 
         def answer(rows):
-            word, at, i, context, count = rows
-            begin = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]))))
-            pair = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word))))
+            nonlocal pool
+            key, context, guests, at, i, count = rows
+            begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))))
+            pair = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
             total = np.add.reduceat(count, begin)
-            w, dish = np.unique(word[begin], return_inverse=True)
+            w, dish = np.unique(key[begin], return_inverse=True)
             met = np.flatnonzero(total)                # pairs with customers
-            n = np.bincount(dish[met], total[met], len(w)).astype(np.int64)
             known, renamed = np.unique(dish[met], return_inverse=True)
-            s = sample(renamed, context[begin][met], total[met], len(known), totals, rng)
+            c, first, local = np.unique(context[begin][met], return_index=True, return_inverse=True)
+            g = guests[begin][met][first].astype(float)
+            alone = _find(own, c.view(np.uint64))
+            band = np.where(alone >= 0, BANDS + alone, np.minimum(BANDS - 1, 2 * np.log2(np.maximum(1, g))).astype(np.int64))
+            part = _find(hot.dishes, w[known].view(np.uint64))
+            is_part, mine = part >= 0, np.bincount(renamed, total[met], len(known))
+            whose = hot.of[part[is_part]]
+            scale = np.ones(len(known))
+            scale[is_part] = hot.count[whose] / mine[is_part]
+            totals = Pooled(g, band, n, pool, guess)
+            s = sample(renamed, local, total[met], len(known), totals, rng, scale)
+            pool = totals.pooled()
             by_pair, by_dish = np.zeros(len(begin)), np.zeros(len(w))
             by_pair[met], by_dish[known] = s["pair"], s["root"]
-            sums["tables"] += s["tables"]
-            inner = context[begin] >= 0
-            sums["guests"] += np.bincount(context[begin][inner], total[inner], len(sums["guests"]))
-            sums["root"] += [n.sum(), s["root_customers"], s["root_tables"], len(known)]
-            row_n = n[dish[pair]]
-            for lo in range(0, len(word), 100_000):
+            np.add.at(guests_of, whose, s["guests"][is_part])
+            whole[:] += [s["guests"][~is_part].sum(), s["seats"][~is_part].sum(), (~is_part).sum()]
+            for lo in range(0, len(key), 100_000):
                 k = slice(lo, lo + 100_000)
-                ok = row_n[k] > 0                      # unknown words need no answer
-                if ok.any():
-                    yield record(ANSWER, [at[k][ok], i[k][ok].astype(np.int32), row_n[k][ok], by_pair[pair[k][ok]], by_dish[dish[pair[k][ok]]]])
+                yield record(ANSWER, [at[k], i[k].astype(np.int32), np.zeros(len(at[k]), np.int64), by_pair[pair[k]], by_dish[dish[pair[k]]]])
+            yield record(ANSWER, [np.full(len(c), TABLES), np.zeros(len(c), np.int32), c, s["tables"], np.zeros(len(c))])
 
         held = None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("word", "at", "i", "context", "count")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dish", "context", "guests", "at", "i", "count")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) >= _ROWS and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1]))       # the last word may go on
+                cut = int(np.searchsorted(held[0], held[0][-1]))       # the last dish may go on
                 yield from answer([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held is not None and len(held[0]):
             yield from answer(held)
-        n = len(sums["tables"])
-        whole = sums["root"]
-        yield record(ANSWER, [[TOTAL] * (n + 2), [*range(n), -1, -2], [*sums["guests"].astype(int).tolist(), int(whole[0]), int(whole[3])],
-                              [*sums["tables"].tolist(), float(whole[1]), 0.0], [0.0] * n + [float(whole[2]), 0.0]])
-    return asked.repartition("word").sortWithinPartitions("word", "context").mapInArrow(run, ANSWER)
+        h = np.flatnonzero(guests_of)
+        yield record(ANSWER, [[TOTAL] * (len(h) + 2), [*h.tolist(), -1, -2], [0] * (len(h) + 1) + [int(whole[2])],
+                              [*guests_of[h].tolist(), float(whole[0]), 0.0], [0.0] * len(h) + [float(whole[1]), 0.0]])
+    return asked.repartition("dish").sortWithinPartitions("dish", "context").mapInArrow(run, ANSWER)
+
+
+def seat_hot(guests: np.ndarray, tables: float, guess: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Customers less discounted tables, and tables, of the hot words at the root, given the other words' tables."""
+    c, d = np.rint(guests).astype(np.int64), DISCOUNT[0]
+    state, kept = None, []
+    for _ in range(BURN_IN + SAMPLES):
+        others = tables + (state[0].sum() - state[0] if state else np.zeros(len(c)))
+        state = accept(state, seat(c, STRENGTH[0] + d * others, np.full(len(c), 0.5 / max(1.0, guess)), d, rng), rng)
+        kept.append(state[0])
+    t = np.mean(kept[BURN_IN:], axis=0)
+    return guests - d * t, t
 
 
 # ---------------------------------------------------------------- model
@@ -325,42 +409,27 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
     top = (blocks.select(F.explode(F.arrays_zip("top", "top_count")).alias("x")).groupBy("x.top").agg(F.sum("x.top_count").alias("n"))
            .where(F.col("n") >= HOT_SHARE * n).collect())
     hot_count = {r.top % 2**64: r.n for r in top}
-    hot = np.array(sorted(hot_count), np.uint64)
-    contexts = np.array([w for w in sorted(hot_count) if hot_count[w] >= CONTEXT_SHARE * n], np.uint64)
+    hot = Hot(hot_count, float(n))
     # distinct words, estimated from the smallest hashes of all blocks; the exact number comes with the totals
     least = [r.h for r in blocks.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(SMALLEST).collect()]
     guess = len(least) if len(least) < SMALLEST else (SMALLEST - 1) * 2**63 / max(1, least[-1])
 
-    # the hot words: bounded by the shares, so seated here
-    got = _pairs_of(blocks, contexts, hot, True).groupBy("word", "context").agg(F.sum("count").alias("count")).collect()
-    word = np.array([r.word % 2**64 for r in got], np.uint64)
-    context = np.array([r.context for r in got], np.int64)
-    count = np.array([r["count"] for r in got], np.int64)
-    order = np.lexsort((context, word))
-    word, context, count = word[order], context[order], count[order]
-    dish = _find(hot, word)
-    guests = np.array([hot_count[int(w)] for w in contexts], float)
-    in_hot = np.bincount(context[context >= 0], count[context >= 0], len(contexts)).astype(float)
-    customers = np.append(guests, float(n))
-    nobody = np.zeros(len(contexts) + 1)
-    seated = sample(dish, context, count, len(hot), Totals(customers, nobody, nobody, guess), np.random.default_rng(len(got)))
-    known_tables = np.append(seated["tables"], seated["root_tables"])
-    known_customers = np.append(in_hot, seated["root_customers"])
-
-    asked = _pairs_of(blocks, contexts, hot, False)
-    answers = materialize(_seat_cold(asked, lambda: Totals(customers, known_customers, known_tables, guess)), "answers")
+    # a word's training tokens, which are also the guests of its context
+    words = materialize(blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
+                        .select("block", "i", "x.words", F.sum("x.counts").over(Window.partitionBy("x.words")).alias("n")).where("n > 0"), "word-counts")
+    answers = materialize(_seat(_ask(blocks, words, hot), hot, float(n), guess), "answers")
     totals = {r.i: r for r in answers.where(F.col("block") == TOTAL).groupBy("i").agg(F.sum("n").alias("n"), F.sum("pair").alias("pair"), F.sum("root").alias("root")).collect()}
     zero = {"n": 0, "pair": 0.0, "root": 0.0}
     of = lambda i, c: (totals[i][c] if i in totals else zero[c]) or 0
-    hot_n = np.bincount(dish, count, len(hot)) if len(hot) else np.zeros(0)
-    model = {
-        "contexts": contexts, "hot": hot, "hot_n": hot_n, "hot_root": seated["root"],
-        "hot_key": dish * (len(contexts) + 1) + context + 1, "hot_pair": seated["pair"],
-        "guests": in_hot + np.array([of(i, "n") for i in range(len(contexts))]),
-        "tables": seated["tables"] + np.array([of(i, "pair") for i in range(len(contexts))]),
-        "n": float(n), "v": len(hot) + of(-2, "n"),
-        "root_customers": seated["root_customers"] + of(-1, "pair"), "root_tables": seated["root_tables"] + of(-1, "root"),
-    }
+    hot_guests = np.array([of(i, "pair") for i in range(len(hot.words))], float)
+    v = len(hot.words) + of(-2, "n")
+    hot_root, hot_tables = seat_hot(hot_guests, of(-1, "root"), v, np.random.default_rng(len(hot.words)))
+    model = {"hot": hot.words, "hot_root": hot_root, "n": float(n), "v": v,
+             "root_customers": of(-1, "pair") + hot_guests.sum(), "root_tables": of(-1, "root") + hot_tables.sum()}
+    tables = answers.where(F.col("block") == TABLES).groupBy(F.col("n").alias("words")).agg(F.sum("pair").alias("tables"))
+    # a block's words stand beside its pairs, with places below 0
+    back = (answers.where(F.col("block") >= 0)
+            .unionByName(words.join(tables, "words", "left").select("block", (-1 - F.col("i")).cast("int").alias("i"), "n", F.coalesce("tables", F.lit(0.0)).alias("pair"), F.lit(0.0).alias("root"))))
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(key, rows.schema["id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
@@ -371,17 +440,23 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
         out = []
         for data in left.column("texts"):
             batch = _unpack(data.as_py())
-            p = Pairs(batch, m["contexts"])
-            c, pair, root = (np.zeros(len(p.word)) for _ in range(3))
+            p = Pairs(batch)
             i = right.column("i").to_numpy()
-            c[i], pair[i], root[i] = right.column("n").to_numpy(), right.column("pair").to_numpy(), right.column("root").to_numpy()
-            at = _find(m["hot"], p.word)
+            of_pair = i >= 0
+            pair, root = np.zeros(len(p.word)), np.zeros(len(p.word))
+            for x, column in ((pair, "pair"), (root, "root")):
+                x[i[of_pair]] = right.column(column).to_numpy()[of_pair]
+            n, tables = np.zeros(len(p.words)), np.zeros(len(p.words))
+            for x, column in ((n, "n"), (tables, "pair")):
+                x[-1 - i[~of_pair]] = right.column(column).to_numpy()[~of_pair]
+            c = n[p.word]
+            at = _find(m["hot"], p.words[p.word])
             h = np.flatnonzero(at >= 0)
-            c[h], root[h] = m["hot_n"][at[h]], m["hot_root"][at[h]]
-            k = _find(m["hot_key"], at[h] * (len(m["contexts"]) + 1) + p.context[h] + 1)
-            pair[h] = np.where(k >= 0, m["hot_pair"][k], 0) if len(m["hot_pair"]) else 0
+            root[h] = m["hot_root"][at[h]]
+            m = m | {"contexts": p.words, "guests": n, "tables": tables}
+            context = np.where(n[p.context] > 0, p.context, -1)
             base = np.log10((c + 0.5) / (m["n"] + 0.5 * (m["v"] + 1)))
-            prob = np.log10(probabilities(m, c > 0, root, p.context, pair))
+            prob = np.log10(probabilities(m, c > 0, root, context, pair))
             first = np.cumsum(p.sizes) - p.sizes
 
             def per_text(x):
@@ -390,7 +465,7 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
         return pa.Table.from_batches(out, schema=out[0].schema) if out else pa.table({f.name: pa.array([], record(schema, [[]] * len(schema)).schema.field(f.name).type) for f in schema})
 
     return (blocks.select("block", "texts").groupBy("block")
-            .cogroup(answers.where(F.col("block") != TOTAL).groupBy("block")).applyInArrow(score, schema))
+            .cogroup(back.groupBy("block")).applyInArrow(score, schema))
 
 
 def probabilities(m: dict, known: np.ndarray, root: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:

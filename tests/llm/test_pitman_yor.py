@@ -113,3 +113,12 @@ def test_hot_and_cold_words_and_many_blocks_agree_on_counts(frame, monkeypatch):
         assert counted(out) == want
         # the strong discounts, meant for open vocabularies, cost something on 54 words
         assert sum(r.score for r in out.collect()) > 1.15 * sum(r.base_score for r in out.collect())
+
+
+def test_rare_contexts_have_restaurants_of_their_own(frame):
+    """800 words of 0.12 % of the tokens each; every other one is always followed by the same word."""
+    rows = [(i, " ".join(f"c{(7 * i + j) % 400} f{(7 * i + j) % 400}" for j in range(40))) for i in range(300)]
+    # the same words in an order not met, so that the contexts alone make the difference
+    rows += [(1000, " ".join(f"c{j} f{j}" for j in range(100))), (1001, " ".join(f"c{j} f{j + 7}" for j in range(100)))]
+    score = {r.doc_id: r.score for r in py.scored(frame(rows), F.col("doc_id") < 1000).collect()}
+    assert score[1000] > score[1001] + 50
