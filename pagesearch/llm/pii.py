@@ -1,16 +1,19 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation.
 
 The patterns give the protected entities (an e-mail address, an IP address, a
-card or a phone number).  How much a term near an entity reveals of it is
+card or a phone number).  How much a term reveals of an entity is
 estimated from co-occurrence in the corpus: with df as the number of documents
-that hold a term or an entity, and joint the number of documents in which the
-term stands near the entity, the disclosure is the pointwise mutual information
+that hold a term or an entity, and joint the number of documents that hold both
+(the term outside of entities), the disclosure is the pointwise mutual information
 of both over the information content of the entity,
 
     log(joint * D / (df(term) * df(entity))) / log(D / df(entity)),
 
 1 when the term gives the entity away.  Terms beyond a threshold are
-generalised, beyond a higher one removed, wherever they stand near the entity.
+generalised, beyond a higher one removed, wherever they stand in a document that
+holds the entity.  An entity of one document alone has no such terms: one
+document tells nothing about what goes with it, and each rare word of its text
+would seem to give it away.
 
 Everything is DataFrame functions.  No entity spans a line feed, so patterns
 run on whole texts; Java's possessive quantifiers stand where backing off can't
@@ -38,8 +41,9 @@ PATTERNS = {
 # a text without this can't match
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"),
          "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
-CONTEXT = 80                 # characters on each side of an entity, on its line
 LETTERS = r"\p{L}{3,}"       # what counts as a term, lower-cased
+HIDDEN = "\uffff"            # stands for a letter of an entity
+OUTSIDE = rf"(?<![\p{{L}}{HIDDEN}]){LETTERS}+(?!{HIDDEN})"     # terms that no entity overlaps
 SUPPORT = 2                  # documents in which term and entity meet, at least
 GENERALISE, REMOVE = 0.6, 0.9
 _SPAN = "struct<kind:int,s:int,e:int,value:string>"
@@ -89,42 +93,52 @@ def base_spans(text: Column) -> Column:
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, version (hash of the text, which tells
-    rows with one key apart), spans, and the text on both sides of each span."""
+    rows with one key apart), spans, and, if there are any, the text with the
+    letters of all spans hidden."""
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     s = d.select("key", "text", base_spans(F.col("text")).alias("spans"))
-    # one character more than the context shows whether a word is cut off
-    left = lambda x: F.substring_index(F.substr("text", F.greatest(x["s"] - CONTEXT, F.lit(1)), F.least(x["s"], F.lit(CONTEXT + 1))), "\n", -1)
-    right = lambda x: F.substring_index(F.substr("text", x["e"] + 1, F.lit(CONTEXT + 1)), "\n", 1)
-    sides = F.transform("spans", lambda x: F.struct(left(x).alias("left"), right(x).alias("right")))
-    return s.select("key", F.xxhash64("text").alias("version"), "spans", sides.alias("sides"))
-
-
-def near_terms(found: DataFrame) -> DataFrame:
-    """(key, version, kind, value, term, s, e): the terms near each entity that
-    are no part of an entity themselves."""
-    row = (found.where(F.size("spans") > 0)
-           .select("key", "version", "spans", F.explode(F.arrays_zip("spans", "sides")).alias("x"))
-           .select("key", "version", "spans", "x.spans.*", "x.sides.left", "x.sides.right"))
-    kind = "struct<term:string,s:int,e:int>"
-    full = CONTEXT + 1
-
-    def terms(side: str, base: Column, whole):
-        return F.transform(_walk(F.col(side), LETTERS, lambda s, e, m: whole(s, e), kind, lambda s, e, m: F.struct(F.lower(m), s, e)),
-                           lambda t: F.struct(t["term"].alias("term"), (t["s"] + base).alias("s"), (t["e"] + base).alias("e")))
-    before = terms("left", F.col("s") - F.length("left"), lambda s, e: (s > 0) | (F.length("left") < full))
-    after = terms("right", F.col("e"), lambda s, e: e < full)
-    return (row.select("key", "version", "spans", "kind", "value", F.explode(F.concat(before, after)).alias("t"))
-            .where(~F.exists("spans", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s"))))
-            .select("key", "version", "kind", "value", "t.*"))
-
-
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, text: str = "text") -> DataFrame:
+    return s.select("key", F.xxhash64("text").alias("version"), "spans", F.when(F.size("spans") > 0, _hidden(F.translate("text", HIDDEN, " "), F.col("spans"))).alias("outside"))
+
+
+def _hidden(text: Column, spans: Column) -> Column:
+    """``text`` with each letter inside a span as HIDDEN: no character moves."""
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+
+    def step(acc, x):
+        s = F.greatest(acc["at"], x["s"])
+        part = F.regexp_replace(F.substr(text, s + 1, F.greatest(x["e"] - s, F.lit(0))), r"\p{L}", HIDDEN)
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, s - acc["at"]), part).alias("out"))
+    return F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["key"].eqNullSafe(b["_key"]) & (a["version"] == b["_version"])
+
+
+def entity_documents(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, value, df_entity) of the entities of ``SUPPORT`` documents or more,
+    and the documents that hold any: key, version, those entities, and the
+    distinct terms of the whole text that are no part of an entity."""
+    held = found.where(F.size("spans") > 0).dropDuplicates(["key", "version"])
+    each = held.select("key", "version", F.explode(F.array_distinct(F.transform("spans", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))).alias("x")).select("key", "version", "x.*")
+    entity = materialize(each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity")).where(F.col("df_entity") >= SUPPORT), "entity-counts")
+    of = (each.join(entity, ["kind", "value"]).groupBy("key", "version").agg(F.collect_list(F.struct("kind", "value")).alias("entities"))
+          .withColumnsRenamed({"key": "_key", "version": "_version"}))
+    terms = F.array_distinct(F.transform(F.regexp_extract_all("outside", F.lit(OUTSIDE), F.lit(0)), F.lower))
+    return entity, materialize(held.join(of, _same(held, of)).select("key", "version", "entities", terms.alias("terms")), "entity-documents")
+
+
+def together(documents: DataFrame) -> DataFrame:
+    """(key, version, kind, value, term): each entity with each term of its documents."""
+    return (documents.select("key", "version", "terms", F.explode("entities").alias("x"))
+            .select("key", "version", "x.*", F.explode("terms").alias("term")))
+
+
+def disclosures(docs: DataFrame, entity: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """(kind, value, term, disclosure) of the pairs that meet in at least
     ``SUPPORT`` documents, from counts over all documents."""
-    joint = near.select("kind", "value", "term", "key", "version").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("joint"))
+    joint = together(documents).groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("joint"))
     pairs = materialize(joint.where(F.col("joint") >= SUPPORT), "entity-terms")
-    entity = (found.select("key", "version", F.explode("spans").alias("x")).select("key", "version", "x.kind", "x.value").distinct()
-              .groupBy("kind", "value").agg(F.count(F.lit(1)).alias("df_entity")))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(LETTERS), F.lit(0)))
     # an inner join below: a semi-join would be pushed under the aggregation at
     # small sizes alone, and the plan should be one for all sizes
@@ -136,25 +150,28 @@ def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame, text: str =
             .select("kind", "value", "term", F.when(information > 0, mutual / information).otherwise(F.lit(0.0)).alias("disclosure")))
 
 
-
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, version, ``base`` and ``revealing``: one row per row of ``docs``.
 
     ``base`` has the spans of the patterns as (kind, s, e, value), ``revealing``
-    the near terms beyond the threshold as (s, e, disclosure), in code points,
+    the terms beyond the threshold, of any place in the text, as (s, e, disclosure), in code points,
     end exclusive.  A null text counts as empty; empty texts have no spans.
     Rows that repeat key and text count as one document and get equal spans;
     one key with two texts is two documents, a null key is a key like others.
     Extra columns are not read; an empty table gives no rows.
     """
     found = materialize(entities(docs, key, text), "entities")
-    near = materialize(near_terms(found), "near-terms")
-    told = disclosures(docs, found, near, text).where(F.col("disclosure") >= GENERALISE)
-    terms = (near.join(told, ["kind", "value", "term"])
-             .groupBy("key", "version", "s", "e").agg(F.max("disclosure").alias("disclosure"))
-             .groupBy("key", "version").agg(F.array_sort(F.collect_list(F.struct("s", "e", "disclosure"))).alias("revealing"))
+    entity, documents = entity_documents(found)
+    told = materialize(disclosures(docs, entity, documents, text).where(F.col("disclosure") >= GENERALISE), "disclosures")
+    terms = (together(documents).join(told, ["kind", "value", "term"])
+             .groupBy("key", "version", "term").agg(F.max("disclosure").alias("disclosure"))
+             .groupBy("key", "version").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("told"))
              .withColumnsRenamed({"key": "_key", "version": "_version"}))
-    j = found.select("key", "version", F.col("spans").alias("base")).join(terms, F.col("key").eqNullSafe(F.col("_key")) & (F.col("version") == F.col("_version")), "left")
+    term = "struct<s:int,e:int,disclosure:double>"
+    places = _walk(F.col("outside"), OUTSIDE, lambda s, e, m: F.map_contains_key("told", F.lower(m)), term,
+                   lambda s, e, m: F.struct(s, e, F.try_element_at("told", F.lower(m))))
+    j = (found.join(terms, _same(found, terms), "left")
+         .select("key", "version", F.col("spans").alias("base"), F.when(F.col("told").isNotNull(), places).alias("revealing")))
     return j.select(F.col("key").alias(key), "version", "base",
                     F.coalesce("revealing", F.array().cast("array<struct<s:int,e:int,disclosure:double>>")).alias("revealing"))
 

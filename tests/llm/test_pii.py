@@ -118,3 +118,17 @@ def test_no_python_in_the_plan_and_empty(frame):
     d = frame([(1, "a@b.cd")]).withColumn("spans", F.lit("x")).withColumn("key", F.lit(1)).withColumn("version", F.lit(1))
     assert [r.spans for r in pii.digest(pii.spans(d)).collect()] == ["email:0:6"]
     assert pii.sanitised(d).first().text == "<email>"
+
+
+def test_terms_of_the_whole_document_reveal_and_are_cut(frame):
+    """On another line, and farther off than a line is long; those of an entity's own letters are none."""
+    far = "some words that fill the text " * 10
+    rows = [(i, f"Zebulon wrote\n{far}tel+49 30 1234567 and éééabc@x.yz{i}\n{far}\nby ZEBULON, éééabc and {'late' * (i + 1)}") for i in range(2)]
+    rows += [(10 + i, f"tel wrote and by {far}") for i in range(40)]
+    marks = {r.doc_id: r for r in pii.digest(pii.spans(frame(rows))).collect()}
+    for i in range(2):
+        text = rows[i][1]
+        terms = [text[int(a):int(b)] for kind, a, b in (x.split(":") for x in marks[i].spans.split(",")) if kind == "term"]
+        assert terms == ["Zebulon", "ZEBULON", "éééabc"]
+    out = {r.doc_id: r.text for r in pii.sanitised(frame(rows)).collect()}
+    assert "ebulon" not in out[0].lower() and "late" in out[0] and out[10] == rows[2][1]
