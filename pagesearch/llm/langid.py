@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesearch.llm.frames import add_columns, held_out
-from pagesearch.session import materialize
+from pagesearch.session import broadcast_if_small, materialize
 
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 4000   # rows a language and characters of each that are learned from
+PIECES, PIECE_BYTES = 8, 256           # into which those characters are cut at most, and the bytes learned at least
 SAMPLE_BYTES, ALL_BYTES = 49_152, 196_608   # bytes of each automaton's text, and of all
-LEAST_SHARE = 0.001                    # of the labelled rows; rarer labels are not learned
 SEGMENT = 1024                         # bytes of text in a lane; a phrase ends with its lane
 UNKNOWN = "und"
 _FLAG = 1 << 30
@@ -132,30 +132,44 @@ class Parser:
         return langs, scores
 
 
+def shared_out(texts: list[bytes], limit: int) -> bytes:
+    """``limit`` bytes of all texts: as much of each, in pieces from all of it, and more of the longer ones if some are short."""
+    parts, left = [b""] * len(texts), limit
+    for nth, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        n, t = max(0, left // (len(texts) - nth) - 1), texts[i]
+        if len(t) > n:
+            k = max(1, n // PIECE_BYTES)
+            size = max(0, n // k - 1)
+            t = b" ".join(t[at : at + size] for at in (j * (len(t) - size) // max(1, k - 1) for j in range(k)))
+        parts[i] = t
+        left -= len(t) + 1
+    return b"\n".join(parts)[:limit]
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> list[tuple]:
     """The automata, by language in order of name.
 
-    Learned from a bounded sample: of each label that at least 0.1 % of the
-    labelled rows have (so at most 1000 labels), the 64 rows with the smallest
-    hash, 4000 characters of each, and of those 49,152 bytes at most (less with
-    more than four languages: 196,608 bytes in all).
+    Learned from a bounded sample: of each label the 64 rows with the smallest
+    hash, of each 4000 characters, from all of the text if it is longer, and of
+    those 49,152 bytes at most, shared out among the rows (less with more than
+    four languages: 196,608 bytes in all, but 2048 a language).
     """
     d = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     ranked = d.select("lang", F.xxhash64("key", "text").alias("h"))
-    shares = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = shares.agg(F.sum("n")).first()[0] or 0
-    langs = [r.lang for r in shares.where(F.col("n") >= LEAST_SHARE * total).orderBy("lang").collect()]
-    if not langs:
-        return []
     least = Window.partitionBy("lang").orderBy("h")
-    chosen = materialize(ranked.where(F.col("lang").isin(langs)).distinct().withColumn("r", F.row_number().over(least))
+    chosen = materialize(ranked.distinct().withColumn("r", F.row_number().over(least))
                          .where(F.col("r") <= SAMPLE_ROWS).select("lang", "h"), "language-sample")
-    sample = (d.withColumn("h", F.xxhash64("key", "text")).join(F.broadcast(chosen), ["lang", "h"])
-              .select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct())
-    limit = max(2048, min(SAMPLE_BYTES, ALL_BYTES // len(langs)))
+    langs = chosen.select("lang").distinct().count()
+    if not langs:
+        return []
+    size, piece = F.length("text"), SAMPLE_CHARS // PIECES
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", F.floor(i * (size - piece) / (PIECES - 1)).cast("int") + 1, F.lit(piece)))
+    sample = (d.withColumn("h", F.xxhash64("key", "text")).join(broadcast_if_small(chosen), ["lang", "h"])
+              .select("lang", "h", F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(pieces, "\n")).alias("text")).distinct())
+    limit = max(2048, min(SAMPLE_BYTES, ALL_BYTES // langs))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        data = b"\n".join(normalise(t) for t in rows.sort_values("h").text)[:limit]
+        data = shared_out([normalise(t) for t in rows.sort_values("h").text], limit)
         a, b, c = suffix_automaton(data)
         return pd.DataFrame({"lang": [rows.lang.iloc[0]], "n": [len(data)], "src": [a.tobytes()], "byte": [b.tobytes()], "dst": [c.tobytes()]})
 

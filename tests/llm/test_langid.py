@@ -60,3 +60,12 @@ def test_odd_rows_and_empty(frame):
     assert {r.lang_pred for r in langid.detect(frame(ODD), []).collect()} == {"und"}
     d = frame([(1, "der und")]).withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
     assert [r.lang_pred for r in langid.detect(d, models).collect()] == ["de"]
+
+
+def test_rare_labels_and_ends_of_texts_are_learned(frame):
+    rows = [(i, f"the words and one two {i}", "en") for i in range(3000)] + [(5000, "der die und ein zwei", "de")]
+    rows += [(6000 + i, "aaaa " * 5000 + "zwölf boxkämpfer jagen viktor " * 100, "xx") for i in range(2)]
+    models = langid.fit(frame(rows))
+    assert [m[0] for m in models] == ["de", "en", "xx"]
+    out = {r.doc_id: r.lang_pred for r in langid.detect(frame([(1, "die und der"), (2, "viktor jagen boxkämpfer"), (3, "two words")]), models).collect()}
+    assert out == {1: "de", 2: "xx", 3: "en"}
