@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesearch.llm import bpe, decontaminate, embeddings, langid, linededup, pii, pitman_yor, simhash, toxicity, warc
+from pagesearch.llm import bpe, decontaminate, embeddings, langid, linededup, pii, pitman_yor, simhash, suffixdedup, toxicity, warc
 from pagesearch.llm.frames import held_out
 from pagesearch.sources.tables import table
 
@@ -103,3 +103,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learnable = ~held_out("doc_id", 5, 0) & F.col("doc_id").isNotNull()
     model = toxicity.fit(docs.where(learnable), labels.where(learnable))
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+@register("op13_suffix_array")
+def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixdedup.repeats(docs, length=400, digest=True).drop("spans")
