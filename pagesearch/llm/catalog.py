@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesearch.llm import bpe, conversation, decontaminate, embeddings, langid, linededup, periodic, pii, pitman_yor, simhash, suffixdedup, toxicity, warc
+from pagesearch.llm import bpe, conversation, decontaminate, embeddings, langid, linededup, oracles, periodic, pii, pitman_yor, simhash, suffixdedup, toxicity, warc
 from pagesearch.llm.frames import held_out
 from pagesearch.sources.tables import table
 
@@ -105,7 +105,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
-@register("op13_suffix_array")
+@register("op13_suffix_array", oracles.REPEATS)
 def op13_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixdedup.repeats(docs, length=400, digest=True).drop("spans")
@@ -117,6 +117,6 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.with_planted_periods(docs)))
 
 
-@register("op11_conversation_repair")
+@register("op11_conversation_repair", oracles.CONVERSATION)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repaired_digest(table(spark, sf_dir, "conversations"))
