@@ -9,13 +9,13 @@ to independent indexes by content, so that equal windows always meet:
    anchor form a *context*: the bytes that these windows cover.
 2. Contexts whose anchor occurs once have no partner and go.  Of equal contexts
    two go on and stand for all (a pre-aggregation: a group of copies costs two).
-3. The contexts of an anchor come to one task, which packs anchors into blocks
-   of at most 2**20 bytes, builds a Burrows-Wheeler transform of each block and
-   expands intervals breadth first: from the empty string, each interval of a
-   string w is extended backward to those of cw, and a right border that no
-   shorter string has set has the common prefix |w|.  Values come by increasing
-   length, and expansion stops at ``length``: borders never set lie between
-   suffixes that share a window.
+3. The contexts of an anchor come to one task, which packs anchors into blocks,
+   builds a Burrows-Wheeler transform of each block and expands intervals
+   breadth first: from those of the few symbols that the first sort reads, each
+   interval of a string w is extended backward to those of cw, and a right
+   border that no shorter string has set has the common prefix |w|.  Values
+   come by increasing length, and expansion stops at ``length``: borders never
+   set lie between suffixes that share a window.
 4. An anchor with more than ``part`` contexts (a frequent passage in many
    different surroundings) is dealt anew by longer grams, which split its
    windows and its contexts; grams as long as the window leave equal windows
@@ -39,7 +39,8 @@ from pagesearch.session import materialize
 LENGTH = 400
 GRAM = 100          # bytes of the first anchors; at most the window's length
 PART = 1024         # contexts of one anchor in one block
-BLOCK = 1 << 20     # bytes of a block: positions take 20 bits of a sort key
+BLOCK = 1 << 20     # bytes of the largest block: positions take 20 bits of a sort key
+SMALL = 1 << 16     # bytes of a block of several anchors: three ranks and a position fit a sort key
 _SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -98,78 +99,106 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def block_index(contexts: list[bytes], depth: int) -> tuple[np.ndarray, ...]:
-    """Symbols of the joined contexts (0 after each), and suffix order, its
-    inverse and the BWT, with suffixes ordered by their first ``depth`` symbols
-    at least.  Ties below that depth don't matter: only intervals of strings
-    of at most ``depth`` symbols are read off."""
-    joined = np.concatenate([x for c in contexts for x in (np.frombuffer(c, np.uint8).astype(np.int64) + 1, [0])])
+def block_index(contexts: list[bytes], depth: int) -> tuple:
+    """BWT of the joined contexts (symbol 0 after each): number of symbols that
+    the first sort read and where suffixes differ in them, the suffix order,
+    the row of the suffix one symbol longer, the BWT and the first symbols.
+    Suffixes are ordered by ``depth`` symbols at least; ties beyond don't
+    matter, as only intervals of strings of at most ``depth`` are read off."""
+    joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
+    joined[np.cumsum([len(c) + 1 for c in contexts]) - 1] = 0
     alphabet, symbols = np.unique(joined, return_inverse=True)
     symbols = symbols.astype(np.uint64)
-    n, bits = len(symbols), max(1, int(len(alphabet) - 1).bit_length())
+    n, bits = len(symbols), np.uint64(max(1, int(len(alphabet) - 1).bit_length()))
     low = np.uint64(max(1, (n - 1).bit_length()))
-    have = min((63 - int(low)) // bits, depth)
+    step = 64 // int(low) - 1          # ranks that fit a key beside the position
+    if step < 2:
+        raise ValueError("a block has at most 2**20 bytes")
+    have = read = min((64 - int(low)) // int(bits), depth)
     key = np.zeros(n, np.uint64)
     for k in range(have):
-        key <<= np.uint64(bits)
+        key <<= bits
         key[: max(0, n - k)] |= symbols[k:]
     index = np.arange(n, dtype=np.uint64)
     mask = np.uint64((1 << int(low)) - 1)
-    rank = np.zeros(n, np.uint64)
+    rank, differ = np.zeros(n, np.uint64), None
     while True:
         packed = np.sort((key << low) | index)
         order, value = (packed & mask).astype(np.int64), packed >> low
         new = np.concatenate(([False], value[1:] != value[:-1]))
         rank[order] = np.cumsum(new, dtype=np.uint64)
+        differ = value if differ is None else differ
         if have >= depth or int(rank[order[-1]]) == n - 1:
             break
-        key = rank << low
-        key[: max(0, n - have)] |= rank[have:]
-        have *= 2
-        if 3 * int(low) > 64:
-            raise ValueError("a block has at most 2**20 bytes")
-    inverse = np.empty(n, np.int64)
-    inverse[order] = np.arange(n)
+        key = rank.copy()
+        for k in range(1, step):
+            key <<= low
+            key[: max(0, n - k * have)] |= rank[k * have :]
+        have *= step
     before = np.concatenate(([n - 1], np.arange(n - 1)))
-    return symbols, order, inverse[before[order]], symbols[before[order]]
-
-
-def shared(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each context the window starts whose window occurs elsewhere in the contexts."""
-    symbols, order, back, bwt = block_index(contexts, length)
-    n = len(order)
-    low = np.uint64(max(1, (n - 1).bit_length()))
+    return read, int(bits), differ, order, rank.astype(np.int64), before, symbols
+
+
+def shared(blocks: list[list[bytes]], length: int) -> list[list[np.ndarray]]:
+    """For each context of each block the window starts whose window occurs
+    elsewhere in the block.  The blocks' indexes are expanded side by side."""
+    parts, offset = [], 0
+    made = [block_index(b, length) for b in blocks]
+    start = min(m[0] for m in made)
+    for (read, bits, value, order, rank, before, symbols), contexts in zip(made, blocks, strict=True):
+        n = len(order)
+        inverse = rank
+        if rank[order[-1]] < n - 1:    # equal beyond the depth: by position
+            inverse = np.empty(n, np.int64)
+            inverse[order] = np.arange(n)
+        value = value >> np.uint64(bits * (read - start))
+        sizes = np.array([len(c) + 1 for c in contexts])
+        left = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(n)
+        parts.append((np.concatenate(([True], value[1:] != value[:-1])), inverse[before[order]] + offset, symbols[before[order]] != 0,
+                      symbols[order], left[order], order + offset))
+        offset += n
+    known, back, inner, first, left, order = (np.concatenate(x) for x in zip(*parts, strict=True))
+    known = np.append(known, True)
+    lb = np.flatnonzero(known[:-1])
+    rb = np.append(lb[1:], offset) - 1
+    whole = left[lb] >= start
+    lb, rb = lb[whole], rb[whole]
+    low = np.uint64(max(1, (offset - 1).bit_length()))
     mask = np.uint64((1 << int(low)) - 1)
-    first = symbols[order]
-    known = np.zeros(n + 1, bool)
-    known[0] = True
-    lb, rb = np.zeros(1, np.int64), np.full(1, n - 1, np.int64)
-    for _ in range(length):   # common prefixes 0, 1, ..., length - 1
-        size = rb - lb + 1
-        of = np.repeat(np.arange(len(lb)), size)
-        at = np.arange(len(of)) + np.repeat(lb - np.cumsum(size) + size, size)
-        inner = bwt[at] != 0
-        of, at = of[inner], back[at[inner]]
-        packed = np.sort((of.astype(np.uint64) << low) | at.astype(np.uint64))
-        at, of = (packed & mask).astype(np.int64), packed >> low
-        if not len(at):
-            break
-        new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (first[at[1:]] != first[at[:-1]]))))
-        lb, rb = at[new], at[np.append(new[1:], len(at)) - 1]
+    for _ in range(start, length):   # common prefixes start, ..., length - 1 (shorter ones came with the first sort)
+        alone = lb == rb
+        one = lb[alone]
+        one = back[one[inner[one]]]
+        lb, size = lb[~alone], (rb - lb + 1)[~alone]
+        if len(lb):
+            of = np.repeat(np.arange(len(lb)), size)
+            at = np.arange(len(of)) + np.repeat(lb - np.cumsum(size) + size, size)
+            some = inner[at]
+            of, at = of[some], back[at[some]]
+            packed = np.sort((of.astype(np.uint64) << low) | at.astype(np.uint64))
+            at, of = (packed & mask).astype(np.int64), packed >> low
+            symbol = first[at]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), (of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1]))))
+            lb, rb = np.concatenate((one, at[new])), np.concatenate((one, at[np.append(new[1:], len(at))[: len(new)] - 1]))
+        else:
+            lb = rb = one
         fresh = ~known[rb + 1]
         lb, rb = lb[fresh], rb[fresh]
         known[rb + 1] = True
         if not len(lb):
             break
-    sizes = np.array([len(c) + 1 for c in contexts])
-    stop = np.cumsum(sizes)
-    left = np.repeat(stop - 1, sizes) - np.arange(n)
-    long = left[order] >= length
-    twin = ~known[1:n] & long[1:] & long[:-1]
-    hit = np.zeros(n, bool)
+    long = left >= length
+    twin = ~known[1:offset] & long[1:] & long[:-1]
+    hit = np.zeros(offset, bool)
     hit[order[1:][twin]] = True
     hit[order[:-1][twin]] = True
-    return [np.flatnonzero(hit[e - s : e]) for s, e in zip(sizes, stop, strict=True)]
+    out, at = [], 0
+    for contexts in blocks:
+        out.append([])
+        for c in contexts:
+            out[-1].append(np.flatnonzero(hit[at : at + len(c)]))
+            at += len(c) + 1
+    return out
 
 
 def _runs(starts: np.ndarray) -> list[dict]:
@@ -181,33 +210,42 @@ def _runs(starts: np.ndarray) -> list[dict]:
 
 def _expand(length: int):
     """Blocks of whole anchors, expanded; rows arrive sorted by (key, ctx)."""
-    def flush(rows):
-        if len(rows) < 2:
-            return
+    def flush(blocks):
         out, before = ([], [], []), None
-        for (key, ctx, _), starts in zip(rows, shared([r[2] for r in rows], length), strict=True):
-            if len(starts) and (key, ctx) != before:
-                for column, value in zip(out, (key, ctx, _runs(starts)), strict=True):
-                    column.append(value)
-            before = key, ctx
+        for block, found in zip(blocks, shared([[r[2] for r in b] for b in blocks], length) if blocks else [], strict=True):
+            for (key, ctx, _), starts in zip(block, found, strict=True):
+                if len(starts) and (key, ctx) != before:
+                    for column, value in zip(out, (key, ctx, _runs(starts)), strict=True):
+                        column.append(value)
+                before = key, ctx
         if out[0]:
             yield record(FOUND, list(out))
 
     def run(batches):
-        done, now, size, last = [], [], 0, None
+        blocks, block, now, size, total, own, last = [], [], [], 0, 0, 0, None
+
+        def close():
+            """The anchor's contexts go to the open block, or begin one."""
+            nonlocal block, size, total
+            if len(now) > 1:
+                if block and size + own > SMALL:
+                    blocks.append(block)
+                    block, size = [], 0
+                block = block + now
+                size, total = size + own, total + own
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[0] != last:
-                    if size and len(now) == 1:   # an anchor alone
-                        size -= len(now[0][2]) + 1
-                        now = []
-                    done, now, last = done + now, [], row[0]
-                if size + len(row[2]) + 1 > BLOCK and done:
-                    yield from flush(done)
-                    size, done = sum(len(r[2]) + 1 for r in now), []
+                    close()
+                    now, own, last = [], 0, row[0]
+                    if total > BLOCK // 2:
+                        yield from flush([*blocks, block])
+                        blocks, block, size, total = [], [], 0, 0
                 now.append(row)
-                size += len(row[2]) + 1
-        yield from flush(done + now)
+                own += len(row[2]) + 1
+        close()
+        yield from flush([b for b in (*blocks, block) if b])
     return run
 
 
