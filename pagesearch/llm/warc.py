@@ -27,7 +27,7 @@ from pagesearch.session import materialize, shared_dir
 SPLIT_BYTES = 16 << 20
 REVISIT_BYTES = 0          # payloads of at least this size are revisited
 MAGIC = b"\x1f\x8b\x08"
-_READ, _HEAD = 1 << 18, 1 << 16
+_READ = 1 << 18
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -107,11 +107,15 @@ def write(pages: DataFrame, folder: str, least_bytes: int = REVISIT_BYTES) -> Da
 
 
 class Bytes:
-    """A window of a file that moves forward."""
+    """A window of a file that moves forward, or to a new place."""
 
     def __init__(self, source, at: int):
-        self.source, self.at, self.data = source, at, b""
-        source.seek(at)
+        self.source = source
+        self.move(at)
+
+    def move(self, at: int) -> None:
+        self.at, self.data = at, b""
+        self.source.seek(at)
 
     def more(self) -> bool:
         got = self.source.read(_READ)
@@ -130,27 +134,30 @@ class Bytes:
         return self.at + i
 
 
-def inflate(window: Bytes) -> tuple[bytes, int] | None:
-    """The member at ``window.at`` and where it ends; None if it isn't a WARC record."""
-    z, out, used, checked = zlib.decompressobj(31), [], 0, False
-    head = b""
+def inflate(window: Bytes) -> bytes | None:
+    """The member at ``window.at``, and the window behind it; None, and the
+    window one byte on, if it isn't a WARC record.  The first bytes decide, and
+    the header may have any length.  What is inflated leaves the window, so a
+    long member is read once."""
+    start, z, out, head = window.at, zlib.decompressobj(31), [], b""
     while not z.eof:
-        if used == len(window.data) and not window.more():
-            return None
+        if not window.data and not window.more():
+            break
         try:
-            out.append(z.decompress(window.data[used:]))
+            out.append(z.decompress(window.data))
         except zlib.error:
-            return None
-        used = len(window.data)
-        if not checked:
-            head += out[-1]
-            if not b"WARC/1.".startswith(head[:7]):
-                return None
-            if b"\r\n\r\n" in head:
-                checked, head = True, b""
-            elif len(head) > _HEAD:
-                return None
-    return (b"".join(out), window.at + used - len(z.unused_data)) if checked else None
+            break
+        window.skip(window.at + len(window.data) - len(z.unused_data))
+        if len(head) < 7:
+            head = (head + out[-1])[:7]
+            if not b"WARC/1.".startswith(head):
+                break
+    else:
+        data = b"".join(out)
+        if data.startswith(b"WARC/1.") and b"\r\n\r\n" in data:
+            return data
+    window.move(start + 1)
+    return None
 
 
 def parse(data: bytes) -> tuple:
@@ -178,11 +185,8 @@ def records_in(source, start: int, end: int) -> Iterator[tuple]:
     window = Bytes(source, start)
     while (at := window.find_magic()) is not None and at < end:
         window.skip(at)
-        if (found := inflate(window)) is None:
-            window.skip(at + 1)
-            continue
-        yield parse(found[0])
-        window.skip(found[1])
+        if (found := inflate(window)) is not None:
+            yield parse(found)
 
 
 def read(spark: SparkSession, files: DataFrame, payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -213,10 +217,20 @@ def read(spark: SparkSession, files: DataFrame, payload: bool = True, split_byte
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, payload: bool = False) -> DataFrame:
-    """Writes ``pages`` as archives and reads them back, one row per page.
-    Extra columns are not archived; an empty table gives no rows."""
+    """Writes ``pages`` as archives and reads them back, one row per page;
+    raises if another number of records is read than was written.
+
+    Payloads and urls of any length are archived whole (a header may be longer
+    than what is read at a time).  Repeated rows are records of their own.
+    Extra columns are not archived, whatever their names; an empty table gives
+    no rows."""
     spark = pages.sparkSession
-    return read(spark, write(pages, folder or shared_dir(spark, "warc")), payload)
+    files = write(pages, folder or shared_dir(spark, "warc"))
+    found = materialize(read(spark, files, payload), "warc-records")
+    written, n = files.agg(F.sum("records")).first()[0] or 0, found.count()
+    if n != written:
+        raise RuntimeError(f"{written} records were written, {n} read")
+    return found
 
 
 ORACLE = f"""

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,21 @@ def test_empty_and_extra_columns(spark):
     assert warc.round_trip(spark.createDataFrame([], KIND)).count() == 0
     d = spark.createDataFrame(PAGES[:2], KIND).withColumn("sha", F.lit(1)).withColumn("refers_to", F.lit(9)).withColumn("payload", F.lit("p"))
     assert got(warc.round_trip(d)) == plain(PAGES[:2])
+
+
+def test_long_headers_and_payloads_over_many_reads(spark, tmp_path):
+    rng = random.Random(8)
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=400_000))
+    rows = [(1, "http://a/1", "one"), (2, "data:text/plain," + noise, "two"), (3, "http://a/3", noise * 4), (4, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    got = {r.page_id: r for r in warc.round_trip(pages, f"file://{tmp_path}/w", payload=True).collect()}
+    assert {k: (r.url, bytes(r.payload).decode()) for k, r in got.items()} == {k: (u, h or "") for k, u, h in rows}
+    files = spark.createDataFrame([(f"file://{p}", p.stat().st_size) for p in (tmp_path / "w").glob("*.gz")], "path string, bytes long")
+    assert warc.read(spark, files, split_bytes=300_000).count() == 4
+
+
+def test_a_lost_record_is_an_error(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", "x"), (2, "v", "y")], "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "read", lambda spark, files, payload: spark.createDataFrame([(1,)], "page_id long"))
+    with pytest.raises(RuntimeError, match="2 records were written, 1 read"):
+        warc.round_trip(pages, f"file://{tmp_path}/w")
