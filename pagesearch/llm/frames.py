@@ -20,6 +20,19 @@ def ensure_text(docs: DataFrame, *names: str) -> DataFrame:
     return docs.withColumns({n: F.col(n).cast("string") for n in names})
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or it with underscores, such that ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str):
+    """The column of exactly this name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def held_out(doc_id, modulus: int, remainder: int):
     """True where crc32 of the id as text has this remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))

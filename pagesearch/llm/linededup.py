@@ -13,6 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagesearch.llm.frames import quoted
 from pagesearch.session import materialize
 
 MIN_SITES = 5
@@ -60,25 +61,29 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, key: str =
     (smallest key, then position) stays and all others go.  No row is dropped:
     a text of boilerplate alone becomes empty.  A null text stays null (one
     line, none removed); a null site counts as no site; a null key sorts first.
-    Repeated rows (same key and text) are treated alike.  Columns of ``docs``
-    named n_lines or n_removed are replaced; other columns are kept as they are.
+    Repeated rows (same key and text) are treated alike.  Texts of any length are
+    split whole; an empty table gives an empty one.  Columns of ``docs`` named
+    n_lines or n_removed are replaced; other columns are kept as they are,
+    whatever their names.
     """
     lines = materialize(line_table(docs, key, site, text), "lines")
     boiler = materialize(spread_lines(lines, min_sites), "boilerplate")
     cuts = (lines.join(boiler, ["h1", "h2"])
             .where(~F.struct("key", "pos", "version").eqNullSafe(F.col("first")))
-            .groupBy("key", "version").agg(F.collect_set("pos").alias("_cut"))
-            .withColumnsRenamed({"key": "_key", "version": "_version"}))
+            .groupBy("key", "version").agg(F.collect_set("pos").alias("cut"))
+            .withColumnsRenamed({"key": "of_key", "version": "of_version"}))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    # the array is a column below the join, so the text is split once a row
-    d = docs.select(*names, F.xxhash64(text).alias("_row"), _lines(text).alias("_lines"), F.col(text).isNull().alias("_null")).drop(text)
-    j = d.join(cuts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_version")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut"))
-    body = F.when(F.col("_cut").isNull(), F.col("_lines")).otherwise(F.transform(kept, lambda i: F.get("_lines", i)))
-    clean = {text: F.when(~F.col("_null"), F.array_join(body, "\n"))}
-    return j.select(*[clean[c].alias(c) if c == text else F.col(c) for c in names],
-                    F.size("_lines").cast("long").alias("n_lines"),
-                    F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.size("_cut")).cast("long").alias("n_removed"))
+    # the user's columns travel in one struct, so no name of theirs meets one of
+    # these; the array is a column below the join, so the text is split once a row
+    own = F.struct(F.lit(0), *[quoted(c).alias(c) for c in names if c != text])
+    d = docs.select(own.alias("own"), quoted(key).alias("key"), F.xxhash64(text).alias("version"), _lines(text).alias("lines"), quoted(text).isNull().alias("none"))
+    j = d.join(cuts, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("version") == F.col("of_version")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("cut"))
+    body = F.when(F.col("cut").isNull(), F.col("lines")).otherwise(F.transform(kept, lambda i: F.get("lines", i)))
+    clean = F.when(~F.col("none"), F.array_join(body, "\n")).alias(text)
+    return j.select(*[clean if c == text else F.col("own").getField(c).alias(c) for c in names],
+                    F.size("lines").cast("long").alias("n_lines"),
+                    F.when(F.col("cut").isNull(), F.lit(0)).otherwise(F.size("cut")).cast("long").alias("n_removed"))
 
 
 ORACLE = f"""

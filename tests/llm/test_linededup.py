@@ -54,3 +54,14 @@ def test_one_line_in_a_third_of_all_rows(frame):
     rows = [(i, "hot line\nown line %d" % i if i % 3 == 0 else "own %d" % i, "en", f"s{i % 20}") for i in range(900)]
     out = linededup.without_boilerplate(frame(rows))
     assert out.where("n_removed = 1").count() == 299
+
+
+def test_columns_of_any_name_stay(frame):
+    docs = frame([(i, f"same line\nown {i}", None, f"s{i % 6}") for i in range(12)])
+    names = ["_row", "_lines", "_cut", "_key", "_version", "_null", "own", "key", "version", "lines", "none", "cut", "of_key", "first", "h1"]
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    docs = docs.withColumn("n_lines", F.lit("replaced"))
+    out = linededup.without_boilerplate(docs).collect()
+    assert all(r[n] == n for r in out for n in names)
+    assert sorted(r.n_removed for r in out) == [0] + [1] * 11 and {r.n_lines for r in out} == {2}
