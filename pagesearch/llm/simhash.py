@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from pagesearch.llm import cells
 from pagesearch.llm.components import components
-from pagesearch.llm.frames import add_columns, record
+from pagesearch.llm.frames import add_columns, record, unused
 from pagesearch.session import materialize
 
 SEED = 42
@@ -178,7 +178,9 @@ def near_groups(docs: DataFrame, width: int = 3, bits: int = 2, key: str = "doc_
 def keep_one(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group.  Rows
     repeated under that doc_id are one document and stay together; rows with a
-    null doc_id stay only if their whole group has none."""
+    null doc_id stay only if their whole group has none.  An empty table gives
+    an empty one; columns of any other name stay as they are."""
     groups = near_groups(docs, width, bits)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "kept")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

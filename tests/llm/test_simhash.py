@@ -85,3 +85,11 @@ def test_extra_columns_with_clashing_names(frame):
     d = frame([(1, "a b c"), (2, "a b c")]).withColumn("fingerprint", F.lit("x")).withColumn("component_id", F.lit(9)).withColumn("cell", F.lit(1))
     assert sorted((r[0], r[2]) for r in simhash.near_groups(d).collect()) == [(1, 1), (2, 1)]
     assert [(r.doc_id, r.fingerprint) for r in simhash.keep_one(d).collect()] == [(1, "x")]
+
+
+def test_kept_rows_keep_columns_of_any_name(frame):
+    docs = frame([(1, "a b c d"), (2, "a b c d"), (3, "other words here now")])
+    for n in ("kept", "_kept", "KEPT_", "fingerprint", "component_id"):
+        docs = docs.withColumn(n, F.lit(n))
+    out = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in out) == [1, 3] and all(r._kept == "_kept" and r.fingerprint == "fingerprint" for r in out)
