@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesearch.llm.frames import quoted
 from pagesearch.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -188,18 +189,21 @@ def kind_name(x: Column) -> Column:
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` sanitised: entities become <kind>, terms beyond the
     lower threshold <term>, beyond the upper one nothing.  Where spans overlap,
-    the one that starts first holds.  A null text stays null."""
+    the one that starts first holds.  A null text stays null.  Other columns
+    stay as they are, whatever their names; an empty table gives an empty one."""
     marks = spans(docs, key, text)
     cut = F.array_sort(F.concat(
         F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("<"), kind_name(x), F.lit(">")).alias("by"))),
         F.transform("revealing", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit(f"<{TERM}>")).alias("by")))))
-    marks = marks.select(F.col(key).alias("_key"), F.col("version").alias("_version"), cut.alias("_cut")).where(F.size("_cut") > 0).distinct()
-    d = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    j = d.join(marks, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_row") == F.col("_version")), "left")
-    body = F.aggregate("_cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, x: F.when(
-        x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), x["by"]).alias("out"))).otherwise(acc),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return j.select(*[F.when(F.col("_cut").isNull(), F.col(c)).otherwise(body).alias(c) if c == text else F.col(c) for c in docs.columns])
+    marks = marks.select(F.col(key).alias("of_key"), F.col("version").alias("of_version"), cut.alias("cut")).where(F.size("cut") > 0).distinct()
+    # the user's columns travel in one struct, so no name of theirs meets one of these
+    d = docs.select(F.struct(*[quoted(c).alias(c) for c in docs.columns]).alias("own"), quoted(key).alias("key"), quoted(text).cast("string").alias("body"),
+                    F.xxhash64(F.coalesce(quoted(text).cast("string"), F.lit(""))).alias("version"))
+    j = d.join(marks, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("version") == F.col("of_version")), "left")
+    body = F.aggregate("cut", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), lambda acc, x: F.when(
+        x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substr("body", acc["at"] + 1, x["s"] - acc["at"]), x["by"]).alias("out"))).otherwise(acc),
+        lambda acc: F.concat(acc["out"], F.substr("body", acc["at"] + 1)))
+    return j.select(*[F.when(F.col("cut").isNull(), F.col("body")).otherwise(body).alias(c) if c == text else F.col("own").getField(c).alias(c) for c in docs.columns])
 
 
 def _count(spans: Column, kind: int) -> Column:

@@ -132,3 +132,13 @@ def test_terms_of_the_whole_document_reveal_and_are_cut(frame):
         assert terms == ["Zebulon", "ZEBULON", "éééabc"]
     out = {r.doc_id: r.text for r in pii.sanitised(frame(rows)).collect()}
     assert "ebulon" not in out[0].lower() and "late" in out[0] and out[10] == rows[2][1]
+
+
+def test_sanitised_keeps_columns_of_any_name(frame):
+    docs = frame([(1, "write to ann@example.org now"), (2, "nothing here"), (3, None)])
+    names = ["_row", "_cut", "_key", "_version", "own", "key", "body", "version", "cut", "of_key"]
+    for n in names:
+        docs = docs.withColumn(n, F.lit(n))
+    out = {r.doc_id: r for r in pii.sanitised(docs).collect()}
+    assert {k: r.text for k, r in out.items()} == {1: "write to <email> now", 2: "nothing here", 3: None}
+    assert all(r[n] == n for r in out.values() for n in names)
