@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagesearch.llm import words as W
-from pagesearch.llm.frames import add_columns, passes, record, texts_of
+from pagesearch.llm.frames import add_columns, passes, quoted, record, texts_of, unused
+from pagesearch.session import materialize
 
 WIDTH, SIMILARITY = 5, 0.8
 BLOCK_WORDS = 1_000_000     # words of benchmark items broadcast at once
@@ -130,13 +131,26 @@ class Items:
                     best[key] = (similarity, s, n)
 
 
-def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", limit: int = BLOCK_WORDS) -> list[list[Row]]:
-    """The items dealt by hash into blocks of about ``limit`` words, each small
-    enough for a broadcast; fetched one at a time."""
-    i = items.select(F.col(key).alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
+def item_blocks(items: DataFrame, key: str = "item_id", text: str = "text", limit: int = BLOCK_WORDS) -> list:
+    """Broadcasts of the items, dealt by hash into blocks of about ``limit``
+    words.  One block at a time is fetched and sent; the driver keeps none."""
+    sc = items.sparkSession.sparkContext
+    i = materialize(items.select(F.col(key).alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct(), "items")
     total = i.agg(F.sum(F.size(F.split("text", "[ \\t-\\r]+")))).first()[0] or 0
     n = max(1, math.ceil(total / limit))
-    return [i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect() for b in range(n)] if total else []
+    return [sc.broadcast([(r.item_id, r.text) for r in i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]) for b in range(n)] if total else []
+
+
+class Blocks:
+    """The items of all blocks for one task, with one block's index in memory."""
+
+    def __init__(self, shared: list):
+        self.shared, self.only = shared, Items(shared[0].value) if len(shared) == 1 else None
+
+    def find(self, texts: list[str]) -> list[tuple]:
+        if self.only:
+            return self.only.find(texts)
+        return [x for s in self.shared for x in Items(s.value).find(texts)]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,41 +165,39 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     documents give repeated rows; items repeated under one id give one.  Empty
     tables give no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("item_id", T.LongType()),
+    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("item_id", items.schema["item_id"].dataType),
                            T.StructField("similarity", T.DoubleType()), T.StructField("start_word", T.LongType()),
                            T.StructField("n_words", T.LongType())])
-    out = spark.createDataFrame([], schema)
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block])
-
-        def run(batches, shared=shared):
-            index = Items(shared.value)
-            for batch in batches:
-                texts, ids = texts_of(batch, "text"), batch.column("doc_id")
-                for lo, hi in passes(texts):
-                    if found := index.find(texts[lo:hi]):
-                        of, *rest = zip(*found, strict=True)
-                        yield record(schema, [ids.take([lo + x for x in of]), *rest])
-        out = out.unionByName(d.mapInArrow(run, schema))
-    return out.withColumnRenamed("doc_id", key)
+    shared = item_blocks(items)
+    if not shared:
+        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("doc_id", key)
+
+    def run(batches):
+        index = Blocks(shared)
+        for batch in batches:
+            texts, ids = texts_of(batch, "text"), batch.column("doc_id")
+            for lo, hi in passes(texts):
+                if found := index.find(texts[lo:hi]):
+                    of, *rest = zip(*found, strict=True)
+                    yield record(schema, [ids.take([lo + x for x in of]), *rest])
+    return d.mapInArrow(run, schema).withColumnRenamed("doc_id", key)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; nothing is shuffled."""
-    spark = docs.sparkSession
-    names = docs.columns
-    schema = T.StructType([T.StructField("_contaminated", T.BooleanType())])
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in block])
-
-        def make(shared=shared):
-            index = Items(shared.value)
-
-            def step(texts):
-                found = {x[0] for x in index.find([t or "" for t in texts])}
-                return [[i in found for i in range(len(texts))]]
-            return step
-        docs = add_columns(docs, text, schema, make).where(~F.col("_contaminated")).select(*names)
-    return docs
+    """The rows of ``docs`` that hold no benchmark item; nothing is shuffled.
+    Null and empty texts stay; columns of any name stay as they are."""
+    names, name = docs.columns, unused(docs, "contaminated")
+    shared = item_blocks(items)
+    if not shared:
+        return docs
+
+    def make():
+        index = Blocks(shared)
+
+        def step(texts):
+            found = {x[0] for x in index.find([t or "" for t in texts])}
+            return [[i in found for i in range(len(texts))]]
+        return step
+    marked = add_columns(docs, text, T.StructType([T.StructField(name, T.BooleanType())]), make)
+    return marked.where(~F.col(name)).select(*map(quoted, names))

@@ -77,3 +77,16 @@ def test_odd_rows_and_empty_tables(spark, frame):
     assert decontaminate.decontaminate(frame(ODD), none).count() == len(ODD)
     d = frame([(1, "two one")]).withColumn("item_id", F.lit("x")).withColumn("similarity", F.lit(1)).withColumn("_contaminated", F.lit(1))
     assert [r.item_id for r in decontaminate.contaminated(d, items).collect()] == [2]
+
+
+def test_columns_of_any_name_text_ids_and_blocks(spark, frame, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(30))
+    docs = frame([(1, f"before {item} after"), (2, "clean text of its own"), (3, None)]).withColumn("_contaminated", F.lit("mine")).withColumn("contaminated", F.lit(5))
+    items = spark.createDataFrame([("x", item), ("y", " ".join(f"v{i}" for i in range(30))), (None, item), ("z", None)], "item_id string, text string")
+    for limit in (10_000, 1):     # one block, and a block an item
+        monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", ("item_id", "text", limit))
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()] == [(1, "x")]
+        left = decontaminate.decontaminate(docs, items)
+        assert sorted((r.doc_id, r._contaminated, r.contaminated) for r in left.collect()) == [(2, "mine", 5), (3, "mine", 5)]
+        assert left.columns == docs.columns
+    assert decontaminate.contaminated(docs, items.limit(0)).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).count() == 3
