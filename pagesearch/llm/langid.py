@@ -7,7 +7,10 @@ of that text, per byte, is the cross-parsing estimate of the cross entropy.
 The language with the fewest normalised phrases wins.
 
 Texts are parsed in lanes: numpy steps through thousands of segments at once,
-one byte at a time, in all automata.
+one byte at a time, in all automata.  A lane begins a phrase of its own; the
+lane before goes on past its end until it begins a phrase where that lane did,
+and what the lane had counted up to there is taken back, so phrases are those
+of the whole text.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pagesearch.session import broadcast_if_small, materialize
 
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 4000   # rows a language and characters of each that are learned from
 PIECES, PIECE_BYTES = 8, 256           # into which those characters are cut at most, and the bytes learned at least
-SAMPLE_BYTES, ALL_BYTES = 49_152, 196_608   # bytes of each automaton's text, and of all
-SEGMENT = 1024                         # bytes of text in a lane; a phrase ends with its lane
+SAMPLE_BYTES = 49_152                  # bytes of each automaton's text
+TOGETHER = 4                           # automata that are in a task's memory at a time
+SEGMENT = 1024                         # bytes of text in a lane
 UNKNOWN = "und"
 _FLAG = 1 << 30
 _FOLD = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
@@ -106,20 +110,67 @@ class Parser:
         start, length = offset[doc] + nth * SEGMENT, np.minimum(SEGMENT, size[doc] - nth * SEGMENT)
         order = np.argsort(-length, kind="stable")
         start, length, doc = start[order], length[order], doc[order]
-        state = np.repeat(self.root[:, None], len(doc), axis=1)
-        ended = np.ones(state.shape, np.int32)     # the phrase that the lane ends
-        active = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), side="right")
-        for j in range(int(length.max(initial=0))):
-            a = active[j]
-            step = self.table[state[:, :a] + flat[start[:a] + j]]
-            if j:
-                ended[:, :a] += step >> 30
-            state[:, :a] = step & (_FLAG - 1)
-        return np.stack([np.bincount(doc, weights=e, minlength=len(texts)) for e in ended]) if len(self.langs) else np.zeros((0, len(texts)))
+        stop = offset[doc] + size[doc]
+        counts = np.zeros((len(self.langs), len(texts)), np.int64)
+        for k, root in enumerate(self.root):
+            begins = np.zeros(len(flat) + 1, bool)     # where a lane's own phrases begin
+            state, own = np.full(len(doc), root, np.int32), np.ones(len(doc), np.int64)
+            begins[start] = True
+            active = np.searchsorted(-length, -np.arange(1, SEGMENT + 1), side="right")
+            for j in range(int(length.max(initial=0))):
+                a = active[j]
+                step = self.table[state[:a] + flat[start[:a] + j]]
+                if j:
+                    new = step >> 30
+                    own[:a] += new
+                    begins[start[:a][new > 0] + j] = True
+                state[:a] = step & (_FLAG - 1)
+            counts[k] = self._joined(k, flat, begins, state, own, start, start + length, stop, doc, len(texts))
+        return counts
+
+    def _joined(self, k, flat, begins, state, own, start, end, stop, doc, n_texts) -> np.ndarray:
+        """Phrases by text from the lanes' own: each lane with a next one goes
+        on over its end.  ``met`` is where it begins a phrase that another lane
+        begins, too (or the text's end); ``extra`` counts its phrases till then."""
+        met, extra = stop.copy(), np.zeros(len(doc), np.int64)
+        at, now, lane = end.copy(), state.copy(), np.flatnonzero(end < stop)
+        while len(lane):
+            step = self.table[now[lane] + flat[at[lane]]]
+            new = step >> 30 > 0
+            found = new & begins[at[lane]]
+            met[lane[found]] = at[lane[found]]
+            extra[lane[new & ~found]] += 1
+            now[lane], at[lane] = step & (_FLAG - 1), at[lane] + 1
+            lane = lane[~found & (at[lane] < stop[lane])]
+        total = np.zeros(n_texts, np.int64)
+        before = np.concatenate(([0], np.cumsum(begins)))
+        order = np.lexsort((start, doc))
+        last, reach = -1, -1    # a lane counts from where the last one met it; lanes that were run over don't
+        for i in order.tolist():
+            if start[i] >= stop[i]:
+                continue
+            first = start[i]
+            if reach >= 0 and doc[i] == last:
+                if reach >= end[i]:
+                    continue
+                first = reach
+            total[doc[i]] += before[end[i]] - before[first] + extra[i]
+            last, reach = doc[i], met[i] if end[i] < stop[i] else -1
+        return total
+
+
+class Parsers:
+    """All languages, ``TOGETHER`` automata in memory at a time."""
+
+    def __init__(self, models: list[tuple]):
+        self.langs = [m[0] for m in models]
+        self.groups = [models[i : i + TOGETHER] for i in range(0, len(models), TOGETHER)]
+        self.only = Parser(models) if len(self.groups) == 1 else None
 
     def detect(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         norm = [normalise(t or "") for t in texts]
-        cost = self.phrases(norm) * self.bits[:, None] if self.langs else None
+        parsers = [self.only] if self.only else map(Parser, self.groups)
+        cost = np.concatenate([p.phrases(norm) * p.bits[:, None] for p in parsers]) if self.langs else None
         langs, scores = [], []
         for i, t in enumerate(texts):
             if cost is None or not _LETTER.search(t or ""):
@@ -151,25 +202,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     Learned from a bounded sample: of each label the 64 rows with the smallest
     hash, of each 4000 characters, from all of the text if it is longer, and of
-    those 49,152 bytes at most, shared out among the rows (less with more than
-    four languages: 196,608 bytes in all, but 2048 a language).
+    those 49,152 bytes at most, shared out among the rows, however many labels
+    there are.
     """
     d = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     ranked = d.select("lang", F.xxhash64("key", "text").alias("h"))
     least = Window.partitionBy("lang").orderBy("h")
     chosen = materialize(ranked.distinct().withColumn("r", F.row_number().over(least))
                          .where(F.col("r") <= SAMPLE_ROWS).select("lang", "h"), "language-sample")
-    langs = chosen.select("lang").distinct().count()
-    if not langs:
-        return []
     size, piece = F.length("text"), SAMPLE_CHARS // PIECES
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.substr("text", F.floor(i * (size - piece) / (PIECES - 1)).cast("int") + 1, F.lit(piece)))
     sample = (d.withColumn("h", F.xxhash64("key", "text")).join(broadcast_if_small(chosen), ["lang", "h"])
               .select("lang", "h", F.when(size <= SAMPLE_CHARS, F.col("text")).otherwise(F.array_join(pieces, "\n")).alias("text")).distinct())
-    limit = max(2048, min(SAMPLE_BYTES, ALL_BYTES // langs))
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        data = shared_out([normalise(t) for t in rows.sort_values("h").text], limit)
+        data = shared_out([normalise(t) for t in rows.sort_values("h").text], SAMPLE_BYTES)
         a, b, c = suffix_automaton(data)
         return pd.DataFrame({"lang": [rows.lang.iloc[0]], "n": [len(data)], "src": [a.tobytes()], "byte": [b.tobytes()], "dst": [c.tobytes()]})
 
@@ -184,13 +231,14 @@ def detect(docs: DataFrame, models: list[tuple], text: str = "text") -> DataFram
     (1 when one language alone was learned).  A text that is null or has no
     letter gets ``und`` and score 0, as does every text when no language was
     learned.  Only the text is used.  Columns of ``docs`` with those names are
-    replaced.  Long texts are parsed whole, in lanes of 1024 bytes.
+    replaced.  Long texts are parsed whole; repeated rows get equal results, an
+    empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def make():
-        parser = Parser(shared.value)
+        parser = Parsers(shared.value)
         return lambda texts: list(parser.detect(texts))
     return add_columns(docs.withColumn(text, F.col(text).cast("string")), text, schema, make)
 

@@ -7,15 +7,13 @@ from tests.llm.conftest import ODD
 
 
 def greedy(text: bytes, data: bytes) -> int:
-    """Longest phrases of ``text`` that occur in ``data``, lane by lane."""
-    n = 0
-    for at in range(0, len(text), langid.SEGMENT):
-        lane, i = text[at:at + langid.SEGMENT], 0
-        while i < len(lane):
-            j = i + 1
-            while j < len(lane) and lane[i:j + 1] in data:
-                j += 1
-            i, n = j, n + 1
+    """Longest phrases of ``text`` that occur in ``data``."""
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i:j + 1] in data:
+            j += 1
+        i, n = j, n + 1
     return n
 
 
@@ -35,6 +33,30 @@ def test_phrases_against_brute_force(documents):
         assert got[k].tolist() == [greedy(t, d) for t in [*rows[4:], b"", b"q", data["a"]]]
 
 
+def test_phrases_run_over_lanes(monkeypatch):
+    import random
+    rng = random.Random(4)
+    data = {"a": bytes(rng.choices(b"ab ", k=400)), "b": b"".join(rng.choices([b"the ", b"of ", b"and ", b"a"], k=120))}
+    texts = [data["a"], data["a"] * 2, data["b"][7:] + data["a"][3:], b"", b"z" * 50, data["b"] * 3]
+    texts += [bytes(rng.choices(b"ab the", k=rng.randint(0, 300))) for _ in range(60)]
+    for lane in (1, 2, 7, 64):
+        monkeypatch.setattr(langid, "SEGMENT", lane)
+        got = parser_of(data).phrases(texts)
+        for k, d in enumerate(data.values()):
+            assert got[k].tolist() == [greedy(t, d) for t in texts]
+    assert parser_of({"x": data["a"]}).phrases([data["a"]]).tolist() == [[1]]
+
+
+def test_languages_in_groups_equal_all_at_once(monkeypatch):
+    texts = {f"l{i}": bytes([97 + i, 32, 98 + i]) * 30 for i in range(7)}
+    models = [(lang, len(d), *(x.tobytes() for x in langid.suffix_automaton(d))) for lang, d in texts.items()]
+    some = ["a b c", "g h i g h i", None, "ccc ddd"]
+    monkeypatch.setattr(langid, "TOGETHER", 100)
+    whole = langid.Parsers(models).detect(some)
+    monkeypatch.setattr(langid, "TOGETHER", 2)
+    assert langid.Parsers(models).detect(some) == whole
+
+
 def test_held_out_accuracy(documents):
     models = langid.fit(langid.learnable(documents))
     out = langid.detect(documents, models).where("lang IS NOT NULL AND n_chars > 40").collect()
