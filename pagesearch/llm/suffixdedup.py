@@ -373,7 +373,8 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int
              .mapInArrow(_anchor_rows(length, gram), ANCHOR))
     found = materialize(found, "repeat-anchors")
     more = found.groupBy("key").count().where(F.col("count") > 1).select("key")
-    live = materialize(found.join(more, "key", "left_semi").groupBy(*ANCHOR.names).agg(F.count(F.lit(1)).alias("copies"))
+    # dealt anew after the join, so that a frequent anchor's rows can be split in it
+    live = materialize(found.join(more, "key", "left_semi").repartition(*ANCHOR.names).groupBy(*ANCHOR.names).agg(F.count(F.lit(1)).alias("copies"))
                        .withColumn("place", F.xxhash64("t1", "t2", "lo")), "repeat-live")
     classes = live.groupBy("key", "ctx").agg(F.sum("copies").alias("all"), F.min("place").alias("a"), F.max("place").alias("b"))
     times = F.when(~F.col("place").isin(F.col("a"), F.col("b")), 0).when((F.col("a") == F.col("b")) & (F.col("all") > 1), 2).otherwise(1)
