@@ -43,6 +43,16 @@ META_SITE_RE = r'(?is)<meta[^>]*property="og:site_name"[^>]*content="([^"]*)"'
 HTML_LANG_RE = r'(?is)<html[^>]*lang="([a-zA-Z]+)'
 BLOCK_SPLIT_RE = r"(?i)<(?:p|div|li|h[1-6]|tr|br|section|article|nav|footer|header|aside|ul|ol|table)(?:[ \t\n\r\f][^>]*)?/?>"
 
+LINK_RE = r"(?is)<a(?:[ \t\n\r\f][^>]*)?>(.*?)(?:</a>|\z)"
+
+# FIXED VALUES: thresholds of the published decision tree on link density and
+# number of words (Kohlschuetter, Fankhauser, Nejdl: Boilerplate Detection
+# using Shallow Text Features, 2010).
+LINK_SHARE = 0.333333
+BEFORE_LINK_SHARE = 0.555556
+SHORT_WORDS = 40
+NEXT_WORDS = 17
+
 
 def tokens(col: Column | str) -> Column:
     """array<string> of tokens of ``col`` (lower-cased letter/digit runs)."""

@@ -3,12 +3,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions import text as tx
 from pagesearch.schemas import MAX_ATTEMPTS, RETRY_STATUSES
-from pagesearch.session import broadcast_if_small, by_key
+from pagesearch.session import BROADCAST_MAX_ROWS, fits, materialize
 
 
 def extract_title(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -55,55 +55,70 @@ def extract_all(pages: DataFrame, html: str = "html", url: str = "url") -> DataF
 
 
 def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """Blocks of each page: code and comments removed, body split on block
-    tags, each block as squeezed text; empty blocks dropped.  No shuffle.
-    The cleaned body is computed in a projection first (so the chain of
-    regexes runs once per page), then split and exploded."""
-    clean = tx.strip_code(F.coalesce(F.col(html), F.lit("")))
-    cleaned = pages.select(F.col(key).alias("page_id"),
-                           F.coalesce(tx.host_of(F.col(url)), F.lit("")).alias("host"),
-                           clean.alias("_clean"))
-    body = F.regexp_extract("_clean", tx.BODY_RE, 1)
-    with_body = cleaned.select("page_id", "host",
-                               F.when(body != "", body).otherwise(F.col("_clean")).alias("_body"))
-    return (with_body.select("page_id", "host",
-                             F.posexplode(F.split("_body", tx.BLOCK_SPLIT_RE)).alias("pos", "block"))
-            .select("page_id", "host", "pos", tx.html_to_text(F.col("block")).alias("btext"))
-            .where(F.col("btext") != ""))
-
-
-def strip_boilerplate(pages: DataFrame, min_pages: int = 2, key: str = "page_id") -> DataFrame:
+    """(page_id, host, blocks) of every page: code and comments removed, the
+    body split on block tags, one array entry (pos, btext, h, words, share) for
+    each block with text.  ``words`` counts its words and ``share`` is the part
+    of its characters that lies inside anchors.  No shuffle; the regexes run
+    once, in projections before the array is read again."""
+    cleaned = pages.select(F.col(key).alias("page_id"), F.coalesce(tx.host_of(F.col(url)), F.lit("")).alias("host"),
+                           tx.strip_code(F.coalesce(F.col(html), F.lit(""))).alias("clean"))
+    body = F.regexp_extract("clean", tx.BODY_RE, 1)
+    parts = cleaned.select("page_id", "host", F.split(F.when(body != "", body).otherwise(F.col("clean")), tx.BLOCK_SPLIT_RE).alias("parts"))
+    linked = lambda x: tx.html_to_text(F.array_join(F.regexp_extract_all(x, F.lit(tx.LINK_RE), F.lit(1)), " "))
+    texts = parts.select("page_id", "host", F.filter(
+        F.transform("parts", lambda x, i: F.struct(i.alias("pos"), tx.html_to_text(x).alias("btext"), linked(x).alias("link"))),
+        lambda b: b["btext"] != "").alias("texts"))
+    return texts.select("page_id", "host", F.transform("texts", lambda b: F.struct(
+        b["pos"].alias("pos"), b["btext"].alias("btext"), F.md5(b["btext"]).alias("h"), F.size(F.split(b["btext"], " ")).alias("words"),
+        (F.length(b["link"]) / F.length(b["btext"])).alias("share"))).alias("blocks"))
+
+
+def link_dense(blocks: Column) -> Column:
+    """For each block of a page whether it belongs to a list of links: more
+    than a third of its text lies inside anchors, or it is a short block between
+    a block made of links and another short one (thresholds in functions.text)."""
+    def judge(b, i):
+        before, after = F.get(blocks, i - 1), F.get(blocks, i + 1)
+        among = ((F.coalesce(before["share"], F.lit(0.0)) > tx.BEFORE_LINK_SHARE) & (b["words"] <= tx.SHORT_WORDS)
+                 & (F.coalesce(after["words"], F.lit(0)) <= tx.NEXT_WORDS))
+        return (b["share"] > tx.LINK_SHARE) | among
+    return F.transform(blocks, judge)
+
+
+def repeated_blocks(blocks: DataFrame, min_pages: int) -> DataFrame:
+    """(host, h) of blocks on at least ``min_pages`` pages of a host.  A page
+    counts once (its hashes are made distinct in the row), with map-side partial
+    counts, so a footer on every page of a huge host is one row a map task."""
+    return (blocks.select("host", F.explode(F.array_distinct("blocks.h")).alias("h"))
+            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages).select("host", "h"))
+
+
+def strip_boilerplate(pages: DataFrame, min_pages: int = 2, key: str = "page_id", max_broadcast: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Drop blocks whose text repeats on at least ``min_pages`` pages of
-    the same host (navigation, footers, ads), keep the rest in page order.
-
-    (page, block) pairs are de-duplicated and counted with map-side partial
-    counts, so a footer on every page of a huge host is one row per map task
-    before the shuffle; the repeated set is broadcast only when checked small,
-    otherwise joined with AQE skew splitting."""
-    # Pages are hash-partitioned by key once (raw html, sized from the input
-    # files); the per-page reassembly below reuses that partitioning, so the
-    # exploded blocks are shuffled only for the (host, block) count.
-    blocks = page_blocks(by_key(pages, key), key).withColumn("h", F.md5("btext"))
-    repeated = (blocks.select("host", "h", "page_id").distinct()
-                .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_pages"))
-                .where(F.col("n_pages") >= min_pages)
-                .select("host", "h", F.lit(True).alias("boiler")))
-    tagged = blocks.join(broadcast_if_small(repeated), ["host", "h"], "left")
-    kept = F.coalesce(F.col("boiler"), F.lit(False)) == F.lit(False)
-    return (tagged.groupBy("page_id")
-            .agg(F.count(F.lit(1)).alias("n_blocks"),
-                 F.sum(F.when(kept, 1).otherwise(0)).cast("bigint").alias("n_kept"),
-                 F.array_sort(F.collect_list(F.when(kept, F.struct("pos", "btext")))).alias("kb"))
-            .select("page_id", "n_blocks", "n_kept",
-                    F.array_join(F.transform("kb", lambda s: s["btext"]), " ").alias("text")))
-
-
-def boilerplate_pairs(pages: DataFrame, min_pages: int = 2, key: str = "page_id") -> DataFrame:
-    """Repeated (host, block hash) pairs with their page counts."""
-    blocks = page_blocks(pages, key).withColumn("h", F.md5("btext"))
-    return (blocks.select("host", "h", "page_id").distinct()
-            .groupBy("host", "h").agg(F.count(F.lit(1)).alias("n_pages"))
-            .where(F.col("n_pages") >= min_pages))
+    the same host (navigation, footers, ads) and link-dense blocks; keep the
+    rest in page order.  Every page is in the result; one without text (null or
+    empty html) has no blocks and an empty text.  ``key`` is unique.
+
+    Blocks are made once and written; html is never shuffled.  The repeated
+    set is counted from (host, hash) alone.  Checked small, it is broadcast by
+    host and blocks are marked inside the row; else the pairs are joined
+    without texts and each page gets the hashes that are repeated in it."""
+    blocks = materialize(page_blocks(pages, key), "blocks")
+    repeated = materialize(repeated_blocks(blocks, min_pages), "repeated-blocks")
+    if fits(repeated, max_broadcast):
+        marks = F.broadcast(repeated.groupBy("host").agg(F.collect_list("h").alias("gone")))
+        marked = blocks.join(marks, "host", "left")
+    else:
+        marks = (blocks.select("page_id", "host", F.explode(F.array_distinct("blocks.h")).alias("h"))
+                 .join(repeated, ["host", "h"]).groupBy("page_id").agg(F.collect_list("h").alias("gone")))
+        marked = blocks.join(marks, "page_id", "left")
+    # hashes of this page that are gone: one hashed set operation a page, not a search of the list for each block
+    own = marked.withColumn("gone", F.array_intersect("blocks.h", F.coalesce("gone", F.array().cast("array<string>"))))
+    kept = F.filter(F.arrays_zip("blocks", link_dense(F.col("blocks")).alias("dense")),
+                    lambda z: ~z["dense"] & ~F.array_contains(F.col("gone"), z["blocks"]["h"]))
+    return (own.select("page_id", F.size("blocks").cast("bigint").alias("n_blocks"), kept.alias("kept"))
+            .select("page_id", "n_blocks", F.size("kept").cast("bigint").alias("n_kept"),
+                    F.array_join(F.transform("kept", lambda z: z["blocks"]["btext"]), " ").alias("text")))
 
 
 # ------------------------------------------------------------------ B rows
