@@ -11,12 +11,13 @@ per-document table.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesearch.functions.text import tokens as token_array
+from pagesearch.operators import vocabulary
 from pagesearch.operators.analyze import DEFAULT_REGISTRY, AnalyzerRegistry, analysed, keyword_array, placed
 from pagesearch.schemas import DEFAULT_LANG
 from pagesearch.session import broadcast_if_small, expand_partitions, materialize
@@ -151,6 +152,8 @@ class Index:
     query_langs: dict[str, str] = field(default_factory=dict)   # language that queries on a field are analysed in
     keywords: tuple[str, ...] = ()                               # fields that are one term as they stand
     registry: AnalyzerRegistry = field(default_factory=lambda: DEFAULT_REGISTRY)
+    grams: DataFrame | None = None      # stored index: runs of three characters of the vocabulary (operators.vocabulary)
+    impact: DataFrame | None = None     # stored index: (field, term, bucket, top), the largest tf / field_len of a term in a bucket
 
 
 def build_index(df: DataFrame, fields: dict[str, Column | str], key: str = "doc_id",
@@ -195,95 +198,280 @@ def _table_name(path: str) -> str:
     return "postings_" + hashlib.md5(path.encode()).hexdigest()[:16]
 
 
-def _versions(spark, path: str) -> list[tuple[int, bool]]:
-    """Number of each version folder under ``path``, and whether it is complete
-    (``_meta`` is written last)."""
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    root = Path(path)
+def _listing(spark, path: str) -> list[str]:
+    """Names under a folder of any file system; none if it isn't there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    return sorted((int(n[1:]), fs.exists(Path(f"{path}/{n}/_meta/_SUCCESS"))) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
 
 
-def write_index(index: Index, path: str) -> None:
-    """Persist the index as the next version under ``path``; what readers of an
-    earlier version have open stays as it is.
+def _versions(spark, path: str) -> list[int]:
+    """Numbers of the complete versions, in order (``_meta`` is written last)."""
+    done = []
+    for name in _listing(spark, f"{path}/versions"):
+        if name[:1] == "v" and name[1:].isdigit() and "_SUCCESS" in _listing(spark, f"{path}/versions/{name}/_meta"):
+            done.append(int(name[1:]))
+    return sorted(done)
+
+
+def _version_meta(spark, path: str, tag: int | None = None) -> dict | None:
+    """What the latest complete version holds; with ``tag`` the latest one with
+    at most that tag."""
+    for n in reversed(_versions(spark, path)):
+        meta = json.loads(spark.read.schema("meta string").parquet(f"{path}/versions/v{n:06d}/_meta").first().meta)
+        if tag is None or meta["tag"] is None or meta["tag"] <= tag:
+            return meta
+    return None
+
+
+def has_version(spark, path: str, tag: int | None = None) -> bool:
+    """Whether there is a version that ``read_index`` could open."""
+    return _version_meta(spark, path, tag) is not None
+
+
+def _commit(spark, path: str, meta: dict) -> None:
+    used = [int(n[1:]) for n in _listing(spark, f"{path}/versions") if n[:1] == "v" and n[1:].isdigit()]
+    (spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1)
+     .write.parquet(f"{path}/versions/v{max(used, default=0) + 1:06d}/_meta"))
+
+
+def _next_segment(spark, path: str) -> int:
+    """A number that no segment has, complete or not."""
+    used = [int(n[4:]) for d in ("ids", "postings") for n in _listing(spark, f"{path}/{d}") if n.startswith("seg=")]
+    return max(used, default=0) + 1
+
+
+_KNOWN: dict[tuple[str, str], set[int]] = {}   # segments whose partitions a session's table has
+
+
+def _postings_table(spark, path: str, key: str, buckets: int, segments: list[int]) -> str:
+    """The bucketed table over all segments' postings, known to this session
+    with the partitions of ``segments``."""
+    name = _table_name(path)
+    known = _KNOWN.setdefault((spark.sparkContext.applicationId, name), set())
+    if not spark.catalog.tableExists(name):
+        known.clear()
+        spark.sql(f"CREATE TABLE {name} (doc_id {key}, term string, tf bigint, positions array<int>, field_len int, seg int, field string) "
+                  f"USING parquet PARTITIONED BY (seg, field) CLUSTERED BY (doc_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    if not known.issuperset(segments) and _listing(spark, f"{path}/postings"):
+        spark.catalog.recoverPartitions(name)
+    known.update(segments)
+    return name
+
+
+def _of_segments(spark, path: str, dataset: str, schema: str, segments: list[int]) -> DataFrame:
+    paths = [f"{path}/{dataset}/seg={n}" for n in segments]
+    return spark.read.schema(schema).option("basePath", f"{path}/{dataset}").parquet(*paths)
+
+
+def _live(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Rows of documents that no later segment has replaced."""
+    if gone is None:
+        return rows
+    return rows.join(gone, (rows["doc_id"] == gone["gone_id"]) & (rows["seg"] < gone["gone_in"]), "left_anti")
+
+
+def _gone(spark, path: str, key: str, segments: list[int]) -> DataFrame | None:
+    """(gone_id, gone_in): documents that a segment replaced, and the last one that did."""
+    if not segments:
+        return None
+    rows = _of_segments(spark, path, "gone", f"doc_id {key}, seg int", segments)
+    return broadcast_if_small(rows.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("seg").alias("gone_in")))
+
+
+def _write_segment(spark, path: str, meta: dict, seg: int, key: str, postings: DataFrame, docs: DataFrame, ids: DataFrame,
+                   gone: DataFrame | None = None, dead: tuple[DataFrame, DataFrame] | None = None) -> int:
+    """Writes segment ``seg``; ``postings`` are hash-partitioned by document
+    into the index's number of buckets.  ``gone`` lists the documents of earlier
+    segments that it replaces; ``dead`` has their (field, term, df) and (field,
+    n_docs, n_tokens), which the segment's counts are less by.  Returns its
+    number of documents."""
+    buckets = meta["buckets"]
+    name = _postings_table(spark, path, key, buckets, meta["segments"])
+    cols = [F.col("doc_id").cast(key).alias("doc_id"), "term", "tf", "positions", F.col("field_len").cast("int").alias("field_len"),
+            F.lit(seg).alias("seg"), "field"]
+    postings.select(*cols).write.insertInto(name)
+    _KNOWN[(spark.sparkContext.applicationId, name)].add(seg)
+    mine = spark.table(name).where(F.col("seg") == seg)
+    impact = (mine.groupBy("field", "term", F.pmod(F.hash("doc_id"), F.lit(buckets)).alias("bucket"))
+              .agg(F.count(F.lit(1)).alias("df"), F.max(F.col("tf") / F.col("field_len")).alias("top")))
+    impact.sortWithinPartitions("field", "term").write.partitionBy("field").mode("overwrite").parquet(f"{path}/impact/seg={seg}")
+    flen = mine.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms"))
+    flen.write.mode("overwrite").parquet(f"{path}/field_len/seg={seg}")
+    df = _of_segments(spark, path, "impact", "term string, bucket int, df bigint, top double, seg int, field string", [seg]).groupBy("field", "term").agg(F.sum("df").alias("df"))
+    sums = _of_segments(spark, path, "field_len", f"doc_id {key}, field string, n_terms int, seg int", [seg]).groupBy("field").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n_terms").alias("n_tokens"))
+    if dead is not None:
+        minus = lambda d, *names: d.select(*[c for c in d.columns if c not in names], *[(-F.col(n)).alias(n) for n in names])
+        df = df.unionByName(minus(dead[0], "df")).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+        sums = sums.unionByName(minus(dead[1], "n_docs", "n_tokens")).groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    df.sortWithinPartitions("field", "term").write.partitionBy("field").mode("overwrite").parquet(f"{path}/term_df/seg={seg}")
+    sums.write.mode("overwrite").parquet(f"{path}/corpus/seg={seg}")
+    _write_vocabulary(spark, path, seg)
+    docs.select("doc_id", "value", "field").write.partitionBy("field").mode("overwrite").parquet(f"{path}/docs/seg={seg}")
+    if gone is not None:
+        gone.select("doc_id").write.mode("overwrite").parquet(f"{path}/gone/seg={seg}")
+    ids.select("doc_id").write.mode("overwrite").parquet(f"{path}/ids/seg={seg}")
+    return spark.read.parquet(f"{path}/ids/seg={seg}").count()
+
+
+_TERM_DF = "term string, df bigint, seg int, field string"
+_GRAMS = "gram string, term string, seg int, field string"
+
+
+def _write_vocabulary(spark, path: str, seg: int) -> None:
+    """Grams of the terms that a segment adds to, sorted for the scan to skip
+    row groups."""
+    terms = _of_segments(spark, path, "term_df", _TERM_DF, [seg]).where("df > 0")
+    vocabulary.gram_keys(terms).sortWithinPartitions("field", "gram").write.partitionBy("field").mode("overwrite").parquet(f"{path}/grams/seg={seg}")
+
+
+def write_index(index: Index, path: str, tag: int | None = None) -> None:
+    """Persist the index as the next version under ``path``, one segment; what
+    readers of an earlier version have open stays as it is.
 
     Postings are written as a table bucketed by ``doc_id`` into the same
     number of parts the build partitioned the documents into (Spark buckets
     with the same hash as that repartition, so every task writes one file),
-    partitioned by ``field`` and sorted by ``term`` inside each bucket.  A
-    search then looks terms up with a broadcast join that keeps the bucket
-    partitioning, so per-document scoring (term sums, phrase positions) runs
-    without a shuffle, and the sorted term column lets Parquet skip row
+    partitioned by segment and ``field`` and sorted by ``term`` inside each
+    bucket.  A search then looks terms up with a broadcast join that keeps the
+    bucket partitioning, so per-document scoring (term sums, phrase positions)
+    runs without a shuffle, and the sorted term column lets Parquet skip row
     groups.  Postings are never repartitioned by term (a hot term would be
     one task).
 
-    The postings are made once: document frequencies are derived from
-    the written postings (one shuffle with map-side partial counts), field
-    lengths as well (``field_len`` travels in every posting)."""
+    The postings are made once: document frequencies and the largest weight of
+    each term in each bucket (``impact``) come from the written postings in one
+    aggregation with map-side partial counts, field lengths as well
+    (``field_len`` travels in every posting)."""
     spark = index.postings.sparkSession
-    path = f"{path}/v{max([n for n, _ in _versions(spark, path)], default=0) + 1:06d}"
-    buckets = index.buckets or min(expand_partitions(index.ids), MAX_BUCKETS)
-    postings = index.postings if index.buckets else index.postings.repartition(buckets, "doc_id")
-    name = _table_name(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (postings.write.format("parquet").partitionBy("field")
-     .bucketBy(buckets, "doc_id").sortBy("term")
-     .option("path", f"{path}/postings").saveAsTable(name))
-    postings = spark.read.schema(index.postings.schema).parquet(f"{path}/postings")
-    (doc_freq(postings).sortWithinPartitions("field", "term")
-     .write.partitionBy("field").parquet(f"{path}/term_df"))
-    flen = (postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms")))
-    flen.write.parquet(f"{path}/field_len")
-    flen = spark.read.parquet(f"{path}/field_len")
-    corpus_stats(flen).write.parquet(f"{path}/corpus")
-    index.docs.write.partitionBy("field").parquet(f"{path}/docs")
-    index.ids.write.parquet(f"{path}/ids")
+    earlier = _version_meta(spark, path)
+    # all segments of a folder share one bucketed table, so they have its number of buckets
+    buckets = earlier["buckets"] if earlier else index.buckets or min(expand_partitions(index.ids), MAX_BUCKETS)
+    postings = index.postings if index.buckets == buckets else index.postings.repartition(buckets, "doc_id")
     reg = index.registry
-    meta = {"buckets": buckets, "query_langs": index.query_langs, "keywords": list(index.keywords),
-            "stops": reg.stops, "rules": reg.rules, "min_stem": reg.min_stem}
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.parquet(f"{path}/_meta")
-
-
-def read_index(spark, path: str) -> Index:
-    """Open the latest complete version of a stored index; the bucketed
-    postings table is registered over its files when this session does not
-    know it yet."""
-    done = [n for n, complete in _versions(spark, path) if complete]
-    if not done:
-        raise FileNotFoundError(f"no complete index under {path}")
-    path = f"{path}/v{done[-1]:06d}"
-    name = _table_name(path)
-    meta = json.loads(spark.read.parquet(f"{path}/_meta").first().meta)
-    ids = spark.read.parquet(f"{path}/ids")
-    key = ids.schema["doc_id"].dataType.simpleString()
-    term_cols = "term string, tf bigint, positions array<int>, field_len int"
-    if not spark.catalog.tableExists(name):
-        spark.sql(f"CREATE TABLE {name} (doc_id {key}, {term_cols}, field string) USING parquet PARTITIONED BY (field) "
-                  f"CLUSTERED BY (doc_id) SORTED BY (term) INTO {meta['buckets']} BUCKETS "
-                  f"LOCATION '{path}/postings'")
-        spark.catalog.recoverPartitions(name)
+    meta = {"buckets": buckets, "query_langs": index.query_langs, "keywords": list(index.keywords), "stops": reg.stops, "rules": reg.rules,
+            "min_stem": reg.min_stem, "segments": [], "sizes": {}, "tag": tag, "key": index.ids.schema["doc_id"].dataType.simpleString()}
+    seg = _next_segment(spark, path)
+    size = _write_segment(spark, path, meta, seg, meta["key"], postings, index.docs, index.ids)
+    _commit(spark, path, meta | {"segments": [seg], "sizes": {str(seg): size}})
+
+
+def _opened(spark, path: str, meta: dict, segments: list[int]) -> Index:
+    key, buckets = meta["key"], meta["buckets"]
+    # the first segment of an index replaces nothing
+    gone = _gone(spark, path, key, [n for n in segments if n != meta["segments"][0]])
+    several = len(segments) > 1
+    postings = spark.table(_postings_table(spark, path, key, buckets, segments)).where(F.col("seg").isin(segments))
+    read = lambda name, schema: _of_segments(spark, path, name, schema, segments)
+    term_df = read("term_df", _TERM_DF)
+    if several:
+        term_df = term_df.groupBy("term", "field").agg(F.sum("df").alias("df")).where("df > 0")
+    corpus = (read("corpus", "field string, n_docs bigint, n_tokens bigint, seg int").groupBy("field")
+              .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs > 0")
+              .select("field", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_len")))
     registry = AnalyzerRegistry(meta["stops"], {k: [tuple(x) for x in v] for k, v in meta["rules"].items()}, min_stem=meta["min_stem"])
-    return Index(postings=spark.table(name), term_df=spark.read.schema("term string, df bigint, field string").parquet(f"{path}/term_df"),
-                 field_len=spark.read.parquet(f"{path}/field_len"), corpus=spark.read.parquet(f"{path}/corpus"),
-                 docs=spark.read.schema(f"doc_id {key}, value double, field string").parquet(f"{path}/docs"), ids=ids,
-                 stored=True, buckets=meta["buckets"], query_langs=meta["query_langs"],
-                 keywords=tuple(meta["keywords"]), registry=registry)
+    return Index(postings=_live(postings, gone).drop("seg"), term_df=term_df.select("term", "df", "field"),
+                 field_len=_live(read("field_len", f"doc_id {key}, field string, n_terms int, seg int"), gone).drop("seg"), corpus=corpus,
+                 docs=_live(read("docs", f"doc_id {key}, value double, seg int, field string"), gone).drop("seg"),
+                 ids=_live(read("ids", f"doc_id {key}, seg int"), gone).drop("seg"), stored=True, buckets=buckets,
+                 query_langs=meta["query_langs"], keywords=tuple(meta["keywords"]), registry=registry,
+                 grams=read("grams", _GRAMS),
+                 impact=read("impact", "term string, bucket int, top double, seg int, field string"))
+
+
+def read_index(spark, path: str, tag: int | None = None) -> Index:
+    """Open the latest complete version of a stored index (with ``tag``, the
+    latest one written with at most that tag).  Its segments are partitions of
+    one bucketed table, so a scan of several keeps the bucketing; rows of
+    documents that a later segment replaced are left out by an anti join with
+    the lists of replaced documents (broadcast when checked small, else joined
+    on the bucketing); counts are sums over segments."""
+    meta = _version_meta(spark, path, tag)
+    if meta is None:
+        raise FileNotFoundError(f"no complete index under {path}")
+    return _opened(spark, path, meta, meta["segments"])
 
 
-def refresh_index(spark, path: str, new: Index) -> None:
+def refresh_index(spark, path: str, new: Index, tag: int | None = None, base: int | None = None) -> None:
     """A07 on a stored index: the documents of ``new`` replace all rows they
-    had, others stay; written as the next version of ``path``."""
-    old = read_index(spark, path)
-    ids = materialize(new.ids.distinct(), "refreshed-ids")
-
-    def merged(before: DataFrame, after: DataFrame) -> DataFrame:
-        return before.join(ids, "doc_id", "left_anti").unionByName(after)
-    write_index(replace(old, postings=merged(old.postings, new.postings), docs=merged(old.docs, new.docs),
-                        ids=merged(old.ids, ids), stored=False, buckets=0), path)
+    had, others stay.  Only a segment of the new documents is written, with the
+    list of documents it replaces and the change in counts; the next version is
+    the earlier segments (of the latest version, or the latest with at most tag
+    ``base``) and that one.  What replaced documents counted is read from the
+    document and term columns of the postings."""
+    meta = _version_meta(spark, path, base)
+    if meta is None:
+        raise FileNotFoundError(f"no complete index under {path}")
+    old = _opened(spark, path, meta, meta["segments"])
+    ids = materialize(new.ids.select(F.col("doc_id").cast(meta["key"]).alias("doc_id")).distinct(), "refreshed-ids")
+    gone = materialize(old.ids.join(broadcast_if_small(ids), "doc_id", "left_semi"), "replaced-ids")
+    few = broadcast_if_small(gone)
+    dead = (old.postings.select("doc_id", "field", "term").join(few, "doc_id", "left_semi").groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")),
+            old.field_len.join(few, "doc_id", "left_semi").groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_terms").alias("n_tokens")))
+    seg = _next_segment(spark, path)
+    postings = new.postings if new.buckets == meta["buckets"] else new.postings.repartition(meta["buckets"], "doc_id")
+    size = _write_segment(spark, path, meta, seg, meta["key"], postings, new.docs, ids, gone, dead)
+    _commit(spark, path, meta | {"segments": [*meta["segments"], seg], "sizes": meta["sizes"] | {str(seg): size}, "tag": tag})
+
+
+# A segment is merged with those after it when it has at most so many times their documents.
+MERGE_FACTOR = 4
+
+
+def _merge_from(sizes: list[int]) -> int:
+    """First of the last segments that are due to be merged (the number of
+    segments if none): each is at most ``MERGE_FACTOR`` times all after it."""
+    first, after = len(sizes), 0
+    for i in range(len(sizes) - 1, -1, -1):
+        if i == len(sizes) - 1 or sizes[i] <= MERGE_FACTOR * after:
+            first = i
+        after += sizes[i]
+    return first if first < len(sizes) - 1 else len(sizes)
+
+
+def merge_index(spark, path: str, everything: bool = False, tag: int | None = None) -> int:
+    """Joins the last segments of the latest version that are small beside those
+    after them (or all segments) into one; returns how many were joined.  The
+    bucketed postings are read and written bucket by bucket, without a shuffle;
+    counts are added, documents replaced within the joined segments drop out,
+    and the list of replaced documents stays for the segments before."""
+    meta = _version_meta(spark, path, tag)
+    if meta is None:
+        raise FileNotFoundError(f"no complete index under {path}")
+    segments = meta["segments"]
+    first = 0 if everything else _merge_from([meta["sizes"][str(n)] for n in segments])
+    joined = segments[first:]
+    if len(joined) < 2:
+        return 0
+    key, seg = meta["key"], _next_segment(spark, path)
+    tail = _opened(spark, path, meta | {"segments": joined}, joined)
+    setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(setting, "true")
+    spark.conf.set(setting, "false")   # one task a bucket, though no operator asks for it
+    try:
+        name = _postings_table(spark, path, key, meta["buckets"], segments)
+        tail.postings.select("doc_id", "term", "tf", "positions", "field_len", F.lit(seg).alias("seg"), "field").write.insertInto(name)
+    finally:
+        spark.conf.set(setting, before)
+    _KNOWN[(spark.sparkContext.applicationId, name)].add(seg)
+    read = lambda d, schema: _of_segments(spark, path, d, schema, joined)
+    impact = read("impact", "term string, bucket int, df bigint, top double, seg int, field string")
+    (impact.groupBy("field", "term", "bucket").agg(F.sum("df").alias("df"), F.max("top").alias("top")).sortWithinPartitions("field", "term")
+     .write.partitionBy("field").parquet(f"{path}/impact/seg={seg}"))
+    (read("term_df", _TERM_DF).groupBy("field", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+     .sortWithinPartitions("field", "term").write.partitionBy("field").parquet(f"{path}/term_df/seg={seg}"))
+    (read("corpus", "field string, n_docs bigint, n_tokens bigint, seg int").groupBy("field")
+     .agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(f"{path}/corpus/seg={seg}"))
+    _write_vocabulary(spark, path, seg)
+    tail.field_len.write.parquet(f"{path}/field_len/seg={seg}")
+    tail.docs.select("doc_id", "value", "field").write.partitionBy("field").parquet(f"{path}/docs/seg={seg}")
+    if first:
+        _of_segments(spark, path, "gone", f"doc_id {key}, seg int", joined).select("doc_id").distinct().write.parquet(f"{path}/gone/seg={seg}")
+    tail.ids.write.parquet(f"{path}/ids/seg={seg}")
+    size = spark.read.parquet(f"{path}/ids/seg={seg}").count()
+    _commit(spark, path, meta | {"segments": [*segments[:first], seg], "sizes": meta["sizes"] | {str(seg): size}})
+    return len(joined)
 
 
 def field_summary(index: Index) -> DataFrame:

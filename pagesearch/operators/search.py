@@ -15,12 +15,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagesearch.functions import scoring
 from pagesearch.functions.text import tokens as token_array
 from pagesearch.operators.analyze import analysed, keyword_array, placed
+from pagesearch.operators import vocabulary
 from pagesearch.operators.index import Index
 from pagesearch.schemas import CLAUSE_KINDS, DEFAULT_FROM, DEFAULT_SIZE
 from pagesearch.session import BROADCAST_MAX_ROWS, broadcast_if_small, fits, materialize
@@ -48,8 +53,9 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Batch:
-    """Clause kinds present in a batch (``match~`` for fuzzy match) and the
-    join hint for its side."""
+    """Clause kinds present in a batch (``match~`` for fuzzy match, ``prefix-``
+    and the like for patterns without three letters in a row) and the join hint
+    for its side."""
     kinds: set[str]
     side: Callable[[DataFrame], DataFrame]
 
@@ -57,10 +63,22 @@ class Batch:
 def batch_of(clauses: DataFrame) -> Batch:
     """One aggregation over the clauses (a row per kind) for any batch size."""
     size = F.coalesce(F.octet_length(F.array_join("terms", " ")), F.lit(0)) + F.lit(CLAUSE_ROW_BYTES)
+    short = F.when(F.col("kind").isin(*PATTERNS), F.coalesce(vocabulary.is_short(_literals()), F.lit(True))).otherwise(F.lit(False))
     rows = (clauses.where(F.col("kind").isin(CLAUSE_KINDS))
-            .groupBy("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz")).agg(F.sum(size).alias("bytes")).collect())
+            .groupBy("kind", (F.coalesce("fuzziness", F.lit(0)) > 0).alias("fz"), short.alias("short")).agg(F.sum(size).alias("bytes")).collect())
     small = sum(r.bytes for r in rows) <= BROADCAST_CLAUSE_BYTES
-    return Batch({r.kind + ("~" if r.kind == "match" and r.fz else "") for r in rows}, F.broadcast if small else _plain)
+    return Batch({r.kind + ("~" if r.kind == "match" and r.fz else "-" if r.short else "") for r in rows}, F.broadcast if small else _plain)
+
+
+PATTERNS = {"prefix": vocabulary.prefix_literals, "wildcard": vocabulary.wildcard_literals, "regexp": vocabulary.regexp_literals}
+
+
+def _literals() -> Column:
+    """Literal runs of a pattern clause, by its kind."""
+    out = F.lit(None).cast("string")
+    for kind, of in PATTERNS.items():
+        out = F.when(F.col("kind") == kind, of(F.col("terms")[0])).otherwise(out)
+    return out
 
 
 def _kind(clauses: DataFrame, kinds: list[str]) -> DataFrame:
@@ -75,27 +93,6 @@ def _defaults(clauses: DataFrame) -> DataFrame:
             .withColumn("field", F.coalesce("field", F.lit("_all"))))
 
 
-def _vocab(index: Index) -> DataFrame:
-    """Vocabulary with the lookup keys used for expansion joins: the first one
-    and two characters (so a prefix join is an equi join) and the length."""
-    return index.term_df.select(
-        "field", "term", F.length("term").alias("len"),
-        F.left("term", F.lit(1)).alias("k1"), F.left("term", F.lit(2)).alias("k2"))
-
-
-def _literal_prefix(pattern: Column) -> Column:
-    """Characters before the first wildcard of a ``*``/``?`` pattern."""
-    return F.regexp_extract(pattern, r"^([^*?]*)", 1)
-
-
-def _regexp_prefix(pattern: Column) -> Column:
-    """Letters and digits that every match of a pattern begins with: those
-    before its first other character, less the last one if that may be
-    repeated or left out; none if there are alternatives."""
-    lead = F.regexp_extract(pattern, r"^([\p{L}\p{N}]*)(?![\p{L}\p{N}*?{])", 1)
-    return F.when(F.contains(pattern, F.lit("|")), F.lit("")).otherwise(lead)
-
-
 def analysed_query(index: Index) -> Column:
     """array<struct<term, pos>> of a match clause's text, by the chain of its field."""
     text = F.array_join("terms", " ")
@@ -105,24 +102,24 @@ def analysed_query(index: Index) -> Column:
     return F.when(F.col("field").isin(*index.keywords), placed(keyword_array(text))).otherwise(out) if index.keywords else out
 
 
-def _keyed_vocab(vocab: DataFrame) -> DataFrame:
-    """Each vocabulary term three times, keyed by its first 0, 1 and 2
-    characters, so a clause joins on the longest key its prefix allows."""
-    return vocab.select("field", "term", "len",
-                        F.inline(F.array(
-                            F.struct(F.lit(0).alias("_klen"), F.lit("").alias("_key")),
-                            F.struct(F.lit(1).alias("_klen"), F.col("k1").alias("_key")),
-                            F.struct(F.lit(2).alias("_klen"), F.col("k2").alias("_key")))))
-
-
-def _prefix_key_join(vocab: DataFrame, cl: DataFrame, prefix: Column, side) -> DataFrame:
-    """Equi join on (field, first one or two characters) then verify; a prefix
-    shorter than that matches on field alone."""
-    c = cl.withColumn("_p", prefix)
-    c = (c.withColumn("_klen", F.least(F.length("_p"), F.lit(2)))
-         .withColumn("_key", F.left("_p", F.col("_klen"))))
-    return (_keyed_vocab(vocab).join(side(c), ["field", "_klen", "_key"])
-            .where(F.startswith("term", "_p")))
+def fuzzy_terms(fz: DataFrame, index: Index, side) -> DataFrame:
+    """rows of ``fz`` with each vocabulary term within ``fuzziness`` edits
+    that shares the first ``prefix_length`` characters.  Up to
+    ``MOST_EDITS`` edits the candidates come from the deletion neighbourhood
+    (an equi join on hashes); for more, terms of a like length are compared."""
+    names = [c for c in fz.columns if c != "field"]
+    keys = (vocabulary.near_keys(fz.where(F.col("fuzziness") <= vocabulary.MOST_EDITS).select("field", "qterm", F.struct(*names).alias("_id")), "qterm")
+            .where(F.col("cut") <= F.col("_id.fuzziness")).select("field", "_id", "h").distinct())
+    near = vocabulary.near_keys(index.term_df.select("field", "term"))
+    close = (near.join(broadcast_if_small(keys), ["field", "h"]).where(F.col("cut") <= F.col("_id.fuzziness"))
+             .select("field", "_id.*", "term").distinct())
+    wide = (fz.where(F.col("fuzziness") > vocabulary.MOST_EDITS)
+            .withColumn("len", F.explode(F.sequence(F.length("qterm") - F.col("fuzziness"), F.length("qterm") + F.col("fuzziness")))))
+    far = (index.term_df.select("field", "term", F.length("term").alias("len")).join(side(wide), ["field", "len"])
+           .select("field", *names, "term"))
+    return close.unionByName(far).where(
+        (F.left("term", F.col("prefix_length")) == F.left("qterm", F.col("prefix_length")))
+        & (F.levenshtein("term", "qterm") <= F.col("fuzziness")))
 
 
 def expand_terms(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
@@ -148,39 +145,29 @@ def expand_terms(clauses: DataFrame, index: Index, batch: Batch | None = None) -
     match_exact = (analysed.where(F.col("fuzziness") == 0)
                    .select(*base, "slot", "n_slots", F.col("qterm").alias("term")))
 
-    vocab = _vocab(index)
-    # F06 fuzzy: same first prefix_length characters, edit distance <= k.
-    # Candidates share the field, a length within k, and the first
-    # min(prefix_length, 2) characters (all equi keys); then verified exactly.
-    fz = analysed.where(F.col("fuzziness") > 0)
-    fz = (fz.select("*", F.explode(F.sequence(F.length("qterm") - F.col("fuzziness"),
-                                              F.length("qterm") + F.col("fuzziness"))).alias("len"))
-          .withColumn("_klen", F.least(F.col("prefix_length"), F.lit(2)))
-          .withColumn("_key", F.left("qterm", F.col("_klen"))))
-    fuzzy = (_keyed_vocab(vocab).join(side(fz), ["field", "len", "_klen", "_key"])
-             .where((F.left("term", F.col("prefix_length")) == F.left("qterm", F.col("prefix_length")))
-                    & (F.levenshtein("term", "qterm") <= F.col("fuzziness")))
+    fuzzy = (fuzzy_terms(analysed.where(F.col("fuzziness") > 0), index, side)
              .select(*base, "slot", "n_slots", "term"))
 
-    pre = cl.where(F.col("kind") == "prefix")
-    prefix = (_prefix_key_join(vocab, pre, F.col("terms")[0], side)
-              .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
-
-    like = F.col("terms")[0]
+    def by_grams(kind: str, verify: Column) -> DataFrame | None:
+        """Terms that hold all grams of the pattern, then match it.  The lists
+        of short grams are only planned for if a pattern needs them."""
+        of = PATTERNS[kind](F.col("_p"))
+        mine = cl.where(F.col("kind") == kind).withColumn("_p", F.col("terms")[0])
+        stored = index.grams if index.grams is not None else vocabulary.gram_keys(index.term_df)
+        tables = [(kind, stored, mine.where(~vocabulary.is_short(of))), (kind + "-", vocabulary.gram_keys(index.term_df, short=True), mine.where(vocabulary.is_short(of)))]
+        found = [vocabulary.terms_with(t, c, of, [*base, "_p"]) for k, t, c in tables if k in kinds]
+        both = found[0] if len(found) == 1 else found[0].unionByName(found[1]) if found else None
+        return both.where(verify).select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term") if found else None
+
+    like = F.col("_p")
     for plain, pattern in [("\\", "\\\\"), ("%", "\\%"), ("_", "\\_"), ("*", "%"), ("?", "_")]:
         like = F.replace(like, F.lit(plain), F.lit(pattern))
-    wc = cl.where(F.col("kind") == "wildcard").withColumn("_like", like)
-    wild = (_prefix_key_join(vocab, wc, _literal_prefix(F.col("terms")[0]), side)
-            .where(F.like(F.col("term"), F.col("_like")))
-            .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
-
-    rx = cl.where(F.col("kind") == "regexp").withColumn("_rx", F.concat(F.lit("^(?:"), F.col("terms")[0], F.lit(r")\z")))
-    regexp = (_prefix_key_join(vocab, rx, _regexp_prefix(F.col("terms")[0]), side)
-              .where(F.regexp_like("term", F.col("_rx")))
-              .select(*base, F.lit(0).alias("slot"), F.lit(1).alias("n_slots"), "term"))
-
-    parts = [(exact, "term"), (match_exact, "match"), (fuzzy, "match~"), (prefix, "prefix"), (wild, "wildcard"), (regexp, "regexp")]
-    chosen = [df for df, k in parts if k in kinds] or [exact]
+    prefix = by_grams("prefix", F.startswith("term", "_p"))
+    wild = by_grams("wildcard", F.like(F.col("term"), like))
+    regexp = by_grams("regexp", F.regexp_like("term", F.concat(F.lit("^(?:"), F.col("_p"), F.lit(r")\z"))))
+
+    parts = [(exact, "term"), (match_exact, "match"), (fuzzy, "match~")]
+    chosen = [df for df, k in parts if k in kinds] + [df for df in (prefix, wild, regexp) if df is not None] or [exact]
     out = chosen[0]
     for df in chosen[1:]:
         out = out.unionByName(df)
@@ -211,15 +198,12 @@ def with_norm(qterms: DataFrame, clauses: DataFrame) -> DataFrame:
     return qterms.join(norm, "query_id", "left")
 
 
-def lookup(clauses: DataFrame, index: Index, batch: Batch | None = None, phrases: bool = True,
-           terms: bool = True) -> DataFrame | None:
-    """Postings of the terms of term-like and phrase (``_ph``) clauses, with
-    df, idf and norm; None if the batch has none.  The term side is broadcast
-    when its row count is checked small; on a stored index a list of up to
-    ``PUSHDOWN_MAX_TERMS`` terms is also pushed to the Parquet scan, so only
-    row groups holding those terms are read."""
+def query_terms(clauses: DataFrame, index: Index, batch: Batch | None = None, phrases: bool = True,
+                terms: bool = True) -> DataFrame | None:
+    """Expanded terms of the term-like and phrase (``_ph``) clauses with df, idf
+    and norm; written if the index is stored.  None if the batch has none."""
     batch = batch or batch_of(clauses)
-    plain = {k.rstrip("~") for k in batch.kinds}
+    plain = {k.rstrip("~-") for k in batch.kinds}
     parts = []
     if terms and plain & set(TERM_KINDS):
         parts.append(expand_terms(clauses, index, batch).withColumn("_ph", F.lit(False)))
@@ -228,14 +212,27 @@ def lookup(clauses: DataFrame, index: Index, batch: Batch | None = None, phrases
     if not parts:
         return None
     qterms = with_idf(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), index)
-    postings = index.postings
-    if index.stored:
-        qterms = materialize(with_norm(materialize(qterms, "query-terms"), clauses), "query-norms")
-        keys = qterms.select("term").distinct().limit(PUSHDOWN_MAX_TERMS + 1).collect()
-        if len(keys) <= PUSHDOWN_MAX_TERMS:
-            postings = postings.where(F.col("term").isin([r.term for r in keys]))
-    else:
-        qterms = with_norm(qterms, clauses)
+    return materialize(with_norm(materialize(qterms, "query-terms"), clauses), "query-norms") if index.stored else with_norm(qterms, clauses)
+
+
+def pushed_terms(frame: DataFrame, qterms: DataFrame) -> DataFrame:
+    """A stored table sorted by term, cut to the terms of the batch if they are
+    few enough for a list that reaches the scan."""
+    keys = qterms.select("term").distinct().limit(PUSHDOWN_MAX_TERMS + 1).collect()
+    return frame.where(F.col("term").isin([r.term for r in keys])) if len(keys) <= PUSHDOWN_MAX_TERMS else frame
+
+
+def lookup(clauses: DataFrame, index: Index, batch: Batch | None = None, phrases: bool = True,
+           terms: bool = True, qterms: DataFrame | None = None) -> DataFrame | None:
+    """Postings of the terms of term-like and phrase (``_ph``) clauses, with
+    df, idf and norm; None if the batch has none.  The term side is broadcast
+    when its row count is checked small; on a stored index a list of up to
+    ``PUSHDOWN_MAX_TERMS`` terms is also pushed to the Parquet scan, so only
+    row groups holding those terms are read."""
+    qterms = qterms if qterms is not None else query_terms(clauses, index, batch, phrases, terms)
+    if qterms is None:
+        return None
+    postings = pushed_terms(index.postings, qterms) if index.stored else index.postings
     side = F.broadcast(qterms) if fits(qterms, BROADCAST_MAX_ROWS) else qterms
     return postings.join(side, ["field", "term"])
 
@@ -369,21 +366,23 @@ def with_implicit_all(clauses: DataFrame) -> DataFrame:
     return clauses.unionByName(extra)
 
 
-def clause_hits(clauses: DataFrame, index: Index, batch: Batch | None = None) -> DataFrame:
+def clause_hits(clauses: DataFrame, index: Index, batch: Batch | None = None, qterms: DataFrame | None = None,
+                cut: Callable[[DataFrame], DataFrame] = _plain) -> DataFrame:
     """All leaf clauses of a batch as one tagged union (F14 dispatch).  Only
     the branches for clause kinds present in the batch are planned (the
-    clause table is small; its distinct kinds are read once)."""
+    clause table is small; its distinct kinds are read once).  ``cut`` is
+    applied to the rows of (query_id, doc_id) before they are scored."""
     batch = batch or batch_of(clauses)
     parts = []
-    m = lookup(clauses, index, batch)
+    m = lookup(clauses, index, batch, qterms=qterms)
     if m is not None:
-        parts.append(mixed_hits(m))
+        parts.append(mixed_hits(cut(m)))
     if batch.kinds & set(RANGE_KINDS):
-        parts.append(range_hits(clauses, index, batch))
+        parts.append(cut(range_hits(clauses, index, batch)))
     if "all" in batch.kinds:
-        parts.append(all_hits(clauses, index, batch))
+        parts.append(cut(all_hits(clauses, index, batch)))
     if "ids" in batch.kinds:
-        parts.append(id_hits(clauses, index, batch))
+        parts.append(cut(id_hits(clauses, index, batch)))
     if not parts:
         return all_hits(clauses.limit(0), index, batch)
     out = parts[0]
@@ -455,23 +454,61 @@ def _max_window(opts: DataFrame | None, size: int, from_: int) -> int:
     return max(from_ + size, opts.agg(F.max(end)).first()[0] or 0)
 
 
+def _leaders(table: pa.Table, k: int) -> pa.Table:
+    """The first ``k`` rows of each query by score desc, doc_id asc."""
+    table = table.take(pc.sort_indices(table, sort_keys=[("query_id", "ascending"), ("score", "descending"), ("doc_id", "ascending")]))
+    q = table.column("query_id").to_numpy()
+    first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return table.filter(pa.array(rank < k))
+
+
+def leaders(matches: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, n): the best ``k`` matches of each query in
+    every task, and one row (doc_id null) with the number of its matches in
+    that task.  Matches stream by in Arrow batches and are neither written nor
+    shuffled; a task keeps ``k`` rows a query."""
+    schema = T.StructType([*(f for f in matches.select("query_id", "doc_id", "score").schema.fields), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        best, counts = None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            for q, n in zip(*(c.to_pylist() for c in now.group_by("query_id").aggregate([([], "count_all")]).select(["query_id", "count_all"]).columns), strict=True):
+                counts[q] = counts.get(q, 0) + n
+            best = _leaders(now if best is None else pa.concat_tables([best, now]), k)
+        if best is None:
+            return
+        none = pa.nulls(len(counts))
+        sums = pa.table({"query_id": pa.array(list(counts), best.schema.field("query_id").type), "doc_id": none.cast(best.schema.field("doc_id").type),
+                         "score": none.cast(pa.float64()), "n": pa.array(list(counts.values()), pa.int64())})
+        best = best.append_column("n", pa.nulls(best.num_rows, pa.int64()))
+        yield from pa.concat_tables([best, sums.select(best.column_names)]).combine_chunks().to_batches()
+
+    return matches.select("query_id", "doc_id", "score").mapInArrow(run, schema)
+
+
 def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_SIZE,
          from_: int = DEFAULT_FROM) -> DataFrame:
     """Hits ``from+1 .. from+size`` of each query, ranked by score
     desc then doc_id; with total_hits.
 
-    The window filter uses a literal bound (the largest from+size of the
-    batch), so Spark plans WindowGroupLimit: every map task keeps only that
-    many rows per query before the shuffle, and a query matching a third of
-    the corpus never lands whole in one task.  The matches are written once
-    first: the page and the hit counts both read them (with the bucketed
-    index there is no exchange the two branches could share)."""
-    matches = materialize(matches, "matches")
+    Every task reduces its matches to the best few of each query and their
+    count (``leaders``), so a query matching a third of the corpus shuffles
+    (largest from+size of the batch + 1) rows a task, and the ranked rows and
+    the totals come from the same pass over the matches."""
     bound = _max_window(opts, size, from_)
     # rank on the rounded score so equal scores tie-break on doc_id only
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id").asc())
-    ranked = (matches.withColumn("score", scoring.rounded(F.col("score")))
-              .withColumn("rank", F.row_number().over(w))
+    found = leaders(matches.withColumn("score", scoring.rounded(F.col("score"))), bound)
+    return _pages(found, bound, opts, size, from_)
+
+
+def _pages(found: DataFrame, bound: int, opts: DataFrame | None, size: int, from_: int) -> DataFrame:
+    w = Window.partitionBy("query_id")
+    ranked = (found.withColumn("total_hits", F.sum("n").over(w)).where("doc_id IS NOT NULL")
+              .withColumn("rank", F.row_number().over(w.orderBy(F.col("score").desc(), F.col("doc_id").asc())))
               .where(F.col("rank") <= F.lit(bound)))
     if opts is not None:
         o = broadcast_if_small(opts.select("query_id", F.col("size").alias("_size"), F.col("from").alias("_from")))
@@ -481,9 +518,7 @@ def topk(matches: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_
     else:
         ranked = ranked.withColumn("_size", F.lit(size)).withColumn("_from", F.lit(from_))
     page = ranked.where((F.col("rank") > F.col("_from")) & (F.col("rank") <= F.col("_from") + F.col("_size")))
-    return (page.join(total_hits(matches), "query_id")
-            .select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id",
-                    "score", "total_hits"))
+    return page.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", "score", "total_hits")
 
 
 def top_hits(matches: DataFrame, size: int = DEFAULT_SIZE, from_: int = 0) -> DataFrame:
@@ -500,3 +535,83 @@ def search(index: Index, clauses: DataFrame, opts: DataFrame | None = None,
            size: int = DEFAULT_SIZE, from_: int = DEFAULT_FROM) -> DataFrame:
     """F14 + H05: ranked page of every query in the batch."""
     return topk(search_scores(index, clauses, opts), opts, size, from_)
+
+
+# ------------------------------------------------- ranked pages without totals
+
+# Buckets a query is scored in first, those of its largest bounds: they give
+# the score that the others have to reach.
+FIRST_BUCKETS = 1
+_SLACK = 2e-6     # scores are ranked rounded to six decimals
+
+
+def bucket_bounds(clauses: DataFrame, index: Index, qterms: DataFrame | None, batch: Batch) -> DataFrame:
+    """(query_id, bucket, bound): no document of the bucket scores more for the
+    query.  Queries and buckets without a row have no match: a MUST clause has
+    no posting there.
+
+    A term scores at most with the largest tf / field_len it has in the bucket
+    (``impact``); a phrase occurs at most as often as each of its terms, so its
+    least term bounds it.  Range, id and match-all clauses score their boost in
+    any bucket.  SHOULD scores count whole (coord is at most 1)."""
+    cl = _defaults(clauses.where(F.col("kind").isin(CLAUSE_KINDS)))
+    parts = []
+    if qterms is not None:
+        side = F.broadcast(qterms) if fits(qterms, BROADCAST_MAX_ROWS) else qterms
+        tops = pushed_terms(index.impact, qterms).groupBy("field", "term", "bucket").agg(F.max("top").alias("top"))
+        # per slot of a phrase, as its terms may repeat
+        m = tops.join(side, ["field", "term"]).where("occur <> 'must_not'")
+        w = F.sqrt("top") * F.col("boost")
+        per = m.groupBy(*CKEYS, "bucket", "_ph").agg(
+            F.sum(w * F.col("idf") * scoring.query_factor(F.col("norm"), F.col("idf"))).alias("terms"),
+            F.min(w).alias("least"), F.sum("idf").alias("idf_sum"), F.count(F.lit(1)).alias("k"), F.first("n_slots").alias("n_slots"), F.first("norm").alias("norm"))
+        phrase = F.col("least") * F.col("idf_sum") * scoring.query_factor(F.col("norm"), F.col("idf_sum"))
+        parts.append(per.where(~F.col("_ph") | (F.col("k") == F.col("n_slots")))
+                     .select(*CKEYS, "bucket", F.when(F.col("_ph"), phrase).otherwise(F.col("terms")).alias("most")))
+    if batch.kinds & {*RANGE_KINDS, "all", "ids"}:
+        parts.append(_kind(cl, [*RANGE_KINDS, "all", "ids"]).where("occur <> 'must_not'")
+                     .select(*CKEYS, F.explode(F.sequence(F.lit(0), F.lit(index.buckets - 1))).alias("bucket"), F.col("boost").alias("most")))
+    if not parts:
+        return clauses.select("query_id", F.lit(0).alias("bucket"), F.lit(0.0).alias("bound")).limit(0)
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    needs = cl.groupBy("query_id").agg(F.sum(F.when(F.col("occur") == "must", 1).otherwise(0)).alias("n_must"))
+    return (found.groupBy("query_id", "bucket").agg(F.sum("most").alias("bound"), F.sum(F.when(F.col("occur") == "must", 1).otherwise(0)).alias("musts"))
+            .join(batch.side(needs), "query_id").where("musts = n_must").select("query_id", "bucket", "bound"))
+
+
+def search_leaders(index: Index, clauses: DataFrame, opts: DataFrame | None = None, size: int = DEFAULT_SIZE,
+                   from_: int = DEFAULT_FROM) -> tuple[DataFrame, DataFrame]:
+    """F14 + H05 without totals, on a stored index: the same pages as
+    ``search`` but only in buckets that can hold one of the hits.  Returns the
+    pages (query_id, rank, doc_id, score) and the (query_id, bucket, bound,
+    scored) decisions.
+
+    Each query is scored in its best ``FIRST_BUCKETS`` buckets first.  If these
+    give from + size hits, the last of them is a floor: buckets whose bound is
+    below it are never scored for that query."""
+    cl = with_implicit_all(clauses)
+    batch = batch_of(cl)
+    bound = _max_window(opts, size, from_)
+    qterms = query_terms(cl, index, batch)
+    bounds = materialize(bucket_bounds(cl, index, qterms, batch), "bucket-bounds")
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "bucket")
+    first = materialize(bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.lit(FIRST_BUCKETS)).select("query_id", "bucket"), "first-buckets")
+
+    def scored_in(pairs: DataFrame) -> DataFrame:
+        near = broadcast_if_small(pairs.select("query_id", F.col("bucket").alias("_in")))
+        cut = lambda h: h.join(near, (h["query_id"] == near["query_id"]) & (F.pmod(F.hash(h["doc_id"]), F.lit(index.buckets)) == near["_in"]), "left_semi")
+        hits = clause_hits(cl, index, batch, qterms, cut)
+        return leaders(combine(hits, cl, opts, batch=batch).withColumn("score", scoring.rounded(F.col("score"))), bound).where("doc_id IS NOT NULL")
+
+    probe = materialize(scored_in(first), "first-leaders")
+    ranked = probe.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))))
+    floor = ranked.where(F.col("r") == F.lit(bound)).select("query_id", F.col("score").alias("floor"))
+    rest = bounds.join(first, ["query_id", "bucket"], "left_anti").join(batch.side(floor), "query_id", "left")
+    reach = F.col("floor").isNull() | (F.col("bound") * (1 + 1e-9) + _SLACK >= F.col("floor"))
+    decided = materialize(rest.select("query_id", "bucket", "bound", reach.alias("scored"))
+                          .unionByName(bounds.join(first, ["query_id", "bucket"], "left_semi").withColumn("scored", F.lit(True))), "bucket-decisions")
+    more = decided.where("scored").join(first, ["query_id", "bucket"], "left_anti")
+    found = probe.unionByName(materialize(scored_in(more), "more-leaders"))
+    return _pages(found, bound, opts, size, from_).drop("total_hits"), decided

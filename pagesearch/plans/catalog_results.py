@@ -12,7 +12,7 @@ from pagesearch.operators import analyze as az
 from pagesearch.operators import extract as ex
 from pagesearch.operators import results as rs
 from pagesearch.operators import search as se
-from pagesearch.operators.index import Analysis, build_index, field_summary, index_summary, read_index, refresh_index, write_index
+from pagesearch.operators.index import Analysis, build_index, field_summary, index_summary, merge_index, read_index, refresh_index, write_index
 from pagesearch.plans.catalog import CATALOG, _scores_of, register
 from pagesearch.plans.corpus import documents_index
 from pagesearch.sources import fixtures as fx
@@ -112,15 +112,28 @@ def q_url_keys(spark, sf):
     return m.select("query_id", "doc_id", rounded(F.col("score")).alias("score"))
 
 
-@register("index_refresh")
-def q_index_refresh(spark, sf):
-    """A07 on a stored index: labelled documents are indexed again, with their quality added."""
+def _refreshed(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
     path = shared_dir(spark, "refreshed-index")
     write_index(build_index(docs, {"text": "text"}, co_locate=True), path)
     new = docs.join(labels, "doc_id").withColumn("text", F.concat_ws(" ", "text", F.lit("quality"), F.col("quality").cast("string")))
     refresh_index(spark, path, build_index(new, {"text": "text"}))
-    return read_index(spark, path).postings.select("doc_id", "field", "term", "tf")
+    return path
+
+
+@register("index_refresh")
+def q_index_refresh(spark, sf):
+    """A07 on a stored index: labelled documents are indexed again, with their quality added."""
+    return read_index(spark, _refreshed(spark, sf)).postings.select("doc_id", "field", "term", "tf")
+
+
+@register("index_merge")
+def q_index_merge(spark, sf):
+    """The same after its segments are merged, with the counts of the vocabulary."""
+    path = _refreshed(spark, sf)
+    merge_index(spark, path, everything=True)
+    index = read_index(spark, path)
+    return index.postings.join(index.term_df, ["field", "term"]).select("doc_id", "field", "term", "tf", "df")
 
 
 # ------------------------------------------------------------ F04: date ranges
@@ -248,6 +261,13 @@ def q_topk_per_query(spark, sf):
     return se.topk(se.search_scores(index, cl, opts), None, size=5)
 
 
+@register("topk_pages")
+def q_topk_pages(spark, sf):
+    """H05 without totals: the pages of the batch, scored only in buckets that can hold a hit."""
+    index, cl, opts = _batch(spark, sf)
+    return se.search_leaders(index, cl, opts)[0]
+
+
 @register("top_hits")
 def q_top_hits(spark, sf):
     index, cl, opts = _batch(spark, sf)

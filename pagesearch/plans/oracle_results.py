@@ -162,6 +162,8 @@ ORACLE_RESULTS: dict[str, str] = {
 }
 
 ORACLE_RESULTS["index_refresh"] = ORACLE_RESULTS["index_replace"]
+ORACLE_RESULTS["index_merge"] = f"""WITH r AS ({ORACLE_RESULTS["index_replace"]})
+    SELECT r.*, df FROM r JOIN (SELECT field, term, count(*) AS df FROM r GROUP BY field, term) USING (field, term)"""
 ORACLE_RESULTS["index_field_summary"] = f"""WITH {tok_ctes("SELECT doc_id, 'text' AS field, text AS txt FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents")}
     SELECT field, count(DISTINCT doc_id) AS n_docs, count(DISTINCT term) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens FROM post GROUP BY field"""
 ORACLE_RESULTS["facets_dates"] = f"""WITH e AS (SELECT * FROM events

@@ -204,6 +204,7 @@ ORACLE: dict[str, str] = {
     "doc_postings": f"""WITH {TOK} SELECT doc_id, field, term, tf, array_to_string(positions, ',') AS positions
         FROM post WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""",
     "q_batch": search_page_sql(),
+    "topk_pages": f"SELECT query_id, rank, doc_id, score FROM ({search_page_sql()})",
 }
 
 from pagesearch.plans.oracle_pages import ORACLE_PAGES  # noqa: E402

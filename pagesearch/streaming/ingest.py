@@ -2,10 +2,11 @@
 
 Each micro-batch runs, as Spark jobs: de-duplication inside the batch (H02),
 the anti join against what is stored (E01), the whole ingest row (C10), an
-append of the new store rows and of their postings.  Store and postings are
-log-structured: every batch writes its own folder and readers keep, per key,
-the rows of the latest batch (the upsert A06 and the index replace A07 at read
-time).  No batch rewrites what earlier batches wrote.
+append of the new store rows, and a segment of the index with their postings.
+The store is log-structured: every batch writes its own folder and readers
+keep, per key, the rows of the latest batch (the upsert A06 at read time).  The
+index gets a segment a batch (A07), and small segments are merged.  No batch
+rewrites what earlier batches wrote.
 
 A batch is committed by its log row, written last.  Readers take committed
 batches only, and a batch looks only at those before it, never at its own
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesearch.operators import ingest as ing
-from pagesearch.operators.index import Index, build_index, corpus_stats, doc_freq
+from pagesearch.operators.index import Index, build_index, has_version, merge_index, read_index, refresh_index, write_index
 from pagesearch.schemas import STORE
 from pagesearch.streaming.runner import drain, file_stream
 
@@ -72,22 +73,29 @@ def stored_urls(spark: SparkSession, root: str, before: int, seed: DataFrame | N
     return base.unionByName(logged.where(F.col("batch") < before).select("url"))
 
 
+def current_index(spark: SparkSession, root: str) -> Index | None:
+    """The stored index over everything committed so far, to be searched by
+    ``url``; None before the first batch with documents."""
+    upto, path = last_committed(spark, root), os.path.join(root, "index")
+    return read_index(spark, path, upto) if upto >= 0 and has_version(spark, path, upto) else None
+
+
 def current_postings(spark: SparkSession, root: str) -> DataFrame | None:
-    return read_log(spark, root, "postings", "doc_id")
+    index = current_index(spark, root)
+    return None if index is None else index.postings
 
 
-def current_index(spark: SparkSession, root: str) -> Index | None:
-    """The index over everything committed so far, to be searched by ``url``:
-    the statistics are those of the current postings; documents without a
-    token count among ``ids`` too.  ``write_index`` stores it for many searches."""
-    postings = current_postings(spark, root)
-    if postings is None:
-        return None
-    postings = postings.drop("batch")
-    flen = postings.groupBy("doc_id", "field").agg(F.max("field_len").alias("n_terms"))
-    ids = current_store(spark, root).select(F.col("url").alias("doc_id"))
-    attrs = spark.createDataFrame([], "doc_id string, field string, value double")
-    return Index(postings=postings, term_df=doc_freq(postings), field_len=flen, corpus=corpus_stats(flen), docs=attrs, ids=ids)
+def index_batch(spark: SparkSession, new: DataFrame, batch_id: int, root: str) -> None:
+    """One segment with the batch's documents on top of the version that
+    the batch before left; then small segments are merged.  A batch that is run
+    again starts from that version again, and its later version wins."""
+    path = os.path.join(root, "index")
+    index = build_index(new, {f: f for f in INDEX_FIELDS}, key="url", co_locate=True)
+    if has_version(spark, path, batch_id - 1):
+        refresh_index(spark, path, index, tag=batch_id, base=batch_id - 1)
+        merge_index(spark, path, tag=batch_id)
+    else:
+        write_index(index, path, tag=batch_id)
 
 
 def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str,
@@ -100,9 +108,10 @@ def ingest_batch(spark: SparkSession, links: DataFrame, batch_id: int, root: str
     # the batch id is the partition folder name (batch=N), not a data column
     new.write.mode("overwrite").parquet(os.path.join(root, "store", f"batch={batch_id}"))
     written = spark.read.parquet(os.path.join(root, "store", f"batch={batch_id}"))
-    index = build_index(written, {f: f for f in INDEX_FIELDS}, key="url")
-    index.postings.write.mode("overwrite").parquet(os.path.join(root, "postings", f"batch={batch_id}"))
-    log = spark.createDataFrame([(links.count(), written.count())], "n_links bigint, n_new_docs bigint")
+    n_new = written.count()
+    if n_new:
+        index_batch(spark, written, batch_id, root)
+    log = spark.createDataFrame([(links.count(), n_new)], "n_links bigint, n_new_docs bigint")
     log.write.mode("overwrite").parquet(os.path.join(root, "log", f"batch={batch_id}"))
 
 
