@@ -206,12 +206,18 @@ ORACLE_PAGES: dict[str, str] = {
                  THEN regexp_extract(clean, {sq(tx.BODY_RE)}, 1) ELSE clean END, {sq(tx.BLOCK_SPLIT_RE)}) AS parts
                FROM b0),
         b2 AS (SELECT page_id, host, unnest(parts) AS block, unnest(range(len(parts))) AS pos FROM b1),
-        b3 AS (SELECT page_id, host, pos, {d_text('block')} AS btext FROM b2),
-        b4 AS (SELECT *, md5(btext) AS h FROM b3 WHERE btext <> ''),
-        rep AS (SELECT host, h FROM b4 GROUP BY host, h HAVING count(DISTINCT page_id) >= 2)
-        SELECT page_id, count(*) AS n_blocks, sum(CASE WHEN r.h IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_kept,
-               coalesce(string_agg(CASE WHEN r.h IS NULL THEN btext END, ' ' ORDER BY pos), '') AS text
-        FROM b4 LEFT JOIN rep r ON b4.host = r.host AND b4.h = r.h GROUP BY page_id""",
+        b3 AS (SELECT page_id, host, pos, {d_text('block')} AS btext,
+                 {d_text("array_to_string(regexp_extract_all(block, " + sq(tx.LINK_RE) + ", 1), ' ')")} AS link FROM b2),
+        b4 AS (SELECT *, md5(btext) AS h, length(link) / length(btext) AS share, len(string_split(btext, ' ')) AS words
+               FROM b3 WHERE btext <> ''),
+        b5 AS (SELECT *, share > {tx.LINK_SHARE} OR (coalesce(lag(share) OVER w, 0) > {tx.BEFORE_LINK_SHARE}
+                 AND words <= {tx.SHORT_WORDS} AND coalesce(lead(words) OVER w, 0) <= {tx.NEXT_WORDS}) AS dense
+               FROM b4 WINDOW w AS (PARTITION BY page_id ORDER BY pos)),
+        rep AS (SELECT host, h FROM b4 GROUP BY host, h HAVING count(DISTINCT page_id) >= 2),
+        b6 AS (SELECT b5.*, r.h IS NULL AND NOT dense AS kept FROM b5 LEFT JOIN rep r ON b5.host = r.host AND b5.h = r.h)
+        SELECT p.page_id, count(btext) AS n_blocks, count(btext) FILTER (kept) AS n_kept,
+               coalesce(string_agg(btext, ' ' ORDER BY pos) FILTER (kept), '') AS text
+        FROM pages p LEFT JOIN b6 USING (page_id) GROUP BY p.page_id""",
     "lang_profiles": f"WITH {PROFILE_CTES} SELECT lang, term, cnt, rank, round(p, 9) AS p FROM prof",
     "lang_detect": f"""WITH {PROFILE_CTES}, {detect_ctes("SELECT doc_id, text AS txt FROM documents", ["doc_id"])}
         SELECT doc_id, {det_lang()} AS lang, best, round(coalesce(confidence, 0.0), 6) AS confidence

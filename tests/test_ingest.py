@@ -171,6 +171,35 @@ def test_boilerplate_removed(spark):
     assert got == {1: "unique one", 2: "unique two", 3: "Home About other host"}
 
 
+def block_pages(spark):
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{n}/{i}'>target {n} {i}</a></li>" for i in range(4)) + "</ul>"
+    long = " ".join(f"w{i}" for i in range(50))
+    return spark.createDataFrame([
+        (1, "http://h.example.com/1", f"<body><p>{long}</p>{links(1)}<div>see also</div>{links(2)}<p>The <a href=x>end</a> of this long enough paragraph here</p></body>"),
+        (2, "http://h.example.com/2", f"<body>{links(3)}<h1>A heading of the page</h1><p>{long} two</p></body>"),
+        (3, "http://h.example.com/3", None), (4, "http://h.example.com/4", ""), (5, None, "<p>no url"),
+        (6, "http://h.example.com/6", "<p>open <a href=x>anchor to the end of this block"),
+        (7, "http://h.example.com/7", "<p>same</p><p>same</p>")], "page_id long, url string, html string"), long
+
+
+def test_link_lists_unique_to_a_page_are_dropped_and_every_page_stays(spark):
+    pages, long = block_pages(spark)
+    got = {r.page_id: (r.n_blocks, r.n_kept, r.text) for r in ex.strip_boilerplate(pages).collect()}
+    assert got == {1: (11, 1, long), 2: (6, 2, f"A heading of the page {long} two"),
+                   3: (0, 0, ""), 4: (0, 0, ""), 5: (1, 1, "no url"), 6: (1, 0, ""), 7: (2, 2, "same same")}
+
+
+def test_boilerplate_is_the_same_without_broadcast(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").unionByName(block_pages(spark)[0].withColumn("page_id", F.col("page_id") + 100_000))
+    small, large = ex.strip_boilerplate(pages), ex.strip_boilerplate(pages, max_broadcast=0)
+    assert rows(small) == rows(large) and small.count() == pages.count()
+
+
+def test_boilerplate_shuffles_no_html(spark):
+    plan = ex.page_blocks(block_pages(spark)[0])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_rank_within_does_not_depend_on_exchange_reuse(spark):
     from pyspark.sql import Window
     from pagesearch.operators.ingest import rank_within
