@@ -18,23 +18,26 @@ probabilities are averaged over the sampled sweeps.
 Distribution: texts are packed into blocks of some megabytes.  A context has as
 many guests as its word has training tokens, so the sums of the words of all
 blocks return to the blocks as guests.  Blocks then send their (context, word)
-pairs with the context's guests to tasks by word, so a dish and its parent are
-seated together; while it samples, a task estimates a restaurant's tables from
-those seen in restaurants of like size.  Tables are summed by context in an
-aggregation and return to the blocks with the answers, and the blocks score
-their texts.  A word above a fixed share of all tokens (a bounded number) is
-dealt by context over several dishes, each of which takes the whole for its own
-part in proportion; the sums of the parts are seated at the root in the end.
+pairs with the context's guests by range of dishes, so a dish and its parent are
+seated together; while it samples, a range estimates a restaurant's tables from
+those it sees in restaurants of like size.  Customers less tables are summed by
+context and return to the blocks with the answers, and the blocks score their
+texts.  All of these travel as packed arrays, one row for each block and range,
+and answers come in the order of the questions, so they need no keys.  A word
+above ``DISH`` tokens is dealt by context over several dishes, each of which
+takes the whole for its own part in proportion; the sums of the parts are seated
+at the root in the end.
 """
 
 from __future__ import annotations
 
 import io
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,16 +46,17 @@ from pagesearch.llm.frames import passes, record, texts_of
 from pagesearch.session import materialize
 
 CONTEXT_SHARE = 0.004          # of the training tokens: contexts whose tables are estimated each on its own, at most 250
-HOT_SHARE = 0.0005             # at most 2000 words are dealt over several dishes, one for each such share
-PARTS = 2000                   # dishes of a word at most
+DISH = 200_000                 # training tokens of a dish; a word of more is dealt over several
+PART = 1_000_000                 # training tokens of a range of dishes, which one task seats at a time
+RANGE = 4_000_000              # training tokens of a range of words, whose counts one task sums
 BANDS = 128                    # half octaves of guests: contexts of one band are taken as alike
 DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 10.0)      # root, contexts
 BURN_IN, SAMPLES = 2, 4
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 12_000_000
 GROWTH = 20                    # customers of a dish are seated in blocks of 1/20
-SMALLEST = 1024                # hashes by which a block tells how many words there are
 END = np.uint64(0x454E44)
-_ROWS = 300_000
+PLACE = 32                     # bits of a word's place in its range
+_IN_RANGE = np.uint64(2**PLACE - 1)
 
 
 # ---------------------------------------------------------------- seating
@@ -181,12 +185,58 @@ def sample(dish: np.ndarray, context: np.ndarray, count: np.ndarray, n_dishes: i
     return {k: v / SAMPLES for k, v in out.items()}
 
 
+# ---------------------------------------------------------------- packed arrays
+
+_CODEC = pa.Codec("zstd")
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers that are not negative, each in its least width, byte planes apart."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu":
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        raw = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+        data = _CODEC.compress(raw, asbytes=True)
+        out.append(struct.pack("<2sqq", a.dtype.str[1:].encode(), len(a), len(data)) + data)
+    return b"".join(out)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = struct.unpack_from("<2sqq", data, at)
+        at += struct.calcsize("<2sqq")
+        kind = np.dtype(kind.decode())
+        raw = _CODEC.decompress(data[at:at + size], n * kind.itemsize, asbytes=True) if n else b""
+        out.append(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, n).T.copy().view(kind).reshape(n))
+        at += size
+    return out
+
+
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def _sum_steps(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
+
+
+def _range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of so many equal ranges of 64-bit hashes each one lies in (ascending with the hash)."""
+    return (hashes // np.uint64((2**64 - 1) // ranges + 1)).astype(np.int64) if ranges > 1 else np.zeros(len(hashes), np.int64)
+
+
+def _slices(of: np.ndarray):
+    """(value, from, to) of the runs of equal values."""
+    at = np.flatnonzero(np.diff(of, prepend=-1))
+    yield from zip(of[at].tolist(), at.tolist(), [*at.tolist(), len(of)][1:], strict=True)
+
+
 # ---------------------------------------------------------------- blocks of texts
 
 BLOCK = T.StructType([T.StructField("block", T.LongType()), T.StructField("texts", T.BinaryType()),
-                      T.StructField("top", T.ArrayType(T.LongType())), T.StructField("top_count", T.ArrayType(T.LongType())),
-                      T.StructField("least", T.ArrayType(T.LongType())), T.StructField("tokens", T.LongType()),
-                      T.StructField("words", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType()))])
+                      T.StructField("tokens", T.LongType()), T.StructField("words", T.BinaryType())])
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -216,9 +266,8 @@ def _unpack(data: bytes) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """Blocks of (id, train, text) rows, with each block's most frequent
-    training words, its smallest word hashes, its number of training tokens, and
-    all its words with their training tokens, in the order of ``Pairs``."""
+    """Blocks of (id, train, text) rows, with each block's number of training
+    tokens and its words with their training tokens, in order of their hash."""
     def run(batches):
         context, held, size, at = TaskContext.get().partitionId(), [], 0, 0
 
@@ -227,12 +276,7 @@ def pack(docs: DataFrame) -> DataFrame:
             hashes, sizes = tokens(texts_of(whole, "text"))
             words, index = np.unique(hashes, return_inverse=True)
             counts = np.bincount(index[np.repeat(whole.column("train").to_numpy(zero_copy_only=False), sizes)], minlength=len(words))
-            n = int(counts.sum())
-            value, count = words[counts > 0], counts[counts > 0]
-            top = count >= HOT_SHARE / 4 * n
-            return record(BLOCK, [[context << 24 | at], [_pack(whole)], [value[top].view(np.int64).tolist()], [count[top].tolist()],
-                                  [(value[:SMALLEST] >> np.uint64(1)).astype(np.int64).tolist()], [n],
-                                  [words.view(np.int64)], [counts]])
+            return record(BLOCK, [[context << 24 | at], [_pack(whole)], [int(counts.sum())], [packed(_steps(words), counts)]])
         for batch in batches:
             for lo, hi in passes(texts_of(batch, "text"), BLOCK_CHARS // 8):
                 part = batch.slice(lo, hi - lo)
@@ -260,134 +304,207 @@ class Pairs:
         train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), self.sizes)
         self.count = np.bincount(self.index[train], minlength=len(pair))
 
+    def asked(self, n: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs whose word has training tokens (``n``, by word) in order of
+        their range of dishes, word, dish and context; their ranges; and which
+        of its word's dishes each belongs to.  A word of more than ``DISH``
+        tokens is dealt by context over several dishes."""
+        i = np.flatnonzero(n[self.word] > 0)
+        word, context = self.word[i], self.context[i]
+        dish, nth, of = self.words[word], np.zeros(len(i), np.int64), n[word]
+        h = np.flatnonzero(of > DISH)
+        nth[h] = W.mix(self.words[context[h]]) % (-(-of[h] // DISH)).astype(np.uint64)
+        dish[h] = W.mix(dish[h] ^ W.mix(nth[h].astype(np.uint64) + END))
+        part = _range_of(dish, ranges)
+        order = np.lexsort((context, nth, word, part))
+        return i[order], part[order], nth[order]
 
-def _find(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Index of each x in the sorted values, -1 where it isn't there."""
-    if not len(sorted_values):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)
-    return np.where(sorted_values[at] == x, at, -1)
 
+# ---------------------------------------------------------------- exchanges
 
-ASKED = T.StructType([T.StructField("dish", T.LongType()), T.StructField("context", T.LongType()), T.StructField("guests", T.LongType()),
-                      T.StructField("at", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("count", T.LongType())])
-ANSWER = T.StructType([T.StructField("block", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("n", T.LongType()),
-                       T.StructField("pair", T.DoubleType()), T.StructField("root", T.DoubleType())])
-# as block: sums over a task's dishes (i: a hot word, -1 the root, -2 dishes); tables by context (n)
-TOTAL, TABLES = -1, -2
+# Packed rows that blocks and ranges of hashes send each other.  block below 0: for no block, see there.
+SENT = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("part", T.LongType()),
+                     T.StructField("data", T.BinaryType()), T.StructField("tables", T.DoubleType()), T.StructField("customers", T.DoubleType()),
+                     T.StructField("words", T.LongType())])
+WORDS, COUNTS, ASKED, ANSWER, TABLES, SPLIT, RESTAURANTS, TOTAL = range(8)
 
 
-def _part(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    return W.mix(word ^ W.mix(nth.astype(np.uint64) + END))
+def _sent(rows: list[tuple]) -> pa.Table:
+    """Rows (block, kind, part, data, tables, customers, words)."""
+    return pa.Table.from_batches([record(SENT, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * len(SENT))])
 
 
-class Hot:
-    """Frequent words, and the dishes that each is dealt over."""
+def _rows(table: pa.Table, kind: int | None = None) -> list[dict]:
+    """Rows in an order that doesn't hang on the shuffle."""
+    return sorted((r for r in table.to_pylist() if kind is None or r["kind"] == kind), key=lambda r: (r["part"], r["block"]))
 
-    def __init__(self, count: dict[int, int], n: float):
-        self.words = np.array(sorted(count), np.uint64)
-        self.count = np.array([count[w] for w in sorted(count)], float)
-        self.parts = np.minimum(PARTS, np.ceil(self.count / max(1.0, HOT_SHARE * n))).astype(np.int64)
-        of = np.repeat(np.arange(len(self.words)), self.parts)
-        dishes = _part(self.words[of], np.arange(len(of)) - np.repeat(np.cumsum(self.parts) - self.parts, self.parts))
-        order = np.argsort(dishes)
-        self.dishes, self.of = dishes[order], of[order]      # the dishes, sorted, and whose they are
-
-    def dish(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        at, out = _find(self.words, word), word.copy()
-        h = np.flatnonzero(at >= 0)
-        out[h] = _part(word[h], W.mix(context[h]) % self.parts[at[h]].astype(np.uint64))
-        return out
-
-
-def _ask(blocks: DataFrame, words: DataFrame, hot: Hot) -> DataFrame:
-    """The pairs of each block whose word is known, with the guests of the context."""
-    shared = blocks.sparkSession.sparkContext.broadcast(hot)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [record(ASKED, [[]] * len(ASKED))]
-        for block, data in zip(left.column("block").to_pylist(), left.column("texts"), strict=True):
-            p = Pairs(_unpack(data.as_py()))
-            n = np.zeros(len(p.words), np.int64)
-            n[right.column("i").to_numpy()] = right.column("n").to_numpy()
-            i = np.flatnonzero(n[p.word] > 0)
-            context = p.words[p.context[i]]
-            out.append(record(ASKED, [shared.value.dish(p.words[p.word[i]], context).view(np.int64), context.view(np.int64), n[p.context[i]],
-                                      np.full(len(i), block), i.astype(np.int32), p.count[i]]))
-        return pa.Table.from_batches(out)
-    return blocks.select("block", "texts").groupBy("block").cogroup(words.select("block", "i", "n").groupBy("block")).applyInArrow(run, ASKED)
-
-
-def _seat(asked: DataFrame, hot: Hot, n: float, guess: float) -> DataFrame:
-    """Answers for the pairs that blocks ask about, and totals; rows sorted by dish."""
-    shared = asked.sparkSession.sparkContext.broadcast(hot)
 
+def _word_slices(blocks: DataFrame, ranges: int) -> DataFrame:
     def run(batches):
-        rng = np.random.default_rng(TaskContext.get().partitionId())
-        hot = shared.value
-        own = hot.words[hot.count >= CONTEXT_SHARE * n]
-        pool = np.stack([np.full(BANDS + len(own) + 1, 10.0), np.full(BANDS + len(own) + 1, 6.0)])
-        pool[1, 0] = 10.0                              # one guest, one table
-        guests_of, whole = np.zeros(len(hot.words)), np.zeros(3)
-
-        def answer(rows):
-            nonlocal pool
-            key, context, guests, at, i, count = rows
-            begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]))))
-            pair = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(key))))
-            total = np.add.reduceat(count, begin)
-            w, dish = np.unique(key[begin], return_inverse=True)
-            met = np.flatnonzero(total)                # pairs with customers
-            known, renamed = np.unique(dish[met], return_inverse=True)
-            c, first, local = np.unique(context[begin][met], return_index=True, return_inverse=True)
-            g = guests[begin][met][first].astype(float)
-            alone = _find(own, c.view(np.uint64))
-            band = np.where(alone >= 0, BANDS + alone, np.minimum(BANDS - 1, 2 * np.log2(np.maximum(1, g))).astype(np.int64))
-            part = _find(hot.dishes, w[known].view(np.uint64))
-            is_part, mine = part >= 0, np.bincount(renamed, total[met], len(known))
-            whose = hot.of[part[is_part]]
-            scale = np.ones(len(known))
-            scale[is_part] = hot.count[whose] / mine[is_part]
-            totals = Pooled(g, band, n, pool, guess)
-            s = sample(renamed, local, total[met], len(known), totals, rng, scale)
-            pool = totals.pooled()
-            by_pair, by_dish = np.zeros(len(begin)), np.zeros(len(w))
-            by_pair[met], by_dish[known] = s["pair"], s["root"]
-            np.add.at(guests_of, whose, s["guests"][is_part])
-            whole[:] += [s["guests"][~is_part].sum(), s["seats"][~is_part].sum(), (~is_part).sum()]
-            for lo in range(0, len(key), 100_000):
-                k = slice(lo, lo + 100_000)
-                yield record(ANSWER, [at[k], i[k].astype(np.int32), np.zeros(len(at[k]), np.int64), by_pair[pair[k]], by_dish[dish[pair[k]]]])
-            yield record(ANSWER, [np.full(len(c), TABLES), np.zeros(len(c), np.int32), c, s["tables"], np.zeros(len(c))])
-
-        held = None
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("dish", "context", "guests", "at", "i", "count")]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if len(held[0]) >= _ROWS and held[0][0] != held[0][-1]:
-                cut = int(np.searchsorted(held[0], held[0][-1]))       # the last dish may go on
-                yield from answer([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield from answer(held)
-        h = np.flatnonzero(guests_of)
-        yield record(ANSWER, [[TOTAL] * (len(h) + 2), [*h.tolist(), -1, -2], [0] * (len(h) + 1) + [int(whole[2])],
-                              [*guests_of[h].tolist(), float(whole[0]), 0.0], [0.0] * len(h) + [float(whole[1]), 0.0]])
-    return asked.repartition("dish").sortWithinPartitions("dish", "context").mapInArrow(run, ANSWER)
-
-
-def seat_hot(guests: np.ndarray, tables: float, guess: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Customers less discounted tables, and tables, of the hot words at the root, given the other words' tables."""
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("words"), strict=True):
+                steps, counts = unpacked(data.as_py())
+                words = _sum_steps(steps)
+                rows = [(block, WORDS, r, packed(_steps(words[lo:hi]), counts[lo:hi]), 0.0, 0.0, 0) for r, lo, hi in _slices(_range_of(words, ranges))]
+                yield from _sent(rows).to_batches()
+    return blocks.select("block", "words").mapInArrow(run, SENT)
+
+
+def _words_of(table: pa.Table) -> tuple[list[int], np.ndarray, list[np.ndarray], np.ndarray]:
+    """A range's blocks, its distinct words, each block's places in them, and the words' training tokens."""
+    rows = _rows(table)
+    mine = [unpacked(r["data"]) for r in rows]
+    hashes = [_sum_steps(steps) for steps, _ in mine]
+    words = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+    at, n = [np.searchsorted(words, h) for h in hashes], np.zeros(len(words), np.int64)
+    for places, (_, counts) in zip(at, mine, strict=True):
+        n[places] += counts.astype(np.int64)
+    return [r["block"] for r in rows], words, at, n
+
+
+def _count(slices: DataFrame) -> DataFrame:
+    """Places of each block's words in their range and their training tokens
+    (COUNTS), and the number of distinct training words (TOTAL)."""
+    def run(table: pa.Table) -> pa.Table:
+        blocks, _, at, n = _words_of(table)
+        part = table.column("part")[0].as_py()
+        return _sent([*((b, COUNTS, part, packed(_steps(a), n[a]), 0.0, 0.0, 0) for b, a in zip(blocks, at, strict=True)), (-1, TOTAL, part, b"", 0.0, 0.0, int((n > 0).sum()))])
+    return slices.groupBy("part").applyInArrow(run, SENT)
+
+
+def _numbers(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (range and place, ascending with the hash) and training tokens of a block's words."""
+    got = [unpacked(r["data"]) for r in rows]
+    if not got:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (np.concatenate([_sum_steps(x[0]) + np.uint64(r["part"] << PLACE) for r, x in zip(rows, got, strict=True)]),
+            np.concatenate([x[1] for x in got]).astype(np.int64))
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _ask(blocks: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """The pairs of each block whose word is known, with the guests of the context, packed by range of dishes."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for block, data in zip(left.column("block").to_pylist(), left.column("texts"), strict=True):
+            p, (number, n) = Pairs(_unpack(data.as_py())), _numbers(_rows(right))
+            i, of, nth = p.asked(n, parts)
+            for part, lo, hi in _slices(of):
+                pair, k = i[lo:hi], nth[lo:hi]
+                word = p.word[pair]
+                first = _begins(word, k)
+                context, local = np.unique(p.context[pair], return_inverse=True)
+                out.append((block, ASKED, part, packed(_steps(number[word[first]]), k[first], n[word[first]], np.diff(np.append(first, hi - lo)),
+                                                       _steps(number[context]), n[context], local, p.count[pair]), 0.0, 0.0, 0))
+        return _sent(out)
+    return blocks.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, SENT)
+
+
+def _seat(asked: DataFrame, n: float, v: int) -> DataFrame:
+    """Seats each range of dishes: ANSWER to the blocks, TABLES by range of
+    contexts (customers less tables, where there are any, times ``SAMPLES``),
+    SPLIT words' root customers, and RESTAURANTS, sums at the root over the words in one dish."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = _rows(table)
+        part, out = rows[0]["part"], []
+        got = [unpacked(r["data"]) for r in rows]
+        numbers, contexts = [_sum_steps(x[0]) for x in got], [_sum_steps(x[4]) for x in got]
+        words = np.unique(np.concatenate(numbers))
+        keys = [np.searchsorted(words, w) << 32 | x[1].astype(np.int64) for w, x in zip(numbers, got, strict=True)]      # a word's dishes beside each other
+        dishes, at = np.unique(np.concatenate(keys), return_index=True)
+        word, whole = words[dishes >> 32], np.concatenate([x[2] for x in got])[at].astype(np.int64)
+        context, at = np.unique(np.concatenate(contexts), return_index=True)
+        guests = np.concatenate([x[5] for x in got])[at].astype(float)
+        places = [np.repeat(np.searchsorted(dishes, k), x[3]) for k, x in zip(keys, got, strict=True)]
+        code = [d * len(context) + np.searchsorted(context, c)[x[6]] for d, c, x in zip(places, contexts, got, strict=True)]
+        pairs, pair = np.unique(np.concatenate(code), return_inverse=True)
+        total = np.bincount(pair, np.concatenate([x[7] for x in got]), len(pairs)).astype(np.int64)
+        met = np.flatnonzero(total)                # pairs with customers
+        known, dish = np.unique(pairs[met] // len(context), return_inverse=True)
+        used, local = np.unique(pairs[met] % len(context), return_inverse=True)
+        g = guests[used]
+        alone = g >= CONTEXT_SHARE * n
+        band = np.minimum(BANDS - 1, 2 * np.log2(np.maximum(1, g))).astype(np.int64)
+        band[alone] = BANDS + np.arange(int(alone.sum()))
+        pool = np.stack([np.full(BANDS + int(alone.sum()) + 1, 10.0), np.full(BANDS + int(alone.sum()) + 1, 6.0)])
+        pool[1, 0] = 10.0                          # one guest, one table
+        mine = np.bincount(dish, total[met], len(known))
+        split = whole[known] > DISH
+        scale = np.where(split, whole[known] / np.maximum(1, mine), 1.0)
+        s = sample(dish, local, total[met], len(known), Pooled(g, band, n, pool, v), np.random.default_rng([1, part]), scale)
+        seats, at_root, tables = np.zeros(len(pairs), np.int64), np.zeros(len(dishes), np.int64), np.zeros(len(dishes), np.int64)
+        seats[met] = np.rint(SAMPLES * (total[met] - s["pair"]) / DISCOUNT[1])
+        alone = known[~split]                      # the root answers for split words
+        at_root[alone], tables[alone] = np.rint(SAMPLES * s["guests"][~split]), np.rint(SAMPLES * s["seats"][~split])
+        at = 0
+        for r, d in zip(rows, places, strict=True):
+            mine_ = slice(at, at + len(d))
+            first = _begins(d)
+            out.append((r["block"], ANSWER, part, packed(total[pair[mine_]], seats[pair[mine_]], at_root[d[first]], tables[d[first]], np.diff(np.append(first, len(d)))), 0.0, 0.0, 0))
+            at += len(d)
+        spare = SAMPLES * np.bincount(local, total[met], len(used)).astype(np.int64) - np.rint(SAMPLES * s["tables"]).astype(np.int64)
+        some = np.flatnonzero(spare)
+        c, spare = context[used[some]], spare[some]
+        out += [(-1, TABLES, r, packed(c[lo:hi] & _IN_RANGE, spare[lo:hi]), 0.0, 0.0, 0) for r, lo, hi in _slices((c >> np.uint64(PLACE)).astype(np.int64))]
+        w, at = np.unique(word[known[split]], return_inverse=True)
+        by_word = np.bincount(at, s["guests"][split], len(w))
+        out += [(-1, SPLIT, r, packed(w[lo:hi] & _IN_RANGE, by_word[lo:hi]), 0.0, float(by_word[lo:hi].sum()), 0) for r, lo, hi in _slices((w >> np.uint64(PLACE)).astype(np.int64))]
+        out.append((-1, RESTAURANTS, part, b"", float(s["seats"][~split].sum()), float(s["guests"][~split].sum()), 0))
+        return _sent(out)
+    return asked.groupBy("part").applyInArrow(run, SENT)
+
+
+def seat_split(guests: np.ndarray, tables: float, others: float, v: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Customers less discounted tables, and tables, at the root of words that
+    were seated in parts, given the other words' ``tables``; ``others`` is the
+    number of customers of split words seated elsewhere."""
     c, d = np.rint(guests).astype(np.int64), DISCOUNT[0]
     state, kept = None, []
     for _ in range(BURN_IN + SAMPLES):
-        others = tables + (state[0].sum() - state[0] if state else np.zeros(len(c)))
-        state = accept(state, seat(c, STRENGTH[0] + d * others, np.full(len(c), 0.5 / max(1.0, guess)), d, rng), rng)
+        seated = state[0] if state else np.minimum(c, 1)
+        here = seated.sum()
+        weight = STRENGTH[0] + d * (tables + here - seated + others * here / max(1, c.sum()))
+        state = accept(state, seat(c, weight, np.full(len(c), 0.5 / max(1, v)), d, rng), rng)
         kept.append(state[0])
     t = np.mean(kept[BURN_IN:], axis=0)
     return guests - d * t, t
 
 
+def _return(counts: DataFrame, answers: DataFrame, tables: float, customers: float, v: int) -> DataFrame:
+    """For each block's words the tables of their contexts and, of split words, the customers at the root (TABLES);
+    the sums of split words at the root (TOTAL)."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _sent([])
+        rows, part = _rows(left), left.column("part")[0].as_py()
+        got = [unpacked(r["data"]) for r in rows]
+        at = [_sum_steps(x[0]).astype(np.int64) for x in got]
+        t = np.zeros(1 + max(int(a[-1]) for a in at), np.int64)
+        for a, x in zip(at, got, strict=True):
+            t[a] = SAMPLES * x[1].astype(np.int64)
+        guests = np.zeros(len(t))
+        for r in _rows(right, TABLES):
+            place, spare = unpacked(r["data"])
+            t[place] -= spare.astype(np.int64)
+        for r in _rows(right, SPLIT):
+            place, c = unpacked(r["data"])
+            guests[place] += c
+        h, root, seats = np.flatnonzero(guests), np.zeros(len(t)), np.zeros(0)
+        if len(h):
+            root[h], seats = seat_split(guests[h], tables, customers - guests.sum(), v, np.random.default_rng([2, part]))
+        return _sent([*((r["block"], TABLES, part, packed(t[a], root[a]), 0.0, 0.0, 0) for r, a in zip(rows, at, strict=True)),
+                      (-1, TOTAL, part, b"", float(seats.sum()), float(guests.sum()), 0)])
+    return counts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run, SENT)
+
+
 # ---------------------------------------------------------------- model
 
 def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,72 +517,65 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
     probabilities.  A null or empty text is its end alone.  A null condition
     counts as false.  Without training rows the model is the base of the root
     alone (the unknown outcome).  Repeated rows count each.  Extra columns are
-    not read; an empty table gives no rows.  Sampling is seeded by partition.
+    not read; an empty table gives no rows.  Seeds hang on ranges of word
+    hashes, whose number hangs on the training tokens, so the scores don't hang
+    on the layout of the table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     blocks = materialize(pack(rows), "text-blocks")
-    n = blocks.agg(F.sum("tokens")).first()[0] or 0
-    top = (blocks.select(F.explode(F.arrays_zip("top", "top_count")).alias("x")).groupBy("x.top").agg(F.sum("x.top_count").alias("n"))
-           .where(F.col("n") >= HOT_SHARE * n).collect())
-    hot_count = {r.top % 2**64: r.n for r in top}
-    hot = Hot(hot_count, float(n))
-    # distinct words, estimated from the smallest hashes of all blocks; the exact number comes with the totals
-    least = [r.h for r in blocks.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(SMALLEST).collect()]
-    guess = len(least) if len(least) < SMALLEST else (SMALLEST - 1) * 2**63 / max(1, least[-1])
-
-    # a word's training tokens, which are also the guests of its context
-    words = materialize(blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x"))
-                        .select("block", "i", "x.words", F.sum("x.counts").over(Window.partitionBy("x.words")).alias("n")).where("n > 0"), "word-counts")
-    answers = materialize(_seat(_ask(blocks, words, hot), hot, float(n), guess), "answers")
-    totals = {r.i: r for r in answers.where(F.col("block") == TOTAL).groupBy("i").agg(F.sum("n").alias("n"), F.sum("pair").alias("pair"), F.sum("root").alias("root")).collect()}
-    zero = {"n": 0, "pair": 0.0, "root": 0.0}
-    of = lambda i, c: (totals[i][c] if i in totals else zero[c]) or 0
-    hot_guests = np.array([of(i, "pair") for i in range(len(hot.words))], float)
-    v = len(hot.words) + of(-2, "n")
-    hot_root, hot_tables = seat_hot(hot_guests, of(-1, "root"), v, np.random.default_rng(len(hot.words)))
-    model = {"hot": hot.words, "hot_root": hot_root, "n": float(n), "v": v,
-             "root_customers": of(-1, "pair") + hot_guests.sum(), "root_tables": of(-1, "root") + hot_tables.sum()}
-    tables = answers.where(F.col("block") == TABLES).groupBy(F.col("n").alias("words")).agg(F.sum("pair").alias("tables"))
-    # a block's words stand beside its pairs, with places below 0
-    back = (answers.where(F.col("block") >= 0)
-            .unionByName(words.join(tables, "words", "left").select("block", (-1 - F.col("i")).cast("int").alias("i"), "n", F.coalesce("tables", F.lit(0.0)).alias("pair"), F.lit(0.0).alias("root"))))
-    shared = spark.sparkContext.broadcast(model)
+    figures = blocks.agg(F.sum("tokens").alias("n"), F.count("*").alias("blocks")).first()
+    n = figures["n"] or 0
+    ranges, parts = 1 + n // RANGE, 1 + n // PART
+    tasks = max(2 * spark.sparkContext.defaultParallelism, figures["blocks"] // 8)
+    texts = blocks.select("block", "texts").repartition(tasks, "block")
+    slices = _word_slices(blocks, ranges).repartition(tasks, "part")
+
+    counts = materialize(_count(slices), "word-counts")
+    v = counts.where(F.col("kind") == TOTAL).agg(F.sum("words")).first()[0] or 0
+    of_blocks = counts.where(F.col("kind") == COUNTS)
+    asked = _ask(texts, of_blocks.repartition(tasks, "block"), parts).repartition(max(tasks, parts // 4), "part")
+    answers = materialize(_seat(asked, float(n), v), "answers")
+    sums = {r["kind"]: r for r in answers.where(F.col("kind").isin(SPLIT, RESTAURANTS)).groupBy("kind").agg(F.sum("tables").alias("tables"), F.sum("customers").alias("customers")).collect()}
+    at_root = lambda kind, c: sums[kind][c] if kind in sums else 0.0
+    back = materialize(_return(of_blocks.repartition(tasks, "part"), answers.where(F.col("kind").isin(TABLES, SPLIT)).repartition(tasks, "part"),
+                               at_root(RESTAURANTS, "tables"), at_root(SPLIT, "customers"), v), "tables")
+    split_tables = back.where(F.col("kind") == TOTAL).agg(F.sum("tables")).first()[0] or 0.0
+    model = {"n": float(n), "v": v, "root_customers": at_root(RESTAURANTS, "customers") + at_root(SPLIT, "customers"),
+             "root_tables": at_root(RESTAURANTS, "tables") + split_tables}
     schema = T.StructType([T.StructField(key, rows.schema["id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
                            T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()),
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        m = shared.value
         out = []
         for data in left.column("texts"):
             batch = _unpack(data.as_py())
-            p = Pairs(batch)
-            i = right.column("i").to_numpy()
-            of_pair = i >= 0
+            p, (_, n) = Pairs(batch), _numbers(_rows(right, COUNTS))
+            got = [unpacked(r["data"]) for r in _rows(right, TABLES)]
+            tables = np.concatenate([x[0] for x in got]) / SAMPLES if got else np.zeros(len(p.words))
+            split_root = np.concatenate([x[1] for x in got]) if got else np.zeros(len(p.words))
             pair, root = np.zeros(len(p.word)), np.zeros(len(p.word))
-            for x, column in ((pair, "pair"), (root, "root")):
-                x[i[of_pair]] = right.column(column).to_numpy()[of_pair]
-            n, tables = np.zeros(len(p.words)), np.zeros(len(p.words))
-            for x, column in ((n, "n"), (tables, "pair")):
-                x[-1 - i[~of_pair]] = right.column(column).to_numpy()[~of_pair]
+            i, _, _ = p.asked(n, parts)
+            got = [unpacked(r["data"]) for r in _rows(right, ANSWER)]
+            if got:
+                total, seats = (np.concatenate([x[k] for x in got]).astype(float) for k in (0, 1))
+                pair[i] = total - DISCOUNT[1] * seats / SAMPLES
+                root[i] = np.concatenate([np.repeat((x[2] - DISCOUNT[0] * x[3]) / SAMPLES, x[4]) for x in got])
             c = n[p.word]
-            at = _find(m["hot"], p.words[p.word])
-            h = np.flatnonzero(at >= 0)
-            root[h] = m["hot_root"][at[h]]
-            m = m | {"contexts": p.words, "guests": n, "tables": tables}
+            root = np.where(c > DISH, split_root[p.word], root)
             context = np.where(n[p.context] > 0, p.context, -1)
-            base = np.log10((c + 0.5) / (m["n"] + 0.5 * (m["v"] + 1)))
-            prob = np.log10(probabilities(m, c > 0, root, context, pair))
+            base = np.log10((c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)))
+            prob = np.log10(probabilities(model | {"contexts": p.words, "guests": n, "tables": tables}, c > 0, root, context, pair))
             first = np.cumsum(p.sizes) - p.sizes
 
             def per_text(x):
                 return np.add.reduceat(x[p.index], first) if len(first) else np.zeros(0)
-            out.append(record(schema, [batch.column("id"), batch.column("train"), p.sizes, per_text((c > 0).astype(np.int64)), np.full(len(first), int(m["n"])), per_text(base), per_text(prob)]))
-        return pa.Table.from_batches(out, schema=out[0].schema) if out else pa.table({f.name: pa.array([], record(schema, [[]] * len(schema)).schema.field(f.name).type) for f in schema})
+            out.append(record(schema, [batch.column("id"), batch.column("train"), p.sizes, per_text((c > 0).astype(np.int64)), np.full(len(first), int(model["n"])), per_text(base), per_text(prob)]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([record(schema, [[]] * len(schema))])
 
-    return (blocks.select("block", "texts").groupBy("block")
-            .cogroup(back.groupBy("block")).applyInArrow(score, schema))
+    replies = of_blocks.unionByName(answers.where(F.col("kind") == ANSWER)).unionByName(back.where(F.col("kind") == TABLES))
+    return texts.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(score, schema)
 
 
 def probabilities(m: dict, known: np.ndarray, root: np.ndarray, context: np.ndarray, pair: np.ndarray) -> np.ndarray:

@@ -104,8 +104,8 @@ def test_odd_rows(frame):
 def test_hot_and_cold_words_and_many_blocks_agree_on_counts(frame, monkeypatch):
     rows = [(i, " ".join(f"w{(i * j) % 53}" if j % 3 else "hot" for j in range(60))) for i in range(200)]
     want = base_of(rows, lambda k: k % 5 != 1)
-    for hot, context in ((2.0, 2.0), (0.05, 0.1), (1e-9, 0.01)):
-        monkeypatch.setattr(py, "HOT_SHARE", hot)
+    for hot, context in ((10**9, 2.0), (500, 0.1), (1, 0.01)):
+        monkeypatch.setattr(py, "DISH", hot)
         monkeypatch.setattr(py, "CONTEXT_SHARE", context)
         monkeypatch.setattr(py, "BLOCK_CHARS", 3000)
         d = frame(rows).withColumn("block", F.lit("x")).withColumn("train", F.lit(3)).withColumn("id", F.lit(1))
@@ -122,3 +122,18 @@ def test_rare_contexts_have_restaurants_of_their_own(frame):
     rows += [(1000, " ".join(f"c{j} f{j}" for j in range(100))), (1001, " ".join(f"c{j} f{j + 7}" for j in range(100)))]
     score = {r.doc_id: r.score for r in py.scored(frame(rows), F.col("doc_id") < 1000).collect()}
     assert score[1000] > score[1001] + 50
+
+
+def test_scores_do_not_hang_on_the_layout(spark, documents, monkeypatch):
+    monkeypatch.setattr(py, "DISH", 3000)          # a few words in several dishes
+    monkeypatch.setattr(py, "PART", 20_000)
+    monkeypatch.setattr(py, "BLOCK_CHARS", 60_000)
+    got = [{r.doc_id: r.score for r in py.scored(documents.repartition(k), F.col("doc_id") % 5 != 1).collect()} for k in (4, 16)]
+    assert len(got[0]) == documents.count()
+    assert all(math.isclose(got[0][k], got[1][k], rel_tol=1e-9) for k in got[0])
+
+
+def test_packed_arrays_come_back(spark):
+    for a in (np.zeros(0, np.int64), np.array([0, 255, 256, 2**40]), np.array([2**64 - 1], np.uint64), np.array([0.5, -2.25])):
+        b, c = py.unpacked(py.packed(a, a))
+        assert b.tolist() == a.tolist() == c.tolist()
