@@ -47,12 +47,12 @@ from pagesearch.session import materialize
 
 CONTEXT_SHARE = 0.004          # of the training tokens: contexts whose tables are estimated each on its own, at most 250
 DISH = 200_000                 # training tokens of a dish; a word of more is dealt over several
-PART = 1_000_000                 # training tokens of a range of dishes, which one task seats at a time
+PART = 500_000                 # training tokens of a range of dishes, which one task seats at a time
 RANGE = 4_000_000              # training tokens of a range of words, whose counts one task sums
 BANDS = 128                    # half octaves of guests: contexts of one band are taken as alike
 DISCOUNT, STRENGTH = (0.75, 0.8), (1.0, 10.0)      # root, contexts
 BURN_IN, SAMPLES = 2, 4
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 GROWTH = 20                    # customers of a dish are seated in blocks of 1/20
 END = np.uint64(0x454E44)
 PLACE = 32                     # bits of a word's place in its range
@@ -336,7 +336,9 @@ def _sent(rows: list[tuple]) -> pa.Table:
 
 def _rows(table: pa.Table, kind: int | None = None) -> list[dict]:
     """Rows in an order that doesn't hang on the shuffle."""
-    return sorted((r for r in table.to_pylist() if kind is None or r["kind"] == kind), key=lambda r: (r["part"], r["block"]))
+    if kind is not None:
+        table = table.filter(pa.compute.equal(table.column("kind"), kind))
+    return sorted(table.select(["block", "part", "data"]).to_pylist(), key=lambda r: (r["part"], r["block"]))
 
 
 def _word_slices(blocks: DataFrame, ranges: int) -> DataFrame:
@@ -559,9 +561,9 @@ def scored(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> D
             i, _, _ = p.asked(n, parts)
             got = [unpacked(r["data"]) for r in _rows(right, ANSWER)]
             if got:
-                total, seats = (np.concatenate([x[k] for x in got]).astype(float) for k in (0, 1))
-                pair[i] = total - DISCOUNT[1] * seats / SAMPLES
+                pair[i] = np.concatenate([x[0] - DISCOUNT[1] / SAMPLES * x[1] for x in got])
                 root[i] = np.concatenate([np.repeat((x[2] - DISCOUNT[0] * x[3]) / SAMPLES, x[4]) for x in got])
+            del got, i
             c = n[p.word]
             root = np.where(c > DISH, split_root[p.word], root)
             context = np.where(n[p.context] > 0, p.context, -1)
