@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from pagesearch.operators import index as ix
 from pagesearch.operators.analyze import analyze
 from pagesearch.operators.language import detect_lang, train_profiles
@@ -48,6 +50,13 @@ def test_exchange_size_from_input_files(spark):
         spark.conf.unset("pagesearch.bytesPerTask")
 
 
+def test_a_task_sorts_postings_of_a_few_megabytes(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(12_000_000).select(F.xxhash64("id").alias("doc_id")).write.parquet(path)      # about 96 MB
+    size = sum(f.stat().st_size for f in (tmp_path / "wide").glob("*.parquet"))
+    assert size > 90_000_000 and size / expand_partitions(spark.read.parquet(path)) <= 8 * 1024 * 1024
+
+
 def test_materialize_writes_under_checkpoint_dir(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     df = materialize(spark.range(5), "unit")
