@@ -1,6 +1,7 @@
 """Index build and search on hand-made rows: positions, phrases at the
 edges, boolean rules, expansion properties, paging and plan shape."""
 
+import dataclasses
 import math
 
 import pytest
@@ -297,3 +298,21 @@ def test_refresh_of_a_stored_index(spark, tmp_path):
     assert rows(after.postings, "doc_id", "term") == [(1, "a"), (1, "b"), (3, "c")]
     assert rows(after.ids, "doc_id") == [(1,), (2,), (3,)] and rows(after.docs, "doc_id", "value") == [(1, 3.0), (2, 0.0), (3, 1.0)]
     assert rows(before.postings, "doc_id", "term") == [(1, "a"), (1, "b"), (2, "c"), (2, "d")]
+
+
+def test_an_index_that_is_not_stored_splits_its_texts_once(spark):
+    df = spark.createDataFrame([(1, "fr", "the cat of the end"), (2, None, "of the cat cat"), (2, "de", "cat"), (None, "de", "end the"), (5, "fr", None), (6, "en", "")],
+                               "doc_id long, lang string, text string").coalesce(1)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    built = ix.build_index(df.mapInArrow(counted, df.schema), {"lang": "lang", "text": "text"}, all_field="_all")
+    cls = [clause(1, 1, "should", "match", ["the cat"], None), clause(2, 1, "must", "phrase", ["of", None, "cat"], "text")]
+    got = {(r.query_id, r.doc_id): r.score for r in run(spark, built, cls).collect()}
+    assert calls.value == 6
+    assert got.keys() == {(1, 1), (1, 2), (1, None), (2, 2)}
+    the = 1 + math.log(6 / (3 + 1))      # in three of the six rows with a token
+    assert got[(1, None)] == pytest.approx(the / math.sqrt(3) / 2)
