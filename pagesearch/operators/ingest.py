@@ -16,6 +16,10 @@ from pagesearch.operators import language as lg
 from pagesearch.schemas import FETCH_PER_HOST_PER_SEC, STORE_COLUMNS
 from pagesearch.session import broadcast_if_small, materialize
 
+# Rows of URLs alone (or with language codes) that are broadcast, about 50 MB:
+# beyond it the html on the other side of the join is shuffled.
+BROADCAST_MAX_URLS = 500_000
+
 
 def best_capture(captures: DataFrame) -> DataFrame:
     """One body per URL: a plain-HTTP 200; else the browser body when it
@@ -106,7 +110,10 @@ def build_store(spark: SparkSession, links: DataFrame, captures: DataFrame, prof
     (first, or last when forced), not yet stored (unless forced), with their
     best capture, extracted, titled, language-detected and routed.  Returns
     new store rows (``STORE_COLUMNS``) carrying ``seq`` for the upsert.
-    ``store`` only needs a ``url`` column (the stored keys)."""
+    ``store`` only needs a ``url`` column (the stored keys).
+
+    Pages are extracted once and written: detection and the rows it is joined
+    to both read them, and neither runs the patterns over the html again."""
     valid = ex.with_host(links).where(F.col("valid")).drop("host", "valid")
     todo = dedupe(valid, keep="last" if force else "first")
     if store is not None:
@@ -114,7 +121,8 @@ def build_store(spark: SparkSession, links: DataFrame, captures: DataFrame, prof
     # captures cut to this run's URLs first: a small run scans captures once
     # with a broadcast semi join; a full run joins on url, and the capture
     # choice and the attach then reuse that partitioning
-    caps = captures.join(broadcast_if_small(todo.select("url")), "url", "left_semi")
+    todo = materialize(todo, "todo")
+    caps = captures.join(broadcast_if_small(todo.select("url"), BROADCAST_MAX_URLS), "url", "left_semi")
     rows = attach_capture(todo, best_capture(caps))
     x = ex.extract_all(rows).drop("html")
     x = ex.coalesce_title(x, extracted="x_title", saved="title")
@@ -122,7 +130,8 @@ def build_store(spark: SparkSession, links: DataFrame, captures: DataFrame, prof
                  F.col("x_text").alias("text"), F.col("x_excerpt").alias("excerpt"),
                  F.col("x_author").alias("author"), F.col("x_site").alias("site_name"))
     x = ex.fill_empty(x, ["title", "html", "text", "excerpt", "author", "site_name", "folder"])
-    langs = lg.detect_fields(x, profiles, "url")
-    out = lg.pick_lang(x.join(langs, "url", "left"))
+    x = materialize(x, "extracted")
+    langs = materialize(lg.detect_fields(x, profiles, "url"), "languages")
+    out = lg.pick_lang(x.join(broadcast_if_small(langs, BROADCAST_MAX_URLS), "url", "left"))
     out = lg.route_lang(out, spark)
     return out.select(*STORE_COLUMNS, "seq")

@@ -22,12 +22,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesearch.operators import ingest as ing
-from pagesearch.operators.index import Index, build_index, has_version, merge_index, read_index, refresh_index, write_index
+from pagesearch.operators.index import Index, build_index, has_version, merge_index, read_index, refresh_index, stored_buckets, write_index
 from pagesearch.schemas import STORE
 from pagesearch.streaming.runner import drain, file_stream
 
 INDEX_FIELDS = ["title", "text", "excerpt", "folder", "url"]
 
+# Segments that a merge between batches joins at least: pairwise merges would
+# write the postings of every batch again with each batch after it.
+MERGE_LEAST = 3
+
 
 def last_committed(spark: SparkSession, root: str) -> int:
     """The highest committed batch, -1 if there is none.  Batches run one after
@@ -87,13 +91,16 @@ def current_postings(spark: SparkSession, root: str) -> DataFrame | None:
 
 def index_batch(spark: SparkSession, new: DataFrame, batch_id: int, root: str) -> None:
     """One segment with the batch's documents on top of the version that
-    the batch before left; then small segments are merged.  A batch that is run
+    the batch before left, in the buckets that the index has; then small
+    segments are merged, ``MERGE_LEAST`` of them or more.  A batch that is run
     again starts from that version again, and its later version wins."""
     path = os.path.join(root, "index")
-    index = build_index(new, {f: f for f in INDEX_FIELDS}, key="url", co_locate=True)
-    if has_version(spark, path, batch_id - 1):
+    again = has_version(spark, path, batch_id - 1)
+    index = build_index(new, {f: f for f in INDEX_FIELDS}, key="url", co_locate=True,
+                        buckets=stored_buckets(spark, path, batch_id - 1) if again else None)
+    if again:
         refresh_index(spark, path, index, tag=batch_id, base=batch_id - 1)
-        merge_index(spark, path, tag=batch_id)
+        merge_index(spark, path, tag=batch_id, least=MERGE_LEAST)
     else:
         write_index(index, path, tag=batch_id)
 
