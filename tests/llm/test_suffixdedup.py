@@ -75,6 +75,50 @@ def test_texts_match_brute_force_and_hot_anchors_are_dealt_anew(frame, part):
     check(frame(rows).repartition(5), 30, gram=8, part=part)
 
 
+@pytest.mark.parametrize("part", [1024, 3])
+def test_rows_of_frequent_keys_are_dealt_in_the_joins(frame, monkeypatch, part):
+    monkeypatch.setattr(S, "HOT", 4)
+    used = []
+    monkeypatch.setattr(S, "dealt", lambda rows, keys, on, hot, by, dealt=S.dealt: used.append(hot.count()) or dealt(rows, keys, on, hot, by))
+    line = "a line that stands in every text, whatever else is there"
+    texts = passages(random.Random(9), 20) + [(200 + i, f"{i} {line} {i * i}") for i in range(40)] + [(300 + i, "copy of one text " * 4) for i in range(12)]
+    check(frame(texts).repartition(5), 30, gram=8, part=part)
+    assert used[0] and used[1]
+
+
+def test_a_frequent_key_does_not_stay_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 10)
+    rows = spark.range(400).select(F.when(F.col("id") < 320, 7).otherwise(F.col("id")).alias("key"), F.col("id").alias("place"))
+    keys = rows.groupBy("key").count().where("key <> 350")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = S.dealt(rows, keys.select("key"), ["key"], S.frequent(keys, ["key"], "count"), ["place"])
+        assert got.columns == ["key", "place"]
+        got = got.withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert sorted(r.place for r in got) == [i for i in range(400) if i != 350]
+    most = Counter(r.task for r in got if r.key == 7).most_common(1)[0][1]
+    assert most < 200
+
+
+def test_passages_of_the_window_and_more_are_caught_and_other_texts_left_alone(frame):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    def say(n):
+        return " ".join(rng.choices(words, k=n))
+    long, short = [say(n) for n in (90, 100, 130)], [say(51)[:397]]
+    rows = [(i, f"{say(40)}\n{p}\n{say(20)}") for i, p in enumerate([p for p in long + short for _ in range(2)])]
+    rows += [(100 + i, say(150)) for i in range(6)]
+    got = {r.doc_id: r.n_removed for r in S.repeats(frame(rows), digest=True).collect()}
+    assert all(len(p) >= 400 and got[2 * i + j] >= len(p) for i, p in enumerate(long) for j in range(2))
+    assert all(got[i] == 0 for i in (6, 7, *range(100, 106)))
+
+
 def test_odd_texts_and_empty_table(spark, frame):
     check(frame([r for r in ODD if len(r[1] or "") < 10_000] + [(20, None), (21, "word " * 300)]), 30, gram=8)
     assert S.repeats(spark.createDataFrame([], DOC)).count() == 0
